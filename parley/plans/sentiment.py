@@ -1,0 +1,28 @@
+"""Sentiment series and coverage."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from parley.registry import operator
+from parley.views import M, S, messages, sentiment
+
+
+@operator(
+    "agg_01",
+    f"""with {M}, {S} select conversation_id, strftime(ts, '%Y-%m-%d') as bucket, round(avg(intensity), 4) as avg_intensity,
+  count(*) filter (where polarity = 1) as positive, count(*) filter (where polarity = -1) as negative, count(*) filter (where polarity = 0) as neutral,
+  round(avg(case when is_sender = 1 then intensity end), 4) as my_avg, round(avg(case when is_sender = 0 then intensity end), 4) as other_avg,
+  count(*) filter (where is_sender = 1) as my_count, count(*) filter (where is_sender = 0) as other_count
+from m join s on s.message_id = m.id group by 1, 2""",
+)
+def sentiment_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per conversation and day: average intensity, counts by polarity, and both per side."""
+    joined = messages(spark, sf_dir).join(sentiment(spark, sf_dir), F.col("id") == F.col("message_id"))
+    mine = F.col("is_sender") == 1
+    return joined.groupBy("conversation_id", F.date_format("ts", "yyyy-MM-dd").alias("bucket")).agg(
+        F.round(F.avg("intensity"), 4).alias("avg_intensity"), F.count_if(F.col("polarity") == 1).alias("positive"), F.count_if(F.col("polarity") == -1).alias("negative"),
+        F.count_if(F.col("polarity") == 0).alias("neutral"), F.round(F.avg(F.when(mine, F.col("intensity"))), 4).alias("my_avg"),
+        F.round(F.avg(F.when(~mine, F.col("intensity"))), 4).alias("other_avg"), F.count_if(mine).alias("my_count"), F.count_if(~mine).alias("other_count"),
+    )
