@@ -14,6 +14,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,10 +26,10 @@ from parley.llm.support import WordHashes, mix64, staged, words_of
 BINS, BANDS, SHINGLE = 128, 32, 5
 NEED, WHOLE = 75, 100
 #: A pair of one bucket is confirmed if this many of the 128 signature bytes agree; at a similarity of 0.75, 96 are
-#: expected with a standard deviation below 5.
-LEAST_AGREE = 64
+#: expected with a standard deviation below 5, so that fewer are as rare as a pair that no band catches.
+LEAST_AGREE = 74
 #: Members compared with one centre, or other components' members in one block.
-BLOCK = 512
+BLOCK, SLICE = 512, 1024
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROUNDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -111,14 +112,7 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
                 if (a, part) != centre:
                     centre, own = (a, part), shingle_set(text, hashes)
                 continue
-            other = shingle_set(text, hashes)
-            both = len(own) + len(other)
-            if WHOLE * min(len(own), len(other)) < NEED * max(len(own), len(other)):
-                continue
-            union = np.concatenate([own, other])
-            union.sort()
-            joint = int((union[1:] == union[:-1]).sum())
-            if WHOLE * joint >= NEED * (both - joint):
+            if similar(own, shingle_set(text, hashes)):
                 found.append((a, b))
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
@@ -135,39 +129,83 @@ def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_confirm_batches, "a long, b long").distinct()
 
 
-def _compare_blocks(keys: tuple, left, right):  # noqa: ANN001
-    """Cross-component pairs of one block of a bucket whose signatures agree well enough."""
-    import pandas as pd
+def similar(own: np.ndarray, other: np.ndarray) -> bool:
+    """Whether two sorted sets are alike enough: 100 * intersection >= 75 * union."""
+    if WHOLE * min(len(own), len(other)) < NEED * max(len(own), len(other)):
+        return False
+    union = np.concatenate([own, other])
+    union.sort()
+    joint = int((union[1:] == union[:-1]).sum())
+    return WHOLE * joint >= NEED * (len(union) - joint)
+
 
+def _agreeing(left, right):  # noqa: ANN001, ANN202
+    """For each stray its place, and the places of other components' members whose signatures agree well enough."""
     sl = np.frombuffer(b"".join(left.signature), np.uint8).reshape(-1, BINS)
     sr = np.frombuffer(b"".join(right.signature), np.uint8).reshape(-1, BINS)
-    ids, comp = right.doc_id.to_numpy(), right.component.to_numpy()
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for i, (x, c) in enumerate(zip(left.doc_id, left.component, strict=True)):
-        hit = np.flatnonzero(((sr == sl[i]).sum(1) >= LEAST_AGREE) & (comp != c))
-        a.append(np.minimum(ids[hit], x))
-        b.append(np.maximum(ids[hit], x))
-    return pd.DataFrame({"a": np.concatenate(a), "b": np.concatenate(b)})
-
-
-def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs of one bucket in different components, by signature. Of any such pair at least one is a stray, outside the
-    least component; strays are dealt into blocks and only they are compared with the bucket's other members."""
+    comp = right.component.to_numpy()
+    for i, c in enumerate(left.component):
+        agree = (sr == sl[i]).sum(1)
+        hit = np.flatnonzero((agree >= LEAST_AGREE) & (comp != c))
+        if len(hit):
+            yield i, hit, agree[hit]
+
+
+def _best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """For each stray and other component the member that agrees most."""
+    ids, comp, strays = right.doc_id.to_numpy(), right.component.to_numpy(), left.doc_id.to_numpy()
+    out = [(np.empty(0, np.int64),) * 4]
+    for i, hit, agree in _agreeing(left, right):
+        order = np.lexsort((ids[hit], -agree, comp[hit]))
+        first = order[np.concatenate([[True], np.diff(comp[hit][order]) != 0])]
+        out.append((np.full(len(first), strays[i]), ids[hit[first]], comp[hit[first]], agree[first]))
+    return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("stray", "other", "component", "agree"))})
+
+
+def _full(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """All similar pairs of one block, confirmed on full sets. A pair counts in the first band that it shares."""
+    hashes, sets = WordHashes(), {}
+    kl, kr = (np.stack(x["keys"].to_numpy()).astype(np.int64) for x in (left, right))
+    ids, key = right.doc_id.to_numpy(), left.key.iloc[0]
+
+    def of(side: pd.DataFrame, i: int) -> np.ndarray:
+        doc = side.doc_id.iat[i]
+        if doc not in sets:
+            sets[doc] = shingle_set(side.text.iat[i].encode(), hashes)
+        return sets[doc]
+
+    found: list[tuple[int, int]] = []
+    for i, hit, _ in _agreeing(left, right):
+        shared = kr[hit] == kl[i]
+        for j in hit[kl[i][shared.argmax(1)] == key]:
+            if similar(of(left, i), of(right, j)):
+                found.append((min(left.doc_id.iat[i], ids[j]), max(left.doc_id.iat[i], ids[j])))
+    return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
+
+
+def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame | None = None) -> DataFrame:
+    """Pairs ``(a, b)`` of one bucket in different components: candidates, the best for each stray and component; or,
+    given ``docs``, all that are similar. Of any such pair at least one is a stray, outside its bucket's least
+    component; strays are dealt into blocks and only they are compared with slices of the bucket's other members."""
     part = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    mixed = part.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n")).where("least <> most and n > 2")
-    part = part.join(mixed.select("key", "least"), "key")
-    strays = part.where("component <> least")
-    blocks = strays.groupBy("key").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks"))
-    signed = nodes.select("doc_id", "signature")
-    left = strays.join(blocks, "key").join(signed, "doc_id").select("key", F.expr("cast(pmod(xxhash64(doc_id), blocks) as int)").alias("block"), "doc_id", "component", "signature")
-    slices = part.groupBy("key").agg(F.expr(f"(count(*) + {8 * BLOCK - 1}) div {8 * BLOCK}").cast("int").alias("slices"))
-    left = left.join(slices, "key").withColumn("slice", F.explode(F.expr("sequence(0, slices - 1)"))).drop("slices")
-    right = (
-        part.join(blocks, "key").join(slices, "key").join(signed, "doc_id")
-        .select("key", F.expr("cast(pmod(xxhash64(doc_id, 1), slices) as int)").alias("slice"), F.explode(F.expr("sequence(0, blocks - 1)")).alias("block"), "doc_id", "component", "signature")
-    )
+    mixed = part.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
+    part = part.join(mixed.where("least <> most and n > 2").select("key", "least", "n"), "key")
+    counts = part.where("component <> least").groupBy("key").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks"))
+    part = part.join(counts, "key").withColumn("slices", F.expr(f"(n + {SLICE - 1}) div {SLICE}").cast("int"))
+    signed = part.join(nodes.select("doc_id", "signature") if docs is None else nodes.select("doc_id", "signature", "keys"), "doc_id")
+    if docs is not None:
+        signed = signed.join(docs.select(F.col("doc_id").alias("_of"), "text").dropDuplicates(["_of"]), F.col("doc_id") == F.col("_of")).drop("_of")
+    dealt = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = signed.where("component <> least").withColumn("block", dealt("blocks", 0)).withColumn("slice", each("slices"))
+    right = signed.withColumn("slice", dealt("slices", 1)).withColumn("block", each("blocks"))
     left, right, on = left.toDF(*left.columns), right.toDF(*right.columns), ["key", "block", "slice"]
-    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_compare_blocks, "a long, b long").distinct()
+    both = left.groupBy(*on).cogroup(right.groupBy(*on))
+    if docs is not None:
+        return both.applyInPandas(_full, "a long, b long").distinct()
+    found = both.applyInPandas(_best, "stray long, other long, component long, agree long")
+    found = found.groupBy("stray", "component").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
+    return found.select(F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -188,10 +226,16 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     stars = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
     links = staged(confirmed(staged(stars), docs))
     labels = components(links)
-    crossing = staged(_across(members.select("key", "doc_id").distinct(), nodes, labels))
-    if not crossing.isEmpty():
-        tested = crossing.join(stars, ["a", "b"], "left_anti")
-        labels = components(links.union(confirmed(staged(tested), docs)))
+    # a stray that belongs to a component nearly always links through its most similar member; once those links are
+    # made, what still crosses is compared in full
+    of_bucket = staged(members.select("key", "doc_id").distinct())
+    best = staged(_across(of_bucket, nodes, labels).join(stars, ["a", "b"], "left_anti"))
+    if not best.isEmpty():
+        links = staged(links.union(confirmed(best, docs)))
+        labels = components(links)
+    more = staged(_across(of_bucket, nodes, labels, docs))
+    if not more.isEmpty():
+        labels = components(links.union(more))
     of_set = sets.join(labels, sets.node == labels.node, "left").select("set_a", "set_b", F.coalesce("component", sets.node).alias("least"))
     # members of one set share its node's component, whose least id may be the node itself
     out = sketched.join(of_set, (sketched.set_a == of_set.set_a) & (sketched.set_b == of_set.set_b) & (F.col("n_shingles") > 0), "left")
