@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from parley.functions.text import tokens
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -30,6 +32,21 @@ def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("message_id"), level.alias("intensity"), F.when(level > 0.3, 1).when(level < -0.3, -1).otherwise(0).alias("polarity"))
 
 
+def covered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sentiment of three messages in four, so that some stay uncovered."""
+    return sentiment(spark, sf_dir).where("message_id % 4 <> 3")
+
+
+def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``conversations`` as turns without times."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("role") == "user", 1).otherwise(0).alias("is_sender"), "role", "text")
+
+
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row per token of a document, in order: ``doc_id, pos, token``."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+
+
 def _messages_sql(conversation: str) -> str:
     return f"""select event_id as id, {conversation} as conversation_id, user_id as member, ts, cast(floor(epoch(ts)) as bigint) as ts_sec,
   cast(event_id % 2 as int) as is_sender, case when event_type in ('click', 'view') then 1 when event_type = 'purchase' then 43
@@ -41,3 +58,24 @@ M = f"m as ({_messages_sql('user_id // 30')})"
 MS = f"ms as ({_messages_sql('user_id')})"
 S = """s as (select event_id as message_id, round(value / 250 - 1, 4) as intensity,
   case when round(value / 250 - 1, 4) > 0.3 then 1 when round(value / 250 - 1, 4) < -0.3 then -1 else 0 end as polarity from events)"""
+C = "c as (select * from s where message_id % 4 <> 3)"
+D = "d as (select conv_id, turn, case when role = 'user' then 1 else 0 end as is_sender, role, text from conversations)"
+_LETTERS = r"[\p{L}\p{N}]+"
+TOKENS = f"""tokens as (select doc_id, p as pos, ws[p + 1] as token from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_LETTERS}') as ws from documents),
+  unnest(range(len(ws))) as x(p))"""
+
+#: What ``{name}`` in a declared query stands for; all other names are tables.
+VIEWS = {"m": (messages, (M,)), "ms": (lambda s, d: messages(s, d, sparse=True), (MS,)), "s": (sentiment, (S,)), "c": (covered, (S, C)), "d": (dialog, (D,)), "tokens": (doc_tokens, (TOKENS,))}
+
+
+def frame(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return VIEWS[name][0](spark, sf_dir) if name in VIEWS else table(spark, sf_dir, name)
+
+
+def with_views(names: list[str], text: str) -> str:
+    """``text`` with the views it needs in front of its own common table expressions."""
+    needed = list(dict.fromkeys(x for n in names if n in VIEWS for x in VIEWS[n][1]))
+    if not needed:
+        return text
+    own = text.lstrip()
+    return f"with {', '.join(needed)}, {own[5:]}" if own.lower().startswith("with ") else f"with {', '.join(needed)} {own}"
