@@ -1,12 +1,13 @@
 """Order-dependent scans over timelines, spread over days.
 
 A window over a whole conversation would put a hot one into one task. Here windows run within a conversation's day
-only; what crosses midnight is carried by a second table of one row per conversation and day. Both helpers give what
+only; what crosses midnight is carried by a second table of one row per conversation and day. The helpers give what
 ``lag`` and a running ``sum`` over the whole conversation would.
 """
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,26 +31,40 @@ def with_previous(rows: DataFrame, columns: list[str], keys: list[str], order: l
     return joined.withColumns({f"prev_{c}": F.when(F.col("_first"), F.col("_carried")[c]).otherwise(F.col(f"prev_{c}")) for c in columns}).drop("_first", "_carried")
 
 
-def with_running(rows: DataFrame, name: str, value: Column, keys: list[str], order: list[str], bucket: str = "day") -> DataFrame:
-    """``rows`` with the running sum of ``value``, the row's own included."""
-    valued = rows.withColumn("_value", value.cast("long"))
-    totals = valued.groupBy(*keys, bucket).agg(F.sum("_value").alias("_total"))
-    before = Window.partitionBy(*keys).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*keys, bucket, F.coalesce(F.sum("_total").over(before), F.lit(0)).alias("_before"))
-    own = Window.partitionBy(*keys, bucket).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    return valued.withColumn("_own", F.sum("_value").over(own)).join(offsets, [*keys, bucket], "left").withColumn(name, F.col("_own") + F.col("_before")).drop("_value", "_own", "_before")
+def with_runs(rows: DataFrame, name: str, columns: list[str], starts: Column, keys: list[str], order: list[str], bucket: str = "day") -> DataFrame:
+    """``rows`` with ``prev_<column>`` as in :func:`with_previous`, and the number ``name`` of the run that a row belongs to.
+
+    ``starts`` tells from ``columns`` and their ``prev_`` counterparts whether a row begins a run; null, as for a first row, says it does.
+    """
+    begins = F.coalesce(starts, F.lit(True)).cast("long")
+    own = Window.partitionBy(*keys, bucket).orderBy(*order)
+    inner = rows.withColumns({"_n": F.row_number().over(own)} | {f"prev_{c}": F.lag(c).over(own) for c in columns})
+    inner = inner.withColumn("_own", F.sum(F.when(F.col("_n") > 1, begins).otherwise(0)).over(own.rowsBetween(Window.unboundedPreceding, 0)))
+    days = inner.groupBy(*keys, bucket).agg(F.max_by(F.struct(*columns), F.struct(*order)).alias("_last"), F.min_by(F.struct(*columns), F.struct(*order)).alias("_head"), F.max("_own").alias("_total"))
+    over = Window.partitionBy(*keys).orderBy(bucket)
+    days = days.withColumn("_carried", F.lag("_last").over(over)).select("*", *(F.col("_head")[c].alias(c) for c in columns), *(F.col("_carried")[c].alias(f"prev_{c}") for c in columns))
+    days = days.withColumn("_begins", begins)
+    before = F.coalesce(F.sum(F.col("_total") + F.col("_begins")).over(over.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    carried = days.select(*keys, bucket, "_carried", (before + F.col("_begins")).alias("_before"))
+    joined = inner.join(carried, [*keys, bucket], "left")
+    joined = joined.withColumns({f"prev_{c}": F.when(F.col("_n") == 1, F.col("_carried")[c]).otherwise(F.col(f"prev_{c}")) for c in columns})
+    return joined.withColumn(name, F.col("_own") + F.col("_before")).drop("_n", "_own", "_before", "_carried")
+
+
+def kept(rows: DataFrame) -> DataFrame:
+    """``rows`` kept for the several scans that follow; what an executor loses is computed again from its lineage."""
+    return rows.persist(StorageLevel.MEMORY_AND_DISK)
 
 
 def speech_units(messages: DataFrame, gap: int = UNIT_GAP) -> DataFrame:
     """Runs of one side's messages with less than ``gap`` seconds between neighbours: one row per unit."""
-    key, order = ["conversation_id"], ["ts", "id"]
-    linked = with_previous(with_day(messages), ["is_sender", "ts_sec"], key, order)
-    joins = F.coalesce((F.col("prev_is_sender") == F.col("is_sender")) & (F.col("ts_sec") - F.col("prev_ts_sec") < gap), F.lit(False))
-    numbered = with_running(linked, "unit_id", (~joins).cast("int"), key, order)
-    return numbered.groupBy("conversation_id", "unit_id").agg(
+    starts = (F.col("prev_is_sender") != F.col("is_sender")) | (F.col("ts_sec") - F.col("prev_ts_sec") >= gap)
+    numbered = with_runs(with_day(messages), "unit_id", ["is_sender", "ts_sec"], starts, ["conversation_id"], ["ts", "id"])
+    units = numbered.groupBy("conversation_id", "unit_id").agg(
         F.min("is_sender").alias("is_sender"), F.min("ts").alias("ts"), F.min("ts_sec").alias("start_sec"), F.max("ts").alias("end_ts"), F.max("ts_sec").alias("end_sec"),
         F.count("*").alias("n_messages"), F.sum(F.length("content")).alias("n_chars"), F.transform(F.array_sort(F.collect_list(F.struct("ts", "id"))), lambda x: x["id"]).alias("message_ids"),
     )
+    return kept(units)
 
 
 def crosses_sleep(start: Column, end: Column) -> Column:
@@ -59,20 +74,19 @@ def crosses_sleep(start: Column, end: Column) -> Column:
 
 def session_ids(rows: DataFrame, gap: int = SESSION_GAP, start: str = "ts", end: str = "ts", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """``rows`` with a ``session_id`` that grows by one after each long pause or night."""
-    key = ["conversation_id"]
-    linked = with_previous(rows.withColumn("day", F.to_date(start)), [end], key, list(order))
     pause = F.unix_timestamp(start) - F.unix_timestamp(f"prev_{end}")
-    new = F.coalesce((pause > gap) | crosses_sleep(F.col(f"prev_{end}"), F.col(start)), F.lit(True))
-    return with_running(linked, "session_id", new.cast("int"), key, list(order)).drop(f"prev_{end}")
+    starts = (pause > gap) | crosses_sleep(F.col(f"prev_{end}"), F.col(start))
+    return with_runs(rows.withColumn("day", F.to_date(start)), "session_id", list(dict.fromkeys([start, end])), starts, ["conversation_id"], list(order)).drop(f"prev_{end}", f"prev_{start}")
 
 
 def sessions(messages: DataFrame, gap: int = SESSION_GAP) -> DataFrame:
     """Sessions of speech units: one row each, with the side that began."""
     units = session_ids(speech_units(messages), gap, "ts", "end_ts", ("ts", "unit_id"))
-    return units.groupBy("conversation_id", "session_id").agg(
+    found = units.groupBy("conversation_id", "session_id").agg(
         F.min("ts").alias("start_ts"), F.max("end_ts").alias("end_ts"), F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count("*").alias("unit_count"),
         F.sum("n_messages").alias("message_count"), F.min_by("is_sender", F.struct("ts", "unit_id")).alias("initiator"),
     )
+    return kept(found)
 
 
 def interaction_pairs(messages: DataFrame) -> DataFrame:

@@ -299,11 +299,10 @@ select conversation_id, is_sender, n, coalesce(bursts, 0) as bursts, long_gaps,
 def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per side: runs of three messages or more, long pauses and ice-breaks ended, days greeted in the morning, share of short messages."""
     key, order = ["conversation_id"], ["ts", "id"]
-    linked = timeline.with_previous(timeline.with_day(messages(spark, sf_dir)), ["is_sender", "ts_sec"], key, order)
+    linked = timeline.with_runs(timeline.with_day(messages(spark, sf_dir)), "run", ["is_sender", "ts_sec"], F.col("prev_is_sender") != F.col("is_sender"), key, order)
     switch = F.coalesce(F.col("prev_is_sender") != F.col("is_sender"), F.lit(False))
     gap = F.col("ts_sec") - F.col("prev_ts_sec")
-    runs = timeline.with_running(linked, "run", F.when(F.col("prev_is_sender") == F.col("is_sender"), 0).otherwise(1), key, order)
-    bursts = runs.groupBy("conversation_id", "is_sender", "run").count().where("count >= 3").groupBy("conversation_id", "is_sender").agg(F.count("*").alias("bursts"))
+    bursts = linked.groupBy("conversation_id", "is_sender", "run").count().where("count >= 3").groupBy("conversation_id", "is_sender").agg(F.count("*").alias("bursts"))
     totals = linked.groupBy("conversation_id", "is_sender").agg(
         F.count("*").alias("n"), F.count_if(switch & (gap > 7200) & (gap <= 86400)).alias("long_gaps"), F.count_if(switch & (gap > 86400)).alias("ice_breaks"),
         F.count_distinct(F.when((F.hour("ts") >= 5) & (F.hour("ts") < 10), F.col("day"))).alias("morning_days"), rounded(F.avg(F.when(F.length("content") <= 14, 1.0).otherwise(0.0))).alias("short_share"),

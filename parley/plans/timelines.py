@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -146,8 +144,7 @@ def merged_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     they run over chains of sessions with short pauses, since a longer pause stops every merge.
     """
     s = timeline.sessions(messages(spark, sf_dir)).withColumn("day", F.to_date("start_ts"))
-    linked = timeline.with_previous(s, ["end_sec"], KEY, ["session_id"])
-    chained = timeline.with_running(linked, "chain", F.when(F.col("start_sec") - F.col("prev_end_sec") <= timeline.SESSION_GAP, 0).otherwise(1), KEY, ["session_id"])
+    chained = timeline.with_runs(s, "chain", ["start_sec", "end_sec"], F.col("start_sec") - F.col("prev_end_sec") > timeline.SESSION_GAP, KEY, ["session_id"])
     chain = Window.partitionBy("conversation_id", "chain").orderBy("session_id")
     short = F.col("unit_count") < 3
     rows = chained.withColumns({"short": short, "run": F.sum(F.when(short, 0).otherwise(1)).over(chain), "first": F.row_number().over(chain) == 1, "last": F.lead("session_id").over(chain).isNull()})
@@ -190,8 +187,7 @@ def response_times(spark: SparkSession, sf_dir: str) -> DataFrame:
 select conversation_id, cast(run as bigint) as run, min(is_sender) as is_sender, count(*) as length, min(ts_sec) as start_sec from r group by 1, 2 having count(*) >= 3""")
 def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Runs of three messages or more of one side."""
-    linked = timeline.with_previous(timeline.with_day(messages(spark, sf_dir)), ["is_sender"], KEY, ORDER)
-    runs = timeline.with_running(linked, "run", F.when(F.col("prev_is_sender") == F.col("is_sender"), 0).otherwise(1), KEY, ORDER)
+    runs = timeline.with_runs(timeline.with_day(messages(spark, sf_dir)), "run", ["is_sender"], F.col("prev_is_sender") != F.col("is_sender"), KEY, ORDER)
     return runs.groupBy("conversation_id", "run").agg(F.min("is_sender").alias("is_sender"), F.count("*").alias("length"), F.min("ts_sec").alias("start_sec")).where("length >= 3")
 
 
