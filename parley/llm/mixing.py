@@ -55,60 +55,68 @@ def _uniform(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def _hypergeometric(total: Column, good: Column, draws: Column, u: Column) -> Column:
-    """The number of good ones among ``draws`` of ``total``, by inversion of the distribution around its mode.
+def hypergeometric(rows: DataFrame) -> DataFrame:
+    """``rows(total, good, draws, u)`` with ``drawn``, the number of good ones among ``draws`` of ``total``.
 
-    Weights relative to the mode follow from the ratio of neighbouring terms; beyond 14 deviations they are nothing.
+    The distribution is inverted at ``u`` around its mode: weights relative to the mode follow from the ratio of
+    neighbouring terms, and beyond 14 deviations they are nothing. Every step is a column, so that none is computed twice.
     """
-    lo, hi = F.greatest(F.lit(0), draws + good - total), F.least(draws, good)
-    mode = F.least(hi, F.greatest(lo, F.floor((draws + 1).cast("double") * (good + 1) / (total + 2)).cast("long")))
-    n = total.cast("double")
-    reach = F.ceil(14 * F.sqrt(draws * (good / n) * (1 - good / n) * (n - draws) / F.greatest(n - 1, F.lit(1.0))) + 14).cast("long")
-    first, last = F.greatest(lo, mode - reach), F.least(hi, mode + reach)
-    up = lambda k: (good - k).cast("double") * (draws - k) / ((k + 1).cast("double") * (total - good - draws + k + 1))  # noqa: E731  weight of k+1 over that of k
-    zero = lambda w: F.struct(w.alias("w"), w.alias("sum"))
-    one = F.lit(1.0)
-    above = F.aggregate(F.when(last > mode, F.sequence(mode, last - 1)).otherwise(F.array().cast("array<bigint>")), zero(one), lambda a, k: F.struct((a.w * up(k)).alias("w"), (a.sum + a.w * up(k)).alias("sum")), lambda a: a.sum)
-    down = lambda a, k: a.w / up(k)
-    below = F.aggregate(
-        F.when(mode > first, F.sequence(mode - 1, first, F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")),
-        F.struct(one.alias("w"), F.lit(0.0).alias("sum")),
-        lambda a, k: F.struct(down(a, k).alias("w"), (a.sum + down(a, k)).alias("sum")),
-    )
-    start = F.aggregate(F.when(mode > first, F.sequence(mode - 1, first, F.lit(-1).cast("bigint"))).otherwise(F.array().cast("array<bigint>")), one, lambda w, k: w / up(k))
-    goal = u * (above + below["sum"])
-    found = F.aggregate(
-        F.sequence(first, last),
-        F.struct(start.alias("w"), F.lit(0.0).alias("sum"), first.alias("k")),
-        lambda a, k: F.struct(F.when(k < last, a.w * up(k)).otherwise(F.lit(0.0)).alias("w"), (a.sum + a.w).alias("sum"), F.when(a.sum < goal, k).otherwise(a.k).alias("k")),
-        lambda a: a.k,
-    )
-    return F.when((good == 0) | (draws == 0), F.lit(0).cast("bigint")).when(draws == total, good).otherwise(found)
-
-
-def _deal(level: int):  # noqa: ANN202
-    """The step that draws one source's share of the left half and appends it."""
-
-    def step(a: Column, q: Column) -> Column:
-        x = _hypergeometric(a.total, q, a.draws, _uniform(F.lit(level), F.col("shard"), F.size(a.out)))
-        held = F.array(F.struct(a.alias("a"), q.alias("q"), x.alias("x")))
-        return F.element_at(F.transform(held, lambda d: F.struct((d.a.total - d.q).alias("total"), (d.a.draws - d.x).alias("draws"), F.concat(d.a.out, F.array(d.x)).alias("out"))), 1)
-
-    return step
+    total, good, draws, mode, first, last = (F.col(c) for c in ("total", "good", "draws", "_mode", "_first", "_last"))
+    n = F.greatest(total, F.lit(1)).cast("double")
+    # the weight of k + 1 over that of k
+    up = lambda k: (good - k).cast("double") * (draws - k) / ((k + 1).cast("double") * (total - good - draws + k + 1))
+    none, one, zero = F.array().cast("array<bigint>"), F.lit(1.0), F.lit(0).cast("bigint")
+    rows = rows.withColumns({"_lo": F.greatest(zero, draws + good - total), "_hi": F.least(draws, good)})
+    rows = rows.withColumns({
+        "_mode": F.least("_hi", F.greatest(F.col("_lo"), F.floor((draws + 1).cast("double") * (good + 1) / (total + 2)).cast("bigint"))),
+        "_reach": F.ceil(14 * F.sqrt(draws * (good / n) * (1 - good / n) * (n - draws) / F.greatest(n - 1, one)) + 14).cast("bigint"),
+    })
+    rows = rows.withColumns({"_first": F.greatest(F.col("_lo"), mode - F.col("_reach")), "_last": F.least(F.col("_hi"), mode + F.col("_reach"))})
+    rising = F.when(last > mode, F.sequence(mode, last - 1)).otherwise(none)
+    falling = F.when(mode > first, F.sequence(mode - 1, first, F.lit(-1).cast("bigint"))).otherwise(none)
+    rows = rows.withColumns({
+        "_above": F.aggregate(rising, F.struct(one.alias("w"), one.alias("s")), lambda a, k: F.struct((a.w * up(k)).alias("w"), (a.s + a.w * up(k)).alias("s"))),
+        "_below": F.aggregate(falling, F.struct(one.alias("w"), F.lit(0.0).alias("s")), lambda a, k: F.struct((a.w / up(k)).alias("w"), (a.s + a.w / up(k)).alias("s"))),
+    })
+    rows = rows.withColumn("_goal", F.col("u") * (F.col("_above.s") + F.col("_below.s")))
+    start = F.struct(F.col("_below.w").alias("w"), F.lit(0.0).alias("s"), first.alias("k"))
+    step = lambda a, k: F.struct(F.when(k < last, a.w * up(k)).otherwise(F.lit(0.0)).alias("w"), (a.s + a.w).alias("s"), F.when(a.s < F.col("_goal"), k).otherwise(a.k).alias("k"))
+    rows = rows.withColumn("_found", F.aggregate(F.sequence(first, last), start, step, lambda a: a.k))
+    drawn = F.when((good == 0) | (draws == 0), zero).when(draws == total, good).otherwise(F.col("_found"))
+    return rows.withColumn("drawn", drawn).drop("_lo", "_hi", "_mode", "_reach", "_first", "_last", "_above", "_below", "_goal", "_found")
+
+
+def _sum(counts: Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
+
+
+def _left_halves(nodes: DataFrame, level: int, sources: int) -> DataFrame:
+    """``nodes(shard, counts)`` with ``left``: a multivariate hypergeometric draw of half of all blocks.
+
+    The sources are halved again and again; how many of a group's draws go to its first half is hypergeometric.
+    """
+    groups = nodes.select("shard", F.lit(0).alias("at"), "counts", (_sum(F.col("counts")) - F.expr("aggregate(counts, 0L, (a, x) -> a + x) div 2")).alias("draws"))
+    size = sources
+    while size > 1:
+        size //= 2
+        split = groups.withColumns({"first": F.slice("counts", 1, size), "second": F.slice("counts", size + 1, size)})
+        split = split.withColumns({"total": _sum(F.col("counts")), "good": _sum(F.col("first")), "u": _uniform(F.lit(level), F.lit(size), F.col("shard"), F.col("at"))})
+        drawn = hypergeometric(split)
+        halves = F.array(F.struct("at", F.col("first").alias("counts"), F.col("drawn").alias("draws")), F.struct((F.col("at") + size).alias("at"), F.col("second").alias("counts"), (F.col("draws") - F.col("drawn")).alias("draws")))
+        groups = drawn.select("shard", F.explode(halves).alias("h")).select("shard", "h.at", "h.counts", "h.draws")
+    ordered = F.array_sort(F.collect_list(F.struct("at", F.col("counts")[0].alias("n"), "draws")))
+    return groups.groupBy("shard").agg(ordered.alias("g")).select("shard", F.col("g.n").alias("counts"), F.col("g.draws").alias("left"))
 
 
 def split_quotas(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
     """One row ``(counts array<long>)``, a block count per source in rank order, to ``(shard, counts)`` of 2**levels shards."""
-    nodes = quotas.select(F.lit(0).cast("long").alias("shard"), "counts")
+    row = quotas.select(F.size("counts")).first()
+    sources = 1 << max(0, ((row[0] if row else 0) - 1).bit_length())
+    padded = F.concat("counts", F.array_repeat(F.lit(0).cast("bigint"), F.lit(sources) - F.size("counts")))
+    nodes = quotas.select(F.lit(0).cast("long").alias("shard"), padded.alias("counts"))
     for level in range(levels):
-        total = F.aggregate("counts", F.lit(0).cast("bigint"), lambda a, x: a + x)
-        nodes = nodes.select("shard", "counts", total.alias("total"))
-        start = F.struct(F.col("total").alias("total"), (F.col("total") - F.expr("total div 2")).alias("draws"), F.array().cast("array<bigint>").alias("out"))
-        left = F.aggregate("counts", start, _deal(level), lambda a: a.out)
-        nodes = nodes.select("shard", "counts", left.alias("left"))
-        right = F.zip_with("counts", "left", lambda a, b: a - b)
-        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), right.alias("counts")))
-        nodes = nodes.select(F.explode(halves).alias("half")).select("half.shard", "half.counts")
+        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("counts", "left", lambda a, b: a - b).alias("counts")))
+        nodes = staged(_left_halves(nodes, level, sources).select(F.explode(halves).alias("half")).select("half.shard", "half.counts"))
     return nodes
 
 
@@ -138,7 +146,7 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     copies = full.where("words > 0").select("rank", "block", F.explode(F.expr("filter(sequence(0, passes), p -> p < passes or rest > 0)")).alias("pass"))
     copies = copies.withColumn("place", F.row_number().over(of_source.orderBy(F.xxhash64(F.lit(SEED + 2), "rank", "block", "pass"), "block", "pass")) - 1)
     counted = targets.join(copies.groupBy("rank").agg(F.count("*").alias("n")), "rank", "left")
-    quotas = counted.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("n", F.lit(0).cast("long")).alias("n")))), lambda x: x.n).alias("counts"))
+    quotas = staged(counted.agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", F.coalesce("n", F.lit(0).cast("long")).alias("n")))), lambda x: x.n).alias("counts")))
     dealt = split_quotas(quotas).select("shard", F.posexplode("counts").alias("rank", "count"))
     runs = dealt.withColumn("upto", F.sum("count").over(of_source.orderBy("shard"))).where("count > 0")
     runs = runs.groupBy("rank").agg(F.array_sort(F.collect_list(F.struct("upto", "shard"))).alias("runs"))
