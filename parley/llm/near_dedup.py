@@ -30,6 +30,8 @@ NEED, WHOLE = 75, 100
 LEAST_AGREE = 74
 #: Members compared with one centre, or other components' members in one block.
 BLOCK, SLICE = 512, 1024
+#: Rows of ids (24 bytes each) that are broadcast to the texts at most; more are joined by a shuffle of both sides.
+BROADCAST_ROWS = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _ROUNDS = mix64(np.arange(1, 2 * BINS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -117,14 +119,19 @@ def _confirm_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([x for _, x in found], pa.int64())], names=["a", "b"])
 
 
+def _small(ids: DataFrame) -> DataFrame:
+    """``ids`` (staged) marked for broadcast if they are few enough."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_ROWS else ids
+
+
 def confirmed(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """Of distinct pairs ``(a, b)`` those whose full sets are similar enough.
 
     Each member's text travels once per pair and a centre's text once per ``BLOCK`` members, however many it has.
     """
     spread = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("n")), "a").select("a", "b", F.expr(f"pmod(xxhash64(b), (n + {BLOCK - 1}) div {BLOCK})").cast("int").alias("part"))
-    asked = spread.union(spread.select("a", F.col("a").alias("b"), "part").distinct())
-    held = asked.join(docs, asked.b == docs.doc_id).select("a", "part", "b", "text")
+    asked = staged(spread.union(spread.select("a", F.col("a").alias("b"), "part").distinct()))
+    held = docs.join(_small(asked), docs.doc_id == F.col("b")).select("a", "part", "b", "text")
     dealt = held.repartition("a", "part").sortWithinPartitions("a", "part", F.when(F.col("a") == F.col("b"), 0).otherwise(1), "b")
     return dealt.mapInArrow(_confirm_batches, "a long, b long").distinct()
 
@@ -183,8 +190,8 @@ def _full(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame | None = None) -> DataFrame:
-    """Pairs ``(a, b)`` of one bucket in different components: candidates, the best for each stray and component; or,
+def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame | None = None) -> DataFrame | None:
+    """Pairs ``(a, b)`` of one bucket in different components, None if there are none: candidates, the best for each stray and component; or,
     given ``docs``, all that are similar. Of any such pair at least one is a stray, outside its bucket's least
     component; strays are dealt into blocks and only they are compared with slices of the bucket's other members."""
     part = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
@@ -192,9 +199,15 @@ def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataF
     part = part.join(mixed.where("least <> most and n > 2").select("key", "least", "n"), "key")
     counts = part.where("component <> least").groupBy("key").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks"))
     part = part.join(counts, "key").withColumn("slices", F.expr(f"(n + {SLICE - 1}) div {SLICE}").cast("int"))
-    signed = part.join(nodes.select("doc_id", "signature") if docs is None else nodes.select("doc_id", "signature", "keys"), "doc_id")
+    part = staged(part)
+    if part.isEmpty():
+        return None
+    ids = staged(part.select(F.col("doc_id").alias("_of")).distinct())
+    own = nodes.join(_small(ids), F.col("doc_id") == F.col("_of"), "left_semi")
+    signed = part.join(own.select("doc_id", "signature", *([] if docs is None else ["keys"])), "doc_id")
     if docs is not None:
-        signed = signed.join(docs.select(F.col("doc_id").alias("_of"), "text").dropDuplicates(["_of"]), F.col("doc_id") == F.col("_of")).drop("_of")
+        texts = docs.select(F.col("doc_id").alias("_of"), "text").join(_small(ids), "_of", "left_semi").dropDuplicates(["_of"])
+        signed = signed.join(texts, F.col("doc_id") == F.col("_of")).drop("_of")
     dealt = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = signed.where("component <> least").withColumn("block", dealt("blocks", 0)).withColumn("slice", each("slices"))
@@ -219,22 +232,25 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     sketched = staged(docs.mapInArrow(_sketch_batches, _SKETCHED))
     full = sketched.where("n_shingles > 0 and doc_id is not null")
     sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    nodes = full.join(sets.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    keyed = nodes.select("doc_id", F.explode("keys").alias("key"))
+    # rows of equal sets have equal keys, which partial sums fold; of them only the node goes on
+    keyed = full.select("doc_id", F.explode("keys").alias("key"))
     shared = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre <> other").select("key", "centre"))
-    members = staged(keyed.join(shared, "key"))
-    stars = members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct()
-    links = staged(confirmed(staged(stars), docs))
+    leaders = sets.select(F.col("node").alias("doc_id")).distinct()
+    members = staged(keyed.join(shared, "key").join(leaders, "doc_id", "left_semi").distinct())
+    stars = staged(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
+    links = staged(confirmed(stars, docs))
     labels = components(links)
     # a stray that belongs to a component nearly always links through its most similar member; once those links are
     # made, what still crosses is compared in full
-    of_bucket = staged(members.select("key", "doc_id").distinct())
-    best = staged(_across(of_bucket, nodes, labels).join(stars, ["a", "b"], "left_anti"))
-    if not best.isEmpty():
+    of_bucket, nodes = members.select("key", "doc_id"), full.select("doc_id", "signature", "keys")
+    best = _across(of_bucket, nodes, labels)
+    best = None if best is None else staged(best.join(stars, ["a", "b"], "left_anti"))
+    if best is not None and not best.isEmpty():
         links = staged(links.union(confirmed(best, docs)))
         labels = components(links)
-    more = staged(_across(of_bucket, nodes, labels, docs))
-    if not more.isEmpty():
+    more = _across(of_bucket, nodes, labels, docs)
+    more = None if more is None else staged(more)
+    if more is not None and not more.isEmpty():
         labels = components(links.union(more))
     of_set = sets.join(labels, sets.node == labels.node, "left").select("set_a", "set_b", F.coalesce("component", sets.node).alias("least"))
     # members of one set share its node's component, whose least id may be the node itself
