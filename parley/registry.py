@@ -13,7 +13,7 @@ from parley import views
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
 _SQL: dict[str, str] = {}
-_MODULES = ("scans", "joins", "aggregates", "timelines", "rankings", "texts", "scores", "search")
+_MODULES = ("scans", "joins", "aggregates", "timelines", "rankings", "texts", "scores", "search", "rules", "live")
 
 
 def operator(name: str, sql: str | None = None) -> Callable[[Query], Query]:
