@@ -8,11 +8,11 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm.line_dedup import drop_repeated_lines
-from parley.llm.mixing import mix_sources
+from parley.llm.line_dedup import with_kept_lines
+from parley.llm.mixing import mix_sources, word_count
 from parley.llm.near_dedup import keep_one_per_group
 from parley.llm.packing import pack_documents
 from parley.llm.quality import THRESHOLD, scorer, train
@@ -26,12 +26,16 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return docs.where(scorer(spark, vectors, net)(F.col("text")) >= THRESHOLD)
 
 
+def _changed(rows: DataFrame, columns: list[str], changed: Column, text: Column) -> DataFrame:
+    """The columns of a struct ``row``, with another text (and its ``n_chars``) where it has changed."""
+    own = {c: F.col("row")[c] for c in columns}
+    new = {"text": text, "n_chars": F.length(text).cast("long")}
+    return rows.select(*(F.when(changed, new[c]).otherwise(own[c]).alias(c) if c in new else own[c].alias(c) for c in columns))
+
+
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Lines that many documents share stay in one of them; ``n_chars`` follows the text."""
-    kept = drop_repeated_lines(docs)
-    changed = F.col("n_dropped") > 0
-    text, chars = F.when(changed, F.col("kept_text")).otherwise(F.col("text")), F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))
-    return kept.withColumns({"text": text, "n_chars": chars}).select(*docs.columns)
+    return _changed(with_kept_lines(docs), docs.columns, F.col("kept.n_dropped") > 0, F.col("kept.text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
@@ -40,13 +44,16 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Documents as often as the mix takes them, a row per copy; a copy that is taken in part keeps its first words."""
-    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.explode("draws.words").alias("_words"))
-    rows = docs.join(taken, F.col("doc_id") == F.col("_id"))
-    cut = F.col("_words") < F.col("_size")
-    first = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("_words").cast("int")), "")
-    rows = rows.withColumn("text", F.when(cut, first).otherwise(F.col("text"))).withColumn("n_chars", F.when(cut, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return rows.select(*docs.columns)
+    """Documents as often as the mix takes them, a row per copy; a copy that is taken in part keeps its first words.
+
+    Rows that share an id have the same places in the mix; each of them is taken as often as the id's longest one.
+    """
+    taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("of"), F.explode("draws").alias("d"))
+    taken = taken.groupBy("of", "d.pass").agg(F.max("d.words").alias("words"))
+    rows = docs.select(F.struct(*docs.columns).alias("row")).join(taken, F.col("row.doc_id").eqNullSafe(F.col("of")))
+    cut = F.col("words") < word_count(F.col("row.text"))
+    first = F.array_join(F.slice(F.regexp_extract_all("row.text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0)), F.lit(1), F.col("words").cast("int")), "")
+    return _changed(rows, docs.columns, cut, first)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001

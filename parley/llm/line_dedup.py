@@ -189,13 +189,8 @@ def repeated_line_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
     return keyed, dealt.groupBy("shard").applyInPandas(_build, "shard int, index binary"), shards
 
 
-def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``docs`` with three columns in front: ``kept_text, n_lines, n_dropped``; its own columns stay as they are.
-
-    A null or empty text is one empty line. A line that repeats within a document counts once, as do rows that share
-    an id; all of a document's copies of a dropped line go. Rows without an id are not counted and lose nothing.
-    A table without rows gives none.
-    """
+def with_kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """Two columns per row of ``docs``: ``kept``, a struct (text, n_lines, n_dropped), and ``row``, a struct of all its own columns."""
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed, index, shards = repeated_line_index(own)
     probes = keyed.select(
@@ -205,7 +200,20 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
     nothing = F.lit(None).cast("long")
     copies = index.select("shard", F.explode(F.expr(f"sequence(0, {COPIES - 1})")).alias("copy"), nothing.alias("doc_id"), nothing.alias("h"), nothing.alias("print"), "index")
     dealt = probes.union(copies).repartition("shard", "copy").sortWithinPartitions("shard", "copy", F.col("index").isNull())
-    drops = dealt.mapInArrow(_probe, "doc_id long, h long").groupBy(F.col("doc_id").alias("_of")).agg(F.collect_list("h").alias("_drops"))
-    joined = docs.join(drops, docs[doc_id].cast("long") == drops["_of"], "left")
-    kept = joined.withColumn("_kept", F.pandas_udf(_without, "text string, n_lines long, n_dropped long")(docs[text].cast("string"), F.col("_drops")))
-    return kept.select(F.col("_kept.text").alias("kept_text"), F.col("_kept.n_lines").alias("n_lines"), F.col("_kept.n_dropped").alias("n_dropped"), *(docs[c] for c in docs.columns))
+    drops = dealt.mapInArrow(_probe, "doc_id long, h long").groupBy(F.col("doc_id").alias("of")).agg(F.collect_list("h").alias("drops"))
+    packed = docs.select(F.struct(*docs.columns).alias("row"))
+    joined = packed.join(drops, F.col("row")[doc_id].cast("long") == F.col("of"), "left")
+    return joined.select(F.pandas_udf(_without, "text string, n_lines long, n_dropped long")(F.col("row")[text].cast("string"), F.col("drops")).alias("kept"), "row")
+
+
+def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """``docs`` with three columns in front: ``kept_text, n_lines, n_dropped``; its other columns stay as they are, and
+    own columns of those three names are left out.
+
+    A null or empty text is one empty line. A line that repeats within a document counts once, as do rows that share
+    an id; all of a document's copies of a dropped line go. Rows without an id are not counted and lose nothing.
+    A table without rows gives none.
+    """
+    new = ("kept_text", "n_lines", "n_dropped")
+    rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in new]
+    return with_kept_lines(docs, doc_id, text).select(*(F.col("kept")[c].alias(n) for c, n in zip(("text", "n_lines", "n_dropped"), new, strict=True)), *rest)
