@@ -18,7 +18,7 @@ def text_lines(messages: DataFrame) -> DataFrame:
     linked = with_previous(with_day(messages), ["day"], ["conversation_id"], ["ts", "id"])
     mark = F.when(F.col("prev_day").isNull() | (F.col("prev_day") != F.col("day")), F.concat(F.lit("--- "), F.date_format("ts", "yyyy-MM-dd"), F.lit(" ---\n"))).otherwise("")
     who = F.when(F.col("is_sender") == 1, "me").otherwise(F.concat(F.lit("member "), F.col("member").cast("string")))
-    return linked.select("conversation_id", "id", F.concat(mark, F.date_format("ts", "HH:mm:ss"), F.lit(" "), who, F.lit(": "), "content").alias("line"))
+    return linked.select("conversation_id", "id", F.concat(mark, F.date_format("ts", "HH:mm:ss"), F.lit(" "), who, F.lit(": "), F.coalesce("content", F.lit(""))).alias("line"))
 
 
 def html_bubbles(messages: DataFrame) -> DataFrame:
@@ -26,7 +26,7 @@ def html_bubbles(messages: DataFrame) -> DataFrame:
     first = messages.groupBy("conversation_id", "member").agg(F.min(F.struct("ts_sec", "id")).alias("_first"))
     colours = first.select("conversation_id", "member", ((F.row_number().over(Window.partitionBy("conversation_id").orderBy("_first")) - 1) % COLOURS).alias("_colour"))
     style = F.when(F.col("is_sender") == 1, "me").otherwise(F.concat(F.lit("c"), F.col("_colour").cast("string")))
-    return messages.join(colours, ["conversation_id", "member"]).select("conversation_id", "id", F.concat(F.lit('<p class="'), style, F.lit('">'), html_escaped(F.col("content")), F.lit("</p>")).alias("html"))
+    return messages.join(colours, ["conversation_id", "member"]).select("conversation_id", "id", F.concat(F.lit('<p class="'), style, F.lit('">'), html_escaped(F.coalesce("content", F.lit(""))), F.lit("</p>")).alias("html"))
 
 
 def write_text(messages: DataFrame, path: str) -> None:
