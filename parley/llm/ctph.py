@@ -104,7 +104,7 @@ def _edit_likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
 def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
     """0 to 1 for pairs of fingerprints: the larger likeness over the block sizes that both have, 0 if there are none.
 
-    Equal fingerprints are alike by 1. Pairs are compared longest first in groups, so that short ones stay cheap.
+    Equal fingerprints are alike by 1. Pairs are compared in groups of like length, so that short ones stay cheap.
     """
     out = np.zeros(len(pairs))
     todo: list[tuple[int, str, str]] = []
@@ -119,10 +119,16 @@ def likeness(pairs: list[tuple[str, str]]) -> np.ndarray:
             todo.append((i, a, bb))
         elif 2 * int(p) == int(q):
             todo.append((i, aa, b))
-    todo = sorted((x for x in todo if x[1] and x[2]), key=lambda x: len(x[1]))
-    for lo in range(0, len(todo), 512):
-        part = todo[lo : lo + 512]
-        np.maximum.at(out, [x[0] for x in part], _edit_likeness([x[1:] for x in part]))
+    todo = sorted((x for x in todo if x[1] and x[2]), key=lambda x: (max(map(len, x[1:])), len(x[1])))
+    lo = 0
+    while lo < len(todo):
+        # a group's strings are padded to its longest, so it ends where they have grown by half
+        longest = max(map(len, todo[lo][1:]))
+        hi = lo + 1
+        while hi < min(len(todo), lo + 512) and max(map(len, todo[hi][1:])) <= 16 + 1.5 * longest:
+            hi += 1
+        np.maximum.at(out, [x[0] for x in todo[lo:hi]], _edit_likeness([x[1:] for x in todo[lo:hi]]))
+        lo = hi
     return out
 
 
