@@ -5,8 +5,9 @@ Huffman path, any other by an escape and then its bytes' Huffman paths, closed b
 from four hashed contexts (for tokens: none, the last very frequent token, the last token, the last two; for bytes: the last
 one, two, three and four, the middle ones with the last very frequent token), whose counts come from all training
 texts. A slot that holds more than its decision was ever seen with is shared, and counts as unknown. A gate, made of
-the kind of decision and of how much is known in the longer contexts, picks the weights that add up the predictors' log odds; weights start from a fit on a bounded sample
-and are refined within each text, block by block, and a table by gate and predicted odds corrects the result. The
+the kind of decision and of how much is known in the longer contexts, picks the weights that add up the predictors' log odds; weights start from a fit
+over all training texts (Newton steps on sums per gate) and are refined within each text from its first tokens on, and a
+table by gate and predicted odds, counted over all training texts as well, corrects the result. The
 decisions form a prefix code, so the probabilities of all texts add up to at most one.
 
 Counts are summed by Spark over all training texts: the token table has a row per distinct token, the context tables
@@ -33,8 +34,11 @@ VOCABULARY = 1 << 16
 #: Counters per context table (as a power of two) and tables.
 SLOT_BITS, TABLES = 20, 4
 SLOTS = 1 << SLOT_BITS
-#: Tokens of a text between two refinements of its weights; tokens handled at once; texts of the sample for first weights.
-BLOCK, CHUNK, SAMPLE = 256, 24_000, 160
+#: Tokens of a text between two refinements of its weights, and its first refinements; tokens handled at once.
+BLOCK, EARLY, CHUNK = 256, (16, 32, 64, 128, 256), 24_000
+#: Passes over all training texts for first weights: a Newton step after each but the last, which counts the corrections.
+#: More steps made held-out texts cost more bits: an occurrence left out still shows in what is left of its own counts.
+PASSES = 2
 RATE, LEVELS, ODDS = 0.6, 4, 33
 GATES = 2 * LEVELS**3
 #: So many of the most frequent tokens tell what comes after them, their language above all.
@@ -155,6 +159,12 @@ def _places(lengths: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - lengths, lengths)
 
 
+def _blocks(place: np.ndarray) -> np.ndarray:
+    """The block of a token by its place in the text: short ones first, then BLOCK tokens each."""
+    late = place // BLOCK + len(EARLY) - 1
+    return np.minimum(np.where(place < EARLY[-1], np.searchsorted(EARLY, place, "right"), late), 65_535).astype(np.uint16)
+
+
 def decisions(texts: list[list[bytes]], code: Code) -> Decisions:
     """All decisions of texts given as lists of words; each ends with the end token."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
@@ -163,7 +173,7 @@ def decisions(texts: list[list[bytes]], code: Code) -> Decisions:
     ends = np.cumsum(lengths) - 1
     symbol[ends] = 1
     text, place = np.repeat(np.arange(len(texts), dtype=np.int32), lengths), _places(lengths)
-    block = (place // BLOCK).astype(np.uint16)
+    block = _blocks(place)
     hashed = code.hashes[symbol]
     spelled = np.flatnonzero(symbol == 0)
     rare = [flat[i] for i in spelled]
@@ -248,34 +258,6 @@ class Model:
     def gates(self, d: Decisions) -> np.ndarray:
         return self.gate([self.known[k].take(d.slots[k]) for k in range(TABLES)], d.kind)
 
-    def fit(self, samples: list[Decisions], counts: np.ndarray) -> None:
-        """First weights and corrections from a few texts, each decision's own occurrence taken out of the counts."""
-        x, gate, bit = [], [], []
-        for d in samples:
-            taken = [counts[k][s].astype(np.float64) for k, s in enumerate(d.slots)]
-            for t in taken:
-                t[np.arange(len(d.bit)), d.bit] = np.maximum(0, t[np.arange(len(d.bit)), d.bit] - 1)
-            x.append(np.stack([self.log_odds(t[:, 0], t[:, 1]) for t in taken], 1))
-            gate.append(self.gate([self.magnitude(t.sum(1)) for t in taken], d.kind))
-            bit.append(d.bit)
-        self.weights = np.full((GATES, TABLES), 1 / TABLES, np.float32)
-        centres = (np.arange(ODDS) - ODDS // 2) / 2
-        self.corrected = np.repeat(1 / (1 + np.exp(-centres))[None, :], GATES, 0).astype(np.float32)
-        if not x:
-            return
-        x, gate, bit = np.concatenate(x), np.concatenate(gate).astype(np.int64), np.concatenate(bit).astype(np.float32)
-        n = np.bincount(gate, minlength=GATES) + 1
-        for _ in range(40):
-            p = 1 / (1 + np.exp(-np.einsum("ij,ij->i", self.weights[gate], x)))
-            for k in range(TABLES):
-                slope = np.bincount(gate, (bit - p) * x[:, k], GATES) / n
-                curve = np.bincount(gate, p * (1 - p) * x[:, k] ** 2, GATES) / n + 0.02
-                self.weights[:, k] += (0.4 * slope / curve).astype(np.float32)
-        z = np.einsum("ij,ij->i", self.weights[gate], x)
-        cell = gate * ODDS + np.clip(np.rint(2 * z) + ODDS // 2, 0, ODDS - 1).astype(np.int64)
-        ones, all_ = (np.bincount(cell, w, GATES * ODDS).reshape(GATES, ODDS) for w in (bit, None))
-        self.corrected = ((ones + 20 * self.corrected) / (all_ + 20)).astype(np.float32)
-
     def score(self, d: Decisions, texts: int) -> np.ndarray:
         """The log10 probability of each text."""
         gate = self.gates(d).astype(np.int64)
@@ -308,6 +290,82 @@ class Model:
         return out / np.log(10)
 
 
+_PAIRS = [(i, j) for i in range(TABLES) for j in range(i, TABLES)]
+#: Per gate: decisions, slopes, curvatures; then decisions and ones per gate and predicted odds.
+_SUMS = GATES * (1 + TABLES + len(_PAIRS) + 2 * ODDS)
+
+
+@dataclass
+class Left:
+    """The tables with each decision's own occurrence taken out: log odds by slot and bit, and how much is known."""
+
+    odds: list[np.ndarray]
+    known: list[np.ndarray]
+
+    @classmethod
+    def of(cls, counts: np.ndarray) -> Left:
+        odds = [np.stack([Model.log_odds(np.maximum(0, c[:, 0] - 1), c[:, 1]), Model.log_odds(c[:, 0], np.maximum(0, c[:, 1] - 1))], 1).ravel() for c in counts]
+        return cls(odds, [Model.magnitude(np.maximum(0, c.sum(1) - 1)) for c in counts])
+
+    def sums(self, d: Decisions, weights: np.ndarray) -> np.ndarray:
+        """What a chunk adds to the _SUMS of a pass."""
+        gate = Model.gate([self.known[k].take(d.slots[k]) for k in range(TABLES)], d.kind).astype(np.int64)
+        x = [self.odds[k].take(2 * d.slots[k] + d.bit) for k in range(TABLES)]
+        z = sum(weights[:, k].astype(np.float32).take(gate) * x[k] for k in range(TABLES))
+        p = 1 / (1 + np.exp(-z))
+        error, spread = d.bit - p, p * (1 - p)
+        add = lambda w: np.bincount(gate, w, GATES)
+        out = [np.bincount(gate, minlength=GATES), *(add(error * v) for v in x), *(add(spread * x[i] * x[j]) for i, j in _PAIRS)]
+        cell = gate * ODDS + np.clip(np.rint(2 * z) + ODDS // 2, 0, ODDS - 1).astype(np.int64)
+        return np.concatenate([*out, np.bincount(cell, minlength=GATES * ODDS), np.bincount(cell, d.bit, GATES * ODDS)])
+
+
+def _fit_sums(sent, weights: np.ndarray):  # noqa: ANN001, ANN202
+    """Each task's own sums over all its texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        code, left = sent.value
+        code.ready()
+        total = np.zeros(_SUMS)
+        for batch in batches:
+            for chunk in _chunks(batch.column(0).cast(pa.binary()).to_pylist()):
+                total += left.sums(decisions(chunk, code), weights)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+    return run
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    total = np.zeros(_SUMS)
+    for batch in batches:
+        for x in batch.column(0).to_pylist():
+            total += np.frombuffer(x)
+    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
+
+
+def fit(texts: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """First weights and corrections from all ``texts``.
+
+    Each gate is a logistic regression. A pass sums slopes, curvatures and cells at the present weights, in a fixed size;
+    the last pass's cells become the corrections.
+    """
+    sent = texts.sparkSession.sparkContext.broadcast((code, Left.of(counts)))
+    weights = np.full((GATES, TABLES), 1 / TABLES)
+    for left in range(PASSES - 1, -1, -1):
+        parts = texts.mapInArrow(_fit_sums(sent, weights), "sums binary").repartition(8).mapInArrow(_summed, "sums binary").collect()
+        total = sum((np.frombuffer(r.sums) for r in parts), np.zeros(_SUMS))
+        sums, cells = total[: -2 * GATES * ODDS].reshape(-1, GATES), total[-2 * GATES * ODDS :].reshape(2, GATES, ODDS)
+        if left:
+            curve = np.zeros((GATES, TABLES, TABLES))
+            for (i, j), c in zip(_PAIRS, sums[1 + TABLES :], strict=True):
+                curve[:, i, j] = curve[:, j, i] = c
+            curve += (1 + 1e-5 * sums[0])[:, None, None] * np.eye(TABLES)
+            weights = weights + np.clip(np.linalg.solve(curve, sums[1 : 1 + TABLES].T[:, :, None])[:, :, 0], -1, 1)
+    sent.unpersist()
+    centres = (np.arange(ODDS) - ODDS // 2) / 2
+    return weights.astype(np.float32), ((cells[1] + 20 / (1 + np.exp(-centres))) / (cells[0] + 20)).astype(np.float32)
+
+
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def rows(c: Counter) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
@@ -428,9 +486,7 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, doc_id: str = "do
     code = Code.of(frequent, total)
     tables = context_counts(training, code)
     model = Model.of(tables)
-    texts = own.where("not held_out and text is not null and length(text) < 20000").orderBy(F.xxhash64("doc_id", F.lit(4))).limit(SAMPLE).select("text").collect()
-    code.ready()
-    model.fit([decisions(c, code) for c in _chunks([r.text.encode() for r in texts])], tables)
+    model.weights, model.corrected = fit(training, code, tables)
     by_token = dict(frequent)
     logs = np.log10(np.array([0, by_token.get(END, 0), *(by_token[w.decode()] for w in code.words)], np.float64) + 1)
     code.symbols = code.hashes = None

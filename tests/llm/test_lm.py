@@ -66,3 +66,27 @@ def test_no_rows_and_no_training_rows(spark):
     r = scored(spark, [(held, "alone here")])[0]
     assert (r.held_out, r.train_tokens, r.n_known, r.n_tokens) == (True, 0, 0, 3)
     assert np.isfinite(r.score)
+
+
+def test_first_weights_come_from_all_texts(spark):
+    """More texts than any sample, among them a long one: the last pass's cells count every decision."""
+    texts = [f"a{i % 7} b{i % 5} c" for i in range(300)] + ["long words here " * 2000]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    words = Counter(w for t in texts for w in [*t.split(), "\n"])
+    code = lm_mixing.Code.of(words.most_common(), sum(words.values()))
+    counts = lm_mixing.context_counts(df, code)
+    weights, corrected = lm_mixing.fit(df, code, counts)
+    d = lm_mixing.decisions([[w.encode() for w in t.split()] for t in texts], code.ready())
+    left = lm_mixing.Left.of(counts)
+    want = np.full((lm_mixing.GATES, lm_mixing.TABLES), 1 / lm_mixing.TABLES)
+    sums = left.sums(d, want)[: -2 * lm_mixing.GATES * lm_mixing.ODDS].reshape(-1, lm_mixing.GATES)
+    assert sums[0].sum() == len(d.bit)
+    moved = (weights != np.float32(1 / lm_mixing.TABLES)).any(1)
+    assert moved.any() and set(np.flatnonzero(moved)) <= set(np.flatnonzero(sums[0]))
+    cells, ones = left.sums(d, weights.astype(np.float64))[-2 * lm_mixing.GATES * lm_mixing.ODDS :].reshape(2, lm_mixing.GATES, lm_mixing.ODDS)
+    start = 1 / (1 + np.exp(-(np.arange(lm_mixing.ODDS) - lm_mixing.ODDS // 2) / 2))
+    assert np.abs(corrected - (ones + 20 * start) / (cells + 20)).max() < 0.01
+
+
+def test_short_texts_are_refined():
+    assert lm_mixing._blocks(np.array([0, 15, 16, 31, 32, 255, 256, 511, 512])).tolist() == [0, 0, 1, 1, 2, 4, 5, 5, 6]
