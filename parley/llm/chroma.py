@@ -2,11 +2,11 @@
 
 Samples become frames of energy per pitch class. Over the integral image of these frames (time by pitch class),
 difference filters of several shapes slide in time; each gives two Gray-coded bits by how its halves compare, and all of
-them make one packed 32-bit integer per position. Two recordings are aligned where many equal integers share one offset,
-and compared there by the share of differing bits.
+them make one packed 32-bit integer per position. Two recordings are compared at every offset by the share of differing bits.
 
 Recordings with equal fingerprints become one class first. Queries are the rows whose id is divisible by 100; they
-meet all classes through the integers that they share, summed per offset, and never as a cross product.
+meet all classes, in groups of bounded size: a link may have a quarter of its bits wrong, and then seldom an integer, or
+a part of one, in common, so that votes of equal parts either miss links or name most offsets of all pairs.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ LOWEST, HIGHEST = 110.0, 1760.0
 SPAN, QUIET = 8, 1e-3
 #: Aligned recordings share at least so many positions and differ in at most this share of their bits.
 LEAST_OVERLAP, MOST_ERRORS = 8, 0.25
+#: Recordings, and queries, that are compared in one group.
+GROUP = 1024
 #: 16 filters by rule: (shape, first pitch class, pitch classes, positions).
 FILTERS = tuple((i % 4, (5 * i) % 12, 2 + (i // 4) * 2, SPAN if i % 2 else SPAN // 2) for i in range(16))
 #: Where a filter's log ratio is cut into four levels.
@@ -124,18 +126,42 @@ def _fingerprinted(decode):  # noqa: ANN001, ANN202
     return run
 
 
-def _aligned(queries: pd.Series, others: pd.Series, offsets: pd.Series) -> pd.DataFrame:
-    """Overlap and share of differing bits at an offset."""
+_LINK = "q_id long, o_id long, offset long, votes long, overlap long, bit_error double"
+
+
+def _compared(others: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
+    """Per query and other recording the best of all offsets that make a link: most equal integers, fewest errors, nearest to 0.
+
+    The others stand end to end between gaps, and each position of the query is held against all of them at once.
+    """
     rows = []
-    for q, o, k in zip(queries, others, offsets, strict=True):
-        a, b = np.asarray(q, np.int64)[max(0, -k) :], np.asarray(o, np.int64)[max(0, k) :]
-        n = min(len(a), len(b))
-        a, b = a[:n], b[:n]
-        heard = (a > 0) & (b > 0)
-        n = int(heard.sum())
-        errors = int(np.bitwise_count((a[heard] ^ b[heard]).astype(np.uint32)).sum())
-        rows.append((n, errors / (32 * n) if n else 1.0))
-    return pd.DataFrame(rows, columns=["overlap", "bit_error"])
+    ids, prints = others["id"].to_numpy(), [np.asarray(p, np.int64).astype(np.uint32) for p in others["prints"]]
+    longest = max((len(p) for p in queries["prints"]), default=0)
+    if not longest or not prints:
+        return pd.DataFrame(rows, columns=[c.split()[0] for c in _LINK.split(", ")])
+    gap = np.zeros(longest, np.uint32)
+    line = np.concatenate([gap, *(x for p in prints for x in (p, gap))])
+    starts = longest + np.cumsum([0] + [len(p) + longest for p in prints])[:-1]
+    there = (line > 0).astype(np.uint8)
+    for q, own in zip(queries["id"], queries["prints"], strict=True):
+        own = np.asarray(own, np.int64).astype(np.uint32)
+        n = len(line) - len(own) + 1
+        if n <= 0 or not len(own):
+            continue
+        overlap, errors = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
+        for j in np.flatnonzero(own):
+            overlap += there[j : j + n]
+            errors += np.bitwise_count(line[j : j + n] ^ own[j]) * there[j : j + n]
+        best: dict[int, tuple] = {}
+        for at in np.flatnonzero((overlap >= LEAST_OVERLAP) & (errors <= 32 * MOST_ERRORS * overlap)):
+            o = int(np.searchsorted(starts, at + len(own), "left")) - 1
+            offset, part = int(at - starts[o]), line[at : at + len(own)]
+            votes, error = int(((part == own) & (own > 0)).sum()), errors[at] / (32 * overlap[at])
+            rank = (votes, -error, -abs(offset), offset)
+            if ids[o] != q and (o not in best or rank > best[o][0]):
+                best[o] = (rank, (q, ids[o], offset, votes, int(overlap[at]), error))
+        rows += [row for _, row in best.values()]
+    return pd.DataFrame(rows, columns=[c.split()[0] for c in _LINK.split(", ")])
 
 
 def match_recordings(media: DataFrame, media_id: str, content: str, decode=None, every: int = 100) -> DataFrame:  # noqa: ANN001
@@ -143,7 +169,7 @@ def match_recordings(media: DataFrame, media_id: str, content: str, decode=None,
 
     ``class_id`` is the least id with the same fingerprint and ``class_size`` their number. ``links`` of a query (an id
     divisible by ``every``) lists the other classes it aligns with: class id, offset in positions (theirs minus ours),
-    votes, overlap and bit error. ``content`` is a binary column of PCM or WAV, or what ``decode`` turns into that.
+    votes (equal integers there), overlap and bit error. ``content`` is a binary column of PCM or WAV, or what ``decode`` turns into that.
     Null, empty and quiet recordings have no integers to share and no links; those form one class each. Ids must not
     be null to take part; rows that share an id are recordings of their own. A table without rows gives none.
     """
@@ -152,14 +178,16 @@ def match_recordings(media: DataFrame, media_id: str, content: str, decode=None,
     sizes = staged(found.where("id is not null").groupBy("class_a", "class_b").agg(F.min("id").alias("class_id"), F.count("*").alias("class_size"), F.max(F.expr(f"id % {every} = 0")).alias("asked")))
     first = found.join(sizes.select(F.col("class_id").alias("id"), "class_a", "class_b", "asked"), ["id", "class_a", "class_b"]).dropDuplicates(["id", "class_a", "class_b"])
     classes = staged(first.select("id", "prints", "asked"))
-    places = classes.select("id", "asked", F.posexplode("prints").alias("pos", "key")).where("key > 0")
-    asked, all_ = (x.toDF(*(f"{p}_{c}" for c in x.columns)) for p, x in (("q", places.where("asked").drop("asked")), ("o", places.drop("asked"))))
-    votes = asked.join(all_, asked.q_key == all_.o_key).where("q_id <> o_id").groupBy("q_id", "o_id", (F.col("o_pos") - F.col("q_pos")).alias("offset")).agg(F.count("*").alias("votes"))
-    best = votes.groupBy("q_id", "o_id").agg(F.max(F.struct("votes", -F.abs("offset"), "offset")).alias("b")).select("q_id", "o_id", "b.offset", "b.votes")
-    q, o = classes.toDF("q_id", "q_prints", "q_asked").drop("q_asked"), classes.toDF("o_id", "o_prints", "o_asked").drop("o_asked")
-    compared = best.join(q, "q_id").join(o, "o_id").withColumn("c", F.pandas_udf(_aligned, "overlap long, bit_error double")("q_prints", "o_prints", "offset"))
-    good = compared.where((F.col("c.overlap") >= LEAST_OVERLAP) & (F.col("c.bit_error") <= MOST_ERRORS))
-    links = good.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct(F.col("o_id").alias("class_id"), "offset", "votes", F.col("c.overlap").alias("overlap"), F.round("c.bit_error", 6).alias("bit_error")))).alias("links"))
+    n_all, n_asked = classes.agg(F.count("*"), F.count(F.when(F.col("asked"), 1))).first()
+    blocks, parts = -(-n_all // GROUP) or 1, -(-n_asked // GROUP) or 1
+
+    def dealt(rows: DataFrame, own: str, n_own: int, other: str, n_other: int) -> DataFrame:
+        each = rows.select("id", "prints", F.pmod(F.xxhash64("id"), F.lit(n_own)).alias(own))
+        return each.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(n_other - 1)).cast("array<long>"))).repartition(min(blocks * parts, 4096), "block", "part")
+
+    others, asked = dealt(classes, "block", blocks, "part", parts), dealt(classes.where("asked"), "part", parts, "block", blocks)
+    good = others.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInPandas(_compared, _LINK)
+    links = good.groupBy("q_id").agg(F.array_sort(F.collect_list(F.struct(F.col("o_id").alias("class_id"), "offset", "votes", "overlap", F.round("bit_error", 6).alias("bit_error")))).alias("links"))
     listed = found.join(sizes.drop("asked"), ["class_a", "class_b"], "left").join(links, F.col("class_id") == F.col("q_id"), "left")
     query = F.coalesce(F.expr(f"id % {every} = 0"), F.lit(False))
     return listed.select("id", "class_id", "class_size", F.size("prints").cast("long").alias("n_prints"), query.alias("is_query"), F.when(query, F.col("links")).alias("links"))

@@ -64,3 +64,31 @@ def test_wav_header_and_no_rows(spark):
     wav = b"RIFF" + (36 + len(data)).to_bytes(4, "little") + b"WAVEfmt " + (16).to_bytes(4, "little") + b"\0" * 16 + b"data" + len(data).to_bytes(4, "little") + data
     assert (chroma.fingerprint(wav) == chroma.fingerprint(data)).all()
     assert chroma.match_recordings(spark.createDataFrame([], "i long, c binary"), "i", "c").count() == 0
+
+
+def test_links_without_equal_integers_are_found_at_any_offset(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i + 1, pcm(melody(i, 60))) for i in range(6)] + [(700, pcm(melody(0, 9))), (701, pcm(melody(0, 9)[:2000]))]
+    for k in range(6):
+        part = melody(k, 60)[(10 + k) * chroma.HOP + 40 :][:6000]
+        rows += [(100 * (k + 1), pcm(part + rng.normal(0, 0.15 + 0.15 * k, len(part))))]
+    df = spark.createDataFrame(rows, "id long, content binary")
+    got = {r.id: {x["class_id"]: x for x in r.links or []} for r in chroma.match_recordings(df, "id", "content").collect()}
+    prints = {i: chroma.fingerprint(x).astype(np.int64) for i, x in rows}
+    without_votes = 0
+    for q in (i for i in prints if i % 100 == 0):
+        want = {}
+        for o in prints:
+            for k in range(-len(prints[q]) + 1, len(prints[o])) if o != q else []:
+                a, b = prints[q][max(0, -k) :], prints[o][max(0, k) :]
+                n = min(len(a), len(b))
+                heard = (a[:n] > 0) & (b[:n] > 0)
+                error = np.bitwise_count((a[:n] ^ b[:n])[heard].astype(np.uint32)).sum() / max(1, 32 * heard.sum())
+                if heard.sum() >= chroma.LEAST_OVERLAP and error <= chroma.MOST_ERRORS:
+                    want.setdefault(o, {})[k] = (int(heard.sum()), round(float(error), 6), int(((a[:n] == b[:n]) & heard).sum()))
+        assert set(got[q]) == set(want)
+        for o, x in got[q].items():
+            overlap, error, votes = want[o][x["offset"]]
+            assert (x["overlap"], x["votes"]) == (overlap, votes) and abs(x["bit_error"] - error) < 1e-5 and votes == max(v[2] for v in want[o].values())
+        without_votes += sum(all(v[2] == 0 for v in w.values()) for w in want.values())
+    assert without_votes
