@@ -152,11 +152,11 @@ select id, cast(round(level + 1e-9, 4) as double) as level, case when level > 0.
 
 @operator("str_22")
 def ratios(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gestalt matching ratio of neighbouring turns."""
+    """Gestalt matching ratio of neighbouring turns, over their whole texts."""
     from pyspark.sql import Window
 
     turns = table(spark, sf_dir, "conversations").withColumn("before", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("before is not null")
-    return turns.select("conv_id", "turn", rounded(matching_ratio(F.substring("before", 1, 400), F.substring("text", 1, 400))).alias("ratio"))
+    return turns.select("conv_id", "turn", rounded(matching_ratio(F.col("before"), F.col("text"))).alias("ratio"))
 
 
 declare("str_23", "Escaped for HTML.", """

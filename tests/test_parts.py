@@ -88,3 +88,12 @@ def test_columns(spark):
     assert (row.c, row.none, row.one, row.i, row.s, row.g, row.g0, row.r, row.v, row.v0) == ("a b", None, 1.0, 15.0, "abc…", "ab,bc", 0, 0.75, [1.0, 0.0], [])
     assert row.h == "&lt;a &amp; &#x27;b&#x27;&gt;"
     assert "x@y.zz" not in row.p and "10.1.2.3" not in row.p and row.p.startswith("mail <email:")
+
+
+def test_ratios_compare_whole_turns(spark, tmp_path):
+    from parley import registry
+
+    turns = [(1, 0, "user", "a" * 500), (1, 1, "user", "a" * 500 + "b" * 500), (1, 2, "user", "a" * 500 + "b" * 500), (1, 3, "user", None)]
+    spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = {r.turn: r.ratio for r in registry.queries()["str_22"](spark, str(tmp_path)).collect()}
+    assert got == {1: 0.6667, 2: 1.0, 3: None}
