@@ -1,17 +1,21 @@
-"""Language-model scoring by logistic context mixing.
+"""Language-model scoring by online logistic context mixing.
 
 Text is a sequence of tokens, each coded by binary decisions: a token among the ``VOCABULARY`` most frequent ones by its
-Huffman path, any other by an escape and then its bytes' Huffman paths, closed by a blank. Every decision is predicted
-from four hashed contexts (for tokens: none, the last very frequent token, the last token, the last two; for bytes: the last
-one, two, three and four, the middle ones with the last very frequent token), whose counts come from all training
-texts. A slot that holds more than its decision was ever seen with is shared, and counts as unknown. A gate, made of
-the kind of decision and of how much is known in the longer contexts, picks the weights that add up the predictors' log odds; weights start from a fit
-over all training texts (Newton steps on sums per gate) and are refined within each text from its first tokens on, and a
-table by gate and predicted odds, counted over all training texts as well, corrects the result. The
-decisions form a prefix code, so the probabilities of all texts add up to at most one.
-
-Counts are summed by Spark over all training texts: the token table has a row per distinct token, the context tables
-have a fixed size. Predictions of a batch of texts are numpy operations over all its decisions.
+Huffman path, any other by an escape. Every decision on a path is predicted by several contexts: none, the last very
+frequent token, the last token, the last two (for bytes of spelled words: the last one, three and four letters), whose
+hashed counts come from all training texts, and by the decisions that the text itself has taken at that place before. A
+gate, made of how much is known in the longer contexts, picks the weights that add up the predictors' log odds. Weights
+start from a Newton step on sums over all training texts and are refined within each text from its first tokens on, as are the
+text's own counts: nothing that a text is scored with has seen what comes after.
+
+An escaped token is coded in two ways at once: by the dictionary of all training tokens, a table that Spark joins with the
+texts' tokens, at its share of all escaped ones, and by its letters. The dictionary weighs as much as tokens that
+occur again do among the training texts' escapes. All decisions form a prefix code, so the probabilities of all texts add up
+to at most one.
+
+The dictionary has a row per distinct token of the corpus and is never held whole. The hashed tables grow with the
+counted tokens up to ``MOST_SLOT_BITS``, which one worker's memory bounds; a slot that holds more than its decision was
+ever seen with is shared, and counts as unknown.
 """
 
 from __future__ import annotations
@@ -29,22 +33,24 @@ from pyspark.sql import functions as F
 
 from parley.llm.support import staged, words_of
 
-#: Tokens coded as a whole; all others are spelled out, whatever their number.
+#: Tokens coded as a whole; all others are escaped, whatever their number.
 VOCABULARY = 1 << 16
-#: Counters per context table (as a power of two) and tables.
-SLOT_BITS, TABLES = 20, 4
-SLOTS = 1 << SLOT_BITS
+#: Hashed tables, their counters as a power of two, and training tokens for each counter before the table doubles.
+HASHED, LEAST_SLOT_BITS, MOST_SLOT_BITS, TOKENS_A_SLOT = 3, 18, 21, 16
+#: Predictors: none, the hashed tables, the text's own counts.
+PREDICTORS = HASHED + 2
 #: Tokens of a text between two refinements of its weights, and its first refinements; tokens handled at once.
 BLOCK, EARLY, CHUNK = 256, (16, 32, 64, 128, 256), 24_000
-#: Passes over all training texts for first weights: a Newton step after each but the last, which counts the corrections.
-#: More steps made held-out texts cost more bits: an occurrence left out still shows in what is left of its own counts.
-PASSES = 2
-RATE, LEVELS, ODDS = 0.6, 4, 33
-GATES = 2 * LEVELS**3
+#: Slots of own counts a decision, and for each piece of a text that is longer than a chunk.
+OWN, OWN_LONG = 2, 1 << 19
+RATE, LEVELS = 0.6, 4
+GATES = LEVELS**HASHED
 #: So many of the most frequent tokens tell what comes after them, their language above all.
 TELLING = 64
 END = "\n"
 _PIECE = 8192
+#: Log odds are held as 1/256 in the upper 12 bits, how much is known (0, 1, 2-3, 4-7 and so on) in the lower four.
+_FINE, _MOST_ODDS = 256, 7.9
 
 
 def _huffman(counts: list[int]) -> tuple[list[list[int]], list[list[int]]]:
@@ -80,17 +86,23 @@ class Paths:
     bits: np.ndarray
 
     @classmethod
-    def of(cls, counts: list[int], first_node: int) -> Paths:
+    def of(cls, counts: list[int]) -> Paths:
         nodes, bits = _huffman(counts)
         length = np.array([len(x) for x in nodes], np.int32)
         flat = [np.array([y for x in z for y in x], t) for z, t in ((nodes, np.uint32), (bits, np.uint8))]
-        return cls(np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length, flat[0] + np.uint32(first_node), flat[1])
+        return cls(np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length, *flat)
 
-    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Path lengths of a sequence of symbols, and for all their decisions the place in ``nodes`` and ``bits``."""
+    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Path lengths of a sequence of symbols, and all their decisions' nodes and bits."""
         lengths = self.length[symbols]
         ends = np.cumsum(lengths)
-        return lengths, np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[symbols] - (ends - lengths), lengths)
+        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[symbols] - (ends - lengths), lengths)
+        return lengths, self.nodes.take(at), self.bits.take(at)
+
+    def counts(self, weight: np.ndarray) -> np.ndarray:
+        """(nodes, 2): how often each branch is taken by symbols of these weights."""
+        size = 2 * (int(self.nodes.max(initial=0)) + 1)
+        return np.bincount(2 * self.nodes.astype(np.int64) + self.bits, np.repeat(weight, self.length), size).reshape(-1, 2)
 
 
 class _Symbols(dict):
@@ -100,11 +112,14 @@ class _Symbols(dict):
 
 @dataclass
 class Code:
-    """Symbols by token (0 is the escape, 1 the end) and the paths of tokens and bytes."""
+    """Symbols by token (0 is the escape, 1 the end), the paths of tokens and bytes, and what is known without context."""
 
     words: list[bytes]
     tokens: Paths
     spelling: Paths
+    plain: np.ndarray
+    letters: np.ndarray
+    slot_bits: int = LEAST_SLOT_BITS
     hashes: np.ndarray = field(repr=False, default=None)
     symbols: dict = field(repr=False, default=None)
 
@@ -117,32 +132,77 @@ class Code:
         for w, n in zip(words, counts, strict=True):
             letters[np.frombuffer(w, np.uint8)] += 1 + n // 1000
         letters[32] += int(letters.sum() // 7)
-        tokens = Paths.of([max(1, total - end - sum(counts)), max(1, end), *counts], 256)
-        return cls(words, tokens, Paths.of(letters.tolist(), 0))
+        of_token = [max(1, total - end - sum(counts)), max(1, end), *counts]
+        tokens, spelling = Paths.of(of_token), Paths.of(letters.tolist())
+        bits = int(np.clip((max(1, total) // TOKENS_A_SLOT).bit_length(), LEAST_SLOT_BITS, MOST_SLOT_BITS))
+        return cls(words, tokens, spelling, packed(*tokens.counts(np.array(of_token)).T), packed(*spelling.counts(letters).T), bits)
 
     def ready(self) -> Code:
         """With the look-ups that each worker builds for itself."""
-        self.symbols = _Symbols({w: i + 2 for i, w in enumerate(self.words)})
-        self.hashes = np.array([0, 1, *(xxhash.xxh32_intdigest(w) for w in self.words)], np.uint32)
+        if self.symbols is None:
+            self.symbols = _Symbols({w: i + 2 for i, w in enumerate(self.words)})
+            self.hashes = np.array([0, 1, *(xxhash.xxh32_intdigest(w) for w in self.words)], np.uint32)
         return self
 
 
+def packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Log odds and how much is known, in 16 bits."""
+    odds = np.rint(np.clip(np.log((n1 + 0.3) / (n0 + 0.3)), -_MOST_ODDS, _MOST_ODDS) * _FINE).astype(np.int16)
+    known = np.minimum(15, np.frexp((n0 + n1).astype(np.float64))[1]).astype(np.int16)
+    return odds * np.int16(16) | known
+
+
+def left_out(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
+    """Packed counts of slots by slot and bit, each without one occurrence of that bit."""
+    return np.stack([packed(np.maximum(0, n0 - 1), n1), packed(n0, np.maximum(0, n1 - 1))], 1).ravel()
+
+
+#: Log odds of a text's own counts, each up to 15.
+_N = np.arange(16)
+_OWN_ODDS = np.log((_N[None, :] + 0.4) / (_N[:, None] + 0.4)).astype(np.float32).ravel()
+
+
+@dataclass
+class Carry:
+    """What a text longer than a chunk takes from one piece to the next."""
+
+    place: int = 0
+    telling: int = 0
+    one: int = 0
+    two: int = 0
+    weights: list = None
+    own: list = None
+
+
 @dataclass
 class Decisions:
-    """Binary decisions of a chunk of texts: slot per table, bit, kind (1: spelling), text and block."""
+    """Decisions of one kind, by block and in a block by text: hashed slots, place without context, bit, text, token, own slot, and where blocks end."""
 
     slots: list[np.ndarray]
+    plain: np.ndarray
     bit: np.ndarray
-    kind: np.ndarray
     text: np.ndarray
-    block: np.ndarray
+    token: np.ndarray
+    own: np.ndarray
+    cuts: np.ndarray
 
 
-def _slots(node: np.ndarray, context: np.ndarray) -> np.ndarray:
-    h = node * np.uint32(0x9E3779B1) + context
+@dataclass
+class Chunk:
+    """A chunk's tokens as decisions of both kinds; escaped words with their texts."""
+
+    kinds: tuple[Decisions, Decisions]
+    rare: list[bytes]
+    rare_text: np.ndarray
+    own_slots: tuple[int, int]
+
+
+def _mixed(node: np.ndarray, context: np.ndarray) -> np.ndarray:
+    h = node * np.uint32(0x9E3779B1)
+    h += context
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
-    return (h >> np.uint32(32 - SLOT_BITS)).astype(np.int64)
+    return h
 
 
 def _followed(x: np.ndarray, place: np.ndarray, back: int) -> np.ndarray:
@@ -162,174 +222,201 @@ def _places(lengths: np.ndarray) -> np.ndarray:
 def _blocks(place: np.ndarray) -> np.ndarray:
     """The block of a token by its place in the text: short ones first, then BLOCK tokens each."""
     late = place // BLOCK + len(EARLY) - 1
-    return np.minimum(np.where(place < EARLY[-1], np.searchsorted(EARLY, place, "right"), late), 65_535).astype(np.uint16)
+    return np.where(place < EARLY[-1], np.searchsorted(EARLY, place, "right"), late)
+
 
+def _own_slots(node: np.ndarray, context: np.ndarray, text: np.ndarray, texts: int, carried: bool) -> tuple[np.ndarray, int]:
+    """Slots of own counts: each text has a range of its own, which its decisions alone decide, so that neighbours don't matter."""
+    n = np.bincount(text, minlength=texts)
+    size = np.full(texts, OWN_LONG) if carried else np.int64(1) << np.ceil(np.log2(OWN * np.maximum(n, 8))).astype(np.int64)
+    first = np.cumsum(size) - size
+    h = _mixed(node, context)
+    h ^= h >> np.uint32(13)
+    return first.take(text) + (h & (size - 1).astype(np.uint32).take(text)), int(size.sum())
 
-def decisions(texts: list[list[bytes]], code: Code) -> Decisions:
-    """All decisions of texts given as lists of words; each ends with the end token."""
-    lengths = np.array([len(t) + 1 for t in texts], np.int64)
-    flat = [w for t in texts for w in (*t, b"\n")]
+
+def decisions(texts: list[list[bytes]], code: Code, carry: Carry | None = None, last: bool = True, counting: bool = False) -> Chunk:
+    """All decisions of texts given as lists of words, each closed by the end token; or of one piece of a long text, with
+    its ``carry``, which moves on, and closed if it is the ``last``. For ``counting`` only slots and bits are needed."""
+    ending = 1 if last else 0
+    lengths = np.array([len(t) + ending for t in texts], np.int64)
+    flat = [w for t in texts for w in (*t, b"\n")] if last else [w for t in texts for w in t]
     symbol = np.fromiter(map(code.symbols.__getitem__, flat), np.int64, len(flat))
-    ends = np.cumsum(lengths) - 1
-    symbol[ends] = 1
-    text, place = np.repeat(np.arange(len(texts), dtype=np.int32), lengths), _places(lengths)
-    block = _blocks(place)
+    if last:
+        symbol[np.cumsum(lengths) - 1] = 1
+    text, place = np.repeat(np.arange(len(texts), dtype=np.int64), lengths), _places(lengths)
     hashed = code.hashes[symbol]
     spelled = np.flatnonzero(symbol == 0)
-    rare = [flat[i] for i in spelled]
-    hashed[spelled] = np.fromiter(map(xxhash.xxh32_intdigest, rare), np.uint32, len(rare))
-    last = np.where((symbol > 1) & (symbol < TELLING + 2), np.arange(len(symbol)), -1)
-    last = np.concatenate([[-1], np.maximum.accumulate(last)[:-1]])
-    telling = np.where(last >= np.arange(len(symbol)) - place, symbol[last], 0).astype(np.uint32) * np.uint32(0x165667B1)
-    one = _followed(hashed, place, 1) * np.uint32(0xC2B2AE35)
-    two = (one ^ _followed(hashed, place, 2)) * np.uint32(0x27D4EB2F) + np.uint32(2)
-    counts, at = code.tokens.expand(symbol)
-    node, bit = code.tokens.nodes[at], code.tokens.bits[at]
-    slots = [node.astype(np.int64), *(_slots(node, np.repeat(x, counts)) for x in (telling + np.uint32(3), one + np.uint32(1), two))]
-    out = Decisions(slots, bit, np.zeros(len(bit), np.uint8), np.repeat(text, counts), np.repeat(block, counts))
-    if not rare:
-        return out
-    letters = np.frombuffer(b" ".join(rare) + b" ", np.uint8)
+    hashed[spelled] = np.fromiter((xxhash.xxh32_intdigest(flat[i]) for i in spelled), np.uint32, len(spelled))
+    tells = np.where((symbol > 1) & (symbol < TELLING + 2), np.arange(len(symbol)), -1)
+    tells = np.concatenate([[-1], np.maximum.accumulate(tells)[:-1]])[: len(symbol)]
+    telling = np.where(tells >= np.arange(len(symbol)) - place, symbol[tells], 0)
+    one, two = _followed(hashed, place, 1), _followed(hashed, place, 2)
+    if carry and carry.place and len(flat):
+        telling[tells < 0] = carry.telling
+        one[0], two[0] = carry.one, carry.two
+        two[1:2] = carry.one
+    block = _blocks(place + (carry.place if carry else 0))
+    block -= block.min(initial=0 if not len(block) else block[0])
+    if carry and len(flat):
+        carry.place += len(flat)
+        now = np.flatnonzero((symbol > 1) & (symbol < TELLING + 2))
+        carry.telling = int(symbol[now[-1]]) if len(now) else carry.telling
+        carry.two, carry.one = (int(hashed[-2]) if len(flat) > 1 else carry.one), int(hashed[-1])
+    telling = telling.astype(np.uint32) * np.uint32(0x165667B1)
+    one = one * np.uint32(0xC2B2AE35)
+    two = (one ^ two) * np.uint32(0x27D4EB2F) + np.uint32(2)
+    order = np.argsort(block.astype(np.uint16) if block.max(initial=0) < 1 << 16 else block, kind="stable")
+    symbol, text, block, said, one, two = (x[order] for x in (symbol, text, block, telling + np.uint32(3), one + np.uint32(1), two))
+    shift = np.uint32(32 - code.slot_bits)
+    carried = carry is not None
+
+    def of(lengths: np.ndarray, node: np.ndarray, bit: np.ndarray, contexts: list, plain: np.ndarray, own: np.ndarray, token: np.ndarray, text: np.ndarray, block: np.ndarray) -> tuple[Decisions, int]:
+        slots = [(_mixed(node, np.repeat(c, lengths)) >> shift).astype(np.int64) for c in contexts]
+        if counting:
+            return Decisions(slots, plain, bit, None, None, None, None), 0
+        who = np.repeat(text, lengths)
+        at, size = _own_slots(node, own, who, len(texts), carried)
+        ends = np.cumsum(np.bincount(block, lengths, int(block.max(initial=0)) + 1).astype(np.int64))
+        return Decisions(slots, plain, bit, who, np.repeat(token, lengths), at, ends), size
+
+    lengths, node, bit = code.tokens.expand(symbol)
+    tokens, size = of(lengths, node, bit, [said, one, two], node, np.uint32(0), np.arange(len(symbol)), text, block)
+    at = np.flatnonzero(symbol == 0)
+    rare, rare_text = [flat[i] for i in order[at]], text[at]
+    letters = np.frombuffer(b" ".join(rare) + b" " if rare else b"", np.uint8)
     widths = np.fromiter(map(len, rare), np.int64, len(rare)) + 1
-    inner = _places(widths)
-    wide = letters.astype(np.uint32)
+    inner, wide = _places(widths), letters.astype(np.uint32)
     a, b, c, d = (_followed(wide, inner, k) for k in (1, 2, 3, 4))
-    said = np.repeat(telling[spelled], widths)
-    ab = a | b << np.uint32(8)
-    abc = ab | c << np.uint32(16)
-    contexts = (None, ab * np.uint32(0xC2B2AE35) + said, abc * np.uint32(0x27D4EB2F) + said + np.uint32(5), (abc | d << np.uint32(24)) * np.uint32(0x85EBCA6B) + np.uint32(9))
-    counts, at = code.spelling.expand(letters)
-    node, of = code.spelling.nodes[at], np.repeat(np.repeat(spelled, widths), counts)
-    for k in range(TABLES):
-        own = np.repeat(a, counts).astype(np.int64) << 8 | node if k == 0 else _slots(node, np.repeat(contexts[k], counts))
-        out.slots[k] = np.concatenate([out.slots[k], own + VOCABULARY + 512 if k == 0 else own])
-    out.bit = np.concatenate([out.bit, code.spelling.bits[at]])
-    out.kind = np.concatenate([out.kind, np.ones(len(node), np.uint8)])
-    out.text, out.block = np.concatenate([out.text, text[of]]), np.concatenate([out.block, block[of]])
-    return out
+    abc = a | b << np.uint32(8) | c << np.uint32(16)
+    language = np.repeat(said[at], widths)
+    contexts = [a * np.uint32(0xC2B2AE35) + language, abc * np.uint32(0x27D4EB2F) + np.uint32(5), (abc | d << np.uint32(24)) * np.uint32(0x85EBCA6B) + np.uint32(9)]
+    lengths, node, bit = code.spelling.expand(letters.astype(np.int64))
+    spelling, more = of(lengths, node, bit, contexts, node, np.repeat(abc * np.uint32(0x165667B1), lengths), np.repeat(np.arange(len(rare)), widths), np.repeat(rare_text, widths), np.repeat(block[at], widths))
+    return Chunk((tokens, spelling), rare, rare_text, (size, more))
 
 
-def _chunks(texts: list[bytes | None]) -> Iterator[list[list[bytes]]]:
-    """Tokenised texts in chunks of about CHUNK tokens; a longer text is a chunk of its own."""
+def chunks(texts: list[bytes | None], code: Code, counting: bool = False) -> Iterator[tuple[Chunk, list[list[bytes]], Carry | None, bool]]:
+    """Decisions of texts, about CHUNK tokens at a time; a longer text comes in pieces, with what it carries on."""
     part, size = [], 0
     for t in texts:
         words = words_of(t)
         if part and size + len(words) > CHUNK:
-            yield part
+            yield decisions(part, code, counting=counting), part, None, True
             part, size = [], 0
+        if len(words) > CHUNK:
+            carry = Carry()
+            for lo in range(0, len(words), CHUNK):
+                piece, last = words[lo : lo + CHUNK], lo + CHUNK >= len(words)
+                yield decisions([piece], code, carry, last, counting), [piece], carry, last
+            continue
         part.append(words)
         size += len(words) + 1
     if part:
-        yield part
+        yield decisions(part, code, counting=counting), part, None, True
 
 
-@dataclass
-class Model:
-    """Per table: log odds of each slot and how much is known there; first weights; the table of corrections."""
-
-    odds: list[np.ndarray]
-    known: list[np.ndarray]
-    weights: np.ndarray = None
-    corrected: np.ndarray = None
-
-    @staticmethod
-    def log_odds(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-        return np.clip(np.log((n1 + 0.3) / (n0 + 0.3)), -8, 8).astype(np.float32)
-
-    @staticmethod
-    def magnitude(n: np.ndarray) -> np.ndarray:
-        """0, 1, 2-3, 4-7 and so on."""
-        return np.frexp(n.astype(np.float64))[1].astype(np.uint8)
-
-    @staticmethod
-    def gate(known: list[np.ndarray], kind: np.ndarray) -> np.ndarray:
-        """The weight set by what the longer contexts know; a slot with more than the first table's is shared."""
-        out = kind.astype(np.uint8)
-        for x in known[1:]:
-            level = (x > 0).astype(np.uint8) + (x > 2) + (x > 5)
-            out = out * np.uint8(LEVELS) + level * (x <= known[0])
-        return out
-
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Model:
-        """``counts`` has shape (TABLES, SLOTS, 2)."""
-        return cls([cls.log_odds(c[:, 0], c[:, 1]) for c in counts], [cls.magnitude(c.sum(1)) for c in counts])
-
-    def gates(self, d: Decisions) -> np.ndarray:
-        return self.gate([self.known[k].take(d.slots[k]) for k in range(TABLES)], d.kind)
-
-    def score(self, d: Decisions, texts: int) -> np.ndarray:
-        """The log10 probability of each text."""
-        gate = self.gates(d).astype(np.int64)
-        x = [self.odds[k].take(d.slots[k]) for k in range(TABLES)]
-        out = np.zeros(texts)
-        own = np.repeat(self.weights[None], texts, 0).reshape(texts * GATES, TABLES).T.copy()
-        last = int(d.block.max(initial=0))
-        order = np.argsort(d.block, kind="stable") if last else None
-        cuts = np.cumsum(np.bincount(d.block, minlength=last + 1)) if last else [len(d.bit)]
-        lo = 0
-        for step, hi in enumerate(cuts):
-            i = order[lo:hi] if last else slice(None)
-            lo = hi
-            g, text, bit = gate[i], d.text[i], d.bit[i].astype(np.float32)
-            at = text * np.int64(GATES) + g
-            v = [col[i] for col in x]
-            z = own[0].take(at) * v[0]
-            for k in range(1, TABLES):
-                z += own[k].take(at) * v[k]
-            p = 1 / (1 + np.exp(-z))
-            cell = np.clip(np.rint(2 * z) + np.float32(ODDS // 2), 0, ODDS - 1).astype(np.int64)
-            q = (p + self.corrected.ravel().take(g * ODDS + cell)) * np.float32(0.5)
-            right = 1 - bit - q + 2 * bit * q  # q where the bit is 1, else 1 - q
-            out += np.bincount(text, np.log(np.maximum(right, np.float32(1e-7))), texts)
-            if step < last:
-                error = bit - p
-                share = np.float32(RATE) / (np.bincount(at, minlength=texts * GATES) + 64)
-                for k in range(TABLES):
-                    own[k] += (np.bincount(at, error * v[k], texts * GATES) * share).astype(np.float32)
-        return out / np.log(10)
-
-
-_PAIRS = [(i, j) for i in range(TABLES) for j in range(i, TABLES)]
-#: Per gate: decisions, slopes, curvatures; then decisions and ones per gate and predicted odds.
-_SUMS = GATES * (1 + TABLES + len(_PAIRS) + 2 * ODDS)
+_PAIRS = [(i, j) for i in range(PREDICTORS) for j in range(i, PREDICTORS)]
+#: Per kind and gate: decisions, slopes, curvatures.
+_SUMS = 2 * GATES * (1 + PREDICTORS + len(_PAIRS))
 
 
 @dataclass
-class Left:
-    """The tables with each decision's own occurrence taken out: log odds by slot and bit, and how much is known."""
-
-    odds: list[np.ndarray]
-    known: list[np.ndarray]
+class Model:
+    """Hashed tables of both kinds in one, by slot (or by slot and bit, ``leave_one``), and first weights."""
+
+    tables: list[np.ndarray]
+    leave_one: bool = False
+    weights: np.ndarray = field(default_factory=lambda: np.full((2, GATES, PREDICTORS), 0.3, np.float32))
+
+    def run(self, chunk: Chunk, code: Code, texts: int, carry: Carry | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The natural log probability of each text without its escaped words, and of each of these by its letters.
+
+        With ``sums`` weights stay as they are, and slopes and curvatures are added up.
+        """
+        out = (np.zeros(texts), np.zeros(len(chunk.rare)))
+        for kind, (d, plain) in enumerate(zip(chunk.kinds, (code.plain, code.letters), strict=True)):
+            if carry and carry.weights is None:
+                carry.weights, carry.own = [None, None], [None, None]
+            weights = carry.weights[kind] if carry and carry.weights[kind] is not None else np.repeat(self.weights[kind].T[:, None, :], texts, 1).reshape(PREDICTORS, texts * GATES).copy()
+            own = carry.own[kind] if carry and carry.own[kind] is not None else np.zeros(2 * chunk.own_slots[kind], np.int32)
+            if carry:
+                carry.weights[kind], carry.own[kind] = weights, own
+            group, many = (d.text, texts) if kind == 0 else (d.token, len(chunk.rare))
+            lo, seen = 0, []
+            for hi in d.cuts:
+                if lo < hi:
+                    i = slice(lo, hi)
+                    logs = self._block(d, i, plain, weights, own, None if sums is None else seen)
+                    if sums is None:
+                        out[kind][:] += np.bincount(group[i], logs, many)
+                lo = hi
+            if seen:
+                _add_up(seen, sums[kind])
+        return out
 
-    @classmethod
-    def of(cls, counts: np.ndarray) -> Left:
-        odds = [np.stack([Model.log_odds(np.maximum(0, c[:, 0] - 1), c[:, 1]), Model.log_odds(c[:, 0], np.maximum(0, c[:, 1] - 1))], 1).ravel() for c in counts]
-        return cls(odds, [Model.magnitude(np.maximum(0, c.sum(1) - 1)) for c in counts])
-
-    def sums(self, d: Decisions, weights: np.ndarray) -> np.ndarray:
-        """What a chunk adds to the _SUMS of a pass."""
-        gate = Model.gate([self.known[k].take(d.slots[k]) for k in range(TABLES)], d.kind).astype(np.int64)
-        x = [self.odds[k].take(2 * d.slots[k] + d.bit) for k in range(TABLES)]
-        z = sum(weights[:, k].astype(np.float32).take(gate) * x[k] for k in range(TABLES))
-        p = 1 / (1 + np.exp(-z))
-        error, spread = d.bit - p, p * (1 - p)
-        add = lambda w: np.bincount(gate, w, GATES)
-        out = [np.bincount(gate, minlength=GATES), *(add(error * v) for v in x), *(add(spread * x[i] * x[j]) for i, j in _PAIRS)]
-        cell = gate * ODDS + np.clip(np.rint(2 * z) + ODDS // 2, 0, ODDS - 1).astype(np.int64)
-        return np.concatenate([*out, np.bincount(cell, minlength=GATES * ODDS), np.bincount(cell, d.bit, GATES * ODDS)])
-
-
-def _fit_sums(sent, weights: np.ndarray):  # noqa: ANN001, ANN202
+    def _block(self, d: Decisions, i: slice, plain: np.ndarray, weights: np.ndarray, own: np.ndarray, seen: list | None) -> np.ndarray | None:
+        bit = d.bit[i]
+        first = plain.take(d.plain[i])
+        least = first & 15
+        gate = d.text[i] * GATES
+        values, level = [], np.zeros(len(bit), np.uint8)
+        for t, s in zip(self.tables, d.slots, strict=True):
+            v = t.take(2 * s[i] + bit if self.leave_one else s[i])
+            known = v & 15
+            # a slot with more than its decision was ever seen with is shared
+            level = level * np.uint8(LEVELS) + ((known > 0).view(np.uint8) + (known > 2) + (known > 5)) * (known <= least)
+            values.append((v >> 4) * np.float32(1 / _FINE))
+        gate = gate + level
+        at = d.own[i]
+        pair = own.reshape(-1, 2).take(at, axis=0)
+        np.minimum(pair, 15, out=pair)
+        x = [(first >> 4) * np.float32(1 / _FINE), *values, _OWN_ODDS.take(pair[:, 0] * 16 + pair[:, 1])]
+        z = weights[0].take(gate) * x[0]
+        for k in range(1, PREDICTORS):
+            z += weights[k].take(gate) * x[k]
+        sign = bit.astype(np.float32) * 2 - 1
+        e = np.exp(np.minimum(-sign * z, np.float32(60)))
+        right = 1 / (1 + e)
+        error = sign * (1 - right)
+        np.add.at(own, 2 * at + bit, np.int32(1))
+        if seen is not None:
+            seen.append((level, np.stack([*x, error], 1), right * (1 - right)))
+            return None
+        n = len(weights[0])
+        share = np.float32(RATE) / (np.bincount(gate, minlength=n) + 64)
+        for k in range(PREDICTORS):
+            weights[k] += (np.bincount(gate, error * x[k], n) * share).astype(np.float32)
+        return np.log(np.maximum(right, np.float32(1e-9)))
+
+
+def _add_up(seen: list[tuple], sums: np.ndarray) -> None:
+    """Decisions' predictions with their error, and the slope of the logistic function there, to sums by gate."""
+    level, rows, spread = (np.concatenate(c) for c in zip(*seen, strict=True))
+    order = np.argsort(level, kind="stable")
+    rows, spread = rows[order], spread[order]
+    cuts = np.cumsum(np.bincount(level, minlength=GATES))
+    sums[0] += np.diff(cuts, prepend=0)
+    lo = 0
+    for g, hi in enumerate(cuts):
+        if lo < hi:
+            x = rows[lo:hi, :PREDICTORS]
+            sums[1 : 1 + PREDICTORS, g] += x.T @ rows[lo:hi, PREDICTORS]
+            curve = x.T @ (x * spread[lo:hi, None])
+            sums[1 + PREDICTORS :, g] += [curve[pair] for pair in _PAIRS]
+        lo = hi
+
+
+def _fit_sums(sent):  # noqa: ANN001, ANN202
     """Each task's own sums over all its texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, left = sent.value
+        code, model = sent.value
         code.ready()
-        total = np.zeros(_SUMS)
+        total = np.zeros((2, _SUMS // (2 * GATES), GATES))
         for batch in batches:
-            for chunk in _chunks(batch.column(0).cast(pa.binary()).to_pylist()):
-                total += left.sums(decisions(chunk, code), weights)
+            for chunk, texts, carry, _ in chunks(batch.column(0).cast(pa.binary()).to_pylist(), code):
+                model.run(chunk, code, len(texts), carry, total)
         yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
     return run
@@ -343,27 +430,25 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
 
 
-def fit(texts: DataFrame, code: Code, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First weights and corrections from all ``texts``.
+def fit(texts: DataFrame, code: Code, left: list[np.ndarray]) -> np.ndarray:
+    """First weights from all ``texts``: each gate is a logistic regression, and one Newton step is taken from equal weights
+    on slopes and curvatures summed over all decisions, each without its own occurrence. The sums have a fixed size."""
+    model = Model(left, leave_one=True)
+    sent = texts.sparkSession.sparkContext.broadcast((code, model))
+    parts = texts.mapInArrow(_fit_sums(sent), "sums binary").repartition(8).mapInArrow(_summed, "sums binary").collect()
+    sent.destroy()
+    total = sum((np.frombuffer(r.sums) for r in parts), np.zeros(_SUMS)).reshape(2, -1, GATES)
+    return stepped(model.weights, total)
 
-    Each gate is a logistic regression. A pass sums slopes, curvatures and cells at the present weights, in a fixed size;
-    the last pass's cells become the corrections.
-    """
-    sent = texts.sparkSession.sparkContext.broadcast((code, Left.of(counts)))
-    weights = np.full((GATES, TABLES), 1 / TABLES)
-    for left in range(PASSES - 1, -1, -1):
-        parts = texts.mapInArrow(_fit_sums(sent, weights), "sums binary").repartition(8).mapInArrow(_summed, "sums binary").collect()
-        total = sum((np.frombuffer(r.sums) for r in parts), np.zeros(_SUMS))
-        sums, cells = total[: -2 * GATES * ODDS].reshape(-1, GATES), total[-2 * GATES * ODDS :].reshape(2, GATES, ODDS)
-        if left:
-            curve = np.zeros((GATES, TABLES, TABLES))
-            for (i, j), c in zip(_PAIRS, sums[1 + TABLES :], strict=True):
-                curve[:, i, j] = curve[:, j, i] = c
-            curve += (1 + 1e-5 * sums[0])[:, None, None] * np.eye(TABLES)
-            weights = weights + np.clip(np.linalg.solve(curve, sums[1 : 1 + TABLES].T[:, :, None])[:, :, 0], -1, 1)
-    sent.unpersist()
-    centres = (np.arange(ODDS) - ODDS // 2) / 2
-    return weights.astype(np.float32), ((cells[1] + 20 / (1 + np.exp(-centres))) / (cells[0] + 20)).astype(np.float32)
+
+def stepped(weights: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Weights after one Newton step on the sums (2, 1 + PREDICTORS + pairs, GATES)."""
+    curve = np.zeros((2, GATES, PREDICTORS, PREDICTORS))
+    for k, (i, j) in enumerate(_PAIRS):
+        curve[:, :, i, j] = curve[:, :, j, i] = total[:, 1 + PREDICTORS + k]
+    curve += (4 + 1e-5 * total[:, 0])[:, :, None, None] * np.eye(PREDICTORS)
+    slope = total[:, 1 : 1 + PREDICTORS].transpose(0, 2, 1)
+    return (weights + np.clip(np.linalg.solve(curve, slope[..., None])[..., 0], -1, 1)).astype(np.float32)
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -381,112 +466,140 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     yield rows(count)
 
 
+def _coded(x: np.ndarray) -> bytes:
+    """Counts in one byte each, larger ones behind them as (place, count)."""
+    large = np.flatnonzero(x > 254)
+    small = x.astype(np.uint8)
+    small[large] = 255
+    return small.tobytes() + np.stack([large, x[large]], 1).astype(np.int64).tobytes()
+
+
+def _decoded(data: bytes) -> np.ndarray:
+    out = np.frombuffer(data, np.uint8, _PIECE).astype(np.int64)
+    large = np.frombuffer(data, np.int64, offset=_PIECE).reshape(-1, 2)
+    out[large[:, 0]] = large[:, 1]
+    return out
+
+
+_PIECES = "k int, piece int, counts binary"
+
+
+def _pieces(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = [pa.int32(), pa.int32(), *[pa.binary()] * (len(names) - 2)]
+    return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=names)
+
+
 def _context_counts(sent):  # noqa: ANN001, ANN202
-    """Each task's own counts, in pieces of _PIECE slots."""
+    """Each task's own counts, in pieces of _PIECE counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, tables = sent.value.ready(), [np.zeros(2 * SLOTS, np.int64) for _ in range(TABLES)]
+        code = sent.value.ready()
+        size = 2 << code.slot_bits
+        tables = [np.zeros(size, np.int32) for _ in range(HASHED)]
         for batch in batches:
-            for chunk in _chunks(batch.column(0).cast(pa.binary()).to_pylist()):
-                d = decisions(chunk, code)
-                for k in range(TABLES):
-                    np.add.at(tables[k], 2 * d.slots[k] + d.bit, 1)
+            for chunk, _, _, _ in chunks(batch.column(0).cast(pa.binary()).to_pylist(), code, counting=True):
+                for d in chunk.kinds:
+                    for t, s in zip(tables, d.slots, strict=True):
+                        np.add.at(t, 2 * s + d.bit, np.int32(1))
         for k, t in enumerate(tables):
-            pieces = [(k, i, t[i * _PIECE : (i + 1) * _PIECE]) for i in range(2 * SLOTS // _PIECE)]
-            pieces = [(k, i, x.astype(np.uint32).tobytes()) for k, i, x in pieces if x.any()]
-            yield pa.RecordBatch.from_arrays([pa.array([p[j] for p in pieces], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["k", "piece", "counts"])
+            cut = t.reshape(-1, _PIECE)
+            yield _pieces([(k, int(i), _coded(cut[i])) for i in np.flatnonzero(cut.any(1))], ["k", "piece", "counts"])
 
     return run
 
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (k, piece) are added up one by one."""
-    key, total = None, None
+    """Rows sorted by (k, piece) are added up one by one, and become log odds."""
+    key, total, names = None, None, ["k", "piece", "odds", "left"]
     done: list[tuple] = []
 
-    def flush() -> pa.RecordBatch:
-        rows = pa.RecordBatch.from_arrays([pa.array([p[j] for p in done], kind) for j, kind in enumerate((pa.int32(), pa.int32(), pa.binary()))], names=["k", "piece", "counts"])
-        done.clear()
-        return rows
+    def finish() -> None:
+        pair = total.reshape(-1, 2).T
+        done.append((*key, packed(*pair).tobytes(), left_out(*pair).tobytes()))
 
     for batch in batches:
         for k, piece, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            x = np.frombuffer(counts, np.uint32 if len(counts) == 4 * _PIECE else np.int64)
-            if key == (k, piece):
-                total += x
-            else:
+            if key != (k, piece):
                 if key:
-                    done.append((*key, total.tobytes()))
-                key, total = (k, piece), x.astype(np.int64)
-        yield flush()
+                    finish()
+                key, total = (k, piece), np.zeros(_PIECE, np.int64)
+            total += _decoded(counts)
+        yield _pieces(done, names)
+        done.clear()
     if key:
-        done.append((*key, total.tobytes()))
-    yield flush()
+        finish()
+    yield _pieces(done, names)
 
 
-def context_counts(texts: DataFrame, code: Code) -> np.ndarray:
-    """(TABLES, SLOTS, 2) counts over all ``texts``; the table's size is fixed."""
-    pieces = texts.mapInArrow(_context_counts(texts.sparkSession.sparkContext.broadcast(code)), "k int, piece int, counts binary")
-    summed = pieces.repartition("k", "piece").sortWithinPartitions("k", "piece").mapInArrow(_added, "k int, piece int, counts binary")
-    out = np.zeros((TABLES, 2 * SLOTS), np.int64)
-    for k, piece, counts in summed.collect():
-        out[k, piece * _PIECE : (piece + 1) * _PIECE] = np.frombuffer(counts, np.int64)
-    return out.reshape(TABLES, SLOTS, 2)
+def context_odds(texts: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """The hashed tables over all ``texts``: packed log odds by slot, and the same by slot and bit without one occurrence."""
+    sent = texts.sparkSession.sparkContext.broadcast(code)
+    pieces = texts.mapInArrow(_context_counts(sent), _PIECES)
+    summed = pieces.repartition("k", "piece").sortWithinPartitions("k", "piece").mapInArrow(_added, "k int, piece int, odds binary, left binary")
+    odds, left = ([np.zeros(n << code.slot_bits, np.int16) for _ in range(HASHED)] for n in (1, 2))
+    for batch in summed.toArrow().to_batches():
+        for k, piece, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            odds[k][piece * _PIECE // 2 : (piece + 1) * _PIECE // 2] = np.frombuffer(a, np.int16)
+            left[k][piece * _PIECE : (piece + 1) * _PIECE] = np.frombuffer(b, np.int16)
+    sent.destroy()
+    return odds, left
 
 
-_SCORED = "uid long, doc_id long, n_tokens long, score double, base double, known long, token string, n long"
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64())
+_SCORED = "uid long, doc_id long, n_tokens long, n_bytes long, score double, base double, known long, token string, spelled double"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.float64())
 
 
 def _scored(sent):  # noqa: ANN001, ANN202
-    """Per text one row with its score and the vocabulary's part of the base sum, and one row per distinct token
-    outside the vocabulary, whose count is looked up afterwards."""
+    """Per text (or piece of a long one) one row with its score and base sum without escaped words, and one per escaped
+    word with its letters' score; what the dictionary knows of it is looked up afterwards."""
+    names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, model, logs = sent.value
         code.ready()
-        names = [x.split()[0] for x in _SCORED.split(", ")]
         for batch in batches:
-            ids, uids, at = batch.column(0).to_pylist(), batch.column(1).to_pylist(), 0
-            for chunk in _chunks(batch.column(2).cast(pa.binary()).to_pylist()):
-                out: list[list] = [[] for _ in names]
-                for words, score in zip(chunk, model.score(decisions(chunk, code), len(chunk)).tolist(), strict=True):
-                    symbols = np.fromiter(map(code.symbols.__getitem__, words), np.int64, len(words))
-                    rare = Counter(words[i] for i in np.flatnonzero(symbols == 0))
-                    known = symbols[symbols > 0]
-                    more = [None] * len(rare)
-                    row = ([ids[at]], [len(words) + 1], [score], [float(logs[known].sum() + logs[1])], [len(known) + int(logs[1] > 0)])
-                    out[0] += [uids[at]] * (1 + len(rare))
-                    for col, value in zip(out[1:6], row, strict=True):
-                        col += value + more
-                    out[6] += [None, *(w.decode() for w in rare)]
-                    out[7] += [None, *rare.values()]
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, _KINDS, strict=True)], names=names)
+            ids, uids, sizes, at = batch.column(0).to_pylist(), np.array(batch.column(1)), pa.compute.binary_length(batch.column(2)).fill_null(0).to_pylist(), 0
+            for chunk, texts, carry, last in chunks(batch.column(2).cast(pa.binary()).to_pylist(), code):
+                n, rare = len(texts), len(chunk.rare)
+                scores, spelled = model.run(chunk, code, n, carry)
+                flat = np.fromiter((code.symbols[w] for t in texts for w in t), np.int64)
+                of = np.repeat(np.arange(n), [len(t) for t in texts])
+                base, known = np.bincount(of, logs[flat], n) + last * logs[1], np.bincount(of[flat > 0], minlength=n) + int(last and logs[1] > 0)
+                columns = [
+                    np.concatenate([uids[at : at + n], uids[at + chunk.rare_text]]), ids[at : at + n] + [None] * rare, [len(t) + last for t in texts] + [None] * rare,
+                    (sizes[at : at + n] if last else [0]) + [None] * rare, (scores / np.log(10)).tolist() + [None] * rare, base.tolist() + [None] * rare,
+                    known.tolist() + [None] * rare, [None] * n + [w.decode() for w in chunk.rare], [None] * n + (spelled / np.log(10)).tolist(),
+                ]
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=names)
+                at += n if last else 0
 
     return run
 
 
 def lm_scores(docs: DataFrame, held_out: Column | None = None, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score``.
+    """One row per document: ``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte``.
 
     ``held_out`` (by default crc32(doc_id as text) mod 7 is 2) marks rows that nothing is learned from; rows without
-    an id are learned from. A null or empty text is its end token alone. A text's total bits are ``-score * log2(10)``;
-    divided by its bytes they are its bits per byte. Rows that share an id are scored each; other columns are not read. A table without rows
-    gives none; without training texts every count is 0.
+    an id are learned from. A null or empty text is its end token alone. ``bits_per_byte`` are the score's total bits over
+    the text's UTF-8 bytes and one for its end. Rows that share an id are scored each; a very long text is scored in pieces that
+    carry on what it has learned; other columns are not read. A table without rows gives none; without training texts every count is 0.
     """
     spark = docs.sparkSession
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2 if held_out is None else held_out
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).withColumn("held_out", F.coalesce(held, F.lit(False)))
     training = own.where("not held_out").select("text")
     counts = staged(training.mapInArrow(_token_counts, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")))
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    total, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
     head = counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).toArrow()
     frequent = list(zip(head.column("token").to_pylist(), head.column("n").to_pylist(), strict=True))
+    escaped = max(1, total - sum(n for _, n in frequent))
+    # of the training texts' escapes so many are found again when one occurrence is left out
+    found_again = (escaped - (once - sum(n == 1 for _, n in frequent))) / escaped
     code = Code.of(frequent, total)
-    tables = context_counts(training, code)
-    model = Model.of(tables)
-    model.weights, model.corrected = fit(training, code, tables)
+    odds, left = context_odds(training, code)
+    model = Model(odds)
+    model.weights = fit(training, code, left)
+    del left
     by_token = dict(frequent)
     logs = np.log10(np.array([0, by_token.get(END, 0), *(by_token[w.decode()] for w in code.words)], np.float64) + 1)
     code.symbols = code.hashes = None
@@ -495,14 +608,18 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, doc_id: str = "do
     # a text's own row gets a key that no token has, so that such rows spread over all partitions
     keyed = rows.withColumn("key", F.coalesce("token", F.concat(F.lit(END), F.col("uid").cast("string"))))
     found = keyed.join(counts.select(F.col("token").alias("key"), F.col("n").alias("c")), "key", "left")
+    share = F.coalesce("c", F.lit(0)) / float(escaped)
+    coded = F.log10(F.lit(found_again) * share + (1 - found_again) * F.pow(F.lit(10.0), "spelled"))
+    escaped_score = F.when(F.col("token").isNotNull(), F.when(F.col("c").isNull(), F.col("spelled") + F.log10(F.lit(max(1e-9, 1 - found_again)))).otherwise(coded))
     sums = found.groupBy("uid").agg(
-        *(F.max(c).alias(c) for c in ("doc_id", "n_tokens", "score", "base", "known")),
-        F.sum(F.when(F.col("token").isNotNull(), F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("rare"),
-        F.sum(F.when(F.col("c") > 0, F.col("n")).otherwise(0)).alias("found"),
+        F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "score", "base", "known")),
+        F.sum(F.when(F.col("token").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("rare"),
+        F.sum(F.coalesce(escaped_score, F.lit(0.0))).alias("escaped"), F.count("c").alias("found"),
     )
     base = F.col("base") + F.col("rare") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2 if held_out is None else held_out
+    score = F.col("score") + F.col("escaped")
     return sums.select(
-        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.coalesce("found", F.lit(0))).alias("n_known"),
-        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), "score",
+        "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.col("found")).alias("n_known"),
+        F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), (score * float(-np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),
     )

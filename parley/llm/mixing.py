@@ -51,72 +51,69 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: i
     return shared.select("source", "source_size", "rank", target.alias("target"))
 
 
-def _uniform(*parts: Column) -> Column:
-    return (F.pmod(F.xxhash64(F.lit(SEED), *parts), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+def _let(name: str, value: str, body: str) -> str:
+    """SQL of ``body``, which uses ``value`` by its name; the value is computed once."""
+    return f"transform(array({value}), {name} -> {body})[0]"
 
 
-def hypergeometric(rows: DataFrame) -> DataFrame:
-    """``rows(total, good, draws, u)`` with ``drawn``, the number of good ones among ``draws`` of ``total``.
+def _drawn(total: str, good: str, draws: str, u: str) -> str:
+    """SQL of how many good ones are among ``draws`` of ``total``, by inverting the distribution at ``u``.
 
-    The distribution is inverted at ``u`` around its mode: weights relative to the mode follow from the ratio of
-    neighbouring terms, and beyond 14 deviations they are nothing. Every step is a column, so that none is computed twice.
+    Weights relative to the mode follow from the ratio of neighbouring terms, and beyond 14 deviations they are nothing.
     """
-    total, good, draws, mode, first, last = (F.col(c) for c in ("total", "good", "draws", "_mode", "_first", "_last"))
-    n = F.greatest(total, F.lit(1)).cast("double")
     # the weight of k + 1 over that of k
-    up = lambda k: (good - k).cast("double") * (draws - k) / ((k + 1).cast("double") * (total - good - draws + k + 1))
-    none, one, zero = F.array().cast("array<bigint>"), F.lit(1.0), F.lit(0).cast("bigint")
-    rows = rows.withColumns({"_lo": F.greatest(zero, draws + good - total), "_hi": F.least(draws, good)})
-    rows = rows.withColumns({
-        "_mode": F.least("_hi", F.greatest(F.col("_lo"), F.floor((draws + 1).cast("double") * (good + 1) / (total + 2)).cast("bigint"))),
-        "_reach": F.ceil(14 * F.sqrt(draws * (good / n) * (1 - good / n) * (n - draws) / F.greatest(n - 1, one)) + 14).cast("bigint"),
-    })
-    rows = rows.withColumns({"_first": F.greatest(F.col("_lo"), mode - F.col("_reach")), "_last": F.least(F.col("_hi"), mode + F.col("_reach"))})
-    rising = F.when(last > mode, F.sequence(mode, last - 1)).otherwise(none)
-    falling = F.when(mode > first, F.sequence(mode - 1, first, F.lit(-1).cast("bigint"))).otherwise(none)
-    rows = rows.withColumns({
-        "_above": F.aggregate(rising, F.struct(one.alias("w"), one.alias("s")), lambda a, k: F.struct((a.w * up(k)).alias("w"), (a.s + a.w * up(k)).alias("s"))),
-        "_below": F.aggregate(falling, F.struct(one.alias("w"), F.lit(0.0).alias("s")), lambda a, k: F.struct((a.w / up(k)).alias("w"), (a.s + a.w / up(k)).alias("s"))),
-    })
-    rows = rows.withColumn("_goal", F.col("u") * (F.col("_above.s") + F.col("_below.s")))
-    start = F.struct(F.col("_below.w").alias("w"), F.lit(0.0).alias("s"), first.alias("k"))
-    step = lambda a, k: F.struct(F.when(k < last, a.w * up(k)).otherwise(F.lit(0.0)).alias("w"), (a.s + a.w).alias("s"), F.when(a.s < F.col("_goal"), k).otherwise(a.k).alias("k"))
-    rows = rows.withColumn("_found", F.aggregate(F.sequence(first, last), start, step, lambda a: a.k))
-    drawn = F.when((good == 0) | (draws == 0), zero).when(draws == total, good).otherwise(F.col("_found"))
-    return rows.withColumn("drawn", drawn).drop("_lo", "_hi", "_mode", "_reach", "_first", "_last", "_above", "_below", "_goal", "_found")
-
-
-def _sum(counts: Column) -> Column:
-    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda a, x: a + x)
-
-
-def _left_halves(nodes: DataFrame, level: int, sources: int) -> DataFrame:
-    """``nodes(shard, counts)`` with ``left``: a multivariate hypergeometric draw of half of all blocks.
-
-    The sources are halved again and again; how many of a group's draws go to its first half is hypergeometric.
+    up = lambda k: f"(double(s.good - ({k})) * (s.draws - ({k})) / (double({k} + 1) * (s.total - s.good - s.draws + ({k}) + 1)))"
+    share = "(s.good / double(greatest(s.total, 1)))"
+    bounds = f"""named_struct('lo', greatest(0L, s.draws + s.good - s.total), 'hi', least(s.draws, s.good),
+      'guess', bigint(floor(double(s.draws + 1) * (s.good + 1) / (s.total + 2))),
+      'reach', bigint(ceil(14 * sqrt(s.draws * {share} * (1 - {share}) * (greatest(s.total, 1) - s.draws) / greatest(s.total - 1, 1.0D)) + 14)))"""
+    mode = "least(b.hi, greatest(b.lo, b.guess))"
+    limits = f"named_struct('mode', {mode}, 'first', greatest(b.lo, {mode} - b.reach), 'last', least(b.hi, {mode} + b.reach))"
+    # a sum holds the weights before the last one
+    side = lambda ks, w: f"aggregate({ks}, named_struct('w', 1.0D, 's', 0.0D), (a, k) -> named_struct('w', {w}, 's', a.s + a.w))"
+    above = side("if(r.last > r.mode, sequence(r.mode, r.last - 1), cast(array() as array<bigint>))", f"a.w * {up('k')}")
+    below = side("if(r.mode > r.first, sequence(r.mode - 1, r.first, -1L), cast(array() as array<bigint>))", f"a.w / {up('k')}")
+    # the mode's weight, 1, is in both sums
+    goal = "s.u * (t.above.s + t.above.w + t.below.s + t.below.w - 1)"
+    found = f"""aggregate(sequence(r.first, r.last), named_struct('w', t.below.w, 's', 0.0D, 'k', r.first),
+      (a, k) -> named_struct('w', if(k < r.last, a.w * {up('k')}, 0.0D), 's', a.s + a.w, 'k', if(a.s < {goal}, k, a.k)), a -> a.k)"""
+    inverted = _let("b", bounds, _let("r", limits, _let("t", f"named_struct('above', {above}, 'below', {below})", found)))
+    whole = f"case when s.good = 0 or s.draws = 0 then 0L when s.draws = s.total then s.good else {inverted} end"
+    return _let("s", f"named_struct('total', {total}, 'good', {good}, 'draws', {draws}, 'u', {u})", whole)
+
+
+def hypergeometric(rows: DataFrame) -> DataFrame:
+    """``rows(total, good, draws, u)`` with ``drawn``, the number of good ones among ``draws`` of ``total``."""
+    return rows.withColumn("drawn", F.expr(_drawn("total", "good", "draws", "u")))
+
+
+def _with_left_half(nodes: DataFrame, level: int, sources: int) -> DataFrame:
+    """``nodes(shard, counts)`` with ``left``: a multivariate hypergeometric draw of half of a node's blocks, by source.
+
+    The sources are halved again and again, a column a time; how many of a group's draws go to its first half is hypergeometric.
     """
-    groups = nodes.select("shard", F.lit(0).alias("at"), "counts", (_sum(F.col("counts")) - F.expr("aggregate(counts, 0L, (a, x) -> a + x) div 2")).alias("draws"))
-    size = sources
-    while size > 1:
-        size //= 2
-        split = groups.withColumns({"first": F.slice("counts", 1, size), "second": F.slice("counts", size + 1, size)})
-        split = split.withColumns({"total": _sum(F.col("counts")), "good": _sum(F.col("first")), "u": _uniform(F.lit(level), F.lit(size), F.col("shard"), F.col("at"))})
-        drawn = hypergeometric(split)
-        halves = F.array(F.struct("at", F.col("first").alias("counts"), F.col("drawn").alias("draws")), F.struct((F.col("at") + size).alias("at"), F.col("second").alias("counts"), (F.col("draws") - F.col("drawn")).alias("draws")))
-        groups = drawn.select("shard", F.explode(halves).alias("h")).select("shard", "h.at", "h.counts", "h.draws")
-    ordered = F.array_sort(F.collect_list(F.struct("at", F.col("counts")[0].alias("n"), "draws")))
-    return groups.groupBy("shard").agg(ordered.alias("g")).select("shard", F.col("g.n").alias("counts"), F.col("g.draws").alias("left"))
+    sum_ = lambda x: f"aggregate({x}, 0L, (n, x) -> n + x)"
+    nodes = nodes.withColumn("left", F.expr(f"array(named_struct('counts', counts, 'draws', {sum_('counts')} - {sum_('counts')} div 2))"))
+    for bit in reversed(range(sources.bit_length() - 1)):
+        size = 1 << bit
+        u = f"(pmod(xxhash64({SEED}, {level}, {size}, shard, at), {1 << 52}L) + 0.5D) / {1 << 52}D"
+        first = _drawn(sum_("g.counts"), sum_(f"slice(g.counts, 1, {size})"), "g.draws", u)
+        halves = f"array(named_struct('counts', slice(g.counts, 1, {size}), 'draws', n), named_struct('counts', slice(g.counts, {size + 1}, {size}), 'draws', g.draws - n))"
+        nodes = nodes.withColumn("left", F.expr(f"flatten(transform(left, (g, at) -> {_let('n', first, halves)}))"))
+    return nodes
 
 
 def split_quotas(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
-    """One row ``(counts array<long>)``, a block count per source in rank order, to ``(shard, counts)`` of 2**levels shards."""
+    """One row ``(counts array<long>)``, a block count per source in rank order, to ``(shard, counts)`` of 2**levels shards.
+
+    A level is a few columns and an explode, so that the whole tree is one stage without a shuffle.
+    """
     row = quotas.select(F.size("counts")).first()
-    sources = 1 << max(0, ((row[0] if row else 0) - 1).bit_length())
-    padded = F.concat("counts", F.array_repeat(F.lit(0).cast("bigint"), F.lit(sources) - F.size("counts")))
-    nodes = quotas.select(F.lit(0).cast("long").alias("shard"), padded.alias("counts"))
+    width = 1 << max(0, ((row[0] if row else 0) - 1).bit_length())
+    nodes = quotas.selectExpr("0L as shard", f"concat(counts, array_repeat(0L, {width} - size(counts))) as counts")
     for level in range(levels):
-        halves = F.array(F.struct((F.col("shard") * 2).alias("shard"), F.col("left").alias("counts")), F.struct((F.col("shard") * 2 + 1).alias("shard"), F.zip_with("counts", "left", lambda a, b: a - b).alias("counts")))
-        nodes = staged(_left_halves(nodes, level, sources).select(F.explode(halves).alias("half")).select("half.shard", "half.counts"))
+        halves = "array(named_struct('shard', shard * 2, 'counts', left.draws), named_struct('shard', shard * 2 + 1, 'counts', zip_with(counts, left.draws, (a, b) -> a - b)))"
+        nodes = _with_left_half(nodes, level, width).select(F.explode(F.expr(halves)).alias("half")).select("half.shard", "half.counts")
     return nodes
 
 

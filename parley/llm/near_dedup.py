@@ -6,7 +6,8 @@ least (round, value), and two bins of the same index agree with a probability eq
 
 Candidates never form pairs within a bucket. Documents with equal sets become one node first. Each bucket then
 links its members to its least node (a star), stars are confirmed, and only members of one bucket that still lie in
-different components are compared with each other: by 8-bit signatures in blocks, then on full sets.
+different components are compared with each other: by 8-bit signatures in blocks of bounded size, then on full sets, and
+no further once a block's pairs have joined their components.
 """
 
 from __future__ import annotations
@@ -28,8 +29,8 @@ NEED, WHOLE = 75, 100
 #: A pair of one bucket is confirmed if this many of the 128 signature bytes agree; at a similarity of 0.75, 96 are
 #: expected with a standard deviation below 5, so that fewer are as rare as a pair that no band catches.
 LEAST_AGREE = 74
-#: Members compared with one centre, or other components' members in one block.
-BLOCK, SLICE = 512, 1024
+#: Members compared with one centre, or other components' members in one block; shingles in one of these at most, on average.
+BLOCK, SLICE, BLOCK_SHINGLES = 512, 1024, 2_000_000
 #: Rows of ids (24 bytes each) that are broadcast to the texts at most; more are joined by a shuffle of both sides.
 BROADCAST_ROWS = 1_000_000
 _EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -146,79 +147,72 @@ def similar(own: np.ndarray, other: np.ndarray) -> bool:
     return WHOLE * joint >= NEED * (len(union) - joint)
 
 
-def _agreeing(left, right):  # noqa: ANN001, ANN202
-    """For each stray its place, and the places of other components' members whose signatures agree well enough."""
-    sl = np.frombuffer(b"".join(left.signature), np.uint8).reshape(-1, BINS)
-    sr = np.frombuffer(b"".join(right.signature), np.uint8).reshape(-1, BINS)
-    comp = right.component.to_numpy()
-    for i, c in enumerate(left.component):
-        agree = (sr == sl[i]).sum(1)
-        hit = np.flatnonzero((agree >= LEAST_AGREE) & (comp != c))
-        if len(hit):
-            yield i, hit, agree[hit]
+class _Joined(dict):
+    """Components that a block's links have joined so far: each to one that it was joined with, or itself."""
+
+    def of(self, c: int) -> int:
+        while c in self:
+            c = self[c]
+        return c
 
+    def join(self, a: int, b: int) -> None:
+        if a != b:
+            self[max(a, b)] = min(a, b)
 
-def _best(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """For each stray and other component the member that agrees most."""
-    ids, comp, strays = right.doc_id.to_numpy(), right.component.to_numpy(), left.doc_id.to_numpy()
-    out = [(np.empty(0, np.int64),) * 4]
-    for i, hit, agree in _agreeing(left, right):
-        order = np.lexsort((ids[hit], -agree, comp[hit]))
-        first = order[np.concatenate([[True], np.diff(comp[hit][order]) != 0])]
-        out.append((np.full(len(first), strays[i]), ids[hit[first]], comp[hit[first]], agree[first]))
-    return pd.DataFrame({c: np.concatenate([o[k] for o in out]) for k, c in enumerate(("stray", "other", "component", "agree"))})
 
+def _linking(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+    """Similar pairs of one block that join components which weren't yet, confirmed on full sets, likeliest first for each stray.
 
-def _full(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-    """All similar pairs of one block, confirmed on full sets. A pair counts in the first band that it shares."""
-    hashes, sets = WordHashes(), {}
+    A pair is looked at in the first band that it shares.
+    """
+    hashes, sets, joined = WordHashes(), {}, _Joined()
+    sl, sr = (np.frombuffer(b"".join(x.signature), np.uint8).reshape(-1, BINS) for x in (left, right))
     kl, kr = (np.stack(x["keys"].to_numpy()).astype(np.int64) for x in (left, right))
-    ids, key = right.doc_id.to_numpy(), left.key.iloc[0]
+    ids, comp, key = right.doc_id.to_numpy(), right.component.to_numpy(), left.key.iloc[0]
 
     def of(side: pd.DataFrame, i: int) -> np.ndarray:
         doc = side.doc_id.iat[i]
         if doc not in sets:
-            sets[doc] = shingle_set(side.text.iat[i].encode(), hashes)
+            sets[doc] = shingle_set((side.text.iat[i] or "").encode(), hashes)
         return sets[doc]
 
     found: list[tuple[int, int]] = []
-    for i, hit, _ in _agreeing(left, right):
+    for i, own in enumerate(left.component):
+        agree = (sr == sl[i]).sum(1)
+        hit = np.flatnonzero((agree >= LEAST_AGREE) & (comp != own))
         shared = kr[hit] == kl[i]
-        for j in hit[kl[i][shared.argmax(1)] == key]:
-            if similar(of(left, i), of(right, j)):
+        hit = hit[kl[i][shared.argmax(1)] == key] if len(hit) else hit
+        for j in hit[np.argsort(-agree[hit], kind="stable")]:
+            a, b = joined.of(own), joined.of(comp[j])
+            if a != b and similar(of(left, i), of(right, j)):
                 found.append((min(left.doc_id.iat[i], ids[j]), max(left.doc_id.iat[i], ids[j])))
+                joined.join(a, b)
     return pd.DataFrame(found, columns=["a", "b"], dtype=np.int64)
 
 
-def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame | None = None) -> DataFrame | None:
-    """Pairs ``(a, b)`` of one bucket in different components, None if there are none: candidates, the best for each stray and component; or,
-    given ``docs``, all that are similar. Of any such pair at least one is a stray, outside its bucket's least
-    component; strays are dealt into blocks and only they are compared with slices of the bucket's other members."""
+def _across(members: DataFrame, nodes: DataFrame, labels: DataFrame, docs: DataFrame) -> DataFrame | None:
+    """Pairs ``(a, b)`` that join components of which one bucket holds members, None if there are no such buckets. Of any
+    such pair at least one is a stray, outside its bucket's least component; strays are dealt into blocks and only they are
+    compared with slices of the bucket's other members. Each block gives fewer pairs than it has members."""
     part = members.join(labels, members.doc_id == labels.node, "left").select("key", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     mixed = part.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.count("*").alias("n"))
-    part = part.join(mixed.where("least <> most and n > 2").select("key", "least", "n"), "key")
-    counts = part.where("component <> least").groupBy("key").agg(F.expr(f"(count(*) + {BLOCK - 1}) div {BLOCK}").cast("int").alias("blocks"))
-    part = part.join(counts, "key").withColumn("slices", F.expr(f"(n + {SLICE - 1}) div {SLICE}").cast("int"))
-    part = staged(part)
-    if part.isEmpty():
-        return None
+    part = staged(part.join(mixed.where("least <> most and n > 2").select("key", "least"), "key"))
     ids = staged(part.select(F.col("doc_id").alias("_of")).distinct())
+    if ids.isEmpty():
+        return None
     own = nodes.join(_small(ids), F.col("doc_id") == F.col("_of"), "left_semi")
-    signed = part.join(own.select("doc_id", "signature", *([] if docs is None else ["keys"])), "doc_id")
-    if docs is not None:
-        texts = docs.select(F.col("doc_id").alias("_of"), "text").join(_small(ids), "_of", "left_semi").dropDuplicates(["_of"])
-        signed = signed.join(texts, F.col("doc_id") == F.col("_of")).drop("_of")
+    texts = docs.select(F.col("doc_id").alias("_of"), "text").join(_small(ids), "_of", "left_semi").dropDuplicates(["_of"])
+    signed = part.join(own, "doc_id").join(texts, F.col("doc_id") == F.col("_of")).drop("_of")
+    cut = lambda rows, most: f"cast(greatest((count({rows}) + {most - 1}) div {most}, sum(if({rows}, n_shingles, 0)) div {BLOCK_SHINGLES} + 1) as int)"
+    counts = part.join(own.select("doc_id", "n_shingles"), "doc_id").groupBy("key").agg(
+        F.expr(cut("nullif(component <> least, false)", BLOCK)).alias("blocks"), F.expr(cut("true", SLICE)).alias("slices"))
+    signed = signed.join(counts, "key")
     dealt = lambda n, seed: F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
     left = signed.where("component <> least").withColumn("block", dealt("blocks", 0)).withColumn("slice", each("slices"))
     right = signed.withColumn("slice", dealt("slices", 1)).withColumn("block", each("blocks"))
     left, right, on = left.toDF(*left.columns), right.toDF(*right.columns), ["key", "block", "slice"]
-    both = left.groupBy(*on).cogroup(right.groupBy(*on))
-    if docs is not None:
-        return both.applyInPandas(_full, "a long, b long").distinct()
-    found = both.applyInPandas(_best, "stray long, other long, component long, agree long")
-    found = found.groupBy("stray", "component").agg(F.max_by("other", F.struct("agree", "other")).alias("other"))
-    return found.select(F.least("stray", "other").alias("a"), F.greatest("stray", "other").alias("b")).distinct()
+    return left.groupBy(*on).cogroup(right.groupBy(*on)).applyInPandas(_linking, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -231,27 +225,19 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = staged(docs.mapInArrow(_sketch_batches, _SKETCHED))
     full = sketched.where("n_shingles > 0 and doc_id is not null")
-    sets = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"))
-    # rows of equal sets have equal keys, which partial sums fold; of them only the node goes on
-    keyed = full.select("doc_id", F.explode("keys").alias("key"))
-    shared = staged(keyed.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre <> other").select("key", "centre"))
-    leaders = sets.select(F.col("node").alias("doc_id")).distinct()
-    members = staged(keyed.join(shared, "key").join(leaders, "doc_id", "left_semi").distinct())
-    stars = staged(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct())
-    links = staged(confirmed(stars, docs))
+    # rows of equal sets have equal keys; of them only the node, the least id, goes on
+    leaders = full.groupBy("set_a", "set_b").agg(F.min("doc_id").alias("node"), F.min_by(F.struct("n_shingles", "signature", "keys"), "doc_id").alias("x"))
+    nodes = staged(leaders.select("set_a", "set_b", F.col("node").alias("doc_id"), "x.*"))
+    keyed = nodes.select("doc_id", F.explode("keys").alias("key"))
+    shared = keyed.groupBy("key").agg(F.min("doc_id").alias("centre"), F.max("doc_id").alias("other")).where("centre <> other").select("key", "centre")
+    members = staged(keyed.join(shared, "key").distinct())
+    links = staged(confirmed(members.where("doc_id <> centre").select(F.col("centre").alias("a"), F.col("doc_id").alias("b")).distinct(), docs))
     labels = components(links)
-    # a stray that belongs to a component nearly always links through its most similar member; once those links are
-    # made, what still crosses is compared in full
-    of_bucket, nodes = members.select("key", "doc_id"), full.select("doc_id", "signature", "keys")
-    best = _across(of_bucket, nodes, labels)
-    best = None if best is None else staged(best.join(stars, ["a", "b"], "left_anti"))
-    if best is not None and not best.isEmpty():
-        links = staged(links.union(confirmed(best, docs)))
-        labels = components(links)
-    more = _across(of_bucket, nodes, labels, docs)
+    more = _across(members.select("key", "doc_id"), nodes.drop("set_a", "set_b"), labels, docs)
     more = None if more is None else staged(more)
     if more is not None and not more.isEmpty():
         labels = components(links.union(more))
+    sets = nodes.select("set_a", "set_b", F.col("doc_id").alias("node"))
     of_set = sets.join(labels, sets.node == labels.node, "left").select("set_a", "set_b", F.coalesce("component", sets.node).alias("least"))
     # members of one set share its node's component, whose least id may be the node itself
     out = sketched.join(of_set, (sketched.set_a == of_set.set_a) & (sketched.set_b == of_set.set_b) & (F.col("n_shingles") > 0), "left")

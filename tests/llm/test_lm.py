@@ -69,23 +69,96 @@ def test_no_rows_and_no_training_rows(spark):
 
 
 def test_first_weights_come_from_all_texts(spark):
-    """More texts than any sample, among them a long one: the last pass's cells count every decision."""
-    texts = [f"a{i % 7} b{i % 5} c" for i in range(300)] + ["long words here " * 2000]
+    """More texts than any sample, among them one longer than a chunk: tables and sums count every decision."""
+    texts = [f"a{i % 7} b{i % 5} c rare{i}" for i in range(300)] + ["long words here " * 9000]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
     words = Counter(w for t in texts for w in [*t.split(), "\n"])
-    code = lm_mixing.Code.of(words.most_common(), sum(words.values()))
-    counts = lm_mixing.context_counts(df, code)
-    weights, corrected = lm_mixing.fit(df, code, counts)
-    d = lm_mixing.decisions([[w.encode() for w in t.split()] for t in texts], code.ready())
-    left = lm_mixing.Left.of(counts)
-    want = np.full((lm_mixing.GATES, lm_mixing.TABLES), 1 / lm_mixing.TABLES)
-    sums = left.sums(d, want)[: -2 * lm_mixing.GATES * lm_mixing.ODDS].reshape(-1, lm_mixing.GATES)
-    assert sums[0].sum() == len(d.bit)
-    moved = (weights != np.float32(1 / lm_mixing.TABLES)).any(1)
-    assert moved.any() and set(np.flatnonzero(moved)) <= set(np.flatnonzero(sums[0]))
-    cells, ones = left.sums(d, weights.astype(np.float64))[-2 * lm_mixing.GATES * lm_mixing.ODDS :].reshape(2, lm_mixing.GATES, lm_mixing.ODDS)
-    start = 1 / (1 + np.exp(-(np.arange(lm_mixing.ODDS) - lm_mixing.ODDS // 2) / 2))
-    assert np.abs(corrected - (ones + 20 * start) / (cells + 20)).max() < 0.01
+    head = [(w, n) for w, n in words.most_common() if n > 1]
+    code = lm_mixing.Code.of(head, sum(words.values()))
+    odds, left = lm_mixing.context_odds(df, code)
+    counts, n, total = np.zeros((lm_mixing.HASHED, 2 << code.slot_bits), np.int64), 0, np.zeros((2, lm_mixing._SUMS // (2 * lm_mixing.GATES), lm_mixing.GATES))
+    model = lm_mixing.Model(left, leave_one=True)
+    for chunk, part, carry, _ in lm_mixing.chunks([t.encode() for t in texts], code.ready()):
+        for d in chunk.kinds:
+            n += len(d.bit)
+            for k, s in enumerate(d.slots):
+                np.add.at(counts[k], 2 * s + d.bit, 1)
+        model.run(chunk, code, len(part), carry, total)
+    for k in range(lm_mixing.HASHED):
+        assert (odds[k] == lm_mixing.packed(counts[k, ::2], counts[k, 1::2])).all()
+    assert total[:, 0].sum() == n
+    weights = lm_mixing.fit(df, code, left)
+    assert np.abs(weights - lm_mixing.stepped(model.weights, total)).max() < 0.02
+    assert (weights != np.float32(0.3)).any()
+
+
+def plain_score(text, code, model):
+    """A text's natural log probability decision by decision, with weights and own counts as plain numbers."""
+    words = [w.encode() for w in text.split()]
+    chunk = lm_mixing.decisions([words], code)
+    total = [0.0, 0.0]
+    for kind, (d, plain) in enumerate(zip(chunk.kinds, (code.plain, code.letters), strict=True)):
+        weights, own, lo = [[float(x) for x in w] for w in model.weights[kind]], {}, 0
+        for hi in d.cuts:
+            step, seen = {}, []
+            for i in range(lo, hi):
+                first = int(plain[d.plain[i]])
+                gate, x = 0, [(first >> 4) / 256]
+                for t, s in zip(model.tables, d.slots, strict=True):
+                    v = int(t[s[i]])
+                    known = v & 15
+                    gate = gate * 4 + ((known > 0) + (known > 2) + (known > 5)) * (known <= first & 15)
+                    x.append((v >> 4) / 256)
+                n0, n1 = (min(15, own.get((int(d.own[i]), b), 0)) for b in (0, 1))
+                x.append(math.log((n1 + 0.4) / (n0 + 0.4)))
+                z, sign = sum(a * b for a, b in zip(weights[gate], x, strict=True)), 2 * int(d.bit[i]) - 1
+                right = 1 / (1 + math.exp(-sign * z))
+                total[kind] += math.log(right)
+                for k, v in enumerate(x):
+                    step.setdefault(gate, [0, [0.0] * len(x)])[1][k] += sign * (1 - right) * v
+                step[gate][0] += 1
+                seen.append((int(d.own[i]), int(d.bit[i])))
+            for gate, (n, slope) in step.items():
+                weights[gate] = [w + lm_mixing.RATE * s / (n + 64) for w, s in zip(weights[gate], slope, strict=True)]
+            for key in seen:
+                own[key] = own.get(key, 0) + 1
+            lo = hi
+    return total
+
+
+def test_score_is_that_of_plain_loops():
+    words = Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"])
+    code = lm_mixing.Code.of([(w, n) for w, n in words.most_common() if n > 1], sum(words.values())).ready()
+    rng = np.random.default_rng(5)
+    model = lm_mixing.Model([rng.integers(-8000, 8000, 1 << code.slot_bits).astype(np.int16) for _ in range(lm_mixing.HASHED)])
+    texts = ["the cat sat oddly on the mat " * 30, "x", "", "number 4 and word7 ran again and again ünï"]
+    ((chunk, part, _, _),) = lm_mixing.chunks([t.encode() for t in texts], code)
+    scores, spelled = model.run(chunk, code, len(part))
+    letters = np.bincount(chunk.rare_text, spelled, len(texts))
+    for i, t in enumerate(texts):
+        want = plain_score(t, code, model)
+        assert math.isclose(scores[i], want[0], rel_tol=1e-4, abs_tol=1e-3)
+        assert math.isclose(letters[i], want[1], rel_tol=1e-4, abs_tol=1e-3)
+
+
+def test_a_long_text_scores_alike_in_pieces(monkeypatch):
+    words = Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"])
+    code = lm_mixing.Code.of([(w, n) for w, n in words.most_common() if n > 1], sum(words.values())).ready()
+    model = lm_mixing.Model([np.zeros(1 << code.slot_bits, np.int16) for _ in range(lm_mixing.HASHED)])
+    text = ("the cat sat on the mat and word3 ran " * 700).encode()
+    scores = []
+    for size in (24_000, 1_024):
+        monkeypatch.setattr(lm_mixing, "CHUNK", size)
+        scores.append(sum(model.run(chunk, code, 1, carry)[0][0] for chunk, _, carry, _ in lm_mixing.chunks([text], code)))
+    assert math.isclose(*scores, rel_tol=0.02)
+
+
+def test_text_of_one_very_long_word_and_of_blanks(spark):
+    rows = [(1, "y" * 300_000), (2, " \n" * 200_000), (3, "a b c")]
+    got = {r.doc_id: r for r in scored(spark, rows)}
+    assert [got[i].n_tokens for i in (1, 2, 3)] == [2, 1, 4]
+    assert all(math.isfinite(r.score) and r.score < 0 for r in got.values())
+    assert math.isclose(got[1].bits_per_byte, -got[1].score * math.log2(10) / 300_001)
 
 
 def test_short_texts_are_refined():
