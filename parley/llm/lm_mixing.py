@@ -5,7 +5,7 @@ Huffman path, any other by an escape. Every decision on a path is predicted by s
 frequent token, the last token, the last two (for bytes of spelled words: the last one, three and four letters), whose
 hashed counts come from all training texts, and by the decisions that the text itself has taken at that place before. A
 gate, made of how much is known in the longer contexts, picks the weights that add up the predictors' log odds. Weights
-start from a Newton step on sums over all training texts and are refined within each text from its first tokens on, as are the
+start from fixed values (:func:`first_weights`) and are refined within each text from its first tokens on, as are the
 text's own counts: nothing that a text is scored with has seen what comes after.
 
 An escaped token is coded in two ways at once: by the dictionary of all training tokens, a table that Spark joins with the
@@ -21,17 +21,17 @@ ever seen with is shared, and counts as unknown.
 from __future__ import annotations
 
 import heapq
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.support import staged, words_of
+from parley.llm.support import staged
 
 #: Tokens coded as a whole; all others are escaped, whatever their number.
 VOCABULARY = 1 << 16
@@ -43,7 +43,7 @@ PREDICTORS = HASHED + 2
 BLOCK, EARLY, CHUNK = 256, (16, 32, 64, 128, 256), 24_000
 #: Slots of own counts a decision, and for each piece of a text that is longer than a chunk.
 OWN, OWN_LONG = 2, 1 << 19
-RATE, LEVELS = 0.6, 4
+RATE, STEADY, LEVELS = 2.4, 64, 4
 GATES = LEVELS**HASHED
 #: So many of the most frequent tokens tell what comes after them, their language above all.
 TELLING = 64
@@ -78,36 +78,30 @@ def _huffman(counts: list[int]) -> tuple[list[list[int]], list[list[int]]]:
 
 @dataclass
 class Paths:
-    """All symbols' paths end to end."""
+    """All symbols' paths end to end: where each starts, its length, and per decision the node, its hash, the branch and
+    packed counts without context."""
 
     start: np.ndarray
     length: np.ndarray
     nodes: np.ndarray
+    hashed: np.ndarray
     bits: np.ndarray
+    plain: np.ndarray
 
     @classmethod
     def of(cls, counts: list[int]) -> Paths:
         nodes, bits = _huffman(counts)
-        length = np.array([len(x) for x in nodes], np.int32)
-        flat = [np.array([y for x in z for y in x], t) for z, t in ((nodes, np.uint32), (bits, np.uint8))]
-        return cls(np.concatenate([[0], np.cumsum(length)[:-1]]).astype(np.int64), length, *flat)
-
-    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Path lengths of a sequence of symbols, and all their decisions' nodes and bits."""
+        length = np.array([len(x) for x in nodes], np.int64)
+        nodes, bits = (np.array([y for x in z for y in x], t) for z, t in ((nodes, np.int64), (bits, np.uint8)))
+        taken = np.bincount(2 * nodes + bits, np.repeat(counts, length), 2 * len(counts)).reshape(-1, 2)
+        plain = packed(*taken.T)[nodes]
+        return cls(np.concatenate([[0], np.cumsum(length)[:-1]]), length, nodes, (nodes + 1).astype(np.uint32) * np.uint32(0x9E3779B1), bits, plain)
+
+    def expand(self, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Path lengths of a sequence of symbols, and all their decisions' places in the arrays."""
         lengths = self.length[symbols]
         ends = np.cumsum(lengths)
-        at = np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[symbols] - (ends - lengths), lengths)
-        return lengths, self.nodes.take(at), self.bits.take(at)
-
-    def counts(self, weight: np.ndarray) -> np.ndarray:
-        """(nodes, 2): how often each branch is taken by symbols of these weights."""
-        size = 2 * (int(self.nodes.max(initial=0)) + 1)
-        return np.bincount(2 * self.nodes.astype(np.int64) + self.bits, np.repeat(weight, self.length), size).reshape(-1, 2)
-
-
-class _Symbols(dict):
-    def __missing__(self, word: bytes) -> int:
-        return 0
+        return lengths, np.arange(ends[-1] if len(ends) else 0) + np.repeat(self.start[symbols] - (ends - lengths), lengths)
 
 
 @dataclass
@@ -117,11 +111,9 @@ class Code:
     words: list[bytes]
     tokens: Paths
     spelling: Paths
-    plain: np.ndarray
-    letters: np.ndarray
     slot_bits: int = LEAST_SLOT_BITS
     hashes: np.ndarray = field(repr=False, default=None)
-    symbols: dict = field(repr=False, default=None)
+    known: pa.Array = field(repr=False, default=None)
 
     @classmethod
     def of(cls, frequent: list[tuple[str, int]], total: int) -> Code:
@@ -133,14 +125,13 @@ class Code:
             letters[np.frombuffer(w, np.uint8)] += 1 + n // 1000
         letters[32] += int(letters.sum() // 7)
         of_token = [max(1, total - end - sum(counts)), max(1, end), *counts]
-        tokens, spelling = Paths.of(of_token), Paths.of(letters.tolist())
         bits = int(np.clip((max(1, total) // TOKENS_A_SLOT).bit_length(), LEAST_SLOT_BITS, MOST_SLOT_BITS))
-        return cls(words, tokens, spelling, packed(*tokens.counts(np.array(of_token)).T), packed(*spelling.counts(letters).T), bits)
+        return cls(words, Paths.of(of_token), Paths.of(letters.tolist()), bits)
 
     def ready(self) -> Code:
         """With the look-ups that each worker builds for itself."""
-        if self.symbols is None:
-            self.symbols = _Symbols({w: i + 2 for i, w in enumerate(self.words)})
+        if self.known is None:
+            self.known = pa.array(self.words, pa.binary())
             self.hashes = np.array([0, 1, *(xxhash.xxh32_intdigest(w) for w in self.words)], np.uint32)
         return self
 
@@ -152,16 +143,62 @@ def packed(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     return odds * np.int16(16) | known
 
 
-def left_out(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
-    """Packed counts of slots by slot and bit, each without one occurrence of that bit."""
-    return np.stack([packed(np.maximum(0, n0 - 1), n1), packed(n0, np.maximum(0, n1 - 1))], 1).ravel()
-
-
 #: Log odds of a text's own counts, each up to 15.
 _N = np.arange(16)
 _OWN_ODDS = np.log((_N[None, :] + 0.4) / (_N[:, None] + 0.4)).astype(np.float32).ravel()
 
 
+def first_weights() -> np.ndarray:
+    """(GATES, PREDICTORS): weights by how much the three hashed contexts know (nothing, little, some, much).
+
+    Fixed values: the more the first context knows, the less counts without context weigh.
+    """
+    first, second, third = np.unravel_index(np.arange(GATES), (LEVELS,) * HASHED)
+    rows = [
+        np.array([0.40, 0.34, 0.24, 0.06])[first],
+        np.array([0.06, 0.20, 0.38, 0.60])[first],
+        np.array([0.04, 0.12, 0.20, 0.30])[second],
+        np.array([0.04, 0.12, 0.20, 0.25])[third],
+        np.full(GATES, 0.45),
+    ]
+    return np.stack(rows, 1).astype(np.float32)
+
+
+def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """How many words each text has (maximal runs without ASCII white space, A-Z lower-cased), and all of them as bytes."""
+    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
+    flat = words.flatten()
+    filled = pc.not_equal(pc.binary_length(flat), 0)
+    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
+    kept = filled.to_numpy(zero_copy_only=False)
+    return np.bincount(owner[kept], minlength=len(texts)), flat.filter(filled).cast(pa.large_binary())
+
+
+@dataclass
+class Tokens:
+    """The tokens of a batch of texts end to end, each text closed by the end token: symbols, hashes, where texts begin, and
+    the escaped words in order."""
+
+    symbol: np.ndarray
+    hashed: np.ndarray
+    begin: np.ndarray
+    rare: list[bytes]
+
+    @classmethod
+    def of(cls, texts: pa.Array, code: Code) -> Tokens:
+        lengths, flat = split_words(texts)
+        begin = np.concatenate([[0], np.cumsum(lengths + 1)])
+        symbol = np.ones(begin[-1], np.int64)
+        inside = np.ones(begin[-1], bool)
+        inside[begin[1:] - 1] = False
+        found = pc.index_in(flat, code.known.cast(pa.large_binary()))
+        symbol[inside] = found.fill_null(-2).to_numpy(zero_copy_only=False) + 2
+        rare = flat.filter(found.is_null()).to_pylist()
+        hashed = code.hashes[symbol]
+        hashed[symbol == 0] = np.fromiter(map(xxhash.xxh32_intdigest, rare), np.uint32, len(rare))
+        return cls(symbol, hashed, begin, rare)
+
+
 @dataclass
 class Carry:
     """What a text longer than a chunk takes from one piece to the next."""
@@ -170,21 +207,23 @@ class Carry:
     telling: int = 0
     one: int = 0
     two: int = 0
-    weights: list = None
+    moved: list = None
     own: list = None
 
 
 @dataclass
 class Decisions:
-    """Decisions of one kind, by block and in a block by text: hashed slots, place without context, bit, text, token, own slot, and where blocks end."""
+    """Decisions of one kind, by block and in a block by text: hashed slots, packed counts without context, branches and
+    own slots; runs of one text in one block (their text, length, and where each block's end), and where tokens begin."""
 
     slots: list[np.ndarray]
     plain: np.ndarray
     bit: np.ndarray
-    text: np.ndarray
-    token: np.ndarray
     own: np.ndarray
+    run_text: np.ndarray
+    run_length: np.ndarray
     cuts: np.ndarray
+    begin: np.ndarray
 
 
 @dataclass
@@ -194,12 +233,12 @@ class Chunk:
     kinds: tuple[Decisions, Decisions]
     rare: list[bytes]
     rare_text: np.ndarray
-    own_slots: tuple[int, int]
+    own_slots: list[int]
 
 
 def _mixed(node: np.ndarray, context: np.ndarray) -> np.ndarray:
-    h = node * np.uint32(0x9E3779B1)
-    h += context
+    """Hashes of decisions: nodes' hashes (left as they are) and contexts'."""
+    h = node + context
     h ^= h >> np.uint32(15)
     h *= np.uint32(0x85EBCA6B)
     return h
@@ -225,245 +264,159 @@ def _blocks(place: np.ndarray) -> np.ndarray:
     return np.where(place < EARLY[-1], np.searchsorted(EARLY, place, "right"), late)
 
 
-def _own_slots(node: np.ndarray, context: np.ndarray, text: np.ndarray, texts: int, carried: bool) -> tuple[np.ndarray, int]:
-    """Slots of own counts: each text has a range of its own, which its decisions alone decide, so that neighbours don't matter."""
-    n = np.bincount(text, minlength=texts)
-    size = np.full(texts, OWN_LONG) if carried else np.int64(1) << np.ceil(np.log2(OWN * np.maximum(n, 8))).astype(np.int64)
-    first = np.cumsum(size) - size
-    h = _mixed(node, context)
-    h ^= h >> np.uint32(13)
-    return first.take(text) + (h & (size - 1).astype(np.uint32).take(text)), int(size.sum())
-
-
-def decisions(texts: list[list[bytes]], code: Code, carry: Carry | None = None, last: bool = True, counting: bool = False) -> Chunk:
-    """All decisions of texts given as lists of words, each closed by the end token; or of one piece of a long text, with
-    its ``carry``, which moves on, and closed if it is the ``last``. For ``counting`` only slots and bits are needed."""
-    ending = 1 if last else 0
-    lengths = np.array([len(t) + ending for t in texts], np.int64)
-    flat = [w for t in texts for w in (*t, b"\n")] if last else [w for t in texts for w in t]
-    symbol = np.fromiter(map(code.symbols.__getitem__, flat), np.int64, len(flat))
-    if last:
-        symbol[np.cumsum(lengths) - 1] = 1
-    text, place = np.repeat(np.arange(len(texts), dtype=np.int64), lengths), _places(lengths)
-    hashed = code.hashes[symbol]
-    spelled = np.flatnonzero(symbol == 0)
-    hashed[spelled] = np.fromiter((xxhash.xxh32_intdigest(flat[i]) for i in spelled), np.uint32, len(spelled))
+def decisions(symbol: np.ndarray, hashed: np.ndarray, lengths: np.ndarray, words: list[bytes], code: Code, carry: Carry | None = None, counting: bool = False) -> Chunk:
+    """All decisions of some texts' tokens (``lengths``: how many each has), ``words`` being the escaped ones; or of one piece
+    of a long text, with its ``carry``, which moves on. For ``counting`` only slots and branches are needed."""
+    text, place = np.repeat(np.arange(len(lengths)), lengths), _places(lengths)
     tells = np.where((symbol > 1) & (symbol < TELLING + 2), np.arange(len(symbol)), -1)
     tells = np.concatenate([[-1], np.maximum.accumulate(tells)[:-1]])[: len(symbol)]
     telling = np.where(tells >= np.arange(len(symbol)) - place, symbol[tells], 0)
     one, two = _followed(hashed, place, 1), _followed(hashed, place, 2)
-    if carry and carry.place and len(flat):
+    if carry and carry.place:
         telling[tells < 0] = carry.telling
         one[0], two[0] = carry.one, carry.two
         two[1:2] = carry.one
     block = _blocks(place + (carry.place if carry else 0))
-    block -= block.min(initial=0 if not len(block) else block[0])
-    if carry and len(flat):
-        carry.place += len(flat)
+    block -= block[0]
+    if carry:
+        carry.place += len(symbol)
         now = np.flatnonzero((symbol > 1) & (symbol < TELLING + 2))
         carry.telling = int(symbol[now[-1]]) if len(now) else carry.telling
-        carry.two, carry.one = (int(hashed[-2]) if len(flat) > 1 else carry.one), int(hashed[-1])
+        carry.two, carry.one = (int(hashed[-2]) if len(symbol) > 1 else carry.one), int(hashed[-1])
     telling = telling.astype(np.uint32) * np.uint32(0x165667B1)
     one = one * np.uint32(0xC2B2AE35)
     two = (one ^ two) * np.uint32(0x27D4EB2F) + np.uint32(2)
+    rank = np.cumsum(symbol == 0) - 1
     order = np.argsort(block.astype(np.uint16) if block.max(initial=0) < 1 << 16 else block, kind="stable")
     symbol, text, block, said, one, two = (x[order] for x in (symbol, text, block, telling + np.uint32(3), one + np.uint32(1), two))
-    shift = np.uint32(32 - code.slot_bits)
-    carried = carry is not None
+    shift, many, own_slots = np.uint32(32 - code.slot_bits), len(lengths), []
 
-    def of(lengths: np.ndarray, node: np.ndarray, bit: np.ndarray, contexts: list, plain: np.ndarray, own: np.ndarray, token: np.ndarray, text: np.ndarray, block: np.ndarray) -> tuple[Decisions, int]:
+    def of(paths: Paths, symbols: np.ndarray, contexts: list, own: np.ndarray | None, text: np.ndarray, block: np.ndarray, words: np.ndarray | None) -> Decisions:
+        lengths, at = paths.expand(symbols)
+        node, bit = paths.hashed.take(at), paths.bits.take(at)
         slots = [(_mixed(node, np.repeat(c, lengths)) >> shift).astype(np.int64) for c in contexts]
         if counting:
-            return Decisions(slots, plain, bit, None, None, None, None), 0
-        who = np.repeat(text, lengths)
-        at, size = _own_slots(node, own, who, len(texts), carried)
-        ends = np.cumsum(np.bincount(block, lengths, int(block.max(initial=0)) + 1).astype(np.int64))
-        return Decisions(slots, plain, bit, who, np.repeat(token, lengths), at, ends), size
-
-    lengths, node, bit = code.tokens.expand(symbol)
-    tokens, size = of(lengths, node, bit, [said, one, two], node, np.uint32(0), np.arange(len(symbol)), text, block)
+            return Decisions(slots, None, bit, None, None, None, None, None)
+        # each text has a range of own slots, which its decisions alone decide, so that neighbours don't matter
+        n = np.bincount(text, lengths, many)
+        size = np.full(many, OWN_LONG) if carry else np.int64(1) << np.ceil(np.log2(OWN * np.maximum(n, 8))).astype(np.int64)
+        first = np.cumsum(size) - size
+        own_slots.append(int(size.sum()))
+        h = _mixed(node, np.uint32(0) if own is None else np.repeat(own, lengths))
+        h ^= h >> np.uint32(13)
+        h &= np.repeat((size - 1).astype(np.uint32)[text], lengths)
+        starts = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(block, prepend=-1)) if len(text) else np.empty(0, np.int64)
+        run_length = np.add.reduceat(lengths, starts) if len(starts) else starts
+        begin = np.cumsum(lengths) - lengths
+        return Decisions(slots, paths.plain.take(at), bit, np.repeat(first[text], lengths) + h, text[starts], run_length, np.cumsum(np.bincount(block[starts])), begin if words is None else begin[words])
+
+    tokens = of(code.tokens, symbol, [said, one, two], None, text, block, None)
     at = np.flatnonzero(symbol == 0)
-    rare, rare_text = [flat[i] for i in order[at]], text[at]
+    rare, rare_text = [words[i] for i in rank[order[at]]], text[at]
     letters = np.frombuffer(b" ".join(rare) + b" " if rare else b"", np.uint8)
     widths = np.fromiter(map(len, rare), np.int64, len(rare)) + 1
     inner, wide = _places(widths), letters.astype(np.uint32)
     a, b, c, d = (_followed(wide, inner, k) for k in (1, 2, 3, 4))
     abc = a | b << np.uint32(8) | c << np.uint32(16)
-    language = np.repeat(said[at], widths)
-    contexts = [a * np.uint32(0xC2B2AE35) + language, abc * np.uint32(0x27D4EB2F) + np.uint32(5), (abc | d << np.uint32(24)) * np.uint32(0x85EBCA6B) + np.uint32(9)]
-    lengths, node, bit = code.spelling.expand(letters.astype(np.int64))
-    spelling, more = of(lengths, node, bit, contexts, node, np.repeat(abc * np.uint32(0x165667B1), lengths), np.repeat(np.arange(len(rare)), widths), np.repeat(rare_text, widths), np.repeat(block[at], widths))
-    return Chunk((tokens, spelling), rare, rare_text, (size, more))
-
-
-def chunks(texts: list[bytes | None], code: Code, counting: bool = False) -> Iterator[tuple[Chunk, list[list[bytes]], Carry | None, bool]]:
-    """Decisions of texts, about CHUNK tokens at a time; a longer text comes in pieces, with what it carries on."""
-    part, size = [], 0
-    for t in texts:
-        words = words_of(t)
-        if part and size + len(words) > CHUNK:
-            yield decisions(part, code, counting=counting), part, None, True
-            part, size = [], 0
-        if len(words) > CHUNK:
+    contexts = [a * np.uint32(0xC2B2AE35) + np.repeat(said[at], widths) + np.uint32(7), abc * np.uint32(0x27D4EB2F) + np.uint32(5), (abc | d << np.uint32(24)) * np.uint32(0x85EBCA6B) + np.uint32(9)]
+    spelling = of(code.spelling, letters.astype(np.int64), contexts, abc * np.uint32(0x165667B1), np.repeat(rare_text, widths), np.repeat(block[at], widths), np.cumsum(widths) - widths)
+    return Chunk((tokens, spelling), rare, rare_text, own_slots)
+
+
+def chunks(tokens: Tokens, code: Code, counting: bool = False) -> Iterator[tuple[Chunk, slice, Carry | None]]:
+    """Decisions of texts, about CHUNK tokens at a time, with the places of these texts; a longer text comes in pieces, with
+    what it carries on."""
+    escaped = np.concatenate([[0], np.cumsum(tokens.symbol == 0)])
+
+    def cut(lo: int, hi: int, lengths: np.ndarray, carry: Carry | None = None) -> Chunk:
+        return decisions(tokens.symbol[lo:hi], tokens.hashed[lo:hi], lengths, tokens.rare[escaped[lo] : escaped[hi]], code, carry, counting)
+
+    begin, first = tokens.begin, 0
+    while first < len(begin) - 1:
+        upto = max(first + 1, int(np.searchsorted(begin, begin[first] + CHUNK, "right")) - 1)
+        lo, hi = int(begin[first]), int(begin[upto])
+        if hi - lo <= CHUNK:
+            yield cut(lo, hi, np.diff(begin[first : upto + 1])), slice(first, upto), None
+        else:
             carry = Carry()
-            for lo in range(0, len(words), CHUNK):
-                piece, last = words[lo : lo + CHUNK], lo + CHUNK >= len(words)
-                yield decisions([piece], code, carry, last, counting), [piece], carry, last
-            continue
-        part.append(words)
-        size += len(words) + 1
-    if part:
-        yield decisions(part, code, counting=counting), part, None, True
-
-
-_PAIRS = [(i, j) for i in range(PREDICTORS) for j in range(i, PREDICTORS)]
-#: Per kind and gate: decisions, slopes, curvatures.
-_SUMS = 2 * GATES * (1 + PREDICTORS + len(_PAIRS))
+            for at in range(lo, hi, CHUNK):
+                end = min(at + CHUNK, hi)
+                yield cut(at, end, np.array([end - at]), carry), slice(first, upto), carry
+        first = upto
 
 
 @dataclass
 class Model:
-    """Hashed tables of both kinds in one, by slot (or by slot and bit, ``leave_one``), and first weights."""
+    """Hashed tables of packed counts, by slot; first weights."""
 
     tables: list[np.ndarray]
-    leave_one: bool = False
-    weights: np.ndarray = field(default_factory=lambda: np.full((2, GATES, PREDICTORS), 0.3, np.float32))
-
-    def run(self, chunk: Chunk, code: Code, texts: int, carry: Carry | None = None, sums: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The natural log probability of each text without its escaped words, and of each of these by its letters.
-
-        With ``sums`` weights stay as they are, and slopes and curvatures are added up.
-        """
-        out = (np.zeros(texts), np.zeros(len(chunk.rare)))
-        for kind, (d, plain) in enumerate(zip(chunk.kinds, (code.plain, code.letters), strict=True)):
-            if carry and carry.weights is None:
-                carry.weights, carry.own = [None, None], [None, None]
-            weights = carry.weights[kind] if carry and carry.weights[kind] is not None else np.repeat(self.weights[kind].T[:, None, :], texts, 1).reshape(PREDICTORS, texts * GATES).copy()
-            own = carry.own[kind] if carry and carry.own[kind] is not None else np.zeros(2 * chunk.own_slots[kind], np.int32)
-            if carry:
-                carry.weights[kind], carry.own[kind] = weights, own
-            group, many = (d.text, texts) if kind == 0 else (d.token, len(chunk.rare))
-            lo, seen = 0, []
-            for hi in d.cuts:
-                if lo < hi:
-                    i = slice(lo, hi)
-                    logs = self._block(d, i, plain, weights, own, None if sums is None else seen)
-                    if sums is None:
-                        out[kind][:] += np.bincount(group[i], logs, many)
-                lo = hi
-            if seen:
-                _add_up(seen, sums[kind])
-        return out
-
-    def _block(self, d: Decisions, i: slice, plain: np.ndarray, weights: np.ndarray, own: np.ndarray, seen: list | None) -> np.ndarray | None:
-        bit = d.bit[i]
-        first = plain.take(d.plain[i])
-        least = first & 15
-        gate = d.text[i] * GATES
-        values, level = [], np.zeros(len(bit), np.uint8)
+    weights: np.ndarray = field(default_factory=first_weights)
+
+    def run(self, chunk: Chunk, texts: int, carry: Carry | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The natural log probability of each text without its escaped words, and of each of these by its letters."""
+        if carry and carry.own is None:
+            carry.moved, carry.own = ([np.zeros((PREDICTORS, 1), np.float32) for _ in range(2)], [np.zeros(n, np.int32) for n in chunk.own_slots])
+        logs = []
+        for kind, d in enumerate(chunk.kinds):
+            own = carry.own[kind] if carry else np.zeros(chunk.own_slots[kind], np.int32)
+            moved = carry.moved[kind] if carry else np.zeros((PREDICTORS, texts), np.float32)
+            logs.append(self._logs(d, own, moved))
+            if carry:  # counts stay below what half of an entry holds
+                carry.own[kind] = np.minimum(own & 0xFFFF, 255) | np.minimum(own >> 16, 255) << 16
+        tokens, spelling = chunk.kinds
+        first = np.cumsum(tokens.run_length) - tokens.run_length
+        of_text = np.bincount(tokens.run_text, np.add.reduceat(logs[0], first), texts) if len(first) else np.zeros(texts)
+        return of_text, np.add.reduceat(logs[1], spelling.begin).astype(np.float64) if chunk.rare else np.zeros(0)
+
+    def _logs(self, d: Decisions, own: np.ndarray, moved: np.ndarray) -> np.ndarray:
+        """Each decision's log probability; ``own`` counts and what weights have ``moved`` by text go on block by block."""
+        least = d.plain & 15
+        x, level = [(d.plain >> 4) * np.float32(1 / _FINE)], np.zeros(len(d.bit), np.uint8)
         for t, s in zip(self.tables, d.slots, strict=True):
-            v = t.take(2 * s[i] + bit if self.leave_one else s[i])
+            v = t.take(s)
             known = v & 15
             # a slot with more than its decision was ever seen with is shared
-            level = level * np.uint8(LEVELS) + ((known > 0).view(np.uint8) + (known > 2) + (known > 5)) * (known <= least)
-            values.append((v >> 4) * np.float32(1 / _FINE))
-        gate = gate + level
-        at = d.own[i]
-        pair = own.reshape(-1, 2).take(at, axis=0)
-        np.minimum(pair, 15, out=pair)
-        x = [(first >> 4) * np.float32(1 / _FINE), *values, _OWN_ODDS.take(pair[:, 0] * 16 + pair[:, 1])]
-        z = weights[0].take(gate) * x[0]
-        for k in range(1, PREDICTORS):
-            z += weights[k].take(gate) * x[k]
-        sign = bit.astype(np.float32) * 2 - 1
-        e = np.exp(np.minimum(-sign * z, np.float32(60)))
-        right = 1 / (1 + e)
-        error = sign * (1 - right)
-        np.add.at(own, 2 * at + bit, np.int32(1))
-        if seen is not None:
-            seen.append((level, np.stack([*x, error], 1), right * (1 - right)))
-            return None
-        n = len(weights[0])
-        share = np.float32(RATE) / (np.bincount(gate, minlength=n) + 64)
-        for k in range(PREDICTORS):
-            weights[k] += (np.bincount(gate, error * x[k], n) * share).astype(np.float32)
-        return np.log(np.maximum(right, np.float32(1e-9)))
-
-
-def _add_up(seen: list[tuple], sums: np.ndarray) -> None:
-    """Decisions' predictions with their error, and the slope of the logistic function there, to sums by gate."""
-    level, rows, spread = (np.concatenate(c) for c in zip(*seen, strict=True))
-    order = np.argsort(level, kind="stable")
-    rows, spread = rows[order], spread[order]
-    cuts = np.cumsum(np.bincount(level, minlength=GATES))
-    sums[0] += np.diff(cuts, prepend=0)
-    lo = 0
-    for g, hi in enumerate(cuts):
-        if lo < hi:
-            x = rows[lo:hi, :PREDICTORS]
-            sums[1 : 1 + PREDICTORS, g] += x.T @ rows[lo:hi, PREDICTORS]
-            curve = x.T @ (x * spread[lo:hi, None])
-            sums[1 + PREDICTORS :, g] += [curve[pair] for pair in _PAIRS]
-        lo = hi
-
-
-def _fit_sums(sent):  # noqa: ANN001, ANN202
-    """Each task's own sums over all its texts."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        code, model = sent.value
-        code.ready()
-        total = np.zeros((2, _SUMS // (2 * GATES), GATES))
-        for batch in batches:
-            for chunk, texts, carry, _ in chunks(batch.column(0).cast(pa.binary()).to_pylist(), code):
-                model.run(chunk, code, len(texts), carry, total)
-        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-    return run
-
-
-def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total = np.zeros(_SUMS)
-    for batch in batches:
-        for x in batch.column(0).to_pylist():
-            total += np.frombuffer(x)
-    yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["sums"])
-
-
-def fit(texts: DataFrame, code: Code, left: list[np.ndarray]) -> np.ndarray:
-    """First weights from all ``texts``: each gate is a logistic regression, and one Newton step is taken from equal weights
-    on slopes and curvatures summed over all decisions, each without its own occurrence. The sums have a fixed size."""
-    model = Model(left, leave_one=True)
-    sent = texts.sparkSession.sparkContext.broadcast((code, model))
-    parts = texts.mapInArrow(_fit_sums(sent), "sums binary").repartition(8).mapInArrow(_summed, "sums binary").collect()
-    sent.destroy()
-    total = sum((np.frombuffer(r.sums) for r in parts), np.zeros(_SUMS)).reshape(2, -1, GATES)
-    return stepped(model.weights, total)
-
-
-def stepped(weights: np.ndarray, total: np.ndarray) -> np.ndarray:
-    """Weights after one Newton step on the sums (2, 1 + PREDICTORS + pairs, GATES)."""
-    curve = np.zeros((2, GATES, PREDICTORS, PREDICTORS))
-    for k, (i, j) in enumerate(_PAIRS):
-        curve[:, :, i, j] = curve[:, :, j, i] = total[:, 1 + PREDICTORS + k]
-    curve += (4 + 1e-5 * total[:, 0])[:, :, None, None] * np.eye(PREDICTORS)
-    slope = total[:, 1 : 1 + PREDICTORS].transpose(0, 2, 1)
-    return (weights + np.clip(np.linalg.solve(curve, slope[..., None])[..., 0], -1, 1)).astype(np.float32)
+            level *= np.uint8(LEVELS)
+            level += ((known > 0).view(np.uint8) + (known > 2) + (known > 5)) * (known <= least)
+            x.append((v >> 4) * np.float32(1 / _FINE))
+        gate = level.astype(np.int64)
+        fixed = self.weights[:, 0].take(gate) * x[0]
+        for k in range(1, PREDICTORS - 1):
+            fixed += self.weights[:, k].take(gate) * x[k]
+        for_own = self.weights[0, -1]
+        sign, one = d.bit.astype(np.float32) * 2 - 1, np.where(d.bit, np.int32(1 << 16), np.int32(1))
+        out, lo, run = np.empty(len(d.bit), np.float32), 0, 0
+        for upto in d.cuts:
+            texts, lengths = d.run_text[run:upto], d.run_length[run:upto]
+            run = upto
+            if not len(texts):
+                continue
+            starts = np.cumsum(lengths) - lengths
+            hi = lo + int(lengths.sum())
+            at = d.own[lo:hi]
+            seen = own.take(at)
+            values = [v[lo:hi] for v in x]
+            values.append(_OWN_ODDS.take(np.minimum(seen & 0xFFFF, 15) * 16 + np.minimum(seen >> 16, 15)))
+            z = fixed[lo:hi] + for_own * values[-1]
+            for k, v in enumerate(values):
+                z += np.repeat(moved[k, texts], lengths) * v
+            z *= sign[lo:hi]
+            right = 1 / (1 + np.exp(np.minimum(-z, np.float32(60))))
+            error = sign[lo:hi] * (1 - right)
+            out[lo:hi] = right
+            share = np.float32(RATE) / (lengths + np.float32(STEADY))
+            for k, v in enumerate(values):
+                moved[k, texts] += np.add.reduceat(error * v, starts) * share
+            np.add.at(own, at, one[lo:hi])
+            lo = hi
+        return np.log(np.maximum(out, np.float32(1e-9)))
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    def rows(c: Counter) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([w.decode() for w in c], pa.string()), pa.array(list(c.values()), pa.int64())], names=["token", "n"])
-
-    count: Counter = Counter()
     for batch in batches:
-        for text in batch.column(0).cast(pa.binary()).to_pylist():
-            count.update(words_of(text))
-            count[b"\n"] += 1
-            if len(count) > 400_000:
-                yield rows(count)
-                count = Counter()
-    yield rows(count)
+        counted = split_words(batch.column(0))[1].value_counts()
+        tokens, n = counted.field("values").cast(pa.binary()).cast(pa.string()), counted.field("counts")
+        yield pa.RecordBatch.from_arrays([pa.concat_arrays([tokens, pa.array([END])]), pa.concat_arrays([n, pa.array([batch.num_rows])])], names=["token", "n"])
 
 
 def _coded(x: np.ndarray) -> bytes:
@@ -497,7 +450,7 @@ def _context_counts(sent):  # noqa: ANN001, ANN202
         size = 2 << code.slot_bits
         tables = [np.zeros(size, np.int32) for _ in range(HASHED)]
         for batch in batches:
-            for chunk, _, _, _ in chunks(batch.column(0).cast(pa.binary()).to_pylist(), code, counting=True):
+            for chunk, _, _ in chunks(Tokens.of(batch.column(0), code), code, counting=True):
                 for d in chunk.kinds:
                     for t, s in zip(tables, d.slots, strict=True):
                         np.add.at(t, 2 * s + d.bit, np.int32(1))
@@ -510,12 +463,11 @@ def _context_counts(sent):  # noqa: ANN001, ANN202
 
 def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows sorted by (k, piece) are added up one by one, and become log odds."""
-    key, total, names = None, None, ["k", "piece", "odds", "left"]
+    key, total, names = None, None, ["k", "piece", "odds"]
     done: list[tuple] = []
 
     def finish() -> None:
-        pair = total.reshape(-1, 2).T
-        done.append((*key, packed(*pair).tobytes(), left_out(*pair).tobytes()))
+        done.append((*key, packed(*total.reshape(-1, 2).T).tobytes()))
 
     for batch in batches:
         for k, piece, counts in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -531,18 +483,17 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pieces(done, names)
 
 
-def context_odds(texts: DataFrame, code: Code) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """The hashed tables over all ``texts``: packed log odds by slot, and the same by slot and bit without one occurrence."""
+def context_odds(texts: DataFrame, code: Code) -> list[np.ndarray]:
+    """The hashed tables over all ``texts``: packed counts by slot."""
     sent = texts.sparkSession.sparkContext.broadcast(code)
     pieces = texts.mapInArrow(_context_counts(sent), _PIECES)
-    summed = pieces.repartition("k", "piece").sortWithinPartitions("k", "piece").mapInArrow(_added, "k int, piece int, odds binary, left binary")
-    odds, left = ([np.zeros(n << code.slot_bits, np.int16) for _ in range(HASHED)] for n in (1, 2))
+    summed = pieces.repartition("k", "piece").sortWithinPartitions("k", "piece").mapInArrow(_added, "k int, piece int, odds binary")
+    odds = [np.zeros(1 << code.slot_bits, np.int16) for _ in range(HASHED)]
     for batch in summed.toArrow().to_batches():
-        for k, piece, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            odds[k][piece * _PIECE // 2 : (piece + 1) * _PIECE // 2] = np.frombuffer(a, np.int16)
-            left[k][piece * _PIECE : (piece + 1) * _PIECE] = np.frombuffer(b, np.int16)
+        for k, piece, data in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            odds[k][piece * _PIECE // 2 : (piece + 1) * _PIECE // 2] = np.frombuffer(data, np.int16)
     sent.destroy()
-    return odds, left
+    return odds
 
 
 _SCORED = "uid long, doc_id long, n_tokens long, n_bytes long, score double, base double, known long, token string, spelled double"
@@ -558,20 +509,21 @@ def _scored(sent):  # noqa: ANN001, ANN202
         code, model, logs = sent.value
         code.ready()
         for batch in batches:
-            ids, uids, sizes, at = batch.column(0).to_pylist(), np.array(batch.column(1)), pa.compute.binary_length(batch.column(2)).fill_null(0).to_pylist(), 0
-            for chunk, texts, carry, last in chunks(batch.column(2).cast(pa.binary()).to_pylist(), code):
-                n, rare = len(texts), len(chunk.rare)
-                scores, spelled = model.run(chunk, code, n, carry)
-                flat = np.fromiter((code.symbols[w] for t in texts for w in t), np.int64)
-                of = np.repeat(np.arange(n), [len(t) for t in texts])
-                base, known = np.bincount(of, logs[flat], n) + last * logs[1], np.bincount(of[flat > 0], minlength=n) + int(last and logs[1] > 0)
-                columns = [
-                    np.concatenate([uids[at : at + n], uids[at + chunk.rare_text]]), ids[at : at + n] + [None] * rare, [len(t) + last for t in texts] + [None] * rare,
-                    (sizes[at : at + n] if last else [0]) + [None] * rare, (scores / np.log(10)).tolist() + [None] * rare, base.tolist() + [None] * rare,
-                    known.tolist() + [None] * rare, [None] * n + [w.decode() for w in chunk.rare], [None] * n + (spelled / np.log(10)).tolist(),
-                ]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)], names=names)
-                at += n if last else 0
+            tokens, uids = Tokens.of(batch.column(2), code), np.array(batch.column(1))
+            lengths = np.diff(tokens.begin)
+            of = np.repeat(np.arange(batch.num_rows), lengths)
+            base = np.bincount(of, logs[tokens.symbol], batch.num_rows)
+            known = np.bincount(of[logs[tokens.symbol] > 0], minlength=batch.num_rows)
+            sizes, scores = pc.binary_length(batch.column(2)).fill_null(0).cast(pa.int64()), np.zeros(batch.num_rows)
+            for chunk, at, carry in chunks(tokens, code):
+                logp, spelled = model.run(chunk, at.stop - at.start, carry)
+                scores[at] += logp
+                if chunk.rare:
+                    nothing = [pa.nulls(len(chunk.rare), kind) for kind in _KINDS[1:7]]
+                    words = pa.array(chunk.rare, pa.binary()).cast(pa.string())
+                    yield pa.RecordBatch.from_arrays([pa.array(uids[at][chunk.rare_text]), *nothing, words, pa.array(spelled / np.log(10))], names=names)
+            columns = [pa.array(uids), batch.column(0), pa.array(lengths), sizes, pa.array(scores / np.log(10)), pa.array(base), pa.array(known)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, pa.string()), pa.nulls(batch.num_rows, pa.float64())], names=names)
 
     return run
 
@@ -596,13 +548,10 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, doc_id: str = "do
     # of the training texts' escapes so many are found again when one occurrence is left out
     found_again = (escaped - (once - sum(n == 1 for _, n in frequent))) / escaped
     code = Code.of(frequent, total)
-    odds, left = context_odds(training, code)
-    model = Model(odds)
-    model.weights = fit(training, code, left)
-    del left
+    model = Model(context_odds(training, code))
     by_token = dict(frequent)
     logs = np.log10(np.array([0, by_token.get(END, 0), *(by_token[w.decode()] for w in code.words)], np.float64) + 1)
-    code.symbols = code.hashes = None
+    code.known = code.hashes = None
     sent = spark.sparkContext.broadcast((code, model, logs))
     rows = own.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_scored(sent), _SCORED)
     # a text's own row gets a key that no token has, so that such rows spread over all partitions

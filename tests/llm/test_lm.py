@@ -3,6 +3,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 
 from parley.llm import lm_mixing
 
@@ -68,41 +69,51 @@ def test_no_rows_and_no_training_rows(spark):
     assert np.isfinite(r.score)
 
 
-def test_first_weights_come_from_all_texts(spark):
-    """More texts than any sample, among them one longer than a chunk: tables and sums count every decision."""
-    texts = [f"a{i % 7} b{i % 5} c rare{i}" for i in range(300)] + ["long words here " * 9000]
+def code_of(words, total=None):
+    return lm_mixing.Code.of([(w, n) for w, n in words.most_common() if n > 1], total or sum(words.values())).ready()
+
+
+def chunks_of(texts, code):
+    return list(lm_mixing.chunks(lm_mixing.Tokens.of(pa.array(texts, pa.string()), code), code))
+
+
+def test_tables_count_every_decision_of_all_texts(spark):
+    """More texts than a chunk holds, among them one that comes in pieces."""
+    texts = [f"a{i % 7} b{i % 5} c rare{i}" for i in range(300)] + ["long words here " * 9000, None, " "]
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
-    words = Counter(w for t in texts for w in [*t.split(), "\n"])
-    head = [(w, n) for w, n in words.most_common() if n > 1]
-    code = lm_mixing.Code.of(head, sum(words.values()))
-    odds, left = lm_mixing.context_odds(df, code)
-    counts, n, total = np.zeros((lm_mixing.HASHED, 2 << code.slot_bits), np.int64), 0, np.zeros((2, lm_mixing._SUMS // (2 * lm_mixing.GATES), lm_mixing.GATES))
-    model = lm_mixing.Model(left, leave_one=True)
-    for chunk, part, carry, _ in lm_mixing.chunks([t.encode() for t in texts], code.ready()):
+    words = Counter(w for t in texts for w in [*(t or "").split(), "\n"])
+    code = code_of(words)
+    odds = lm_mixing.context_odds(df, code)
+    counts, n = np.zeros((lm_mixing.HASHED, 2 << code.slot_bits), np.int64), 0
+    for chunk, _, _ in chunks_of(texts, code):
         for d in chunk.kinds:
             n += len(d.bit)
             for k, s in enumerate(d.slots):
                 np.add.at(counts[k], 2 * s + d.bit, 1)
-        model.run(chunk, code, len(part), carry, total)
+    of_word = {w: int(n) for w, n in zip(code.words, code.tokens.length[2:], strict=True)}
+    escape, end = (int(x) for x in code.tokens.length[:2])
+    want = sum(of_word.get(w.encode(), end if w == "\n" else escape) * c for w, c in words.items())
+    want += sum(int(code.spelling.length[b]) * c for w, c in words.items() if w != "\n" and w.encode() not in of_word for b in w.encode() + b" ")
+    assert n == want
     for k in range(lm_mixing.HASHED):
         assert (odds[k] == lm_mixing.packed(counts[k, ::2], counts[k, 1::2])).all()
-    assert total[:, 0].sum() == n
-    weights = lm_mixing.fit(df, code, left)
-    assert np.abs(weights - lm_mixing.stepped(model.weights, total)).max() < 0.02
-    assert (weights != np.float32(0.3)).any()
+
+
+def test_tables_grow_with_the_corpus():
+    words = Counter(a=5, b=3)
+    assert [code_of(words, total).slot_bits for total in (10, 10**7, 10**8)] == [18, 20, lm_mixing.MOST_SLOT_BITS]
 
 
 def plain_score(text, code, model):
     """A text's natural log probability decision by decision, with weights and own counts as plain numbers."""
-    words = [w.encode() for w in text.split()]
-    chunk = lm_mixing.decisions([words], code)
+    ((chunk, _, _),) = chunks_of([text], code)
     total = [0.0, 0.0]
-    for kind, (d, plain) in enumerate(zip(chunk.kinds, (code.plain, code.letters), strict=True)):
-        weights, own, lo = [[float(x) for x in w] for w in model.weights[kind]], {}, 0
-        for hi in d.cuts:
-            step, seen = {}, []
-            for i in range(lo, hi):
-                first = int(plain[d.plain[i]])
+    for kind, d in enumerate(chunk.kinds):
+        moved, own, lo = [0.0] * lm_mixing.PREDICTORS, {}, 0
+        for length in d.run_length.tolist():
+            slope, seen = [0.0] * lm_mixing.PREDICTORS, []
+            for i in range(lo, lo + length):
+                first = int(d.plain[i])
                 gate, x = 0, [(first >> 4) / 256]
                 for t, s in zip(model.tables, d.slots, strict=True):
                     v = int(t[s[i]])
@@ -111,29 +122,25 @@ def plain_score(text, code, model):
                     x.append((v >> 4) / 256)
                 n0, n1 = (min(15, own.get((int(d.own[i]), b), 0)) for b in (0, 1))
                 x.append(math.log((n1 + 0.4) / (n0 + 0.4)))
-                z, sign = sum(a * b for a, b in zip(weights[gate], x, strict=True)), 2 * int(d.bit[i]) - 1
+                z, sign = sum((a + m) * b for a, m, b in zip(map(float, model.weights[gate]), moved, x, strict=True)), 2 * int(d.bit[i]) - 1
                 right = 1 / (1 + math.exp(-sign * z))
                 total[kind] += math.log(right)
-                for k, v in enumerate(x):
-                    step.setdefault(gate, [0, [0.0] * len(x)])[1][k] += sign * (1 - right) * v
-                step[gate][0] += 1
+                slope = [s + sign * (1 - right) * v for s, v in zip(slope, x, strict=True)]
                 seen.append((int(d.own[i]), int(d.bit[i])))
-            for gate, (n, slope) in step.items():
-                weights[gate] = [w + lm_mixing.RATE * s / (n + 64) for w, s in zip(weights[gate], slope, strict=True)]
+            moved = [m + lm_mixing.RATE * s / (length + lm_mixing.STEADY) for m, s in zip(moved, slope, strict=True)]
             for key in seen:
                 own[key] = own.get(key, 0) + 1
-            lo = hi
+            lo += length
     return total
 
 
 def test_score_is_that_of_plain_loops():
-    words = Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"])
-    code = lm_mixing.Code.of([(w, n) for w, n in words.most_common() if n > 1], sum(words.values())).ready()
+    code = code_of(Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"]))
     rng = np.random.default_rng(5)
     model = lm_mixing.Model([rng.integers(-8000, 8000, 1 << code.slot_bits).astype(np.int16) for _ in range(lm_mixing.HASHED)])
     texts = ["the cat sat oddly on the mat " * 30, "x", "", "number 4 and word7 ran again and again ünï"]
-    ((chunk, part, _, _),) = lm_mixing.chunks([t.encode() for t in texts], code)
-    scores, spelled = model.run(chunk, code, len(part))
+    ((chunk, _, _),) = chunks_of(texts, code)
+    scores, spelled = model.run(chunk, len(texts))
     letters = np.bincount(chunk.rare_text, spelled, len(texts))
     for i, t in enumerate(texts):
         want = plain_score(t, code, model)
@@ -142,17 +149,23 @@ def test_score_is_that_of_plain_loops():
 
 
 def test_a_long_text_scores_alike_in_pieces(monkeypatch):
-    words = Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"])
-    code = lm_mixing.Code.of([(w, n) for w, n in words.most_common() if n > 1], sum(words.values())).ready()
+    code = code_of(Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"]))
     model = lm_mixing.Model([np.zeros(1 << code.slot_bits, np.int16) for _ in range(lm_mixing.HASHED)])
-    text = ("the cat sat on the mat and word3 ran " * 700).encode()
-    scores = []
+    text, scores = "the cat sat on the mat and word3 ran " * 700, []
     for size in (24_000, 1_024):
         monkeypatch.setattr(lm_mixing, "CHUNK", size)
-        scores.append(sum(model.run(chunk, code, 1, carry)[0][0] for chunk, _, carry, _ in lm_mixing.chunks([text], code)))
+        scores.append(sum(model.run(chunk, 1, carry)[0][0] for chunk, _, carry in chunks_of([text], code)))
     assert math.isclose(*scores, rel_tol=0.02)
 
 
+def test_neighbours_do_not_matter():
+    code = code_of(Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"]))
+    model = lm_mixing.Model([np.zeros(1 << code.slot_bits, np.int16) for _ in range(lm_mixing.HASHED)])
+    one, two = "the cat sat oddly " * 40, "another text " * 90
+    ((a, _, _),), ((b, _, _),) = chunks_of([one], code), chunks_of([two, one, None], code)
+    assert math.isclose(model.run(a, 1)[0][0], model.run(b, 3)[0][1], rel_tol=1e-5)
+
+
 def test_text_of_one_very_long_word_and_of_blanks(spark):
     rows = [(1, "y" * 300_000), (2, " \n" * 200_000), (3, "a b c")]
     got = {r.doc_id: r for r in scored(spark, rows)}
