@@ -2,20 +2,19 @@
 
 Text is a sequence of tokens, each coded by binary decisions: a token among the ``VOCABULARY`` most frequent ones by its
 Huffman path, any other by an escape. Every decision on a path is predicted by several contexts: none, the last very
-frequent token, the last token, the last two (for bytes of spelled words: the last one, three and four letters), whose
-hashed counts come from all training texts, and by the decisions that the text itself has taken at that place before. A
-gate, made of how much is known in the longer contexts, picks the weights that add up the predictors' log odds. Weights
-start from fixed values (:func:`first_weights`) and are refined within each text from its first tokens on, as are the
-text's own counts: nothing that a text is scored with has seen what comes after.
-
-An escaped token is coded in two ways at once: by the dictionary of all training tokens, a table that Spark joins with the
-texts' tokens, at its share of all escaped ones, and by its letters. The dictionary weighs as much as tokens that
-occur again do among the training texts' escapes. All decisions form a prefix code, so the probabilities of all texts add up
-to at most one.
-
-The dictionary has a row per distinct token of the corpus and is never held whole. The hashed tables grow with the
-counted tokens up to ``MOST_SLOT_BITS``, which one worker's memory bounds; a slot that holds more than its decision was
-ever seen with is shared, and counts as unknown.
+frequent token, the last token, the last two, whose hashed counts come from all training texts, and by the decisions that
+the text itself has taken at that place before. A gate, made of how much is known in the longer contexts, picks the weights
+that add up the predictors' log odds. Weights start from fixed values (:func:`first_weights`) and are refined within each
+text from its first tokens on, as are the text's own counts: nothing that a text is scored with has seen what comes after.
+
+After an escape comes one more decision, whether the dictionary of all training tokens has the word: as likely as escaped
+training tokens are found again when one occurrence is left out. If so, it costs its share of all escaped ones; the
+dictionary is a table with a row per distinct token of the corpus, which Spark joins with the texts' words and no task holds
+whole. If not, the word is spelled: its letters' decisions are predicted by the last one, three and four letters, counted
+over the dictionary. All decisions form a prefix code, so the probabilities of all texts add up to at most one.
+
+The hashed tables grow with the counted tokens up to ``MOST_SLOT_BITS``, which one worker's memory bounds; a slot that holds
+more than its decision was ever seen with is shared, and counts as unknown.
 """
 
 from __future__ import annotations
@@ -37,10 +36,12 @@ from parley.llm.support import staged
 VOCABULARY = 1 << 16
 #: Hashed tables, their counters as a power of two, and training tokens for each counter before the table doubles.
 HASHED, LEAST_SLOT_BITS, MOST_SLOT_BITS, TOKENS_A_SLOT = 3, 18, 21, 16
-#: Predictors: none, the hashed tables, the text's own counts.
+#: Predictors: none, the hashed tables, and for tokens the text's own counts.
 PREDICTORS = HASHED + 2
 #: Tokens of a text between two refinements of its weights, and its first refinements; tokens handled at once.
 BLOCK, EARLY, CHUNK = 256, (16, 32, 64, 128, 256), 24_000
+#: Bytes of texts that are tokenised at once, and distinct tokens of a task's own counts.
+SLICE_BYTES, OWN_COUNTS = 2_000_000, 400_000
 #: Slots of own counts a decision, and for each piece of a text that is longer than a chunk.
 OWN, OWN_LONG = 2, 1 << 19
 RATE, STEADY, LEVELS = 2.4, 64, 4
@@ -126,12 +127,14 @@ class Code:
         letters[32] += int(letters.sum() // 7)
         of_token = [max(1, total - end - sum(counts)), max(1, end), *counts]
         bits = int(np.clip((max(1, total) // TOKENS_A_SLOT).bit_length(), LEAST_SLOT_BITS, MOST_SLOT_BITS))
-        return cls(words, Paths.of(of_token), Paths.of(letters.tolist()), bits)
+        spelling = Paths.of(letters.tolist())
+        spelling.plain |= 15  # these few counts only shape the paths; the dictionary's letters outnumber them
+        return cls(words, Paths.of(of_token), spelling, bits)
 
     def ready(self) -> Code:
         """With the look-ups that each worker builds for itself."""
         if self.known is None:
-            self.known = pa.array(self.words, pa.binary())
+            self.known = pa.array(self.words, pa.large_binary())
             self.hashes = np.array([0, 1, *(xxhash.xxh32_intdigest(w) for w in self.words)], np.uint32)
         return self
 
@@ -174,15 +177,27 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.bincount(owner[kept], minlength=len(texts)), flat.filter(filled).cast(pa.large_binary())
 
 
+def slices(column: pa.Array) -> Iterator[slice]:
+    """Rows of a column of texts in runs of about SLICE_BYTES; a longer text stands alone."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        upto = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield slice(first, upto)
+        first = upto
+
+
 @dataclass
 class Tokens:
-    """The tokens of a batch of texts end to end, each text closed by the end token: symbols, hashes, where texts begin, and
-    the escaped words in order."""
+    """The tokens of some texts end to end, each text closed by the end token: symbols, hashes, where texts begin, and the
+    escaped ones in order, as places in distinct words."""
 
     symbol: np.ndarray
     hashed: np.ndarray
     begin: np.ndarray
-    rare: list[bytes]
+    rare: np.ndarray
+    words: pa.Array
 
     @classmethod
     def of(cls, texts: pa.Array, code: Code) -> Tokens:
@@ -191,12 +206,13 @@ class Tokens:
         symbol = np.ones(begin[-1], np.int64)
         inside = np.ones(begin[-1], bool)
         inside[begin[1:] - 1] = False
-        found = pc.index_in(flat, code.known.cast(pa.large_binary()))
+        found = pc.index_in(flat, code.known)
         symbol[inside] = found.fill_null(-2).to_numpy(zero_copy_only=False) + 2
-        rare = flat.filter(found.is_null()).to_pylist()
+        escaped = flat.filter(found.is_null()).dictionary_encode()
+        rare, words = escaped.indices.to_numpy(zero_copy_only=False), escaped.dictionary
         hashed = code.hashes[symbol]
-        hashed[symbol == 0] = np.fromiter(map(xxhash.xxh32_intdigest, rare), np.uint32, len(rare))
-        return cls(symbol, hashed, begin, rare)
+        hashed[symbol == 0] = np.fromiter(map(xxhash.xxh32_intdigest, words.to_pylist()), np.uint32, len(words))[rare]
+        return cls(symbol, hashed, begin, rare, words)
 
 
 @dataclass
@@ -207,33 +223,23 @@ class Carry:
     telling: int = 0
     one: int = 0
     two: int = 0
-    moved: list = None
-    own: list = None
+    moved: np.ndarray = None
+    own: np.ndarray = None
 
 
 @dataclass
 class Decisions:
-    """Decisions of one kind, by block and in a block by text: hashed slots, packed counts without context, branches and
-    own slots; runs of one text in one block (their text, length, and where each block's end), and where tokens begin."""
+    """Decisions of some texts, by block and in a block by text: hashed slots, packed counts without context, branches and
+    own slots (and their number); runs of one text in one block (their text, length, and where each block's end)."""
 
     slots: list[np.ndarray]
     plain: np.ndarray
     bit: np.ndarray
-    own: np.ndarray
-    run_text: np.ndarray
-    run_length: np.ndarray
-    cuts: np.ndarray
-    begin: np.ndarray
-
-
-@dataclass
-class Chunk:
-    """A chunk's tokens as decisions of both kinds; escaped words with their texts."""
-
-    kinds: tuple[Decisions, Decisions]
-    rare: list[bytes]
-    rare_text: np.ndarray
-    own_slots: list[int]
+    own: np.ndarray = None
+    own_slots: int = 0
+    run_text: np.ndarray = None
+    run_length: np.ndarray = None
+    cuts: np.ndarray = None
 
 
 def _mixed(node: np.ndarray, context: np.ndarray) -> np.ndarray:
@@ -264,12 +270,16 @@ def _blocks(place: np.ndarray) -> np.ndarray:
     return np.where(place < EARLY[-1], np.searchsorted(EARLY, place, "right"), late)
 
 
-def decisions(symbol: np.ndarray, hashed: np.ndarray, lengths: np.ndarray, words: list[bytes], code: Code, carry: Carry | None = None, counting: bool = False) -> Chunk:
-    """All decisions of some texts' tokens (``lengths``: how many each has), ``words`` being the escaped ones; or of one piece
-    of a long text, with its ``carry``, which moves on. For ``counting`` only slots and branches are needed."""
+def _hashed_slots(node: np.ndarray, contexts: list[np.ndarray], lengths: np.ndarray, code: Code) -> list[np.ndarray]:
+    return [(_mixed(node, np.repeat(c, lengths)) >> np.uint32(32 - code.slot_bits)).astype(np.int64) for c in contexts]
+
+
+def decisions(symbol: np.ndarray, hashed: np.ndarray, lengths: np.ndarray, code: Code, carry: Carry | None = None, counting: bool = False) -> Decisions:
+    """All decisions of some texts' tokens (``lengths``: how many each has), or of one piece of a long text, with its
+    ``carry``, which moves on. For ``counting`` only slots and branches are needed."""
     text, place = np.repeat(np.arange(len(lengths)), lengths), _places(lengths)
     tells = np.where((symbol > 1) & (symbol < TELLING + 2), np.arange(len(symbol)), -1)
-    tells = np.concatenate([[-1], np.maximum.accumulate(tells)[:-1]])[: len(symbol)]
+    tells = np.concatenate([[-1], np.maximum.accumulate(tells)[:-1]])
     telling = np.where(tells >= np.arange(len(symbol)) - place, symbol[tells], 0)
     one, two = _followed(hashed, place, 1), _followed(hashed, place, 2)
     if carry and carry.place:
@@ -283,65 +293,57 @@ def decisions(symbol: np.ndarray, hashed: np.ndarray, lengths: np.ndarray, words
         now = np.flatnonzero((symbol > 1) & (symbol < TELLING + 2))
         carry.telling = int(symbol[now[-1]]) if len(now) else carry.telling
         carry.two, carry.one = (int(hashed[-2]) if len(symbol) > 1 else carry.one), int(hashed[-1])
-    telling = telling.astype(np.uint32) * np.uint32(0x165667B1)
     one = one * np.uint32(0xC2B2AE35)
     two = (one ^ two) * np.uint32(0x27D4EB2F) + np.uint32(2)
-    rank = np.cumsum(symbol == 0) - 1
-    order = np.argsort(block.astype(np.uint16) if block.max(initial=0) < 1 << 16 else block, kind="stable")
-    symbol, text, block, said, one, two = (x[order] for x in (symbol, text, block, telling + np.uint32(3), one + np.uint32(1), two))
-    shift, many, own_slots = np.uint32(32 - code.slot_bits), len(lengths), []
-
-    def of(paths: Paths, symbols: np.ndarray, contexts: list, own: np.ndarray | None, text: np.ndarray, block: np.ndarray, words: np.ndarray | None) -> Decisions:
-        lengths, at = paths.expand(symbols)
-        node, bit = paths.hashed.take(at), paths.bits.take(at)
-        slots = [(_mixed(node, np.repeat(c, lengths)) >> shift).astype(np.int64) for c in contexts]
-        if counting:
-            return Decisions(slots, None, bit, None, None, None, None, None)
-        # each text has a range of own slots, which its decisions alone decide, so that neighbours don't matter
-        n = np.bincount(text, lengths, many)
-        size = np.full(many, OWN_LONG) if carry else np.int64(1) << np.ceil(np.log2(OWN * np.maximum(n, 8))).astype(np.int64)
-        first = np.cumsum(size) - size
-        own_slots.append(int(size.sum()))
-        h = _mixed(node, np.uint32(0) if own is None else np.repeat(own, lengths))
-        h ^= h >> np.uint32(13)
-        h &= np.repeat((size - 1).astype(np.uint32)[text], lengths)
-        starts = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(block, prepend=-1)) if len(text) else np.empty(0, np.int64)
-        run_length = np.add.reduceat(lengths, starts) if len(starts) else starts
-        begin = np.cumsum(lengths) - lengths
-        return Decisions(slots, paths.plain.take(at), bit, np.repeat(first[text], lengths) + h, text[starts], run_length, np.cumsum(np.bincount(block[starts])), begin if words is None else begin[words])
-
-    tokens = of(code.tokens, symbol, [said, one, two], None, text, block, None)
-    at = np.flatnonzero(symbol == 0)
-    rare, rare_text = [words[i] for i in rank[order[at]]], text[at]
-    letters = np.frombuffer(b" ".join(rare) + b" " if rare else b"", np.uint8)
-    widths = np.fromiter(map(len, rare), np.int64, len(rare)) + 1
+    contexts = [telling.astype(np.uint32) * np.uint32(0x165667B1) + np.uint32(3), one + np.uint32(1), two]
+    if not counting:
+        order = np.argsort(block.astype(np.uint16) if block[-1] < 1 << 16 and block.max() < 1 << 16 else block, kind="stable")
+        symbol, text, block, contexts = symbol[order], text[order], block[order], [c[order] for c in contexts]
+    paths = code.tokens
+    of_token, at = paths.expand(symbol)
+    node, bit = paths.hashed.take(at), paths.bits.take(at)
+    slots = _hashed_slots(node, contexts, of_token, code)
+    if counting:
+        return Decisions(slots, None, bit)
+    # each text has a range of own slots, which its decisions alone decide, so that neighbours don't matter
+    n = np.bincount(text, of_token, len(lengths))
+    size = np.full(len(lengths), OWN_LONG) if carry else np.int64(1) << np.ceil(np.log2(OWN * np.maximum(n, 8))).astype(np.int64)
+    first = np.cumsum(size) - size
+    own = _mixed(node, np.uint32(0))
+    own ^= own >> np.uint32(13)
+    own &= np.repeat((size - 1).astype(np.uint32)[text], of_token)
+    starts = np.flatnonzero(np.diff(text, prepend=-1) | np.diff(block, prepend=-1))
+    runs = np.add.reduceat(of_token, starts)
+    return Decisions(slots, paths.plain.take(at), bit, np.repeat(first[text], of_token) + own, int(size.sum()), text[starts], runs, np.cumsum(np.bincount(block[starts])))
+
+
+def spelled(words: list[bytes], code: Code) -> tuple[Decisions, np.ndarray]:
+    """The decisions of some words' letters, each word closed by a blank, and where words begin."""
+    letters = np.frombuffer(b" ".join(words) + b" ", np.uint8)
+    widths = np.fromiter(map(len, words), np.int64, len(words)) + 1
     inner, wide = _places(widths), letters.astype(np.uint32)
     a, b, c, d = (_followed(wide, inner, k) for k in (1, 2, 3, 4))
     abc = a | b << np.uint32(8) | c << np.uint32(16)
-    contexts = [a * np.uint32(0xC2B2AE35) + np.repeat(said[at], widths) + np.uint32(7), abc * np.uint32(0x27D4EB2F) + np.uint32(5), (abc | d << np.uint32(24)) * np.uint32(0x85EBCA6B) + np.uint32(9)]
-    spelling = of(code.spelling, letters.astype(np.int64), contexts, abc * np.uint32(0x165667B1), np.repeat(rare_text, widths), np.repeat(block[at], widths), np.cumsum(widths) - widths)
-    return Chunk((tokens, spelling), rare, rare_text, own_slots)
+    contexts = [a * np.uint32(0xC2B2AE35) + np.uint32(7), abc * np.uint32(0x27D4EB2F) + np.uint32(5), (abc | d << np.uint32(24)) * np.uint32(0x85EBCA6B) + np.uint32(9)]
+    lengths, at = code.spelling.expand(letters.astype(np.int64))
+    slots = _hashed_slots(code.spelling.hashed.take(at), contexts, lengths, code)
+    return Decisions(slots, code.spelling.plain.take(at), code.spelling.bits.take(at)), (np.cumsum(lengths) - lengths)[np.cumsum(widths) - widths]
 
 
-def chunks(tokens: Tokens, code: Code, counting: bool = False) -> Iterator[tuple[Chunk, slice, Carry | None]]:
+def chunks(tokens: Tokens, code: Code, counting: bool = False) -> Iterator[tuple[Decisions, slice, Carry | None]]:
     """Decisions of texts, about CHUNK tokens at a time, with the places of these texts; a longer text comes in pieces, with
     what it carries on."""
-    escaped = np.concatenate([[0], np.cumsum(tokens.symbol == 0)])
-
-    def cut(lo: int, hi: int, lengths: np.ndarray, carry: Carry | None = None) -> Chunk:
-        return decisions(tokens.symbol[lo:hi], tokens.hashed[lo:hi], lengths, tokens.rare[escaped[lo] : escaped[hi]], code, carry, counting)
-
     begin, first = tokens.begin, 0
     while first < len(begin) - 1:
         upto = max(first + 1, int(np.searchsorted(begin, begin[first] + CHUNK, "right")) - 1)
         lo, hi = int(begin[first]), int(begin[upto])
         if hi - lo <= CHUNK:
-            yield cut(lo, hi, np.diff(begin[first : upto + 1])), slice(first, upto), None
+            yield decisions(tokens.symbol[lo:hi], tokens.hashed[lo:hi], np.diff(begin[first : upto + 1]), code, None, counting), slice(first, upto), None
         else:
             carry = Carry()
             for at in range(lo, hi, CHUNK):
                 end = min(at + CHUNK, hi)
-                yield cut(at, end, np.array([end - at]), carry), slice(first, upto), carry
+                yield decisions(tokens.symbol[at:end], tokens.hashed[at:end], np.array([end - at]), code, carry, counting), slice(first, upto), carry
         first = upto
 
 
@@ -352,24 +354,8 @@ class Model:
     tables: list[np.ndarray]
     weights: np.ndarray = field(default_factory=first_weights)
 
-    def run(self, chunk: Chunk, texts: int, carry: Carry | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """The natural log probability of each text without its escaped words, and of each of these by its letters."""
-        if carry and carry.own is None:
-            carry.moved, carry.own = ([np.zeros((PREDICTORS, 1), np.float32) for _ in range(2)], [np.zeros(n, np.int32) for n in chunk.own_slots])
-        logs = []
-        for kind, d in enumerate(chunk.kinds):
-            own = carry.own[kind] if carry else np.zeros(chunk.own_slots[kind], np.int32)
-            moved = carry.moved[kind] if carry else np.zeros((PREDICTORS, texts), np.float32)
-            logs.append(self._logs(d, own, moved))
-            if carry:  # counts stay below what half of an entry holds
-                carry.own[kind] = np.minimum(own & 0xFFFF, 255) | np.minimum(own >> 16, 255) << 16
-        tokens, spelling = chunk.kinds
-        first = np.cumsum(tokens.run_length) - tokens.run_length
-        of_text = np.bincount(tokens.run_text, np.add.reduceat(logs[0], first), texts) if len(first) else np.zeros(texts)
-        return of_text, np.add.reduceat(logs[1], spelling.begin).astype(np.float64) if chunk.rare else np.zeros(0)
-
-    def _logs(self, d: Decisions, own: np.ndarray, moved: np.ndarray) -> np.ndarray:
-        """Each decision's log probability; ``own`` counts and what weights have ``moved`` by text go on block by block."""
+    def _static(self, d: Decisions) -> tuple[list[np.ndarray], np.ndarray]:
+        """The log odds of all predictors but the text's own counts, and their weighted sum."""
         least = d.plain & 15
         x, level = [(d.plain >> 4) * np.float32(1 / _FINE)], np.zeros(len(d.bit), np.uint8)
         for t, s in zip(self.tables, d.slots, strict=True):
@@ -380,16 +366,36 @@ class Model:
             level += ((known > 0).view(np.uint8) + (known > 2) + (known > 5)) * (known <= least)
             x.append((v >> 4) * np.float32(1 / _FINE))
         gate = level.astype(np.int64)
-        fixed = self.weights[:, 0].take(gate) * x[0]
+        out = self.weights[:, 0].take(gate) * x[0]
         for k in range(1, PREDICTORS - 1):
-            fixed += self.weights[:, k].take(gate) * x[k]
+            out += self.weights[:, k].take(gate) * x[k]
+        return x, out
+
+    def spell(self, words: list[bytes], code: Code) -> np.ndarray:
+        """The natural log probability of each word by its letters."""
+        out = []
+        for lo in range(0, len(words), CHUNK // 8):
+            d, begin = spelled(words[lo : lo + CHUNK // 8], code)
+            z = self._static(d)[1] * (d.bit.astype(np.float32) * 2 - 1)
+            out.append(np.add.reduceat(-np.log1p(np.exp(np.minimum(-z, np.float32(60)))), begin, dtype=np.float64))
+        return np.concatenate(out) if out else np.zeros(0)
+
+    def run(self, d: Decisions, texts: int, carry: Carry | None = None) -> np.ndarray:
+        """The natural log probability of each text but for what follows its escapes.
+
+        Own counts and what weights have moved by text go on block by block.
+        """
+        if carry and carry.own is None:
+            carry.moved, carry.own = np.zeros((PREDICTORS, 1), np.float32), np.zeros(d.own_slots, np.int32)
+        own, moved = (carry.own, carry.moved) if carry else (np.zeros(d.own_slots, np.int32), np.zeros((PREDICTORS, texts), np.float32))
+        x, fixed = self._static(d)
         for_own = self.weights[0, -1]
         sign, one = d.bit.astype(np.float32) * 2 - 1, np.where(d.bit, np.int32(1 << 16), np.int32(1))
         out, lo, run = np.empty(len(d.bit), np.float32), 0, 0
         for upto in d.cuts:
-            texts, lengths = d.run_text[run:upto], d.run_length[run:upto]
+            who, lengths = d.run_text[run:upto], d.run_length[run:upto]
             run = upto
-            if not len(texts):
+            if not len(who):
                 continue
             starts = np.cumsum(lengths) - lengths
             hi = lo + int(lengths.sum())
@@ -399,24 +405,42 @@ class Model:
             values.append(_OWN_ODDS.take(np.minimum(seen & 0xFFFF, 15) * 16 + np.minimum(seen >> 16, 15)))
             z = fixed[lo:hi] + for_own * values[-1]
             for k, v in enumerate(values):
-                z += np.repeat(moved[k, texts], lengths) * v
+                z += np.repeat(moved[k, who], lengths) * v
             z *= sign[lo:hi]
             right = 1 / (1 + np.exp(np.minimum(-z, np.float32(60))))
             error = sign[lo:hi] * (1 - right)
             out[lo:hi] = right
             share = np.float32(RATE) / (lengths + np.float32(STEADY))
             for k, v in enumerate(values):
-                moved[k, texts] += np.add.reduceat(error * v, starts) * share
+                moved[k, who] += np.add.reduceat(error * v, starts) * share
             np.add.at(own, at, one[lo:hi])
             lo = hi
-        return np.log(np.maximum(out, np.float32(1e-9)))
+        if carry:  # counts stay below what half of an entry holds
+            carry.own = np.minimum(own & 0xFFFF, 255) | np.minimum(own >> 16, 255) << 16
+        logs = np.log(np.maximum(out, np.float32(1e-9)))
+        return np.bincount(d.run_text, np.add.reduceat(logs, np.cumsum(d.run_length) - d.run_length), texts)
 
 
 def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held, size = [], 0
+
+    def summed() -> pa.Table:
+        return pa.Table.from_batches(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
+
     for batch in batches:
-        counted = split_words(batch.column(0))[1].value_counts()
-        tokens, n = counted.field("values").cast(pa.binary()).cast(pa.string()), counted.field("counts")
-        yield pa.RecordBatch.from_arrays([pa.concat_arrays([tokens, pa.array([END])]), pa.concat_arrays([n, pa.array([batch.num_rows])])], names=["token", "n"])
+        for rows in slices(batch.column(0)):
+            counted = split_words(batch.column(0)[rows])[1].value_counts()
+            values, n = pa.concat_arrays([counted.field("values"), pa.array([END.encode()], pa.large_binary())]), pa.concat_arrays([counted.field("counts"), pa.array([rows.stop - rows.start])])
+            held.append(pa.RecordBatch.from_arrays([values.cast(pa.binary()).cast(pa.string()), n], names=["token", "n"]))
+            size += len(n)
+            if size > OWN_COUNTS:
+                table = summed()
+                held, size = table.combine_chunks().to_batches(), len(table)
+                if 2 * size > OWN_COUNTS:
+                    yield from held
+                    held, size = [], 0
+    if held:
+        yield from summed().combine_chunks().to_batches()
 
 
 def _coded(x: np.ndarray) -> bytes:
@@ -442,18 +466,23 @@ def _pieces(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[j] for r in rows], kind) for j, kind in enumerate(kinds)], names=names)
 
 
-def _context_counts(sent):  # noqa: ANN001, ANN202
-    """Each task's own counts, in pieces of _PIECE counters."""
+def _context_counts(sent, of_words: bool):  # noqa: ANN001, ANN202
+    """Each task's own counts over its texts, or its words' letters, in pieces of _PIECE counters."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = sent.value.ready()
         size = 2 << code.slot_bits
         tables = [np.zeros(size, np.int32) for _ in range(HASHED)]
         for batch in batches:
-            for chunk, _, _ in chunks(Tokens.of(batch.column(0), code), code, counting=True):
-                for d in chunk.kinds:
-                    for t, s in zip(tables, d.slots, strict=True):
-                        np.add.at(t, 2 * s + d.bit, np.int32(1))
+            column = batch.column(0)
+            if of_words:
+                words = column.cast(pa.binary()).to_pylist()
+                counted = (spelled(words[lo : lo + CHUNK // 8], code)[0] for lo in range(0, len(words), CHUNK // 8))
+            else:
+                counted = (d for rows in slices(column) for d, _, _ in chunks(Tokens.of(column[rows], code), code, counting=True))
+            for d in counted:
+                for t, s in zip(tables, d.slots, strict=True):
+                    np.add.at(t, 2 * s + d.bit, np.int32(1))
         for k, t in enumerate(tables):
             cut = t.reshape(-1, _PIECE)
             yield _pieces([(k, int(i), _coded(cut[i])) for i in np.flatnonzero(cut.any(1))], ["k", "piece", "counts"])
@@ -483,10 +512,10 @@ def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pieces(done, names)
 
 
-def context_odds(texts: DataFrame, code: Code) -> list[np.ndarray]:
-    """The hashed tables over all ``texts``: packed counts by slot."""
+def context_odds(texts: DataFrame, words: DataFrame, code: Code) -> list[np.ndarray]:
+    """The hashed tables over all ``texts`` and the letters of ``words``: packed counts by slot."""
     sent = texts.sparkSession.sparkContext.broadcast(code)
-    pieces = texts.mapInArrow(_context_counts(sent), _PIECES)
+    pieces = texts.mapInArrow(_context_counts(sent, of_words=False), _PIECES).union(words.mapInArrow(_context_counts(sent, of_words=True), _PIECES))
     summed = pieces.repartition("k", "piece").sortWithinPartitions("k", "piece").mapInArrow(_added, "k int, piece int, odds binary")
     odds = [np.zeros(1 << code.slot_bits, np.int16) for _ in range(HASHED)]
     for batch in summed.toArrow().to_batches():
@@ -496,34 +525,39 @@ def context_odds(texts: DataFrame, code: Code) -> list[np.ndarray]:
     return odds
 
 
-_SCORED = "uid long, doc_id long, n_tokens long, n_bytes long, score double, base double, known long, token string, spelled double"
-_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.float64())
+_SCORED = "uid long, doc_id long, n_tokens long, n_bytes long, score double, base double, known long, token string, n long, spelled double"
+_KINDS = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.string(), pa.int64(), pa.float64())
 
 
 def _scored(sent):  # noqa: ANN001, ANN202
-    """Per text (or piece of a long one) one row with its score and base sum without escaped words, and one per escaped
-    word with its letters' score; what the dictionary knows of it is looked up afterwards."""
+    """Per text one row with its score and base sum but for escaped words, and one per distinct escaped word, with its score
+    by letters if the text is held out; what the dictionary knows of words is looked up afterwards."""
     names = [x.split()[0] for x in _SCORED.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, model, logs = sent.value
         code.ready()
-        for batch in batches:
-            tokens, uids = Tokens.of(batch.column(2), code), np.array(batch.column(1))
+        for batch in (batch.slice(rows.start, rows.stop - rows.start) for batch in batches for rows in slices(batch.column(3))):
+            texts = batch.column(3)
+            tokens, uids, held, many = Tokens.of(texts, code), np.array(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False), batch.num_rows
             lengths = np.diff(tokens.begin)
-            of = np.repeat(np.arange(batch.num_rows), lengths)
-            base = np.bincount(of, logs[tokens.symbol], batch.num_rows)
-            known = np.bincount(of[logs[tokens.symbol] > 0], minlength=batch.num_rows)
-            sizes, scores = pc.binary_length(batch.column(2)).fill_null(0).cast(pa.int64()), np.zeros(batch.num_rows)
-            for chunk, at, carry in chunks(tokens, code):
-                logp, spelled = model.run(chunk, at.stop - at.start, carry)
-                scores[at] += logp
-                if chunk.rare:
-                    nothing = [pa.nulls(len(chunk.rare), kind) for kind in _KINDS[1:7]]
-                    words = pa.array(chunk.rare, pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays([pa.array(uids[at][chunk.rare_text]), *nothing, words, pa.array(spelled / np.log(10))], names=names)
+            of, each = np.repeat(np.arange(many), lengths), logs[tokens.symbol]
+            base, known = np.bincount(of, each, many), np.bincount(of[each > 0], minlength=many)
+            scores = np.zeros(many)
+            for d, at, carry in chunks(tokens, code):
+                scores[at] += model.run(d, at.stop - at.start, carry)
+            sizes = pc.binary_length(texts).fill_null(0).cast(pa.int64())
             columns = [pa.array(uids), batch.column(0), pa.array(lengths), sizes, pa.array(scores / np.log(10)), pa.array(base), pa.array(known)]
-            yield pa.RecordBatch.from_arrays([*columns, pa.nulls(batch.num_rows, pa.string()), pa.nulls(batch.num_rows, pa.float64())], names=names)
+            yield pa.RecordBatch.from_arrays([*columns, *(pa.nulls(many, kind) for kind in _KINDS[7:])], names=names)
+            if not len(tokens.rare):
+                continue
+            pairs, n = np.unique(of[tokens.symbol == 0] * len(tokens.words) + tokens.rare, return_counts=True)
+            text, word = np.divmod(pairs, len(tokens.words))
+            letters = np.full(len(tokens.words), np.nan)
+            asked = np.unique(word[held[text]])
+            letters[asked] = model.spell(tokens.words.take(pa.array(asked)).to_pylist(), code) / np.log(10)
+            own = [pa.array(uids[text]), *(pa.nulls(len(text), kind) for kind in _KINDS[1:7])]
+            yield pa.RecordBatch.from_arrays([*own, tokens.words.cast(pa.binary()).cast(pa.string()).take(pa.array(word)), pa.array(n), pa.array(letters[word], from_pandas=True)], names=names)
 
     return run
 
@@ -544,30 +578,29 @@ def lm_scores(docs: DataFrame, held_out: Column | None = None, doc_id: str = "do
     total, distinct, once = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*"), F.count(F.when(F.col("n") == 1, 1))).first()
     head = counts.orderBy(F.desc("n"), "token").limit(VOCABULARY).toArrow()
     frequent = list(zip(head.column("token").to_pylist(), head.column("n").to_pylist(), strict=True))
-    escaped = max(1, total - sum(n for _, n in frequent))
+    escaped = total - sum(n for _, n in frequent)
     # of the training texts' escapes so many are found again when one occurrence is left out
-    found_again = (escaped - (once - sum(n == 1 for _, n in frequent))) / escaped
+    again = (escaped - (once - sum(n == 1 for _, n in frequent)) + 0.5) / (escaped + 1)
     code = Code.of(frequent, total)
-    model = Model(context_odds(training, code))
+    model = Model(context_odds(training, counts.where(F.col("token") != END).select("token"), code))
     by_token = dict(frequent)
     logs = np.log10(np.array([0, by_token.get(END, 0), *(by_token[w.decode()] for w in code.words)], np.float64) + 1)
     code.known = code.hashes = None
     sent = spark.sparkContext.broadcast((code, model, logs))
-    rows = own.select("doc_id", F.monotonically_increasing_id().alias("uid"), "text").mapInArrow(_scored(sent), _SCORED)
+    rows = own.select("doc_id", F.monotonically_increasing_id().alias("uid"), "held_out", "text").mapInArrow(_scored(sent), _SCORED)
     # a text's own row gets a key that no token has, so that such rows spread over all partitions
     keyed = rows.withColumn("key", F.coalesce("token", F.concat(F.lit(END), F.col("uid").cast("string"))))
     found = keyed.join(counts.select(F.col("token").alias("key"), F.col("n").alias("c")), "key", "left")
-    share = F.coalesce("c", F.lit(0)) / float(escaped)
-    coded = F.log10(F.lit(found_again) * share + (1 - found_again) * F.pow(F.lit(10.0), "spelled"))
-    escaped_score = F.when(F.col("token").isNotNull(), F.when(F.col("c").isNull(), F.col("spelled") + F.log10(F.lit(max(1e-9, 1 - found_again)))).otherwise(coded))
+    word = F.when(F.col("c").isNotNull(), F.log10(F.col("c") * (again / max(1, escaped)))).otherwise(F.col("spelled") + float(np.log10(1 - again)))
     sums = found.groupBy("uid").agg(
-        F.max("doc_id").alias("doc_id"), *(F.sum(c).alias(c) for c in ("n_tokens", "n_bytes", "score", "base", "known")),
-        F.sum(F.when(F.col("token").isNotNull(), F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("rare"),
-        F.sum(F.coalesce(escaped_score, F.lit(0.0))).alias("escaped"), F.count("c").alias("found"),
+        *(F.max(c).alias(c) for c in ("doc_id", "n_tokens", "n_bytes", "score", "base", "known")),
+        F.sum(F.when(F.col("token").isNotNull(), F.col("n") * F.log10(F.coalesce("c", F.lit(0)) + 1.0)).otherwise(0.0)).alias("rare"),
+        F.sum(F.when(F.col("token").isNotNull(), F.col("n") * word).otherwise(0.0)).alias("words"),
+        F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("found"),
     )
     base = F.col("base") + F.col("rare") - F.col("n_tokens") * float(np.log10(total + distinct + 1))
     held = F.crc32(F.col("doc_id").cast("string")) % 7 == 2 if held_out is None else held_out
-    score = F.col("score") + F.col("escaped")
+    score = F.col("score") + F.col("words")
     return sums.select(
         "doc_id", F.coalesce(held, F.lit(False)).alias("held_out"), "n_tokens", (F.col("known") + F.col("found")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"), base.alias("base_score"), score.alias("score"), (score * float(-np.log2(10)) / (F.col("n_bytes") + 1)).alias("bits_per_byte"),

@@ -83,18 +83,17 @@ def test_tables_count_every_decision_of_all_texts(spark):
     df = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
     words = Counter(w for t in texts for w in [*(t or "").split(), "\n"])
     code = code_of(words)
-    odds = lm_mixing.context_odds(df, code)
+    known = spark.createDataFrame([(w,) for w in words if w != "\n"], "token string")
+    odds = lm_mixing.context_odds(df, known, code)
     counts, n = np.zeros((lm_mixing.HASHED, 2 << code.slot_bits), np.int64), 0
-    for chunk, _, _ in chunks_of(texts, code):
-        for d in chunk.kinds:
-            n += len(d.bit)
-            for k, s in enumerate(d.slots):
-                np.add.at(counts[k], 2 * s + d.bit, 1)
+    for d in [*(d for d, _, _ in chunks_of(texts, code)), lm_mixing.spelled([w.encode() for w in words if w != "\n"], code)[0]]:
+        n += len(d.bit)
+        for k, s in enumerate(d.slots):
+            np.add.at(counts[k], 2 * s + d.bit, 1)
     of_word = {w: int(n) for w, n in zip(code.words, code.tokens.length[2:], strict=True)}
     escape, end = (int(x) for x in code.tokens.length[:2])
     want = sum(of_word.get(w.encode(), end if w == "\n" else escape) * c for w, c in words.items())
-    want += sum(int(code.spelling.length[b]) * c for w, c in words.items() if w != "\n" and w.encode() not in of_word for b in w.encode() + b" ")
-    assert n == want
+    assert n == want + sum(int(code.spelling.length[b]) for w in words if w != "\n" for b in w.encode() + b" ")
     for k in range(lm_mixing.HASHED):
         assert (odds[k] == lm_mixing.packed(counts[k, ::2], counts[k, 1::2])).all()
 
@@ -106,46 +105,54 @@ def test_tables_grow_with_the_corpus():
 
 def plain_score(text, code, model):
     """A text's natural log probability decision by decision, with weights and own counts as plain numbers."""
-    ((chunk, _, _),) = chunks_of([text], code)
-    total = [0.0, 0.0]
-    for kind, d in enumerate(chunk.kinds):
-        moved, own, lo = [0.0] * lm_mixing.PREDICTORS, {}, 0
-        for length in d.run_length.tolist():
-            slope, seen = [0.0] * lm_mixing.PREDICTORS, []
-            for i in range(lo, lo + length):
-                first = int(d.plain[i])
-                gate, x = 0, [(first >> 4) / 256]
-                for t, s in zip(model.tables, d.slots, strict=True):
-                    v = int(t[s[i]])
-                    known = v & 15
-                    gate = gate * 4 + ((known > 0) + (known > 2) + (known > 5)) * (known <= first & 15)
-                    x.append((v >> 4) / 256)
-                n0, n1 = (min(15, own.get((int(d.own[i]), b), 0)) for b in (0, 1))
-                x.append(math.log((n1 + 0.4) / (n0 + 0.4)))
-                z, sign = sum((a + m) * b for a, m, b in zip(map(float, model.weights[gate]), moved, x, strict=True)), 2 * int(d.bit[i]) - 1
-                right = 1 / (1 + math.exp(-sign * z))
-                total[kind] += math.log(right)
-                slope = [s + sign * (1 - right) * v for s, v in zip(slope, x, strict=True)]
-                seen.append((int(d.own[i]), int(d.bit[i])))
-            moved = [m + lm_mixing.RATE * s / (length + lm_mixing.STEADY) for m, s in zip(moved, slope, strict=True)]
-            for key in seen:
-                own[key] = own.get(key, 0) + 1
-            lo += length
+    ((d, _, _),) = chunks_of([text], code)
+    total, moved, own, lo = 0.0, [0.0] * lm_mixing.PREDICTORS, {}, 0
+    for length in d.run_length.tolist():
+        slope, seen = [0.0] * lm_mixing.PREDICTORS, []
+        for i in range(lo, lo + length):
+            gate, x = plain_predictions(d, i, model)
+            n0, n1 = (min(15, own.get((int(d.own[i]), b), 0)) for b in (0, 1))
+            x.append(math.log((n1 + 0.4) / (n0 + 0.4)))
+            z, sign = sum((a + m) * b for a, m, b in zip(map(float, model.weights[gate]), moved, x, strict=True)), 2 * int(d.bit[i]) - 1
+            right = 1 / (1 + math.exp(-sign * z))
+            total += math.log(right)
+            slope = [s + sign * (1 - right) * v for s, v in zip(slope, x, strict=True)]
+            seen.append((int(d.own[i]), int(d.bit[i])))
+        moved = [m + lm_mixing.RATE * s / (length + lm_mixing.STEADY) for m, s in zip(moved, slope, strict=True)]
+        for key in seen:
+            own[key] = own.get(key, 0) + 1
+        lo += length
     return total
 
 
+def plain_predictions(d, i, model):
+    first = int(d.plain[i])
+    gate, x = 0, [(first >> 4) / 256]
+    for t, s in zip(model.tables, d.slots, strict=True):
+        v = int(t[s[i]])
+        known = v & 15
+        gate = gate * 4 + ((known > 0) + (known > 2) + (known > 5)) * (known <= first & 15)
+        x.append((v >> 4) / 256)
+    return gate, x
+
+
 def test_score_is_that_of_plain_loops():
     code = code_of(Counter(w for _, t in ROWS[:120] for w in [*t.split(), "\n"]))
     rng = np.random.default_rng(5)
     model = lm_mixing.Model([rng.integers(-8000, 8000, 1 << code.slot_bits).astype(np.int16) for _ in range(lm_mixing.HASHED)])
     texts = ["the cat sat oddly on the mat " * 30, "x", "", "number 4 and word7 ran again and again ünï"]
-    ((chunk, _, _),) = chunks_of(texts, code)
-    scores, spelled = model.run(chunk, len(texts))
-    letters = np.bincount(chunk.rare_text, spelled, len(texts))
-    for i, t in enumerate(texts):
-        want = plain_score(t, code, model)
-        assert math.isclose(scores[i], want[0], rel_tol=1e-4, abs_tol=1e-3)
-        assert math.isclose(letters[i], want[1], rel_tol=1e-4, abs_tol=1e-3)
+    ((d, _, _),) = chunks_of(texts, code)
+    for t, score in zip(texts, model.run(d, len(texts)), strict=True):
+        assert math.isclose(score, plain_score(t, code, model), rel_tol=1e-4, abs_tol=1e-3)
+    words = [b"oddly", "ünï".encode(), b"a"]
+    d, begin = lm_mixing.spelled(words, code)
+    logs = []
+    for i in range(len(d.bit)):
+        gate, x = plain_predictions(d, i, model)
+        z = sum(a * b for a, b in zip(map(float, model.weights[gate]), x, strict=False))
+        logs.append(-math.log1p(math.exp(-z if d.bit[i] else z)))
+    ends = [*begin[1:], len(logs)]
+    assert np.allclose(model.spell(words, code), [sum(logs[a:b]) for a, b in zip(begin, ends, strict=True)], rtol=1e-4)
 
 
 def test_a_long_text_scores_alike_in_pieces(monkeypatch):
@@ -154,7 +161,7 @@ def test_a_long_text_scores_alike_in_pieces(monkeypatch):
     text, scores = "the cat sat on the mat and word3 ran " * 700, []
     for size in (24_000, 1_024):
         monkeypatch.setattr(lm_mixing, "CHUNK", size)
-        scores.append(sum(model.run(chunk, 1, carry)[0][0] for chunk, _, carry in chunks_of([text], code)))
+        scores.append(sum(model.run(d, 1, carry)[0] for d, _, carry in chunks_of([text], code)))
     assert math.isclose(*scores, rel_tol=0.02)
 
 
@@ -163,7 +170,7 @@ def test_neighbours_do_not_matter():
     model = lm_mixing.Model([np.zeros(1 << code.slot_bits, np.int16) for _ in range(lm_mixing.HASHED)])
     one, two = "the cat sat oddly " * 40, "another text " * 90
     ((a, _, _),), ((b, _, _),) = chunks_of([one], code), chunks_of([two, one, None], code)
-    assert math.isclose(model.run(a, 1)[0][0], model.run(b, 3)[0][1], rel_tol=1e-5)
+    assert math.isclose(model.run(a, 1)[0], model.run(b, 3)[1], rel_tol=1e-5)
 
 
 def test_text_of_one_very_long_word_and_of_blanks(spark):
