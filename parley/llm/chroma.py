@@ -126,6 +126,8 @@ def _fingerprinted(decode):  # noqa: ANN001, ANN202
     return run
 
 
+#: The bits of one position.
+_ALL = np.uint64(0xFFFFFFFF)
 _LINK = "q_id long, o_id long, offset long, votes long, overlap long, bit_error double"
 
 
@@ -143,15 +145,26 @@ def _compared(others: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     line = np.concatenate([gap, *(x for p in prints for x in (p, gap))])
     starts = longest + np.cumsum([0] + [len(p) + longest for p in prints])[:-1]
     there = (line > 0).astype(np.uint8)
+    total = np.concatenate([[0], np.cumsum(there, dtype=np.int64)])
+    double, heard = (np.append(x, np.uint64(0)) for x in (line.astype(np.uint64), np.where(there, _ALL, np.uint64(0))))
+    double, heard = (x[:-1] | x[1:] << np.uint64(32) for x in (double, heard))
     for q, own in zip(queries["id"], queries["prints"], strict=True):
         own = np.asarray(own, np.int64).astype(np.uint32)
         n = len(line) - len(own) + 1
         if n <= 0 or not len(own):
             continue
-        overlap, errors = np.zeros(n, np.uint32), np.zeros(n, np.uint32)
-        for j in np.flatnonzero(own):
-            overlap += there[j : j + n]
-            errors += np.bitwise_count(line[j : j + n] ^ own[j]) * there[j : j + n]
+        # two positions at a time; sums of three such pairs fit into bytes, which are added up faster
+        mask = np.where(own > 0, _ALL, np.uint64(0))
+        pairs, masks = (np.append(x, np.uint64(0))[: 2 * ((len(own) + 1) // 2)] for x in (own.astype(np.uint64), mask))
+        errors, differ, count = np.zeros(n, np.uint32), np.empty(n, np.uint64), np.empty(n, np.uint8)
+        for lo in range(0, len(own), 6):
+            few = np.zeros(n, np.uint8)
+            for j in range(lo, min(lo + 6, len(own)), 2):
+                np.bitwise_xor(double[j : j + n], pairs[j] | pairs[j + 1] << np.uint64(32), out=differ)
+                differ &= heard[j : j + n] if mask[j : j + 2].all() and j + 1 < len(own) else heard[j : j + n] & (masks[j] | masks[j + 1] << np.uint64(32))
+                few += np.bitwise_count(differ, out=count)
+            errors += few
+        overlap = total[len(own) : len(own) + n] - total[:n] if mask.all() else sum(there[j : j + n].astype(np.int64) for j in np.flatnonzero(own))
         best: dict[int, tuple] = {}
         for at in np.flatnonzero((overlap >= LEAST_OVERLAP) & (errors <= 32 * MOST_ERRORS * overlap)):
             o = int(np.searchsorted(starts, at + len(own), "left")) - 1
