@@ -9,6 +9,7 @@ powers of two, which need no padding.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -20,9 +21,11 @@ from pyspark.sql import functions as F
 from parley.llm.support import mix64, shuffle_partitions
 
 LENGTH, DIMS, BITS = 1024, 4, 8
-#: The curve is cut into ranges by the keys of about so many documents, those of the least hashes; ranges per
-#: shuffle partition. More or other documents change the balance of ranges only, never the result's completeness.
-SAMPLE, RANGES = 4_000, 4
+#: Ranges of the curve per shuffle partition, and keys of documents (by a hash) from which each range's bounds are estimated.
+#: Other documents change the balance of ranges only, never the result's completeness.
+RANGES, KEYS_A_RANGE = 4, 40
+#: From runs of so many blanks on a text goes to the slower library: the faster one recurses over them.
+LONG_BLANKS = re.compile(r"\s{20000}")
 _TOKENIZER: dict = {}
 
 
@@ -37,11 +40,17 @@ def tokenizer(path: str):  # noqa: ANN201
     """An encoder of texts to ids without special tokens, loaded once per worker.
 
     A byte-level BPE file of the ``tokenizers`` format is read as ranks and run by tiktoken, which gives the same ids
-    several times faster (tests compare the two); other files are run by ``tokenizers``.
+    several times faster (tests compare the two); texts with very long runs of blanks, which tiktoken can't match, and
+    other files are run by ``tokenizers``.
     """
     if path not in _TOKENIZER:
         import json
 
+        from tokenizers import Tokenizer
+
+        whole = Tokenizer.from_file(path)
+        whole.encode_special_tokens = True
+        slow = lambda text: whole.encode(text, add_special_tokens=False).ids
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         if model["model"]["type"] == "BPE" and (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space") and not model.get("normalizer"):
@@ -55,13 +64,9 @@ def tokenizer(path: str):  # noqa: ANN201
             special = {x["content"] for x in model.get("added_tokens", [])}
             ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
             encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _TOKENIZER[path] = encoding.encode_ordinary
+            _TOKENIZER[path] = lambda text: slow(text) if len(text) >= 20_000 and LONG_BLANKS.search(text) else encoding.encode_ordinary(text)
         else:
-            from tokenizers import Tokenizer
-
-            whole = Tokenizer.from_file(path)
-            whole.encode_special_tokens = True
-            _TOKENIZER[path] = lambda text: whole.encode(text, add_special_tokens=False).ids
+            _TOKENIZER[path] = slow
     return _TOKENIZER[path]
 
 
@@ -205,12 +210,11 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
     salted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(5)), 34).alias("salt"))
     schema = "doc_id long, key long, bucket int, ids binary"
     partitions = shuffle_partitions(docs.sparkSession)
-    total = docs.count()
-    share = max(1, total // SAMPLE)
-    sample = salted.where(F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(share)) == 0).mapInArrow(_encoded(path, None), schema)
-    # a bounded sample of keys: one number per sampled document, for the cuts between ranges only
-    keys = np.sort(np.array([r.key for r in sample.select("key").limit(4 * SAMPLE).collect()], np.int64))
     ranges = RANGES * partitions
+    share = min(1.0, ranges * KEYS_A_RANGE / max(1, docs.count()))
+    # one number per sampled document, so many for each range: they grow with the partitions, not with the documents
+    sampled = salted.where(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) < int(share * (1 << 30)))
+    keys = np.sort(sampled.mapInArrow(_encoded(path, None), schema).select("key").toArrow().column("key").to_numpy())
     bounds = [int(x) for x in np.unique(keys[np.arange(1, ranges) * len(keys) // ranges])] if len(keys) else []
     dealt = salted.mapInArrow(_encoded(path, bounds), schema).repartition(partitions, "bucket").sortWithinPartitions("bucket", "key", "doc_id")
     return dealt.mapInArrow(_packed, _PIECES)

@@ -58,3 +58,21 @@ def test_likeness_of_neighbours(spark):
 
 def test_no_rows(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_long_runs_give_the_ids_of_the_library():
+    encode = packing.tokenizer(packing.default_vocabulary())
+    for text in (" " * 1_000_000, "a\n" + "\n" * 1_000_000 + "b", "x" * 300_000, "x \t" * 10_000, "\u3000" * 60_000 + "z", "=" * 200_000):
+        assert [*encode(text), 0] == ids_of(text)
+
+
+def test_ranges_grow_with_partitions_and_nothing_hangs_on_ids(spark):
+    rows = [(None, f"text number {i} " * (1 + i % 7)) for i in range(600)]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "9")
+        got = packing.pack_documents(spark.createDataFrame(rows, "doc_id long, text string")).toPandas()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got.length.sum() == sum(len(ids_of(t)) for _, t in rows)
+    assert (got.sequence_id // (1 << 40)).nunique() > 18
