@@ -20,6 +20,8 @@ from parley.llm.support import mix64, shuffle_partitions
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST_BLOCK, LETTERS = 7, 3, 64
+#: Letters of a signature at most; its last chunk takes what is left of the text.
+MOST_LETTERS = 2 * LETTERS
 #: Where rows without an id stand.
 LEAST_ID = -(1 << 63)
 _BYTES = mix64(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -75,6 +77,11 @@ def fingerprint(text: bytes) -> str:
             break
         block, at = block // 2, None
     twice = ends[roll[ends] % np.uint32(2 * block) == 2 * block - 1]
+    # a periodic text has far more triggers than its length asks for: larger blocks while they have some, and one chunk for the rest
+    while len(ends) > MOST_LETTERS and len(twice) >= LETTERS // 2:
+        block, ends = 2 * block, twice
+        twice = ends[roll[ends] % np.uint32(2 * block) == 2 * block - 1]
+    ends, twice = ends[: MOST_LETTERS - 1], twice[: MOST_LETTERS - 1]
     return f"{block}:{_letters(data, ends, hashed)}:{_letters(data, twice, hashed)}"
 
 
@@ -138,6 +145,16 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
+def _edges_upto(value: str, edges: list[int]) -> str:
+    """SQL of how many of some ascending numbers are at most a value, by bisection."""
+    if not edges:
+        return "0"
+    array = f"transform(split('{','.join(map(str, edges))}', ','), x -> bigint(x))"
+    middle = "int((s.lo + s.hi) div 2)"
+    step = f"if({array}[{middle}] <= {value}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))"
+    return f"aggregate(sequence(1, {len(edges).bit_length()}), named_struct('lo', 0, 'hi', {len(edges)}), (s, i) -> if(s.lo < s.hi, {step}, s), s -> s.lo)"
+
+
 _OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 
 
@@ -186,8 +203,7 @@ def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     cuts = own.select(F.coalesce("doc_id", F.lit(LEAST_ID)).cast("double").alias("id")).approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)
     edges = sorted({int(x) for x in cuts})
     place = F.coalesce("doc_id", F.lit(LEAST_ID))
-    bucket = F.size(F.filter(F.array(*(F.lit(x) for x in edges)), lambda x: x <= place)) if edges else F.lit(0)
-    ranged = own.withColumn("bucket", bucket.cast("int"))
+    ranged = own.withColumn("_place", place).withColumn("bucket", F.expr(_edges_upto("_place", edges)).cast("int"))
     # one row per range: its first id
     firsts = sorted((r.bucket, r.least) for r in ranged.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(LEAST_ID))).alias("least")).collect())
     before = {least: firsts[i - 1][0] for i, (_, least) in enumerate(firsts)}

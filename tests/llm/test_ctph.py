@@ -67,3 +67,20 @@ def test_odd_tables(spark):
     one = found(spark, [(9, "abcdef")])
     assert one[0].near_next == 1 and one[0].edited_sha256 == hashlib.sha256(b"abcabc").hexdigest()
     assert ctph.fingerprints(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_periodic_texts_have_bounded_signatures():
+    for text in (b"abcdefg " * 400_000, b"a" * 3_000_000, b"<tr><td>1</td></tr>\n" * 150_000):
+        own, other = ctph.fingerprint(text), ctph.fingerprint(text[: len(text) - 1000] + b"xyz")
+        assert all(len(x) <= ctph.MOST_LETTERS for x in own.split(":")[1:])
+        assert 0 <= ctph.likeness([(own, other)])[0] <= 1
+    table = b"".join(b"<tr><td>%d</td></tr>\n" % (i % 10) for i in range(150_000))
+    assert ctph.likeness([(ctph.fingerprint(table), ctph.fingerprint(table + b"more"))])[0] > 0.9
+
+
+def test_edges_by_bisection(spark):
+    from pyspark.sql import functions as F
+
+    for edges in ([], [5], [-(1 << 62), 3, 9, 40, 41]):
+        got = spark.range(-1, 60).withColumn("n", F.expr(ctph._edges_upto("id", edges))).collect()
+        assert [r.n for r in got] == [sum(e <= r.id for e in edges) for r in got]
