@@ -25,6 +25,8 @@ from parley.llm.support import BLANKS, mix64, staged
 LEAST_CHARS, LEAST_DOCS = 20, 3
 #: Keys of a shard on average, and copies of each shard.
 SHARD_KEYS, COPIES = 20_000, 32
+#: Levels of a perfect hash, each of which leaves less than half of its keys to the next.
+MOST_LEVELS = 64
 _BLANKS = BLANKS.encode()
 
 
@@ -51,9 +53,12 @@ class PerfectHash:
             seen += int(bits.sum())
 
     @classmethod
-    def build(cls, keys: np.ndarray) -> PerfectHash:
+    def build(cls, keys: np.ndarray) -> PerfectHash | None:
+        """None if some keys don't part in many levels, as equal ones never do."""
         levels, rest = [], keys.astype(np.uint64)
         while len(rest):
+            if len(levels) == MOST_LEVELS:
+                return None
             size = 2 * len(rest) + 1
             at = cls._slots(rest, len(levels), size)
             alone = np.bincount(at, minlength=size) == 1
@@ -95,35 +100,39 @@ class PerfectHash:
 class LineIndex:
     """The perfect hash of one shard's line hashes with its arrays."""
 
-    def __init__(self, table: PerfectHash, prints: np.ndarray, counts: np.ndarray, last: np.ndarray) -> None:
-        self.table, self.prints, self.counts, self.last = table, prints, counts, last
+    def __init__(self, table: PerfectHash, seed: int, prints: np.ndarray, counts: np.ndarray, last: np.ndarray) -> None:
+        self.table, self.seed, self.prints, self.counts, self.last = table, seed, prints, counts, last
 
     @classmethod
     def build(cls, h: np.ndarray, prints: np.ndarray, counts: np.ndarray, last: np.ndarray) -> LineIndex:
-        """``h`` may repeat where two lines share 64 bits; then the shard is keyed by both halves."""
-        table = PerfectHash.build(cls._joint(h, prints))
-        at = table.positions(cls._joint(h, prints))
+        """From distinct pairs (h, print). They are keyed by 64 bits of both; should two pairs share them, another seed parts them."""
+        seed, table = -1, None
+        while table is None:
+            seed += 1
+            table = PerfectHash.build(cls._joint(h, prints, seed))
+        at = table.positions(cls._joint(h, prints, seed))
         out = [np.empty(len(h), np.int64) for _ in range(3)]
         for array, values in zip(out, (prints, counts, last), strict=True):
             array[at] = values
-        return cls(table, *out)
+        return cls(table, seed, *out)
 
     @staticmethod
-    def _joint(h: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        return mix64(h.astype(np.int64).view(np.uint64)) ^ prints.astype(np.int64).view(np.uint64)
+    def _joint(h: np.ndarray, prints: np.ndarray, seed: int = 0) -> np.ndarray:
+        return mix64(h.astype(np.int64).view(np.uint64) + np.uint64(seed)) ^ prints.astype(np.int64).view(np.uint64)
 
     def find(self, h: np.ndarray, prints: np.ndarray) -> np.ndarray:
-        at = self.table.positions(self._joint(h, prints))
+        at = self.table.positions(self._joint(h, prints, self.seed))
         return np.where((at >= 0) & (self.prints[at] == prints), at, -1)
 
     def to_bytes(self) -> bytes:
-        return self.table.to_bytes() + self.prints.tobytes() + self.counts.tobytes() + self.last.tobytes()
+        return struct.pack("<q", self.seed) + self.table.to_bytes() + self.prints.tobytes() + self.counts.tobytes() + self.last.tobytes()
 
     @classmethod
     def from_bytes(cls, data: bytes) -> LineIndex:
+        (seed,), data = struct.unpack_from("<q", data), data[8:]
         table, at = PerfectHash.from_bytes(data)
         n = (len(data) - at) // 24
-        return cls(table, *(np.frombuffer(data, np.int64, n, at + 8 * n * i) for i in range(3)))
+        return cls(table, seed, *(np.frombuffer(data, np.int64, n, at + 8 * n * i) for i in range(3)))
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -55,3 +55,18 @@ def test_index_knows_only_its_own_lines():
     at = index.find(h, p)
     assert (index.counts[at] == n).all() and (index.last[at] == last).all()
     assert (index.find(h, p + 1) == -1).all()
+
+
+def test_keys_that_share_their_joint_bits_get_another_seed():
+    h = np.arange(50, dtype=np.int64)
+    prints = np.arange(50, dtype=np.int64) * 7
+    # the second pair's print is such that the first seed gives both the same 64 bits
+    first = line_dedup.LineIndex._joint(h[:1], prints[:1])
+    prints[1] = (first ^ line_dedup.mix64(h[1:2].view(np.uint64))).view(np.int64)[0]
+    assert line_dedup.LineIndex._joint(h[1:2], prints[1:2]) == first
+    index = line_dedup.LineIndex.build(h, prints, h + 100, h + 200)
+    assert index.seed > 0
+    for x in (index, line_dedup.LineIndex.from_bytes(index.to_bytes())):
+        at = x.find(h, prints)
+        assert (x.counts[at] == h + 100).all() and (x.last[at] == h + 200).all()
+    assert line_dedup.PerfectHash.build(np.array([1, 1], np.uint64)) is None
