@@ -18,8 +18,6 @@ from parley.llm.support import ascii_lower, staged
 
 #: (verdict, host and path): a rule fits its host and all subdomains where the path starts with the rule's.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
-#: Host names with a label that starts so are on the block list of the registered query.
-LISTED_LABELS = "spam|casino|phish|malware"
 #: Bits per key and hashes per key of a level; keys of a shard on average; copies of each shard.
 BITS_PER_KEY, HASHES, SHARD_KEYS, COPIES = 12, 6, 50_000, 16
 
@@ -99,20 +97,25 @@ def build_cascade(keys: DataFrame) -> Cascade:
         inside, outside = staged(mistaken), inside
 
 
-def filter_urls(pages: DataFrame, listed: Column | None = None, rules: tuple = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
+def filter_urls(pages: DataFrame, listed_hosts: DataFrame | None = None, rules: tuple = RULES, page_id: str = "page_id", url: str = "url") -> DataFrame:
     """One row per page: ``page_id, host, path, rule, verdict, listed``.
 
-    ``listed`` is a condition on the column ``host`` that marks the hosts of the block list (a list kept as a table can be
-    marked by :func:`build_cascade`'s input instead). Without a fitting rule the cascade decides: listed hosts are
-    blocked, others allowed. A null url and one without ``://`` have an empty host and path and are allowed. Repeated
-    pages are judged each; ids may be null; other columns are not read. A table without rows gives none.
+    ``listed_hosts`` is the block list, a table with a column ``host`` (A-Z lower-cased here; repeats and nulls don't matter; none is
+    an empty list); it meets the distinct hosts of the pages once, and pages only probe the cascade. Without a fitting
+    rule the cascade decides: listed hosts are blocked, others allowed. A null url and one without ``://`` have an empty host
+    and path and are allowed, unless the list holds the empty host. Repeated pages are judged each; ids may be null; other
+    columns are not read. A table without rows gives none.
     """
-    listed = F.col("host").rlike(rf"(^|\.)({LISTED_LABELS})") if listed is None else listed
     address = F.col(url).cast("string")
     judged = pages.select(F.col(page_id).alias("page_id"), host_of(address).alias("host"), path_of(address).alias("path"))
     judged = judged.withColumn("by_rule", rule_for(F.col("host"), F.col("path"), rules))
-    hosts = judged.select("host").distinct().select(F.col("host").alias("key"), F.coalesce(listed, F.lit(False)).alias("listed"))
-    cascade = build_cascade(staged(hosts))
+    keys = judged.select(F.col("host").alias("key")).distinct()
+    if listed_hosts is None:
+        keys = keys.withColumn("listed", F.lit(False))
+    else:
+        marks = listed_hosts.where("host is not null").select(ascii_lower(F.col("host")).alias("key"), F.lit(True).alias("listed")).distinct()
+        keys = keys.join(marks, "key", "left").select("key", F.coalesce("listed", F.lit(False)).alias("listed"))
+    cascade = build_cascade(staged(keys))
     copies = cascade.table.withColumn("copy", F.explode(F.expr(f"sequence(0, {COPIES - 1})")))
     probing = judged.select("*", cascade.shard(F.col("host")).alias("shard"), F.pmod(F.xxhash64("page_id", "path"), F.lit(COPIES)).cast("int").alias("copy"))
     probed = probing.join(copies, ["shard", "copy"], "left").withColumn("listed", cascade.listed(F.col("host")))

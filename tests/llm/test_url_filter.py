@@ -11,7 +11,8 @@ ROWS = [
 
 def judged(spark):
     df = spark.createDataFrame([(i, u, "a", "b") for i, u in ROWS], "page_id long, url string, host string, verdict string")
-    return [r.asDict() for r in url_filter.filter_urls(df).collect()]
+    listed = spark.createDataFrame([("Casino1.net",), ("spam.net",), ("spam.net",), (None,), ("elsewhere.net",)], "host string")
+    return [r.asDict() for r in url_filter.filter_urls(df, listed).collect()]
 
 
 def test_rules_and_list(spark):
@@ -39,6 +40,20 @@ def test_cascade_is_exact(spark):
     assert probed.count() == 20_000
 
 
+def test_many_hosts_shards_and_levels(spark, monkeypatch):
+    """A list of a third of all hosts, over several shards, with a host of a third of all pages."""
+    monkeypatch.setattr(url_filter, "SHARD_KEYS", 1_000)
+    monkeypatch.setattr(url_filter, "BITS_PER_KEY", 4)
+    host = F.when(F.col("id") % 3 == 0, "hot.net").otherwise(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".net")))
+    pages = spark.range(9_000).select(F.col("id").alias("page_id"), F.concat(F.lit("http://"), host, F.lit("/p")).alias("url"))
+    listed = spark.range(9_000).where("id % 5 < 2").select(F.concat(F.lit("h"), F.col("id").cast("string"), F.lit(".net")).alias("host"))
+    keys = pages.select(url_filter.host_of(F.col("url")).alias("key")).distinct().join(listed.select(F.col("host").alias("key"), F.lit(True).alias("listed")), "key", "left").fillna(False)
+    cascade = url_filter.build_cascade(keys)
+    assert cascade.shards > 3 and len(cascade.bits) >= 3
+    got = {(r.page_id, r.listed, r.verdict) for r in url_filter.filter_urls(pages, listed).collect()}
+    assert got == {(i, x, "block" if x else "allow") for i in range(9_000) for x in [i % 3 != 0 and i % 5 < 2]}
+
+
 def test_all_none_and_no_rows(spark):
     keys = spark.range(100).select(F.col("id").cast("string").alias("key"), F.lit(True).alias("listed"))
     for df in (keys, keys.withColumn("listed", F.lit(False))):
