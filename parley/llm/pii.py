@@ -2,8 +2,10 @@
 
 An Aho-Corasick automaton finds at-signs, plus signs, schemes and identifier cues in one pass; from each anchor a local
 parser expands to the boundaries and validates. Digit runs are the anchors of addresses and card numbers. The base kinds
-(email, ip, card, phone) are leftmost and non-overlapping per kind; ``account`` spans come on top: values after an
-identifier cue such as ``token =``, ``iban:`` or ``password:``, and credentials in URLs.
+(email, ip, card, phone) are leftmost and non-overlapping per kind. On top come ``account`` spans: what follows an
+identifier cue, by the cue's own parser (a bank account's check digits, a social security number's ranges, the shape of a
+passport or account number, a secret's letters and digits), bank accounts without a cue, and credentials in URLs; and
+``address`` spans: a house number with the street name that a street word ends.
 """
 
 from __future__ import annotations
@@ -18,17 +20,37 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-KINDS = ("email", "ip", "card", "phone", "account")
+KINDS = ("email", "ip", "card", "phone", "account", "address")
 BASE = KINDS[:4]
-CUES = ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key", "iban", "account no", "account number", "ssn", "passport no")
+#: Cues by the parser of what follows them.
+CUES = {
+    "secret": ("token", "secret", "password", "passwd", "api_key", "api-key", "apikey", "access_key"),
+    "iban": ("iban",),
+    "number": ("account no", "account number", "acct no"),
+    "ssn": ("ssn", "social security"),
+    "passport": ("passport no", "passport number"),
+}
 SCHEMES = ("://",)
+STREETS = (" street", " avenue", " road", " lane", " drive", " boulevard")
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]+(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_VALUE = re.compile(r"""[\x20\t]{0,3}(?:[:=]|\bis\b)[\x20\t]{0,3}["']?([A-Za-z0-9][A-Za-z0-9_+/.=-]{6,})""")
+#: Between a cue and its value: for secrets something that assigns, for the others it may be missing.
+_ASSIGNED = re.compile(r"""[\x20\t]{0,3}(?:[:=]|\bis\b)[\x20\t]{0,3}["']?""")
+_NAMED = re.compile(r"""(?:\x20(?:no\.?|number))?[\x20\t.]{0,3}(?:[:=#]|\bis\b)?[\x20\t]{0,3}["']?""")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+#: What may follow a cue, by its parser; each match is validated further.
+_VALUES = {
+    "secret": re.compile(r"[A-Za-z0-9][A-Za-z0-9_+/.=-]{6,}"),
+    "iban": _IBAN,
+    "number": re.compile(r"[0-9](?:[\x20-]?[0-9]){5,16}(?![0-9])"),
+    "ssn": re.compile(r"[0-9]{3}-?[0-9]{2}-?[0-9]{4}(?![0-9])"),
+    "passport": re.compile(r"[A-Z0-9]{6,9}(?![A-Za-z0-9])"),
+}
+_STREET = re.compile(r"(?<![A-Za-z0-9])[0-9]{1,5}[A-Za-z]?(?:\x20[A-Z][a-z'.-]{0,30}){2,5}$")
 _DIGITS = re.compile(r"[0-9]+")
 _CREDENTIALS = re.compile(r"[^\s/@:]+:[^\s/@]+(?=@)")
 
@@ -41,9 +63,31 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def iban(text: str) -> bool:
+    """Whether a bank account number has its length and its check digits right."""
+    plain = text.replace(" ", "")
+    turned = plain[4:] + plain[:4]
+    return 15 <= len(plain) <= 34 and int("".join(str(int(c, 36)) for c in turned)) % 97 == 1
+
+
+def social_security(text: str) -> bool:
+    """Whether area, group and serial are ones that are given out."""
+    d = text.replace("-", "")
+    return d[:3] not in ("000", "666") and d[0] != "9" and d[3:5] != "00" and d[5:] != "0000"
+
+
+_VALID = {
+    "secret": lambda v: any(c.isdigit() for c in v),
+    "iban": iban,
+    "number": lambda v: True,
+    "ssn": social_security,
+    "passport": lambda v: any(c.isdigit() for c in v),
+}
+
+
 def automaton() -> ahocorasick.Automaton:
     found = ahocorasick.Automaton()
-    for kind, words in (("at", "@"), ("plus", "+"), ("scheme", SCHEMES), ("cue", CUES)):
+    for kind, words in (("at", "@"), ("plus", "+"), ("scheme", SCHEMES), ("street", STREETS), *CUES.items()):
         for w in words:
             found.add_word(w, (kind, len(w)))
     found.make_automaton()
@@ -100,25 +144,54 @@ def _phones(text: str, pluses: list[int]) -> list[tuple[int, int]]:
     return out
 
 
-def _accounts(text: str, cues: list[int], schemes: list[int]) -> list[tuple[int, int]]:
+def _accounts(text: str, cues: list[tuple[int, str]], schemes: list[int]) -> list[tuple[int, int]]:
     out, free = [], 0
-    for end in sorted(cues):
-        if end >= free and (m := _VALUE.match(text, end)) and any(c.isdigit() for c in m.group(1)):
-            out.append(m.span(1))
-            free = m.end(1)
+    for end, kind in sorted(cues):
+        gap = (_ASSIGNED if kind == "secret" else _NAMED).match(text, end)
+        if end < free or not gap:
+            continue
+        if (m := _VALUES[kind].match(text, gap.end())) and (value := _trimmed(m.group(), kind)):
+            out.append((m.start(), m.start() + len(value)))
+            free = out[-1][1]
+    out += [(m.start(), m.start() + len(v)) for m in _LOOSE_IBAN.finditer(text) if (v := _trimmed(m.group(), "iban"))]
     out += [m.span() for end in schemes if (m := _CREDENTIALS.match(text, end))]
     return sorted(set(out))
 
 
+_LOOSE_IBAN = re.compile(r"(?<![A-Za-z0-9])" + _IBAN.pattern)
+
+
+def _trimmed(value: str, kind: str) -> str | None:
+    """The value if it is valid; a bank account may have taken in following words, which are let go one by one."""
+    while kind == "iban" and not iban(value) and " " in value:
+        value = value.rpartition(" ")[0]
+    return value if _VALID[kind](value) else None
+
+
+def _addresses(text: str, streets: list[int]) -> list[tuple[int, int]]:
+    """House numbers with the capitalised words up to a street word, from that word backwards."""
+    out: list[tuple[int, int]] = []
+    for end in streets:
+        if end < len(text) and text[end].isalnum():
+            continue
+        lo = max(out[-1][1] if out else 0, end - 150)
+        if m := _STREET.search(text, lo, end):
+            out.append((m.start(), end))
+    return out
+
+
 def find_spans(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int, str]]:
     """All spans ``(start, end, kind)`` in code points, by start and then kind as listed in KINDS."""
-    at: dict[str, list[int]] = {"at": [], "plus": [], "scheme": [], "cue": []}
+    at: dict[str, list[int]] = {"at": [], "plus": [], "scheme": [], "street": []}
+    cues: list[tuple[int, str]] = []
     for last, (kind, length) in anchors.iter(_ascii_lower(text)):
-        at[kind].append(last if kind in ("at", "plus") else last + 1)
-        if kind == "cue" and last - length >= 0 and text[last - length].isalnum():
-            at[kind].pop()  # within a word
+        if kind in CUES:
+            if last - length < 0 or not text[last - length].isalnum():  # not within a word
+                cues.append((last + 1, kind))
+        else:
+            at[kind].append(last if kind in ("at", "plus") else last + 1)
     ips, cards = _numbers(text)
-    found = zip(KINDS, (_emails(text, at["at"]), ips, cards, _phones(text, at["plus"]), _accounts(text, at["cue"], at["scheme"])), strict=True)
+    found = zip(KINDS, (_emails(text, at["at"]), ips, cards, _phones(text, at["plus"]), _accounts(text, cues, at["scheme"]), _addresses(text, at["street"])), strict=True)
     order = {k: i for i, k in enumerate(KINDS)}
     return sorted(((s, e, k) for k, spans in found for s, e in spans), key=lambda x: (x[0], order[x[2]], x[1]))
 

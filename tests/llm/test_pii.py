@@ -57,6 +57,19 @@ def test_accounts_come_on_top():
     assert spans == ["24be64439e3e49cf46b2d7c90f3602a3d0b907ff", "DE89370400440532013000", "bob:hunter2"]
 
 
+def test_accounts_and_addresses_are_validated():
+    found = lambda text: [(text[s:e], k) for s, e, k in pii.find_spans(text, pii.automaton()) if k not in pii.BASE]
+    account = lambda *values: [(v, "account") for v in values]
+    assert found("DE89 3704 0044 0532 0130 00 THE END, iban: GB82 WEST 1234 5698 7654 32 AND MORE") == account("DE89 3704 0044 0532 0130 00", "GB82 WEST 1234 5698 7654 32")
+    assert found("iban: DE89370400440532013001, IBAN DE8937040044053201300") == []
+    assert found("SSN: 123-45-6789, ssn 219099999, ssn: 000-12-3456, ssn 900-12-3456, ssn 123-00-4567, ssn: 123-45-67890") == account("123-45-6789", "219099999")
+    assert found("passport no: X1234567, passport number is ABCDEFG") == account("X1234567")
+    assert found("Account no. 12 345 678 and account number: 12345") == account("12 345 678")
+    assert found('password: hunter, password: hunter22 secret is "abcdefgh1"') == account("hunter22", "abcdefgh1")
+    assert found("at 221b Baker Street, 12 the road, 5 Grand View Avenue. 9 Lane 10 Downing Streets") == [("221b Baker Street", "address"), ("5 Grand View Avenue", "address")]
+    assert found("iban " * 20_000 + "1 " * 50_000 + " street" * 20_000) == []
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, "s"), (2, "", "s"), (None, "a@b.cd", "s"), (3, "x" * 300_000 + " a@b.cd", "s"), (3, "ü a@b.cd", "s")], "doc_id long, text string, spans string")
     got = [(r.doc_id, [tuple(s) for s in r.spans]) for r in pii.personal_data(df).collect()]
