@@ -158,14 +158,14 @@ def _with_features(vectors):  # noqa: ANN001, ANN202
 
 
 def train(docs: DataFrame, labels: DataFrame, keep=None) -> tuple[np.ndarray, Network]:  # noqa: ANN001
-    """Word vectors over all ``docs(doc_id, text)`` and a network for ``labels(doc_id, label)``.
+    """Word vectors over all ``docs(doc_id, text)`` and a network for ``labels(doc_id, label)``; of two labels of an id the least counts.
 
     ``keep`` is a condition on ``doc_id`` for rows that may be learned from. Labels that are null or neither 0 nor 1 are left out.
     """
     spark = docs.sparkSession
     vectors = word_vectors(docs)
     usable = labels.where("label in (0, 1) and doc_id is not null")
-    usable = (usable.where(keep) if keep is not None else usable).dropDuplicates(["doc_id"])
+    usable = (usable.where(keep) if keep is not None else usable).groupBy("doc_id").agg(F.min("label").alias("label"))
     n = usable.count()
     picked = usable.where(F.pmod(F.xxhash64("doc_id", F.lit(9)), F.lit(1_000_000)) < max(1, min(1_000_000, MOST_LABELLED * 950_000 // max(1, n))))
     picked = picked.limit(MOST_LABELLED) if n > MOST_LABELLED else picked  # a guard: the hash picks 5 % fewer
@@ -195,7 +195,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, doc_id: s
 
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out: their labels are not learned from. Null, empty and
     blank texts get the score of a document without tokens. Rows without an id are scored and not held out. Rows that
-    share an id are scored each; the first of their labels that comes counts. A table without rows gives none;
+    share an id are scored each; the least of an id's labels counts. A table without rows gives none;
     without usable labels, all get the same score. Other columns of either table are not read.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))

@@ -91,3 +91,38 @@ def test_bins_agree_as_often_as_sets_do():
         own = near_dedup.mix64(every ^ np.uint64(i * 7919))
         shares.append((near_dedup.sketch(own[:1000]) == near_dedup.sketch(own[200:])).mean())
     assert abs(np.mean(shares) - 800 / 1200) < 0.02
+
+
+def near_threshold(rng, n=60):
+    """A group whose members share a core but lie on both sides of the threshold, with strays that form pairs of their own."""
+    core = [f"c{i}" for i in range(200)]
+    rows = []
+    for i in range(n):
+        own = list(core)
+        for k in range(rng.choice((4, 6, 7, 8, 10))):
+            own[rng.randrange(200)] = f"{i // 2}x{k}"
+        rows.append((10 * i + rng.randrange(5), " ".join(own)))
+    return rows
+
+
+def test_strays_of_large_buckets_match_brute_force(spark, monkeypatch):
+    """Blocks far smaller than the buckets, and ids joined by a shuffle instead of a broadcast."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 7)
+    monkeypatch.setattr(near_dedup, "SLICE", 9)
+    monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
+    rows = near_threshold(random.Random(6))
+    want = brute(rows)
+    assert len({c for _, c, _ in want.values()}) > 3
+    assert found(spark, rows) == want
+
+
+def test_blocks_are_bounded_by_shingles(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "BLOCK_SHINGLES", 300)
+    rows = near_threshold(random.Random(8), 30)
+    assert found(spark, rows) == brute(rows)
+
+
+def test_long_texts_that_are_no_words(spark):
+    rows = [(1, "z" * 2_000_000), (2, "z" * 2_000_000), (3, "\n" * 1_000_000), (4, "a b c d e " * 100_000), (5, "a b c d e " * 120_000)]
+    got = found(spark, rows)
+    assert [got[i][1] for i in (1, 2, 3, 4, 5)] == [1, 1, 3, 4, 4]
