@@ -15,7 +15,7 @@ QUERIES, SQL = registry.queries(), registry.oracle_sql()
 
 
 def plain(v):
-    if v is None or v is pd.NaT or (isinstance(v, float) and math.isnan(v)):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
         return None
     if isinstance(v, (bool, np.bool_)):
         return bool(v)
