@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.llm.components import components
-from parley.llm.support import WordHashes, mix64, staged, words_of
+from parley.llm.support import WordHashes, mix64, sliced, staged, words_of
 
 BINS, BANDS, SHINGLE = 128, 32, 5
 NEED, WHOLE = 75, 100
@@ -87,7 +87,7 @@ _SKETCHED = "doc_id long, n_shingles long, set_a long, set_b long, keys array<lo
 
 def _sketch_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes = WordHashes()
-    for batch in batches:
+    for batch in sliced(batches, 1):
         sizes, prints, rows = [], [], []
         for text in batch.column(1).cast(pa.binary()).to_pylist():
             s = shingle_set(text, hashes)
@@ -165,6 +165,8 @@ def _linking(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
 
     A pair is looked at in the first band that it shares.
     """
+    if not len(left) or not len(right):
+        return pd.DataFrame([], columns=["a", "b"], dtype=np.int64)
     hashes, sets, joined = WordHashes(), {}, _Joined()
     sl, sr = (np.frombuffer(b"".join(x.signature), np.uint8).reshape(-1, BINS) for x in (left, right))
     kl, kr = (np.stack(x["keys"].to_numpy()).astype(np.int64) for x in (left, right))
