@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.support import BLANKS, mix64, staged
+from parley.llm.support import BLANKS, mix64, sliced, staged
 
 #: A line counts from so many code points (without surrounding blanks) and so many documents on.
 LEAST_CHARS, LEAST_DOCS = 20, 3
@@ -136,7 +136,7 @@ class LineIndex:
 
 
 def _keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in sliced(batches, 1):
         ids, found = [], []
         for i, text in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), strict=True):
             if i is not None and text:

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.support import staged
+from parley.llm.support import sliced, staged, text_slices
 
 #: Tokens coded as a whole; all others are escaped, whatever their number.
 VOCABULARY = 1 << 16
@@ -40,8 +40,8 @@ HASHED, LEAST_SLOT_BITS, MOST_SLOT_BITS, TOKENS_A_SLOT = 3, 18, 21, 16
 PREDICTORS = HASHED + 2
 #: Tokens of a text between two refinements of its weights, and its first refinements; tokens handled at once.
 BLOCK, EARLY, CHUNK = 256, (16, 32, 64, 128, 256), 24_000
-#: Bytes of texts that are tokenised at once, and distinct tokens of a task's own counts.
-SLICE_BYTES, OWN_COUNTS = 2_000_000, 400_000
+#: Distinct tokens of a task's own counts.
+OWN_COUNTS = 400_000
 #: Slots of own counts a decision, and for each piece of a text that is longer than a chunk.
 OWN, OWN_LONG = 2, 1 << 19
 RATE, STEADY, LEVELS = 2.4, 64, 4
@@ -177,17 +177,6 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     return np.bincount(owner[kept], minlength=len(texts)), flat.filter(filled).cast(pa.large_binary())
 
 
-def slices(column: pa.Array) -> Iterator[slice]:
-    """Rows of a column of texts in runs of about SLICE_BYTES; a longer text stands alone."""
-    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
-    first = 0
-    while first < len(ends):
-        before = ends[first - 1] if first else 0
-        upto = max(first + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
-        yield slice(first, upto)
-        first = upto
-
-
 @dataclass
 class Tokens:
     """The tokens of some texts end to end, each text closed by the end token: symbols, hashes, where texts begin, and the
@@ -427,18 +416,17 @@ def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     def summed() -> pa.Table:
         return pa.Table.from_batches(held).group_by("token", use_threads=False).aggregate([("n", "sum")]).rename_columns(["token", "n"])
 
-    for batch in batches:
-        for rows in slices(batch.column(0)):
-            counted = split_words(batch.column(0)[rows])[1].value_counts()
-            values, n = pa.concat_arrays([counted.field("values"), pa.array([END.encode()], pa.large_binary())]), pa.concat_arrays([counted.field("counts"), pa.array([rows.stop - rows.start])])
-            held.append(pa.RecordBatch.from_arrays([values.cast(pa.binary()).cast(pa.string()), n], names=["token", "n"]))
-            size += len(n)
-            if size > OWN_COUNTS:
-                table = summed()
-                held, size = table.combine_chunks().to_batches(), len(table)
-                if 2 * size > OWN_COUNTS:
-                    yield from held
-                    held, size = [], 0
+    for batch in sliced(batches, 0):
+        counted = split_words(batch.column(0))[1].value_counts()
+        values, n = pa.concat_arrays([counted.field("values"), pa.array([END.encode()], pa.large_binary())]), pa.concat_arrays([counted.field("counts"), pa.array([batch.num_rows])])
+        held.append(pa.RecordBatch.from_arrays([values.cast(pa.binary()).cast(pa.string()), n], names=["token", "n"]))
+        size += len(n)
+        if size > OWN_COUNTS:
+            table = summed()
+            held, size = table.combine_chunks().to_batches(), len(table)
+            if 2 * size > OWN_COUNTS:
+                yield from held
+                held, size = [], 0
     if held:
         yield from summed().combine_chunks().to_batches()
 
@@ -479,7 +467,7 @@ def _context_counts(sent, of_words: bool):  # noqa: ANN001, ANN202
                 words = column.cast(pa.binary()).to_pylist()
                 counted = (spelled(words[lo : lo + CHUNK // 8], code)[0] for lo in range(0, len(words), CHUNK // 8))
             else:
-                counted = (d for rows in slices(column) for d, _, _ in chunks(Tokens.of(column[rows], code), code, counting=True))
+                counted = (d for rows in text_slices(column) for d, _, _ in chunks(Tokens.of(column[rows], code), code, counting=True))
             for d in counted:
                 for t, s in zip(tables, d.slots, strict=True):
                     np.add.at(t, 2 * s + d.bit, np.int32(1))
@@ -537,7 +525,9 @@ def _scored(sent):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code, model, logs = sent.value
         code.ready()
-        for batch in (batch.slice(rows.start, rows.stop - rows.start) for batch in batches for rows in slices(batch.column(3))):
+        for batch in sliced(batches, 3):
+            if not batch.num_rows:
+                continue
             texts = batch.column(3)
             tokens, uids, held, many = Tokens.of(texts, code), np.array(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False), batch.num_rows
             lengths = np.diff(tokens.begin)

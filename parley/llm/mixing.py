@@ -106,14 +106,15 @@ def _with_left_half(nodes: DataFrame, level: int, sources: int) -> DataFrame:
 def split_quotas(quotas: DataFrame, levels: int = LEVELS) -> DataFrame:
     """One row ``(counts array<long>)``, a block count per source in rank order, to ``(shard, counts)`` of 2**levels shards.
 
-    A level is a few columns and an explode, so that the whole tree is one stage without a shuffle.
+    A level is a few columns and an explode over at most as many rows as there are shards, without a shuffle; each is
+    computed by itself, so that no plan holds more than one level's expressions.
     """
     row = quotas.select(F.size("counts")).first()
     width = 1 << max(0, ((row[0] if row else 0) - 1).bit_length())
     nodes = quotas.selectExpr("0L as shard", f"concat(counts, array_repeat(0L, {width} - size(counts))) as counts")
     for level in range(levels):
         halves = "array(named_struct('shard', shard * 2, 'counts', left.draws), named_struct('shard', shard * 2 + 1, 'counts', zip_with(counts, left.draws, (a, b) -> a - b)))"
-        nodes = _with_left_half(nodes, level, width).select(F.explode(F.expr(halves)).alias("half")).select("half.shard", "half.counts")
+        nodes = staged(_with_left_half(nodes, level, width).select(F.explode(F.expr(halves)).alias("half")).select("half.shard", "half.counts"))
     return nodes
 
 

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.support import mix64, shuffle_partitions
+from parley.llm.support import mix64, shuffle_partitions, sliced
 
 LENGTH, DIMS, BITS = 1024, 4, 8
 #: Ranges of the curve per shuffle partition, and keys of documents (by a hash) from which each range's bounds are estimated.
@@ -48,9 +48,14 @@ def tokenizer(path: str):  # noqa: ANN201
 
         from tokenizers import Tokenizer
 
-        whole = Tokenizer.from_file(path)
-        whole.encode_special_tokens = True
-        slow = lambda text: whole.encode(text, add_special_tokens=False).ids
+        made: list[Tokenizer] = []
+
+        def slow(text: str) -> list[int]:
+            if not made:  # it is seldom needed
+                made.append(Tokenizer.from_file(path))
+                made[0].encode_special_tokens = True
+            return made[0].encode(text, add_special_tokens=False).ids
+
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         if model["model"]["type"] == "BPE" and (model.get("pre_tokenizer") or {}).get("type") == "ByteLevel" and not model["pre_tokenizer"].get("add_prefix_space") and not model.get("normalizer"):
@@ -116,7 +121,7 @@ def _encoded(path: str, bounds: list[int] | None):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, signs = tokenizer(path), sign_table()
         edges = np.array(bounds or [], np.int64)
-        for batch in batches:
+        for batch in sliced(batches, 1):
             ids, projected = [], np.zeros((batch.num_rows, DIMS), np.float32)
             for i, text in enumerate(batch.column(1).to_pylist()):
                 row = np.array(encode(text or "") + [0], np.uint32)

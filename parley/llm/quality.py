@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.support import WordHashes, mix64
+from parley.llm.support import WordHashes, mix64, sliced, text_slices
 
 BUCKETS, DIMS, ENTRIES = 8192, 32, 4
 FEATURES = 2 * DIMS + 2
@@ -52,7 +52,7 @@ def _buckets(texts: list[bytes | None], hashes: WordHashes) -> tuple[np.ndarray,
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     hashes, (at, sign) = WordHashes(3), index_table()
     total, n = np.zeros(BUCKETS * DIMS), np.zeros(BUCKETS, np.int64)
-    for batch in batches:
+    for batch in sliced(batches, 0):
         rows, ends = _buckets(batch.column(0).cast(pa.binary()).to_pylist(), hashes)
         if len(rows) < 2:
             continue
@@ -84,14 +84,19 @@ def pooled(texts: list[bytes | None], vectors: np.ndarray, hashes: WordHashes) -
     neighbours and the share of equal ones; zeros without tokens."""
     rows, ends = _buckets(texts, hashes)
     out = np.zeros((len(texts), FEATURES), np.float32)
-    for i, (lo, hi) in enumerate(zip(ends[:-1], ends[1:], strict=True)):
-        if lo < hi:
-            v = vectors[rows[lo:hi]]
-            out[i, :DIMS] = mean = v.mean(0)
-            out[i, DIMS : 2 * DIMS] = np.sqrt(np.maximum(0, np.einsum("ij,ij->j", v, v) / (hi - lo) - mean * mean))
-            if hi - lo > 1:
-                out[i, 2 * DIMS] = np.einsum("ij,ij->", v[1:], v[:-1]) / (hi - lo - 1)
-                out[i, 2 * DIMS + 1] = np.mean(rows[lo + 1 : hi] == rows[lo : hi - 1])
+    filled = np.flatnonzero(np.diff(ends))
+    if not len(filled):
+        return out
+    starts, n = ends[filled], np.diff(ends)[filled, None]
+    v = vectors[rows]
+    mean = np.add.reduceat(v, starts, axis=0, dtype=np.float64) / n
+    out[filled, :DIMS] = mean
+    out[filled, DIMS : 2 * DIMS] = np.sqrt(np.maximum(0, np.add.reduceat(v * v, starts, axis=0, dtype=np.float64) / n - mean * mean))
+    # a token with the one after it; a document's last token has none
+    pairs = np.zeros((len(rows), 2))
+    pairs[:-1, 0], pairs[:-1, 1] = np.einsum("ij,ij->i", v[1:], v[:-1]), rows[1:] == rows[:-1]
+    pairs[ends[filled + 1] - 1] = 0
+    out[filled, 2 * DIMS :] = np.add.reduceat(pairs, starts, axis=0) / np.maximum(1, n - 1)
     return out
 
 
@@ -149,7 +154,7 @@ def fit(x: np.ndarray, y: np.ndarray) -> Network:
 def _with_features(vectors):  # noqa: ANN001, ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes(3)
-        for batch in batches:
+        for batch in sliced(batches, 2):
             x = pooled(batch.column(2).cast(pa.binary()).to_pylist(), vectors.value, hashes)
             flat = pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), flat], names=["doc_id", "label", "x"])
@@ -185,7 +190,9 @@ def scorer(spark, vectors: np.ndarray, net: Network):  # noqa: ANN001, ANN201
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         hashes, (table, model) = WordHashes(3), sent.value
         for texts in batches:
-            yield pd.Series(model.probability(pooled([None if t is None else t.encode() for t in texts], table, hashes).astype(np.float64)))
+            column = pa.array(texts, pa.string(), from_pandas=True).cast(pa.binary())
+            parts = [pooled(column[rows].to_pylist(), table, hashes) for rows in text_slices(column)]
+            yield pd.Series(model.probability(np.concatenate([np.zeros((0, FEATURES)), *parts])))
 
     return F.pandas_udf(score, "double")
 

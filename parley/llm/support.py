@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,6 +38,27 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def text_slices(column: pa.Array, most: int = 2_000_000) -> Iterator[slice]:
+    """Rows of a column of texts in runs of about ``most`` bytes, so that a batch's rows aren't all taken apart at once; a
+    longer text stands alone."""
+    ends = np.cumsum(pc.binary_length(column).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) + 1)
+    first = 0
+    while first < len(ends):
+        before = ends[first - 1] if first else 0
+        upto = max(first + 1, int(np.searchsorted(ends, before + most, "right")))
+        yield slice(first, upto)
+        first = upto
+
+
+def sliced(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
+    """Batches cut by :func:`text_slices` of their column ``text``; an empty batch passes as it is."""
+    for batch in batches:
+        if not batch.num_rows:
+            yield batch
+        for rows in text_slices(batch.column(text)):
+            yield batch.slice(rows.start, rows.stop - rows.start)
+
+
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered for up to ``limit`` words."""
 
