@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import math
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for x >= 1, by Stirling's series from x + 8 downwards."""
+    y = x + 8.0
+    series = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + 1 / (12 * y) - 1 / (360 * F.pow(y, 3)) + 1 / (1260 * F.pow(y, 5))
+    return series - F.log(reduce(lambda a, i: a * (x + float(i)), range(1, 8), x))
+
+
 def two_sided_binomial(rows: DataFrame, hits: str, trials: str) -> DataFrame:
     """``rows`` with ``p_value``: how likely a count as rare as ``hits`` of ``trials`` is at even odds.
 
     At even odds the rarer counts are those in both tails, so the value is twice the lower tail of the smaller side, at
-    most 1. Tails are summed once per distinct pair of numbers, by the ratio of neighbouring terms, in logarithms.
+    most 1. The tail is summed within a column from its largest term downwards, by the ratio of neighbouring terms; terms
+    beyond twenty deviations are nothing, so that even a count of millions needs some thousand steps and no more rows.
     """
-    n, low = F.col("_n"), F.least(F.col("_k"), F.col("_n") - F.col("_k"))
-    keys = rows.select(F.col(hits).alias("_k"), F.col(trials).alias("_n")).where("_n is not null and _k is not null").distinct().withColumn("_low", low)
-    terms = keys.where("_low > 0").select("_k", "_n", F.explode(F.sequence(F.lit(1), F.col("_low"))).alias("_i"))
-    upto = Window.partitionBy("_k", "_n").orderBy("_i")
-    log_term: Column = F.sum(F.log((n - F.col("_i") + 1) / F.col("_i"))).over(upto) - n * F.log(F.lit(2.0))
-    tails = terms.withColumn("_t", F.exp(log_term)).groupBy("_k", "_n").agg(F.sum("_t").alias("_tail"))
-    whole = F.coalesce("_tail", F.lit(0.0)) + F.exp(-n * F.log(F.lit(2.0)))
-    values = keys.join(tails, ["_k", "_n"], "left").select("_k", "_n", F.when(2 * F.col("_low") == n, F.lit(1.0)).otherwise(F.least(F.lit(1.0), 2 * whole)).alias("p_value"))
-    return rows.join(values, (F.col(hits) == F.col("_k")) & (F.col(trials) == F.col("_n")), "left").drop("_k", "_n")
+    n, k = F.col(trials).cast("double"), F.col(hits).cast("double")
+    low = F.least(k, n - k)
+    first = F.exp(log_gamma(n + 1) - log_gamma(low + 1) - log_gamma(n - low + 1) - n * math.log(2.0))
+    steps = F.least(low, F.ceil(20 * F.sqrt(n)) + 40).cast("long")
+    # the term of i is the one of i + 1 times (i + 1) / (n - i), for i from low - 1 downwards
+    grow = lambda a, j: F.struct((a.w * (low - j + 1) / (n - low + j)).alias("w"), (a.s + a.w).alias("s"))
+    tail = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), steps), F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s")), grow, lambda a: a.s + a.w)).otherwise(1.0)
+    value = F.when(2 * low == n, 1.0).otherwise(F.least(F.lit(1.0), 2 * first * tail))
+    return rows.withColumn("p_value", F.when(n.isNotNull() & k.isNotNull(), value))

@@ -11,8 +11,9 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import rounded
 from parley.functions.text import any_of
+from parley.operators import engagement as engaged
 from parley.operators import timeline
-from parley.plans.ctes import PAIRS, REPLIES, SESSIONS, UNITS
+from parley.plans.ctes import ENGAGED, OWN, PAIRS, RECALL, REPLIES, SESSIONS, UNITS, WORDS
 from parley.registry import declare, operator
 from parley.views import M, S, messages, sentiment
 
@@ -196,9 +197,15 @@ declare("agg_25", "Variation of the daily number of messages, from two days on."
 with days as (select conversation_id, cast(ts as date) as day, count(*) as n from {m} group by 1, 2)
 select conversation_id, count(*) as days, case when count(*) >= 2 then round(stddev_pop(n) / avg(n) + 1e-9, 4) end as variation from days group by 1""")
 
-declare("agg_26", "Recalls by side, read from system rows.", """
-select conversation_id, count(case when regexp_extract(content, '"k": ([0-9])', 1) in ('1', '3', '5', '7', '9') then 1 end) as mine,
-  count(case when regexp_extract(content, '"k": ([0-9])', 1) in ('0', '2', '4', '6', '8') then 1 end) as theirs from {m} where message_type = 10000 group by 1""")
+
+
+@operator("agg_26", f"""with {M} select conversation_id, count(*) filter (where regexp_extract(content, '{RECALL}', 1) in {OWN}) as mine,
+  count(*) filter (where regexp_extract(content, '{RECALL}', 1) not in {OWN}) as theirs from m where message_type = 10000 and regexp_matches(content, '{RECALL}') group by 1""")
+def recalls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Recalls by side, read from system rows."""
+    return engaged.recalls(messages(spark, sf_dir), RECALL, OWN)
+
+
 
 declare("agg_27", "Messages by side and polarity.", """
 select m.conversation_id, m.is_sender, c.polarity, count(*) as n from {m} m join {c} c on c.message_id = m.id group by 1, 2, 3""")
@@ -290,21 +297,8 @@ select conversation_id, cast(date_trunc('month', ts) as date) as month, min(ts_s
 from {m} group by 1, 2""")
 
 
-@operator("agg_24", f"""with {M}, p as (select *, lag(is_sender) over w as ps, lag(ts_sec) over w as pt from m window w as (partition by conversation_id order by ts, id)),
-r as (select *, sum(case when ps = is_sender then 0 else 1 end) over (partition by conversation_id order by ts, id) as run from p),
-b as (select conversation_id, is_sender, count(*) as bursts from (select conversation_id, is_sender, run from r group by 1, 2, 3 having count(*) >= 3) group by 1, 2),
-t as (select conversation_id, is_sender, count(*) as n, count(*) filter (where ps <> is_sender and ts_sec - pt > 7200 and ts_sec - pt <= 86400) as long_gaps, count(*) filter (where ps <> is_sender and ts_sec - pt > 86400) as ice_breaks,
-  count(distinct case when hour(ts) >= 5 and hour(ts) < 10 then cast(ts as date) end) as morning_days, round(avg(case when length(content) <= 14 then 1e0 else 0e0 end) + 1e-9, 4) as short_share from r group by 1, 2)
-select conversation_id, is_sender, n, coalesce(bursts, 0) as bursts, long_gaps, ice_breaks, morning_days, short_share from t left join b using (conversation_id, is_sender)""")
+@operator("agg_24", f"with {M}, {ENGAGED} select * replace (round(perfunctory_self, 6) as perfunctory_self, round(perfunctory_other, 6) as perfunctory_other) from eng")
 def engagement(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Per side: runs of three messages or more, long pauses and ice-breaks ended, days greeted in the morning, share of short messages."""
-    key, order = ["conversation_id"], ["ts", "id"]
-    linked = timeline.with_runs(timeline.with_day(messages(spark, sf_dir)), "run", ["is_sender", "ts_sec"], F.col("prev_is_sender") != F.col("is_sender"), key, order)
-    switch = F.coalesce(F.col("prev_is_sender") != F.col("is_sender"), F.lit(False))
-    gap = F.col("ts_sec") - F.col("prev_ts_sec")
-    bursts = linked.groupBy("conversation_id", "is_sender", "run").count().where("count >= 3").groupBy("conversation_id", "is_sender").agg(F.count("*").alias("bursts"))
-    totals = linked.groupBy("conversation_id", "is_sender").agg(
-        F.count("*").alias("n"), F.count_if(switch & (gap > 7200) & (gap <= 86400)).alias("long_gaps"), F.count_if(switch & (gap > 86400)).alias("ice_breaks"),
-        F.count_distinct(F.when((F.hour("ts") >= 5) & (F.hour("ts") < 10), F.col("day"))).alias("morning_days"), rounded(F.avg(F.when(F.length("content") <= 14, 1.0).otherwise(0.0))).alias("short_share"),
-    )
-    return totals.join(bursts, ["conversation_id", "is_sender"], "left").na.fill(0, ["bursts"])
+    """Engagement of both sides: bursts, long pauses, ice-breaks, greetings, togetherness, half-hearted replies."""
+    found = engaged.engagement(messages(spark, sf_dir), WORDS)
+    return found.withColumns({c: F.round(c, 6) for c in ("perfunctory_self", "perfunctory_other")})

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import rounded
+from parley.functions.pii import PORTABLE
 from parley.functions.text import character_grams, cleaned
 from parley.operators import timeline
 from parley.registry import declare, operator
@@ -99,8 +102,14 @@ def redaction_keeps_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", shared.alias("shared"), (shared * 2 >= F.size(grams[0])).alias("keeps_core"))
 
 
-declare("rul_19", "Phrases that are safe to show: no digits, addresses or links.", """
-select conv_id, turn, not (substring(text, 1, 40) like '%@%' or substring(text, 1, 40) like '%http%' or regexp_replace(substring(text, 1, 40), '[0-9]', '') <> substring(text, 1, 40)) as safe from {conversations}""")
+_UNSAFE = ("email", "ip", "digits", "hex", "link")
+
+
+@operator("rul_19", "select conv_id, turn, not (" + " or ".join(f"coalesce(regexp_matches(text, '{PORTABLE[k]}'), false)" for k in _UNSAFE) + ") as safe from conversations")
+def safe_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole phrases that are safe to show: the detector of personal data finds nothing in them."""
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (~reduce(lambda a, b: a | b, (F.coalesce(F.col("text").rlike(PORTABLE[k]), F.lit(False)) for k in _UNSAFE))).alias("safe"))
+
 
 declare("rul_20", "A log in which an event of a kind occurs once per user and day, the first one.", """
 select user_id, event_type, cast(ts as date) as day, min(event_id) as event_id from {events} group by 1, 2, 3""")

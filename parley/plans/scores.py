@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import cosine, interpolated, rounded, weighted
-from parley.operators import timeline
+from parley.operators import dimensions, timeline
 from parley.operators.balance import two_sided_binomial
-from parley.plans.ctes import PAIRS, SESSIONS, UNITS
+from parley.plans.ctes import ENGAGED, OWN, PAIRS, RECALL, SESSIONS, UNITS, WORDS
 from parley.registry import declare, operator
 from parley.views import S, M, messages, sentiment, table
 
@@ -101,11 +101,35 @@ declare("mth_09", "Weights of five dimensions, normalised over those that are pr
 with {_BASE}, p as (select member, {_FIVE[0]}e0 as w1, {_FIVE[1]}e0 as w2, case when n >= 50 then {_FIVE[2]}e0 else 0e0 end as w3, case when active_days >= 20 then {_FIVE[3]}e0 else 0e0 end as w4, case when weeks >= 5 then {_FIVE[4]}e0 else 0e0 end as w5 from b)
 select member, """ + ", ".join(f"round(w{i} / (w1 + w2 + w3 + w4 + w5) + 1e-9, 4) as w{i}" for i in range(1, 6)) + " from p")
 
-declare("mth_10", "Investment: seven parts of activity and a bonus for long texts.", """
-with b as (select conversation_id, count(*) as n, count(distinct cast(ts as date)) as days, avg(cast(is_sender as double)) as mine, avg(length(content)) as chars, avg(case when hour(ts) < 5 then 1e0 else 0e0 end) as late,
-  avg(case when message_type = 47 then 1e0 else 0e0 end) as stickers, avg(case when length(content) >= 17 then 1e0 else 0e0 end) as long_share, count(distinct hour(ts)) as hours from {ms} group by 1),
-p as (select *, least(100e0, n * 1e0) as p1, least(100e0, days * 4e0) as p2, 100 - 200 * abs(mine - 0.5e0) as p3, least(100e0, chars * 5e0) as p4, least(100e0, late * 300e0) as p5, least(100e0, stickers * 400e0) as p6, hours * 100e0 / 24 as p7 from b)
-select conversation_id, round(0.25 * p1 + 0.2 * p2 + 0.2 * p3 + 0.1 * p4 + 0.1 * p5 + 0.05 * p6 + 0.1 * p7 + case when long_share > 0.1 then 5e0 else 0e0 end + 1e-9, 4) as investment from p""")
+_STATISTICS = f"""{UNITS}, {SESSIONS}, st as (select conversation_id, count(*) as n, count(distinct cast(ts as date)) as chat_days, (max(ts_sec) - min(ts_sec)) / 86400e0 as span_days,
+  count(*) filter (where is_sender = 0) as n_other, count(*) filter (where is_sender = 0 and message_type = 47) as stickers from m group by 1),
+se as (select conversation_id, count(*) as sessions, count(*) filter (where initiator = 0) as sessions_other from sess group by 1)"""
+_INVESTMENT = f"""{_STATISTICS}, {ENGAGED}, {PAIRS}, pc as (select conversation_id, count(*) as pairs, count(*) filter (where gap_sec between 0 and 300) as timely from pairs group by 1),
+pl as (select p.conversation_id, avg(list_cosine_similarity(list_transform(x.embedding, lambda v: cast(v as double)), list_transform(y.embedding, lambda v: cast(v as double)))) as likeness from pairs p
+  join u f on f.conversation_id = p.conversation_id and f.unit_id = p.from_unit join u t on t.conversation_id = p.conversation_id and t.unit_id = p.to_unit
+  join embeddings x on x.vec_id = f.message_ids[1] join embeddings y on y.vec_id = t.message_ids[1] group by 1),
+sy as (select conversation_id, coalesce(sum(length(c)) filter (where is_sender = 0), 0) * 1e0 / sum(length(c)) as balance, coalesce(avg((length(c) >= 100)::int) filter (where is_sender = 0), 0) as lo,
+  coalesce(avg((length(c) >= 100)::int) filter (where is_sender = 1), 0) as ls, count(*) filter (where length(c) > 50) as n_long from tx group by 1),
+ip as (select st.conversation_id, sessions, chat_days, case when span_days > 0 then least(100, n / greatest(span_days, 1) / 10 * 100) else 0 end as daily,
+  coalesce(timely * 100e0 / pairs * least(1, pairs / 15e0), 0) as timely, least(100, greatest(0, least(1, coalesce(likeness, 0))) / 0.5 * 100) as continuity, least(100, sessions_other * 1e0 / sessions / 0.5 * 100) as initiation,
+  0.40 * (100 - abs(balance - 0.5) * 80) + 0.35 * (100 - least(100, abs(lo - ls) * 250)) + 0.25 * 100 * least(1, coalesce(stickers * 1e0 / nullif(n_other, 0), 0) / 0.05) as symmetry,
+  100 - least(100, long_unanswered_other * 100e0 / n_texts / 6.7 * 100) as unanswered,
+  case when bursts_other = 0 and bursts_self = 0 then 60 else greatest(0, least(100, 50 + (bursts_other - bursts_self) * 100e0 / n_texts * 20)) end as bursts, least(10, n_long * 1e0 / n / 0.3 * 10) as long_bonus
+  from st join se using (conversation_id) join pc using (conversation_id) left join pl using (conversation_id) join sy using (conversation_id) join eng using (conversation_id)),
+iv as (select *, pow(least(1, 0.55 * least(1, sessions / 20e0) + 0.45 * least(1, chat_days / 25e0)), 1.5) as sure,
+  least(100, 0.1 * daily + 0.2 * timely + 0.2 * continuity + 0.2 * initiation + 0.1 * symmetry + 0.1 * unanswered + 0.1 * bursts + long_bonus) as total from ip)"""
+_PARTS = ("daily", "timely", "continuity", "initiation", "symmetry", "unanswered", "bursts", "long_bonus")
+
+
+def _investment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimensions.investment(messages(spark, sf_dir), table(spark, sf_dir, "embeddings"), WORDS)
+
+
+@operator("mth_10", f"with {M}, {_INVESTMENT} select conversation_id, " + ", ".join(f"round({c} + 1e-9, 3) as {c}" for c in _PARTS) + ", round(total * sure + 38 * (1 - sure) + 1e-9, 3) as investment from iv")
+def investment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Investment: seven parts and a bonus for long texts, drawn to the middle where there is little to go by."""
+    return _investment(spark, sf_dir).select("conversation_id", *(rounded(F.col(c), 3).alias(c) for c in (*_PARTS, "investment")))
+
 
 declare("mth_11", "Symmetry of replies: characters, long messages and stickers of both sides.", """
 with b as (select conversation_id, sum(case when is_sender = 1 then length(content) else 0 end) * 1e0 as ca, sum(case when is_sender = 0 then length(content) else 0 end) * 1e0 as cb,
@@ -183,15 +207,41 @@ def preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.join(likeness, "conversation_id", "left").select("conversation_id", rounded(score, 3).alias("preference"))
 
 
-declare("mth_17", "An overall score and its band.", f"""
-with {_BASE}, k as (select member, round(raw * {_CONFIDENCE} + 1e-9, 2) as total from b)
-select member, total, case when total >= 80 then 'high' when total >= 60 then 'good' when total >= 40 then 'fair' when total >= 20 then 'low' else 'very low' end as band from k""")
+_WHOLE = f"""{_INVESTMENT}, {_PAIR_AFFECT}, re as (select conversation_id, 100 * (sum(case when (la > 0) = (lb > 0) then 1e0 else 0e0 end) + 5) / (count(*) + 10) as resonance from k group by 1),
+ov as (select iv.conversation_id, case when resonance is null then total * sure + 38 * (1 - sure) else (0.4 * (total * sure + 38 * (1 - sure)) + 0.35 * resonance) / 0.75 end as score,
+  pow(0.35 * least(1, iv.sessions / 30e0) + 0.35 * least(1, iv.chat_days / 30e0) + 0.2 * least(1, st.n / 400e0) + 0.1 * least(1, se.sessions_other / 12e0), 1.5) as steady
+  from iv join st using (conversation_id) join se using (conversation_id) left join re using (conversation_id)),
+oc as (select conversation_id, round(score * steady + 35 * (1 - steady) + 1e-9, 2) as overall from ov)"""
+
+
+@operator("mth_17", f"""with {M}, {S}, {_WHOLE} select conversation_id, overall, case when overall >= 75 then 'very high' when overall >= 60 then 'high' when overall >= 45 then 'medium'
+  when overall >= 35 then 'moderate' when overall >= 25 then 'low' else 'very low' end as band from oc""")
+def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The overall score of the dimensions that are there, and its band."""
+    m = messages(spark, sf_dir)
+    like = F.when((F.col("la") > 0) == (F.col("lb") > 0), 1.0).otherwise(0.0)
+    resonance = _pair_levels(spark, sf_dir).groupBy("conversation_id").agg((100 * (F.sum(like) + 5) / (F.count("*") + 10)).alias("resonance"))
+    scores = _investment(spark, sf_dir).select("conversation_id", "investment").join(resonance, "conversation_id", "left")
+    return dimensions.overall(scores, dimensions.statistics(m))
+
+
+_LEVEL = "case when {0} = 2 then 'alert' when {0} = 1 then 'watch' else 'normal' end"
+
+
+@operator("mth_18", f"""with {M}, {_STATISTICS}, {ENGAGED}, rc as (select conversation_id, count(*) as recalls from m where message_type = 10000 and regexp_matches(content, '{RECALL}') group by 1),
+wc as (select conversation_id, avg(n) filter (where k <= days // 3) as early, avg(n) filter (where k > days - days // 3) as recent from (select *, row_number() over (partition by conversation_id order by day) as k, count(*) over (partition by conversation_id) as days from td) where days >= 6 group by 1),
+rs as (select conversation_id, (coalesce(variation >= 0.8, false))::int + (conversation_id % 2 = 0)::int as hot_cold,
+  ((coalesce(sessions_other * 1e0 / nullif(sessions, 0) < 0.35, false)::int + (coalesce(bursts_self, 0) * 100e0 / n_texts >= 3)::int + (coalesce(perfunctory_other, 0) >= 0.15)::int) >= 2)::int as one_sided,
+  (coalesce(recalls, 0) * 100e0 / n_texts >= 2)::int + (conversation_id % 3 = 0)::int as denial, coalesce(early >= 5 and recent < early * 0.5, false)::int as warm_then_cold
+  from eng left join se using (conversation_id) left join rc using (conversation_id) left join wc using (conversation_id))
+select conversation_id, {", ".join(f"{_LEVEL.format(x)} as {x}" for x in dimensions.SIGNALS)}, {_LEVEL.format("greatest(hot_cold, one_sided, denial, warm_then_cold)")} as highest from rs""")
+def risks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four signals of risk by the numbers and by (stand-in) evidence, and the highest level."""
+    m = messages(spark, sf_dir)
+    said = lambda n: F.col("conversation_id") % n == 0
+    evidence = m.select("conversation_id").distinct().select("conversation_id", said(2).alias("hot_cold"), F.lit(False).alias("one_sided"), said(3).alias("denial"), F.lit(None).alias("warm_then_cold"))
+    return dimensions.risk_signals(m, evidence, WORDS, RECALL, OWN)
 
-declare("mth_18", "Four signals of risk and the level that follows.", """
-with d as (select conversation_id, cast(ts as date) as day, count(*) as n from {ms} group by 1, 2), v as (select conversation_id, stddev_pop(n) / avg(n) as cv from d group by 1),
-b as (select conversation_id, avg(cast(is_sender as double)) as mine, avg(case when message_type = 10000 then 1e0 else 0e0 end) as recalls, count(*) as n from {ms} group by 1),
-k as (select b.conversation_id, case when v.cv >= 0.8 then 1 else 0 end as unstable, case when abs(b.mine - 0.5e0) > 0.1 then 1 else 0 end as one_sided, case when b.recalls >= 0.2 then 1 else 0 end as recalling, case when b.n < 40 then 1 else 0 end as thin from b join v on v.conversation_id = b.conversation_id)
-select *, case when unstable + one_sided + recalling + thin >= 3 then 'high' when unstable + one_sided + recalling + thin = 2 then 'medium' else 'low' end as risk from k""")
 
 declare("mth_19", "Softmax of three values: polarity and confidence.", """
 with e as (select message_id, exp(intensity * 3) as p, exp(-intensity * 3) as n, exp(0.5e0) as z from {s})

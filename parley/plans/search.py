@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -13,6 +15,8 @@ from parley.operators import retrieval, segmentation, timeline
 from parley.registry import declare, operator
 from parley.views import S, TOKENS, M, messages, sentiment, table
 
+#: From this cosine on a vector counts as of its nearest kind.
+LEAST_LIKE = 0.52
 QUERY = "the license token of que the secret http"
 _CAST = "list_transform({}, lambda x: cast(x as double))"
 _QUERY = f"""q as (select distinct unnest(regexp_extract_all(lower('{QUERY}'), '[\\p{{L}}\\p{{N}}]+')) as token), nq as (select count(*) as terms from q), nd as (select count(*) as n from documents),
@@ -116,41 +120,46 @@ def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("conversation_id", "message_type", "cluster").agg(F.max_by("id", F.struct("intensity", "id")).alias("representative"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("evidence"))
 
 
-@operator("ret_10", f"""with p as (select label, p as pos, avg(cast(embedding[p + 1] as double)) as x from embeddings, unnest(range(len(embedding))) as y(p) where label in (select distinct label from embeddings order by label limit 8) group by 1, 2),
+@operator("ret_10", f"""with p as (select label, p as pos, avg(cast(embedding[p + 1] as double)) as x from embeddings, unnest(range(len(embedding))) as y(p) group by 1, 2),
 c as (select label, list(x order by pos) as centre from p group by 1), s as (select v.vec_id, c.label, list_cosine_similarity({_CAST.format('v.embedding')}, c.centre) as sim from embeddings v, c)
-select vec_id, max_by(label, (round(sim, 9), -label)) as nearest, round(max(sim) + 1e-9, 4) as sim from s group by 1""")
+select vec_id, max_by(label, (round(sim, 9), -label)) as nearest, round(max(sim) + 1e-9, 4) as sim, round(max(sim) + 1e-9, 4) >= {LEAST_LIKE} as matched from s group by 1""")
 def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each vector's nearest prototype: the mean vectors of eight kinds, which travel as one array of arrays."""
+    """Each vector's nearest prototype, the mean vectors of all kinds, which travel as one array of arrays, and whether it is
+    like enough to be taken for one."""
     v = table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
-    kinds = [r.label for r in v.select("label").distinct().orderBy("label").limit(8).collect()]
-    means = v.where(F.col("label").isin(kinds)).select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
+    means = v.select("label", F.posexplode("embedding").alias("pos", "x")).groupBy("label", "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
     centres = means.groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("c"))
     packed = centres.agg(F.array_sort(F.collect_list(F.struct("label", (F.transform("c", lambda x: x / F.sqrt(F.aggregate("c", F.lit(0.0), lambda s, y: s + y * y)))).alias("c")))).alias("centres"))
     length = F.sqrt(dot(F.col("embedding"), F.col("embedding")))
     sims = F.transform("centres", lambda c: F.struct(F.round(dot(F.col("embedding"), c["c"]) / length, 9).alias("r"), (-c["label"]).alias("minus"), (dot(F.col("embedding"), c["c"]) / length).alias("sim")))
     best = v.join(F.broadcast(packed)).withColumn("best", F.array_max(sims))
-    return best.select("vec_id", (-F.col("best.minus")).alias("nearest"), rounded(F.col("best.sim")).alias("sim"))
+    sim = rounded(F.col("best.sim"))
+    return best.select("vec_id", (-F.col("best.minus")).alias("nearest"), sim.alias("sim"), (sim >= LEAST_LIKE).alias("matched"))
 
 
 @operator("ret_11")
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy slots of like vectors (cosine 0.72 or more), at most ten per label; a label's vectors pass in order, in one group each."""
-
-    def fold(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("vec_id")
-        centres: list[np.ndarray] = []
-        out = []
-        for vec_id, x in zip(rows["vec_id"], rows["embedding"], strict=True):
-            v = np.asarray(x, float)
-            v /= max(np.linalg.norm(v), 1e-12)
-            sims = [float(c @ v) for c in centres]
-            slot = int(np.argmax(sims)) if sims and max(sims) >= 0.72 else (len(centres) if len(centres) < 10 else None)
-            if slot == len(centres):
-                centres.append(v)
-            out.append((rows["label"].iat[0], vec_id, slot))
-        return pd.DataFrame(out, columns=["label", "vec_id", "slot"]).astype({"slot": "Int64"})
-
-    return table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding").groupBy("label").applyInPandas(fold, "label long, vec_id long, slot long")
+    """Greedy slots of like vectors (cosine 0.72 or more), at most ten per label. A label's vectors pass in order through
+    one task, in batches; only its slots' centres are held."""
+
+    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        label, centres = None, []
+        for rows in batches:
+            out = []
+            for own, vec_id, x in zip(rows["label"], rows["vec_id"], rows["embedding"], strict=True):
+                if own != label:
+                    label, centres = own, []
+                v = np.asarray(x, float)
+                v /= max(np.linalg.norm(v), 1e-12)
+                sims = [float(c @ v) for c in centres]
+                slot = int(np.argmax(sims)) if sims and max(sims) >= 0.72 else (len(centres) if len(centres) < 10 else None)
+                if slot == len(centres):
+                    centres.append(v)
+                out.append((label, vec_id, slot))
+            yield pd.DataFrame(out, columns=["label", "vec_id", "slot"]).astype({"slot": "Int64"})
+
+    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
+    return rows.repartition("label").sortWithinPartitions("label", "vec_id").mapInPandas(fold, "label long, vec_id long, slot long")
 
 
 @operator("ret_12", f"""with {M}, {S}, f as (select member, message_type as kind, count(*) as evidence, max(ts_sec) as seen, avg(intensity) as level from m join s on s.message_id = m.id group by 1, 2),
@@ -230,8 +239,7 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 declare("txt_01", "Words of all, mine and theirs in one pass.", """
-with t as (select d.lang, t.doc_id % 2 as side, t.token from {tokens} t join {documents} d on d.doc_id = t.doc_id)
-select lang, token, count(*) as n, count(case when side = 1 then 1 end) as mine, count(case when side = 0 then 1 end) as theirs from t group by 1, 2 having count(*) >= 5""")
+select lang, token, count(*) as n, count(case when doc_id % 2 = 1 then 1 end) as mine, count(case when doc_id % 2 = 0 then 1 end) as theirs from {tokens} group by 1, 2 having count(*) >= 5""")
 
 declare("txt_02", "Words by segment of the corpus, from texts that are labelled where nearly all are, else from all.", """
 with k as (select d.lang, count(*) as n, count(l.doc_id) as labelled from {documents} d left join {labels} l on l.doc_id = d.doc_id group by 1),

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
 from parley.operators import timeline
-from parley.plans.ctes import PAIRS, REPLIES, SESSIONS, UNITS
+from parley.operators.engagement import LONG_PAUSE, greeting, spans_deep_night, texts_of
+from parley.plans.ctes import PAIRS, REPLIES, SESSIONS, UNITS, WORDS
 from parley.registry import declare, operator
 from parley.views import S, M, covered, messages, sentiment, table
 
@@ -191,24 +192,24 @@ def bursts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.groupBy("conversation_id", "run").agg(F.min("is_sender").alias("is_sender"), F.count("*").alias("length"), F.min("ts_sec").alias("start_sec")).where("length >= 3")
 
 
-#: Whether (a, b] spans an hour from two to six of a night, in epoch seconds: some k * 86400 + h * 3600 lies within.
-_DEEP = "(" + " or ".join(f"(b - {h * 3600}) {{div}} 86400 > (a - {h * 3600}) {{div}} 86400" for h in range(2, 7)) + ")"
-
-
 @operator("win_18", f"""with {M.replace('user_id // 30', 'user_id')}, p as (select *, lag(is_sender) over w as ps, lag(ts_sec) over w as a, ts_sec as b from m window w as (partition by conversation_id order by ts, id))
 select conversation_id, id, is_sender, b - a as gap_sec, case when b - a > 86400 then 'ice_break' else 'long_unanswered' end as kind from p
-where ps <> is_sender and (b - a > 86400 or (b - a > 7200 and not {_DEEP.replace('{div}', '//')}))""")
+where ps <> is_sender and (b - a > 86400 or (b - a > 7200 and len(list_filter(generate_series(a // 3600, b // 3600), lambda x: x * 3600 > a and x * 3600 < b and x % 24 between 2 and 6)) = 0))""")
 def pauses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pauses that end with the other side: of more than a day, or of more than two hours by day."""
+    """Pauses that end with the other side: of more than a day, or of more than two hours without deep night."""
     linked = timeline.with_previous(timeline.with_day(messages(spark, sf_dir, sparse=True)), ["is_sender", "ts_sec"], KEY, ORDER).where("prev_is_sender <> is_sender")
     gap = F.col("ts_sec") - F.col("prev_ts_sec")
-    spans = linked.withColumns({"a": F.col("prev_ts_sec"), "b": F.col("ts_sec")}).where((gap > timeline.DAY) | ((gap > 7200) & ~F.expr(_DEEP.replace("{div}", "div"))))
+    spans = linked.where((gap > timeline.DAY) | ((gap > LONG_PAUSE) & ~spans_deep_night(F.col("prev_ts_sec"), F.col("ts_sec"))))
     return spans.select("conversation_id", "id", "is_sender", gap.alias("gap_sec"), F.when(gap > timeline.DAY, "ice_break").otherwise("long_unanswered").alias("kind"))
 
 
-declare("win_19", "Greetings: the first short message of a side in the morning or at night, once per day and kind.", """
-with g as (select conversation_id, is_sender, cast(ts as date) as day, case when hour(ts) >= 5 and hour(ts) < 10 then 'morning' when hour(ts) >= 22 then 'night' end as kind from {m} where length(content) <= 14)
-select conversation_id, is_sender, kind, count(distinct day) as days from g where kind is not null group by 1, 2, 3""")
+@operator("win_19", f"""with {M}, g as (select distinct conversation_id, is_sender, cast(ts as date) as day, case when starts_with(content, 'view') then 'morning' else 'night' end as kind
+  from m where message_type = 1 and length(trim(content)) <= 14 and (starts_with(content, 'view') or starts_with(content, 'click'))) select conversation_id, is_sender, kind, count(*) as days from g group by 1, 2, 3""")
+def greetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greetings of each side in the morning and at night, once per day and kind."""
+    texts = timeline.with_day(texts_of(messages(spark, sf_dir)))
+    kind = F.when(greeting(F.col("content"), WORDS, "morning"), "morning").when(greeting(F.col("content"), WORDS, "night"), "night")
+    return texts.withColumn("kind", kind).where("kind is not null").groupBy("conversation_id", "is_sender", "kind").agg(F.count_distinct("day").alias("days"))
 
 
 @operator("win_20", f"""with {M}, p as (select *, lag(is_sender) over w as ps, lag(ts_sec) over w as pt from m window w as (partition by conversation_id, date_trunc('week', ts) order by ts, id))

@@ -43,8 +43,8 @@ def dialog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A row per token of a document, in order: ``doc_id, pos, token``."""
-    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
+    """A row per token of a document, in order: ``doc_id, lang, pos, token``; the language comes along, so that no count by it joins the tokens."""
+    return table(spark, sf_dir, "documents").select("doc_id", "lang", F.posexplode(tokens(F.col("text"))).alias("pos", "token"))
 
 
 def _messages_sql(conversation: str) -> str:
@@ -61,7 +61,7 @@ S = """s as (select event_id as message_id, round(value / 250 - 1, 4) as intensi
 C = "c as (select * from s where message_id % 4 <> 3)"
 D = "d as (select conv_id, turn, case when role = 'user' then 1 else 0 end as is_sender, role, text from conversations)"
 _LETTERS = r"[\p{L}\p{N}]+"
-TOKENS = f"""tokens as (select doc_id, p as pos, ws[p + 1] as token from (select doc_id, regexp_extract_all(lower(coalesce(text, '')), '{_LETTERS}') as ws from documents),
+TOKENS = f"""tokens as (select doc_id, lang, p as pos, ws[p + 1] as token from (select doc_id, lang, regexp_extract_all(lower(coalesce(text, '')), '{_LETTERS}') as ws from documents),
   unnest(range(len(ws))) as x(p))"""
 
 #: What ``{name}`` in a declared query stands for; all other names are tables.
