@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import rounded
 from parley.operators import timeline
 from parley.registry import declare, operator
-from parley.streaming.triggers import triggers_batch
+from parley.streaming.triggers import Rules, dull, shifts, triggers_batch
 from parley.views import S, M, messages, sentiment
 
 KEY, ORDER = ["conversation_id"], ["ts", "id"]
+#: Limits that some events do meet.
+ALL_SHIFTS = Rules(shift_span=7_200, least_mood=0.3, short=16, calm=0.5, dull_span=7_200)
 
 declare("stm_01", "Messages up to a frontier, as one poll sees them.", """
 select conversation_id, id, ts_sec from {m} where ts_sec <= 1704844800 and ts_sec > 1704758400""")
@@ -31,25 +33,7 @@ def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def recent(spark: SparkSession, sf_dir: str, columns: list[str], n: int) -> DataFrame:
-    """Each of the peer's messages with an array ``last`` of up to ``n`` rows that end with it.
-
-    Rows near midnight get the last rows of the day before as well: a window per day over its own and carried rows.
-    """
-    p = peers(spark, sf_dir)
-    tail = p.withColumn("_k", F.row_number().over(Window.partitionBy("conversation_id", "day").orderBy(F.desc("ts"), F.desc("id")))).where(F.col("_k") < n).drop("_k")
-    days = p.select("conversation_id", "day").distinct()
-    following = days.withColumn("to", F.lead("day").over(Window.partitionBy("conversation_id").orderBy("day")))
-    # a sparse day may hold fewer than n rows, then the days before it count as well
-    steps = [tail.join(following, ["conversation_id", "day"]).where("to is not null")]
-    for _ in range(n - 2):
-        again = following.select("conversation_id", F.col("day").alias("to"), F.col("to").alias("_next"))
-        steps.append(steps[-1].join(again, ["conversation_id", "to"]).where("_next is not null").drop("to").withColumnRenamed("_next", "to").select(*steps[0].columns))
-    carried = steps[0]
-    for s in steps[1:]:
-        carried = carried.unionByName(s)
-    both = p.withColumn("_own", F.lit(True)).unionByName(carried.drop("day").withColumnRenamed("to", "day").withColumn("_own", F.lit(False)))
-    w = Window.partitionBy("conversation_id", "day").orderBy("ts", "id").rowsBetween(-(n - 1), 0)
-    return both.withColumn("last", F.collect_list(F.struct(*columns)).over(w)).where("_own").drop("_own")
+    return timeline.with_last(peers(spark, sf_dir), columns, n)
 
 
 @operator("stm_04", f"{_PEER} select conversation_id, id, count(*) over w as n, round(avg(intensity) over w + 1e-9, 4) as level, cast(sum(polarity) over w as bigint) as polarity from x window w as (partition by conversation_id order by ts, id rows between 4 preceding and current row)")
@@ -66,23 +50,20 @@ def negative_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return recent(spark, sf_dir, ["polarity"], 3).where((F.size("last") == 3) & F.forall("last", lambda x: x["polarity"] == -1)).select("conversation_id", "id")
 
 
-@operator("stm_06", f"""{_PEER}, r as (select *, lag(ts_sec, 3) over w as t3, (lag(intensity) over w + lag(intensity, 2) over w + lag(intensity, 3) over w) / 3 as base, (lag(polarity) over w = 1)::int + (lag(polarity, 2) over w = 1)::int + (lag(polarity, 3) over w = 1)::int as good
-  from x window w as (partition by conversation_id order by ts, id)) select conversation_id, id, round(base - intensity + 1e-9, 4) as fall from r where good >= 2 and base >= 0.25 and intensity <= -0.5 and base - intensity >= 0.7 and ts_sec - t3 <= 1800""")
+@operator("stm_06", f"""{_PEER}, r as (select *, lag(ts_sec, 3) over w as t3, (lag(intensity) over w + lag(intensity, 2) over w + lag(intensity, 3) over w) / 3 as base,
+  (lag(polarity) over w + lag(polarity, 2) over w + lag(polarity, 3) over w) / 3e0 as mood, (lag(polarity) over w = 1)::int + (lag(polarity, 2) over w = 1)::int + (lag(polarity, 3) over w = 1)::int as good
+  from x window w as (partition by conversation_id order by ts, id)) select conversation_id, id, round(base - intensity + 1e-9, 4) as fall from r where good >= 2 and mood >= {ALL_SHIFTS.least_mood} and base >= 0.25 and intensity <= -0.5 and base - intensity >= 0.7 and ts_sec - t3 <= {ALL_SHIFTS.shift_span}""")
 def emotion_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fall from three mostly positive messages within half an hour."""
-    r = recent(spark, sf_dir, ["ts_sec", "polarity", "intensity"], 4).where("size(last) = 4")
-    before = F.slice("last", 1, 3)
-    base = (F.get("last", F.lit(2))["intensity"] + F.get("last", F.lit(1))["intensity"] + F.get("last", F.lit(0))["intensity"]) / 3
-    good = F.size(F.filter(before, lambda x: x["polarity"] == 1)) >= 2
-    fall = base - F.col("intensity")
-    return r.where(good & (base >= 0.25) & (F.col("intensity") <= -0.5) & (fall >= 0.7) & (F.col("ts_sec") - F.get("last", F.lit(0))["ts_sec"] <= 1800)).select("conversation_id", "id", rounded(fall).alias("fall"))
+    """A fall from three mostly positive messages. Events are sparser than chats, and their moods mixed, so spans and the least mood are wider here."""
+    r = recent(spark, sf_dir, ["ts_sec", "polarity", "intensity"], 4)
+    base = F.aggregate(F.slice("last", 1, 3), F.lit(0.0), lambda a, x: a + x["intensity"]) / 3
+    return r.where(shifts(ALL_SHIFTS)).select("conversation_id", "id", rounded(base - F.col("intensity")).alias("fall"))
 
 
-@operator("stm_07", f"{_PEER}, r as (select *, lag(ts_sec, 2) over w as t2, max(chars) over v as longest, max(abs(intensity)) over v as strongest from x window w as (partition by conversation_id order by ts, id), v as (partition by conversation_id order by ts, id rows between 2 preceding and current row)) select conversation_id, id from r where t2 is not null and longest <= 16 and strongest <= 0.5 and ts_sec - t2 <= 7200")
+@operator("stm_07", f"{_PEER}, r as (select *, lag(ts_sec, 2) over w as t2, max(chars) over v as longest, max(abs(intensity)) over v as strongest from x window w as (partition by conversation_id order by ts, id), v as (partition by conversation_id order by ts, id rows between 2 preceding and current row)) select conversation_id, id from r where t2 is not null and longest <= {ALL_SHIFTS.short} and strongest <= {ALL_SHIFTS.calm} and ts_sec - t2 <= {ALL_SHIFTS.dull_span}")
 def perfunctory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three short messages without feeling close to one another."""
-    r = recent(spark, sf_dir, ["ts_sec", "chars", "intensity"], 3).where("size(last) = 3")
-    return r.where(F.forall("last", lambda x: (x["chars"] <= 16) & (F.abs(x["intensity"]) <= 0.5)) & (F.col("ts_sec") - F.get("last", F.lit(0))["ts_sec"] <= 7200)).select("conversation_id", "id")
+    """Three short messages without feeling close to one another; the limits are those of events, which are longer and sparser than chats."""
+    return recent(spark, sf_dir, ["ts_sec", "polarity", "chars", "intensity"], 3).where(dull(ALL_SHIFTS)).select("conversation_id", "id")
 
 
 @operator("stm_08", f"{_PEER}, r as (select *, min(intensity) over w as least, min(polarity) over w as p, count(*) over w as n from x window w as (partition by conversation_id order by ts, id rows between 2 preceding and current row)) select conversation_id, id from r where n = 3 and p = 1 and least > 0.5")
@@ -116,7 +97,7 @@ def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @operator("stm_11")
 def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All triggers with their pauses: the fold that the stream runs, over sorted rows."""
+    """All triggers with their pauses, as the stream fires them."""
     return triggers_batch(peers(spark, sf_dir).select("conversation_id", "id", "ts_sec", "polarity", "intensity", "chars"))
 
 

@@ -1,46 +1,97 @@
 """Triggers over the peer's last messages, one rule set for streams and for batches.
 
 State per conversation is a fixed-size window of the last five messages and the last firing time of each trigger, so
-its size doesn't grow with the stream. The batch form groups by conversation and runs the same fold over sorted rows.
+its size doesn't grow with the stream. In a batch every message's own window is a column, found per day with carried rows,
+and only the pauses are sequential: a trigger's candidates fall apart wherever none follows within its pause, and each
+such island is folded by itself.
 """
 
 from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from parley.operators import timeline
+
 #: Messages in the window, and each trigger's pause in seconds before it fires again.
 WINDOW = 5
-PAUSES = {"negative_streak": 120, "emotion_shift": 180, "perfunctory": 300, "positive_window": 600}
-SHIFT_SPAN, SHIFT_DROP, SHORT = 180, 0.7, 14
+PAUSES = {"negative_streak": 120, "emotion_shift": 180, "perfunctory": 300, "positive_window": 300}
+
+
+@dataclass(frozen=True)
+class Rules:
+    """Limits of the triggers: a fall from three messages before, of which two are positive; short calm replies close together."""
+
+    least_good: int = 2
+    least_mood: float = 0.45
+    least_level: float = 0.25
+    most_low: float = -0.5
+    drop: float = 0.7
+    shift_span: int = 180
+    short: int = 4
+    calm: float = 0.25
+    dull_span: int = 180
+    happy: float = 0.5
+
+
+RULES = Rules()
 #: Silence after so many seconds, and how late rows may be.
 SILENCE, LATENESS = 600, "24 hours"
 FIRED = "conversation_id long, id long, ts_sec long, trigger string, level double"
 
 
-def fired(window: list[tuple[int, int, int, float, int]]) -> list[str]:
+def fired(window: list[tuple[int, int, int, float, int]], rules: Rules = RULES) -> list[str]:
     """Triggers that the window (id, seconds, polarity, intensity, characters; newest last) sets off."""
     out = []
     last3 = window[-3:]
     if len(last3) == 3 and all(w[2] == -1 for w in last3):
         out.append("negative_streak")
     before = window[:-1][-3:]
-    if not out and len(window) >= 4 and sum(w[2] == 1 for w in before) >= 2:
-        mean = sum(w[3] for w in before) / len(before)
-        if mean >= 0.25 and window[-1][3] <= -0.5 and mean - window[-1][3] >= SHIFT_DROP and window[-1][1] - before[0][1] <= SHIFT_SPAN:
+    if not out and len(window) >= 4 and sum(w[2] == 1 for w in before) >= rules.least_good:
+        mean, mood = sum(w[3] for w in before) / 3, sum(w[2] for w in before) / 3
+        if mood >= rules.least_mood and mean >= rules.least_level and window[-1][3] <= rules.most_low and mean - window[-1][3] >= rules.drop and window[-1][1] - before[0][1] <= rules.shift_span:
             out.append("emotion_shift")
-    if len(last3) == 3 and all(w[4] <= SHORT and abs(w[3]) <= 0.25 for w in last3) and last3[-1][1] - last3[0][1] <= SHIFT_SPAN:
+    if len(last3) == 3 and all(w[4] <= rules.short and abs(w[3]) <= rules.calm for w in last3) and last3[-1][1] - last3[0][1] <= rules.dull_span:
         out.append("perfunctory")
-    if len(last3) == 3 and all(w[2] == 1 and w[3] > 0.5 for w in last3):
+    if len(last3) == 3 and all(w[2] == 1 and w[3] > rules.happy for w in last3):
         out.append("positive_window")
     return out
 
 
+def _newest(n: int) -> Column:
+    """The ``n`` newest rows of the array ``last``."""
+    return F.slice("last", F.greatest(F.lit(1), F.size("last") - (n - 1)), F.lit(n))
+
+
+def streak() -> Column:
+    return (F.size("last") >= 3) & F.forall(_newest(3), lambda x: x["polarity"] == -1)
+
+
+def shifts(rules: Rules = RULES) -> Column:
+    """Whether the newest of at least four rows is a fall; the same sums in the same order as :func:`fired`."""
+    before = F.slice("last", F.greatest(F.lit(1), F.size("last") - 3), F.lit(3))
+    total = lambda c: F.aggregate(before, F.lit(0.0), lambda a, x: a + x[c]) / 3
+    now, first = F.element_at("last", -1), F.get(before, F.lit(0))
+    good = F.size(F.filter(before, lambda x: x["polarity"] == 1)) >= rules.least_good
+    fall = (total("intensity") >= rules.least_level) & (now["intensity"] <= rules.most_low) & (total("intensity") - now["intensity"] >= rules.drop)
+    return (F.size("last") >= 4) & good & (total("polarity") >= rules.least_mood) & fall & (now["ts_sec"] - first["ts_sec"] <= rules.shift_span)
+
+
+def dull(rules: Rules = RULES) -> Column:
+    close = F.element_at("last", -1)["ts_sec"] - F.get(_newest(3), F.lit(0))["ts_sec"] <= rules.dull_span
+    return (F.size("last") >= 3) & F.forall(_newest(3), lambda x: (x["chars"] <= rules.short) & (F.abs(x["intensity"]) <= rules.calm)) & close
+
+
+def happy(rules: Rules = RULES) -> Column:
+    return (F.size("last") >= 3) & F.forall(_newest(3), lambda x: (x["polarity"] == 1) & (x["intensity"] > rules.happy))
+
+
 def step(window: list, last: dict[str, int], row: tuple) -> list[tuple[str, float]]:
     """Takes one message into the window; what fires, without those in their pause."""
     window.append(list(row))
@@ -63,13 +114,19 @@ def _fold(key: int, rows: Iterator[tuple], window: list, last: dict) -> pd.DataF
     return pd.DataFrame(found, columns=["conversation_id", "id", "ts_sec", "trigger", "level"])
 
 
-def triggers_batch(messages: DataFrame) -> DataFrame:
+def triggers_batch(messages: DataFrame, rules: Rules = RULES) -> DataFrame:
     """``messages(conversation_id, id, ts_sec, polarity, intensity, chars)`` to the triggers that fire."""
-
-    def run(batch: pd.DataFrame) -> pd.DataFrame:
-        return _fold(int(batch["conversation_id"].iat[0]), _rows(batch), [], {})
-
-    return messages.groupBy("conversation_id").applyInPandas(run, FIRED)
+    rows = messages.withColumn("day", F.to_date(F.timestamp_seconds("ts_sec")))
+    seen = timeline.with_last(rows, ["ts_sec", "polarity", "intensity", "chars"], WINDOW, order=("ts_sec", "id"))
+    met = {"negative_streak": streak(), "emotion_shift": ~streak() & shifts(rules), "perfunctory": dull(rules), "positive_window": happy(rules)}
+    names = F.array_compact(F.array(*(F.when(c, F.lit(n)) for n, c in met.items())))
+    found = seen.select("conversation_id", "id", "ts_sec", "day", "intensity", F.explode(names).alias("trigger"))
+    pause = F.create_map(*(F.lit(x) for pair in PAUSES.items() for x in pair))[F.col("trigger")]
+    runs = timeline.with_runs(found, "run", ["ts_sec"], F.col("ts_sec") - F.col("prev_ts_sec") >= pause, ["conversation_id", "trigger"], ["ts_sec", "id"])
+    islands = runs.groupBy("conversation_id", "trigger", "run").agg(F.array_sort(F.collect_list(F.struct("ts_sec", "id", F.col("intensity").alias("level")))).alias("rows")).withColumn("pause", pause)
+    kept = F.expr("""aggregate(rows, cast(array() as array<struct<ts_sec:bigint,id:bigint,level:double>>),
+      (kept, x) -> if(size(kept) = 0 or x.ts_sec - element_at(kept, -1).ts_sec >= pause, array_append(kept, x), kept))""")
+    return islands.select("conversation_id", "trigger", F.explode(kept).alias("x")).select("conversation_id", "x.id", "x.ts_sec", "trigger", "x.level")
 
 
 def triggers_stream(messages: DataFrame) -> DataFrame:

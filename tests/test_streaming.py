@@ -1,6 +1,7 @@
 """Streams against their batch forms, over files that come one by one."""
 
 import datetime
+import random
 
 from pyspark.sql import functions as F
 
@@ -32,10 +33,32 @@ def test_triggers_as_in_the_batch(spark, tmp_path):
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     got = run(spark, tmp_path, triggers.triggers_stream(stream), "out").where("trigger <> 'silence'")
     want = triggers.triggers_batch(spark.createDataFrame(data, SCHEMA))
-    key = lambda df: sorted((r.conversation_id, r.id, r.trigger) for r in df.collect())
+    key = lambda df: sorted((r.conversation_id, r.id, r.trigger, r.ts_sec, r.level) for r in df.collect())
     assert key(got) == key(want) and want.count() > 5
 
 
+def test_the_batch_is_the_fold_over_each_conversation(spark):
+    """All triggers, with ties in time, pauses that run over midnight and days with a single row."""
+    rng = random.Random(2)
+    blocks = [[0.9, 0.8, 0.9, -0.9], [0.1, 0.2, -0.1, 0.1], [-0.6, -0.9, -0.8, -0.7, -0.9], [0.9, 0.8, 0.7, 0.9, 0.6], [0.4, -0.4, 0.2]]
+    data, t, i = [], 1_700_000_000, 0
+    for n in range(160):
+        t += rng.choice((40_000, 90_000)) if n % 20 == 19 else rng.choice((60, 300))
+        side, short = rng.randrange(2), rng.choice((3, 30))
+        for level in rng.choice(blocks):
+            t += rng.choice((0, 1, 20, 59, 60, 61, 119, 120, 121))
+            data.append((side, i, t, 1 if level > 0.3 else -1 if level < -0.3 else 0, level, short))
+            i += 1
+    want = []
+    for c in (0, 1):
+        window, last = [], {}
+        for r in sorted((r for r in data if r[0] == c), key=lambda r: (r[2], r[1])):
+            want += [(c, r[1], r[2], name, level) for name, level in triggers.step(window, last, r[1:])]
+    got = triggers.triggers_batch(spark.createDataFrame(data, SCHEMA)).collect()
+    assert sorted(tuple(r[c] for c in ("conversation_id", "id", "ts_sec", "trigger", "level")) for r in got) == sorted(want)
+    assert {w[3] for w in want} == set(triggers.PAUSES)
+
+
 def test_rules():
     bad, good, short = (0, 0, -1, -0.9, 30), (0, 0, 1, 0.9, 30), (0, 0, 0, 0.1, 3)
     assert triggers.fired([bad] * 3) == ["negative_streak"]
