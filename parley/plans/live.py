@@ -9,11 +9,11 @@ from parley.functions.numbers import rounded
 from parley.operators import timeline
 from parley.registry import declare, operator
 from parley.streaming.triggers import Rules, dull, shifts, triggers_batch
-from parley.views import S, M, messages, sentiment
+from parley.views import LIVELY, MEDIAN, M, messages, sentiment
 
 KEY, ORDER = ["conversation_id"], ["ts", "id"]
 #: Limits that some events do meet.
-ALL_SHIFTS = Rules(shift_span=7_200, least_mood=0.3, short=16, calm=0.5, dull_span=7_200)
+ALL_SHIFTS = Rules(shift_span=7_200, short=16, calm=0.5, dull_span=7_200)
 
 declare("stm_01", "Messages up to a frontier, as one poll sees them.", """
 select conversation_id, id, ts_sec from {m} where ts_sec <= 1704844800 and ts_sec > 1704758400""")
@@ -24,11 +24,11 @@ select id, md5(concat(cast(conversation_id as varchar(20)), '|', cast(ts_sec as
 declare("stm_03", "The baseline at start: what is seen already, and the last five messages to warm the window with.", """
 with r as (select conversation_id, id, row_number() over (partition by conversation_id order by ts desc, id desc) as k from {m} where ts < timestamp '2024-01-20 00:00:00') select conversation_id, id, k <= 5 as warms from r""")
 
-_PEER = f"with {M}, {S}, x as (select m.conversation_id, m.id, m.ts, m.ts_sec, s.polarity, s.intensity, length(m.content) as chars from m join s on s.message_id = m.id where m.is_sender = 0)"
+_PEER = f"with {M}, {LIVELY}, x as (select m.conversation_id, m.id, m.ts, m.ts_sec, s.polarity, s.intensity, length(m.content) as chars from m join s on s.message_id = m.id where m.is_sender = 0)"
 
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir).where("is_sender = 0").join(sentiment(spark, sf_dir), F.col("id") == F.col("message_id"))
+    m = messages(spark, sf_dir).where("is_sender = 0").join(sentiment(spark, sf_dir, MEDIAN), F.col("id") == F.col("message_id"))
     return timeline.with_day(m.select("conversation_id", "id", "ts", "ts_sec", "polarity", "intensity", F.length("content").cast("long").alias("chars")))
 
 

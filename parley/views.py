@@ -26,9 +26,13 @@ def messages(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFram
     )
 
 
-def sentiment(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Values of events that count as neither good nor bad: the middle of their range, and about their median.
+MIDDLE, MEDIAN = 250, 35
+
+
+def sentiment(spark: SparkSession, sf_dir: str, neutral: int = MIDDLE) -> DataFrame:
     """``message_id, intensity, polarity`` of every event."""
-    level = F.round(F.col("value") / 250 - 1, 4)
+    level = F.least(F.lit(1.0), F.round(F.col("value") / neutral - 1, 4))
     return table(spark, sf_dir, "events").select(F.col("event_id").alias("message_id"), level.alias("intensity"), F.when(level > 0.3, 1).when(level < -0.3, -1).otherwise(0).alias("polarity"))
 
 
@@ -56,8 +60,12 @@ def _messages_sql(conversation: str) -> str:
 #: DuckDB common table expressions of the views.
 M = f"m as ({_messages_sql('user_id // 30')})"
 MS = f"ms as ({_messages_sql('user_id')})"
-S = """s as (select event_id as message_id, round(value / 250 - 1, 4) as intensity,
-  case when round(value / 250 - 1, 4) > 0.3 then 1 when round(value / 250 - 1, 4) < -0.3 then -1 else 0 end as polarity from events)"""
+def _sentiment_sql(neutral: int) -> str:
+    return f"""s as (select *, case when intensity > 0.3 then 1 when intensity < -0.3 then -1 else 0 end as polarity
+  from (select event_id as message_id, least(1, round(value / {neutral} - 1, 4)) as intensity from events))"""
+
+
+S, LIVELY = _sentiment_sql(MIDDLE), _sentiment_sql(MEDIAN)
 C = "c as (select * from s where message_id % 4 <> 3)"
 D = "d as (select conv_id, turn, case when role = 'user' then 1 else 0 end as is_sender, role, text from conversations)"
 _LETTERS = r"[\p{L}\p{N}]+"
