@@ -5,7 +5,6 @@ Each stage gets all that its predecessor kept, written as Parquet and read again
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +15,15 @@ from parley.llm.mixing import mix_sources, word_count
 from parley.llm.near_dedup import keep_one_per_group
 from parley.llm.packing import pack_documents
 from parley.llm.quality import THRESHOLD, scorer, train
-from parley.llm.support import WORD
+from parley.llm.support import WORD, shared_folder
 
 
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose probability of good quality is below the threshold go; all labels may be learned from."""
+    """Documents whose probability of good quality is below the threshold go; all labels may be learned from.
+
+    Null and empty texts are judged as texts without words; rows that share an id or a text are judged each; without labels
+    none goes; no documents give none.
+    """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
     vectors, net = train(docs.select("doc_id", "text"), labels)
     return docs.where(scorer(spark, vectors, net)(F.col("text")) >= THRESHOLD)
@@ -34,12 +37,18 @@ def _changed(rows: DataFrame, columns: list[str], changed: Column, text: Column)
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Lines that many documents share stay in one of them; ``n_chars`` follows the text."""
+    """Lines that many documents share stay in one of them; ``n_chars`` follows the text where it changes.
+
+    Null texts stay null and empty ones empty; rows that share an id lose the same lines; rows without an id lose none.
+    """
     return _changed(with_kept_lines(docs), docs.columns, F.col("kept.n_dropped") > 0, F.col("kept.text"))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
-    """Of each group of near copies the document with the least id stays."""
+    """Of each group of near copies the document with the least id stays.
+
+    Null and blank texts and rows without an id are no copies of anything and stay; all rows of an id that stays do.
+    """
     return keep_one_per_group(docs)
 
 
@@ -57,6 +66,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
+    """Pieces of packed sequences; null and empty texts give one id each, repeated rows are packed each."""
     return pack_documents(docs)
 
 
@@ -72,15 +82,17 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def _folder(spark: SparkSession) -> str:
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return f"{conf or tempfile.mkdtemp(prefix='parley-pipeline-')}/pipeline-{uuid.uuid4()}"
-
-
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``."""
-    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), _folder(spark)
+    """All stages over ``documents``; a stage's files go once the next one's are written."""
+    docs, folder = spark.read.parquet(f"{sf_dir}/documents.parquet"), f"{shared_folder(spark)}/pipeline-{uuid.uuid4()}"
     for i, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
+        if i:
+            _remove(spark, f"{folder}/{i - 1}")
         docs = spark.read.parquet(f"{folder}/{i}")
     return docs
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)  # noqa: SLF001
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)  # noqa: SLF001

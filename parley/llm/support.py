@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -22,15 +23,21 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, UPPER, LOWER)
 
 
-def staged(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder that all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share, as ``spark.checkpoint.dir`` names it. Only a session on one machine, as in
+    tests, may name none and gets a temporary one."""
+    found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return found or tempfile.mkdtemp(prefix="parley-")
+
 
-    The folder is the one in ``spark.checkpoint.dir``; only where a session names none (tests on one
-    machine) a temporary folder is set. A lost executor costs the tasks it ran, not the stages before.
-    """
+def staged(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder that all executors share. A lost executor costs the tasks it ran, not
+    the stages before; Spark's cleaner removes what no frame refers to any more where it is told to."""
     sc = df.sparkSession.sparkContext
     if not sc.getCheckpointDir():
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="parley-checkpoint-"))
+        sc.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)
 
 
