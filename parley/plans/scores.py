@@ -71,7 +71,8 @@ def standardised(spark: SparkSession, sf_dir: str) -> DataFrame:
     return i.join(F.broadcast(m)).select("member", rounded(score, 3).alias("score"))
 
 
-@operator("mth_04")
+@operator("mth_04", f"""with {M}, i as (select member, count(*) as n, cast(sum(is_sender) as bigint) as mine from m group by 1)
+select member, n, mine, round(case when 2 * mine = n then 1e0 else least(1e0, 2 * list_sum(list_transform(range(0, least(mine, n - mine) + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) - n * ln(2e0))))) end, 6) as p_value from i""")
 def balance_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two-sided exact binomial probability that a member's side shares are even."""
     i = messages(spark, sf_dir).groupBy("member").agg(F.count("*").alias("n"), F.sum("is_sender").cast("long").alias("mine"))
@@ -262,7 +263,7 @@ def id_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("user_id", "ids", F.size(F.from_json("ids", "array<long>")).alias("n"))
 
 
-@operator("arr_03")
+@operator("arr_03", """select event_id, cast(props->>'k' as int) as k from events""")
 def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The JSON object within noisy text, parsed leniently; null where there is none."""
     noisy = F.concat(F.lit("Result: "), "props", F.lit(" done"))
@@ -270,7 +271,7 @@ def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "events").select("event_id", F.from_json(found, "k int", {"mode": "PERMISSIVE"})["k"].alias("k"))
 
 
-@operator("arr_04")
+@operator("arr_04", "select vec_id, case when vec_id % 10 = 9 then 3 else 4 + 2 * len(embedding) end as bytes, case when vec_id % 10 = 9 then 0 else len(embedding) end as dims from embeddings")
 def packed_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Vectors packed as half-precision numbers behind a magic word, and unpacked; rows that aren't such give empty ones."""
     from parley.functions.vectors import pack, unpack

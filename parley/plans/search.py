@@ -95,7 +95,11 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("items", verdict.alias("verdict"))
 
 
-@operator("ret_07")
+@operator("ret_07", f"""with {M}, w as (select conversation_id, id, ts, ts_sec, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) as words from m),
+p as (select *, lag(ts) over o as pts, lag(ts_sec) over o as pt, lag(words) over o as pw from w window o as (partition by conversation_id order by ts, id)),
+j as (select *, len(list_intersect(words, pw)) * 1e0 / greatest(1, len(list_distinct(list_concat(words, pw)))) as overlap from p),
+c as (select *, sum(case when pts is null or cast(pts as date) <> cast(ts as date) or (hour(pts) < 7 and hour(ts) >= 7) or ts_sec - pt > 7200 or (ts_sec - pt > 1800 and overlap <= 0.1) or (ts_sec - pt >= 300 and overlap = 0) then 1 else 0 end)
+  over (partition by conversation_id order by ts, id) as segment from j) select conversation_id, cast(segment as bigint) as segment, min(ts_sec) as start_sec, max(ts_sec) as end_sec, count(*) as n from c group by 1, 2""")
 def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Topic segments: cut at nights and long pauses, and at pauses of half an hour where the words don't overlap with the message before."""
     m = timeline.with_day(messages(spark, sf_dir)).withColumn("words", tokens(F.col("content")))
@@ -112,7 +116,10 @@ w as (select *, k {div} 28 as part from r where n > 40 union all select *, k {di
 select conversation_id, day, part, count(*) as n, min(id) as first_id, max(id) as last_id from w group by 1, 2, 3""")
 
 
-@operator("ret_09")
+@operator("ret_09", f"""with {M}, {S}, f as (select m.conversation_id, m.message_type, m.id, m.ts, m.ts_sec, s.intensity, m.ts_sec - lag(m.ts_sec) over (partition by m.conversation_id, m.message_type order by m.ts, m.id) as gap
+  from m join s on s.message_id = m.id where message_type <> 10000),
+c as (select *, sum(case when gap <= 600 then 0 else 1 end) over (partition by conversation_id, message_type order by ts, id) as cluster from f)
+select conversation_id, message_type, cast(cluster as bigint) as cluster, max_by(id, (intensity, id)) as representative, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as evidence from c group by 1, 2, 3""")
 def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts of one kind within ten minutes of the one before, as clusters with their best member and all evidence."""
     m = timeline.with_day(messages(spark, sf_dir).where("message_type <> 10000").join(sentiment(spark, sf_dir), F.col("id") == F.col("message_id")))

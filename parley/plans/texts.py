@@ -9,7 +9,7 @@ from parley.functions import pii, text
 from parley.functions.numbers import rounded
 from parley.functions.ratio import matching_ratio
 from parley.registry import declare, operator
-from parley.views import M, messages, table
+from parley.views import M, TOKENS, messages, table
 
 _CLEAN = r"trim(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '(?s)<msg>.*?</msg>', ' ', 'g'), '\[(image|voice|video|sticker|file)\]', ' ', 'g'), '\s+', ' ', 'g'))"
 
@@ -31,11 +31,14 @@ def word_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", F.size(F.filter(F.split(F.coalesce("text", F.lit("")), r"\s+"), lambda x: x != "")).alias("words"))
 
 
-@operator("str_04")
+#: A keycap, a flag, or a sign with its variants, joined ones as one.
+_EMOJI = r"(?:[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?(?:\x{200D}[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?)*)"
+
+
+@operator("str_04", f"select conv_id, turn, array_to_string(regexp_extract_all(text, '{_EMOJI}'), ' ') as emoji from conversations")
 def emoji(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Emoji clusters (keycaps, flags, joined sequences and skin tones as one) of each text."""
-    one = r"(?:[\x{1F1E6}-\x{1F1FF}]{2}|[0-9#*]\x{FE0F}?\x{20E3}|[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?(?:\x{200D}[\x{2600}-\x{27BF}\x{1F300}-\x{1FAFF}]\x{FE0F}?[\x{1F3FB}-\x{1F3FF}]?)*)"
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.regexp_extract_all("text", F.lit(one), F.lit(0)).alias("emoji"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.array_join(F.regexp_extract_all("text", F.lit(_EMOJI), F.lit(0)), " ").alias("emoji"))
 
 
 @operator("str_05", f"""with {M}, r as (select id, case when id % 3 = 0 then '<emoji md5="' || md5(content) || '"/>' when id % 3 = 1 then md5(content) else content end as raw from m where message_type = 47)
@@ -98,7 +101,8 @@ def candidate_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.groupBy("lang", "phrase").agg(F.count("*").alias("n")).where("n >= 3")
 
 
-@operator("str_13")
+@operator("str_13", f"""with {TOKENS}, n as (select token, count(*) as n from tokens group by 1) select token, n from n where length(token) >= 2 and token not in ('the', 'and', 'der', 'und', 'les', 'los')
+  and not regexp_full_match(token, '[0-9]+') and replace(token, token[1], '') <> '' and not (length(token) >= 4 and length(token) % 2 = 0 and token[:length(token) // 2] = token[length(token) // 2 + 1:])""")
 def accepted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that count: two characters or more, no stop word, no number, no repeated character or doubled half."""
     from parley.views import doc_tokens
