@@ -167,14 +167,28 @@ def first_weights() -> np.ndarray:
     return np.stack(rows, 1).astype(np.float32)
 
 
+#: A-Z to lower case, ASCII white space to blanks.
+_FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ\t\n\x0b\x0c\r", b"abcdefghijklmnopqrstuvwxyz     ")
+
+
 def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """How many words each text has (maximal runs without ASCII white space, A-Z lower-cased), and all of them as bytes."""
-    words = pc.ascii_split_whitespace(pc.ascii_lower(texts.cast(pa.large_string()).fill_null("")))
-    flat = words.flatten()
-    filled = pc.not_equal(pc.binary_length(flat), 0)
-    owner = np.repeat(np.arange(len(texts)), pc.list_value_length(words).to_numpy(zero_copy_only=False))
-    kept = filled.to_numpy(zero_copy_only=False)
-    return np.bincount(owner[kept], minlength=len(texts)), flat.filter(filled).cast(pa.large_binary())
+    column = pc.fill_null(texts.cast(pa.large_binary()), b"")
+    if not len(column):
+        return np.zeros(0, np.int64), pa.array([], pa.large_binary())
+    _, ends, held = column.buffers()
+    at = np.frombuffer(ends, np.int64, len(column) + 1, 8 * column.offset)
+    data = np.frombuffer((held[int(at[0]) : int(at[-1])].to_pybytes() if held else b"").translate(_FOLD), np.uint8)
+    at = at - at[0]
+    solid = data != 32
+    begins = solid.copy()
+    begins[1:] &= ~solid[:-1]
+    firsts = at[:-1][at[:-1] < len(data)]
+    begins[firsts] = solid[firsts]
+    starts = np.flatnonzero(begins)
+    upto = np.concatenate([np.cumsum(solid)[starts] - 1, [np.count_nonzero(solid)]])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data[solid])])
+    return np.diff(np.searchsorted(starts, at)), words
 
 
 @dataclass

@@ -1,4 +1,6 @@
 import math
+import random
+import re
 import zlib
 from collections import Counter
 
@@ -11,7 +13,7 @@ from parley.llm import lm_mixing
 def brute(rows):
     train, n_all = Counter(), 0
     held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
-    toks = lambda t: (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")).split() + ["\n"]
+    toks = lambda t: re.findall(r"[^\x20\x09-\x0D]+", (t or "").translate(str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"))) + ["\n"]
     for i, t in rows:
         if not held(i):
             train.update(toks(t))
@@ -28,7 +30,7 @@ def scored(spark, rows):
     return lm_mixing.lm_scores(df).collect()
 
 
-ROWS = [(i, f"the cat number {i % 9} sat on the mat and word{i} ran " * (1 + i % 4)) for i in range(120)] + [(200, None), (201, ""), (202, "ÄÖ ünï " * 3), (203, "big " * 30_000), (204, "the THE tHe"), (204, "the THE tHe")]
+ROWS = [(i, f"the cat number {i % 9} sat on the mat and word{i} ran " * (1 + i % 4)) for i in range(120)] + [(200, None), (201, ""), (202, "ÄÖ ünï à voilà Å\u0085\u00a0x " * 3), (203, "big " * 30_000), (204, "the THE tHe"), (204, "the THE tHe")]
 
 
 def test_base_and_counts(spark):
@@ -98,6 +100,17 @@ def test_tables_count_every_decision_of_all_texts(spark):
         assert (odds[k] == lm_mixing.packed(counts[k, ::2], counts[k, 1::2])).all()
 
 
+def test_words_are_split_at_ascii_blanks_only():
+    rng = random.Random(3)
+    parts = ["à", "Å", "\u0085", "\u00a0", "\u2003", "\x1c", "A", "b", " ", "\t", "\n", "\x0b", "\x0c", "\r", "中", "🙂"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 30))) for _ in range(500)] + [None, "", " ", "x" * 5000]
+    for rows in (pa.array(texts), pa.array(texts).slice(7, 60), pa.array([None, ""], pa.string()), pa.array([], pa.string())):
+        lengths, words = lm_mixing.split_words(rows)
+        want = [(t or "").encode().lower().split() for t in rows.to_pylist()]
+        assert lengths.tolist() == [len(w) for w in want]
+        assert words.to_pylist() == [w for ws in want for w in ws]
+
+
 def test_tables_grow_with_the_corpus():
     words = Counter(a=5, b=3)
     assert [code_of(words, total).slot_bits for total in (10, 10**7, 10**8)] == [18, 20, lm_mixing.MOST_SLOT_BITS]
