@@ -181,16 +181,34 @@ def split_words(texts: pa.Array) -> tuple[np.ndarray, pa.Array]:
     data = np.frombuffer((held[int(at[0]) : int(at[-1])].to_pybytes() if held else b"").translate(_FOLD), np.uint8)
     at = at - at[0]
     solid = data != 32
-    begins = solid.copy()
+    begins, closes = solid.copy(), solid.copy()
     begins[1:] &= ~solid[:-1]
-    firsts = at[:-1][at[:-1] < len(data)]
-    begins[firsts] = solid[firsts]
+    closes[:-1] &= ~solid[1:]
+    filled = at[:-1][np.diff(at) > 0], at[1:][np.diff(at) > 0] - 1
+    for marks, places in zip((begins, closes), filled, strict=True):
+        marks[places] = solid[places]
     starts = np.flatnonzero(begins)
-    upto = np.concatenate([np.cumsum(solid)[starts] - 1, [np.count_nonzero(solid)]])
+    upto = np.concatenate([[0], np.cumsum(np.flatnonzero(closes) - starts + 1)])
     words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(upto.astype(np.int64)), pa.py_buffer(data[solid])])
     return np.diff(np.searchsorted(starts, at)), words
 
 
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """32-bit hashes of words that aren't empty: their letters times powers by place, mixed."""
+    if not len(words):
+        return np.zeros(0, np.uint32)
+    _, ends, held = words.buffers()
+    at = np.frombuffer(ends, np.int64, len(words) + 1, 8 * words.offset)
+    letters = np.frombuffer(held, np.uint8)[at[0] : at[-1]].astype(np.uint32)
+    lengths = np.diff(at)
+    powers = np.cumprod(np.full(int(lengths.max()), 0x01000193, np.uint32), dtype=np.uint32)
+    h = np.add.reduceat((letters + np.uint32(1)) * powers.take(_places(lengths)), at[:-1] - at[0])
+    h ^= h >> np.uint32(16)
+    h *= np.uint32(0x7FEB352D)
+    h ^= h >> np.uint32(15)
+    return h
+
+
 @dataclass
 class Tokens:
     """The tokens of some texts end to end, each text closed by the end token: symbols, hashes, where texts begin, and the
@@ -214,7 +232,7 @@ class Tokens:
         escaped = flat.filter(found.is_null()).dictionary_encode()
         rare, words = escaped.indices.to_numpy(zero_copy_only=False), escaped.dictionary
         hashed = code.hashes[symbol]
-        hashed[symbol == 0] = np.fromiter(map(xxhash.xxh32_intdigest, words.to_pylist()), np.uint32, len(words))[rare]
+        hashed[symbol == 0] = word_hashes(words)[rare]
         return cls(symbol, hashed, begin, rare, words)
 
 

@@ -111,6 +111,13 @@ def test_words_are_split_at_ascii_blanks_only():
         assert words.to_pylist() == [w for ws in want for w in ws]
 
 
+def test_word_hashes_hang_on_the_word_alone():
+    words = [f"w{i}".encode() for i in range(3000)] + [b"w" * 5000, "ünï".encode(), b"a", b"aa", b"ab", b"ba"]
+    got = lm_mixing.word_hashes(pa.array(words, pa.large_binary()))
+    assert len(set(got.tolist())) == len(words)
+    assert (lm_mixing.word_hashes(pa.array(words[::-1], pa.large_binary()).slice(3, 10)) == got[::-1][3:13]).all()
+
+
 def test_tables_grow_with_the_corpus():
     words = Counter(a=5, b=3)
     assert [code_of(words, total).slot_bits for total in (10, 10**7, 10**8)] == [18, 20, lm_mixing.MOST_SLOT_BITS]
