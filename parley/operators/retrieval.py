@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,18 +20,19 @@ def lexical(docs: DataFrame, query: str, doc_id: str = "doc_id", text: str = "te
     within the query scores 0.2 more.
     """
     terms = F.array_distinct(tokens(F.lit(query)))
-    own = docs.select(doc_id, text, F.array_intersect(F.array_distinct(tokens(F.col(text))), terms).alias("held"), terms.alias("terms"))
-    counted = own.agg(F.count("*").alias("n"))
-    held = own.where(F.size("held") > 0)
+    trimmed = F.trim(F.col(text))
+    within = F.when(F.contains(F.lower(F.lit(query)), F.lower(trimmed)) & (F.length(trimmed) > 0), 0.2).otherwise(0.0)
+    own = docs.select(doc_id, within.alias("within"), F.array_intersect(F.array_distinct(tokens(F.col(text))), terms).alias("held"), terms.alias("terms"))
+    # a few words per document that holds any: kept, since both the weights and the scores need them
+    held = own.where(F.size("held") > 0).persist(StorageLevel.MEMORY_AND_DISK)
+    counted = docs.agg(F.count("*").alias("n"))
     df = held.select(F.explode("held").alias("token")).groupBy("token").agg(F.count("*").alias("df"))
     # one row: the corpus size and a map of the query's terms to their weights
-    weights = df.join(F.broadcast(counted)).select("token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idf"))
-    weights = weights.join(F.broadcast(counted)).withColumnRenamed("n", "_n")
+    weights = df.join(F.broadcast(counted)).select("n", "token", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf")).agg(F.map_from_entries(F.collect_list(F.struct("token", "idf"))).alias("idf"), F.max("n").alias("_n"))
     missing = F.log(1 + F.col("_n").cast("double")) + 1
     total = lambda words: F.aggregate(words, F.lit(0.0), lambda s, w: s + F.coalesce(F.element_at("idf", w), missing))
     scored = held.join(F.broadcast(weights))
-    within = F.when(F.contains(F.lower(F.lit(query)), F.lower(F.trim(F.col(text)))) & (F.length(F.trim(F.col(text))) > 0), 0.2).otherwise(0.0)
-    return scored.select(doc_id, F.size("held").alias("hits"), F.size("terms").alias("terms"), (total(F.col("held")) / total(F.col("terms")) + within).alias("overlap"))
+    return scored.select(doc_id, F.size("held").alias("hits"), F.size("terms").alias("terms"), (total(F.col("held")) / total(F.col("terms")) + F.col("within")).alias("overlap"))
 
 
 def vector_scores(vectors: DataFrame, query: list[float], vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
