@@ -141,9 +141,10 @@ def _compared(others: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     longest = max((len(p) for p in queries["prints"]), default=0)
     if not longest or not prints:
         return pd.DataFrame(rows, columns=[c.split()[0] for c in _LINK.split(", ")])
-    gap = np.zeros(longest, np.uint32)
+    # so wide that what a query has in common with two neighbours is too little to count
+    gap = np.zeros(max(1, longest - LEAST_OVERLAP + 1), np.uint32)
     line = np.concatenate([gap, *(x for p in prints for x in (p, gap))])
-    starts = longest + np.cumsum([0] + [len(p) + longest for p in prints])[:-1]
+    starts = len(gap) + np.cumsum([0] + [len(p) + len(gap) for p in prints])[:-1]
     there = (line > 0).astype(np.uint8)
     total = np.concatenate([[0], np.cumsum(there, dtype=np.int64)])
     double, heard = (np.append(x, np.uint64(0)) for x in (line.astype(np.uint64), np.where(there, _ALL, np.uint64(0))))
@@ -156,7 +157,7 @@ def _compared(others: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
         # two positions at a time; sums of three such pairs fit into bytes, which are added up faster
         mask = np.where(own > 0, _ALL, np.uint64(0))
         pairs, masks = (np.append(x, np.uint64(0))[: 2 * ((len(own) + 1) // 2)] for x in (own.astype(np.uint64), mask))
-        errors, differ, count = np.zeros(n, np.uint32), np.empty(n, np.uint64), np.empty(n, np.uint8)
+        errors, differ, count = np.zeros(n, np.uint16 if len(own) < 2048 else np.uint32), np.empty(n, np.uint64), np.empty(n, np.uint8)
         for lo in range(0, len(own), 6):
             few = np.zeros(n, np.uint8)
             for j in range(lo, min(lo + 6, len(own)), 2):
