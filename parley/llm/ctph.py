@@ -149,9 +149,10 @@ def _edges_upto(value: str, edges: list[int]) -> str:
     """SQL of how many of some ascending numbers are at most a value, by bisection."""
     if not edges:
         return "0"
-    array = f"transform(split('{','.join(map(str, edges))}', ','), x -> bigint(x))"
+    # constants, which the planner folds into one array
+    array = f"array({', '.join(f"bigint('{e}')" for e in edges)})"
     middle = "int((s.lo + s.hi) div 2)"
-    step = f"if({array}[{middle}] <= {value}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))"
+    step = f"if(element_at({array}, {middle} + 1) <= {value}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))"
     return f"aggregate(sequence(1, {len(edges).bit_length()}), named_struct('lo', 0, 'hi', {len(edges)}), (s, i) -> if(s.lo < s.hi, {step}, s), s -> s.lo)"
 
 
