@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chroma, ctph, line_dedup, lm_mixing, mixing, near_dedup, packing, pii, quality, url_filter
+from parley.llm import chroma, ctph, filter_audit, line_dedup, lm_mixing, mixing, near_dedup, packing, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,10 +73,15 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_minhash_near_dedup, op2_url_filter_cascade, op3_source_mixing, op4_context_mixing_lm, op5_quality_classifier,
         op6_chroma_fingerprints, op7_pii_anchor_expansion, op8_line_dedup, op9_ctph_fingerprints, op10_hilbert_packing,
+        op13_filter_interaction_audit,
     )}
 
 
@@ -116,6 +121,26 @@ select doc_id, count(*) as n_lines, count(*) filter (where f.key is not null and
 from k left join f using (key) group by doc_id"""
 
 
+OP13_SQL = rf"""
+with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_WORD}) as ws from documents),
+g as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
+x as (select part, (case when len(ws) < 100 then 1 else 0 end) + (case when 100 * len(list_distinct(ws)) < 80 * len(ws) then 2 else 0 end)
+  + (case when 100 * len(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * len(text) then 4 else 0 end)
+  + (case when regexp_matches(text, '[#$%&*|]') then 8 else 0 end) + (case when t.doc_id > f.first then 16 else 0 end) as mask, good, toxic
+  from t join (select text, min(doc_id) as first from t group by 1) f using (text) left join g on g.doc_id = t.doc_id),
+cells as (select part, mask, count(*) as n, count(*) filter (where good = 1) as good, count(*) filter (where toxic = 1) as toxic from x group by 1, 2),
+letters(l, b) as (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+steps as (select v.l || w.l || x.l || y.l || z.l as filter_order, s.step, [v.b, w.b, x.b, y.b, z.b] as bs from letters v join letters w on w.b <> v.b
+  join letters x on x.b not in (v.b, w.b) join letters y on y.b not in (v.b, w.b, x.b) join letters z on z.b not in (v.b, w.b, x.b, y.b), (select unnest(range(1, 6)) as step) s),
+masks as (select filter_order, step, bs[step] as own, coalesce(list_sum(bs[1:step - 1]), 0)::bigint as before from steps)
+select part, filter_order, step::int as step, sum(case when mask & (own | before)::bigint = 0 then n else 0 end)::bigint as kept,
+  sum(case when mask & own <> 0 and mask & before = 0 then n else 0 end)::bigint as removed, sum(case when mask & own <> 0 and mask & before <> 0 then n else 0 end)::bigint as redundant,
+  sum(case when mask = own then n else 0 end)::bigint as unique_fails, sum(case when mask & own <> 0 and mask & before = 0 then good else 0 end)::bigint as good_lost,
+  sum(case when mask & own <> 0 and mask & before = 0 then toxic else 0 end)::bigint as toxic_lost,
+  sum(case when mask & own <> 0 then n * 120 // bit_count(mask) else 0 end)::bigint as shapley
+from cells, masks group by part, filter_order, step"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op2_url_filter_cascade": OP2_SQL, "op8_line_dedup": OP8_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op2_url_filter_cascade": OP2_SQL, "op8_line_dedup": OP8_SQL, "op13_filter_interaction_audit": OP13_SQL}
 
