@@ -16,7 +16,7 @@ def brute(docs, labels):
     for i, text, _ in docs:
         if i is not None:
             first[text or ""] = min(i, first.get(text or "", i))
-    good, toxic = {i for i, q, _ in labels if q == 1}, {i for i, _, t in labels if t == 1}
+    good, toxic = {i for i, q, _ in labels if q == 1} - {None}, {i for i, _, t in labels if t == 1} - {None}
     parts = defaultdict(list)
     for i, text, lang in docs:
         text = text or ""
