@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chroma, ctph, filter_audit, line_dedup, lm_mixing, mixing, near_dedup, packing, pii, quality, url_filter
+from parley.llm import chroma, conversation_repair, ctph, filter_audit, line_dedup, lm_mixing, mixing, near_dedup, packing, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,10 @@ def op10_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_table(spark, sf_dir, "documents"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repairs(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -81,7 +85,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_minhash_near_dedup, op2_url_filter_cascade, op3_source_mixing, op4_context_mixing_lm, op5_quality_classifier,
         op6_chroma_fingerprints, op7_pii_anchor_expansion, op8_line_dedup, op9_ctph_fingerprints, op10_hilbert_packing,
-        op13_filter_interaction_audit,
+        op11_conversation_repair, op13_filter_interaction_audit,
     )}
 
 
@@ -121,6 +125,38 @@ select doc_id, count(*) as n_lines, count(*) filter (where f.key is not null and
 from k left join f using (key) group by doc_id"""
 
 
+#: CRC-32 of ``conv_id:turn`` by its bits, then a backward recursion over the turns (costs of the states START, SYSTEM, USER, ASSISTANT) and a forward one over the edits.
+OP11_SQL = r"""
+with recursive raw as (select conv_id, turn, coalesce(role, ' ') as role, coalesce(text, ' ') as text, coalesce(conv_id::varchar, ' ') || ':' || coalesce(turn::varchar, ' ') as name from conversations),
+crc as (select *, xor(list_reduce(list_prepend(4294967295::ubigint, list_transform(string_split(name, ''), lambda x: ascii(x)::ubigint)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)::ubigint[]), lambda c, i: xor(c >> 1, (c & 1::ubigint) * 3988292384::ubigint))), 4294967295::ubigint) % 20 as kind from raw),
+dam as (select conv_id, turn, case when kind = 4 then 'user' else role end as role, case when kind = 1 then '' when kind = 2 then translate(text, '.!?', '') else text end as text,
+  unnest(range(case when kind = 3 then 2 else 1 end)) as copy from crc where kind <> 0),
+dig as (select *, sha256(length(role) || ':' || role || text) as digest from dam),
+pos as (select *, row_number() over (partition by conv_id order by turn nulls first, digest, copy) as p, row_number() over (partition by conv_id, digest order by turn nulls first, copy) as seen from dig),
+t as (select conv_id, p, turn, role, text, case when role[1] in ('s', 'u', 'a') then role[1] else '?' end as i, case when not regexp_matches(text, '[^\x20\x09-\x0D]') then 1 when seen > 1 then 2
+  when right(regexp_replace(text, '[\x20\x09-\x0D]+$', ''), 1) not in ('.', '!', '?') then 3 else 0 end as fault from pos),
+n as (select conv_id, max(p) as n from t group by 1),
+back(conv_id, p, f) as (select conv_id, n + 1, [0, 10, 5, 0] from n union all
+  select conv_id, p, [least(g[1], 5 + g[3], 10 + g[4]), least(g[2], 5 + g[3], 10 + g[4]), least(g[3], 5 + g[4]), least(g[4], 5 + g[3])] from (
+    select t.conv_id, t.p, list_transform([1, 2, 3, 4], lambda q: least(2 + f[q], case when fault in (1, 2) then 1000000000 else
+      (case when fault = 3 then 5 else 0 end) + least(1 + f[[3, 3, 4, 3][q]], case when i = 's' and q = 1 then f[2] when i = 'u' and q <> 3 then f[3] when i = 'a' and q = 3 then f[4] else 1000000000 end) end)) as g
+    from back join t on t.conv_id is not distinct from back.conv_id and t.p = back.p - 1)),
+walk(conv_id, p, q, audit, lines) as (select conv_id, 1::bigint, 1, '', []::varchar[] from n union all
+  select conv_id, case when e = 'I' then p else p + 1 end, case e when 'D' then q when 'K' then (case i when 's' then 2 when 'u' then 3 else 4 end) else [3, 3, 4, 3][q] end, audit || e,
+    case e when 'D' then lines when 'K' then list_append(lines, role || ':' || text) else list_append(lines, (case when q = 3 then 'assistant:' else 'user:' end) || (case when e = 'R' then text else '' end)) end from (
+    select w.*, t.i, t.role, t.text, case when t.p is null then 'I' when 2 + a.f[q] = b.f[q] then 'D' when 5 + b.f[[3, 3, 4, 3][q]] = b.f[q] then 'I'
+      when (case when fault = 3 then 5 else 0 end) + (case when i = 's' and q = 1 then a.f[2] when i = 'u' and q <> 3 then a.f[3] when i = 'a' and q = 3 then a.f[4] else 1000000000 end) = b.f[q] then 'K' else 'R' end as e
+    from walk w join back b on b.conv_id is not distinct from w.conv_id and b.p = w.p left join t on t.conv_id is not distinct from w.conv_id and t.p = w.p
+      left join back a on a.conv_id is not distinct from w.conv_id and a.p = w.p + 1 where t.p is not null or b.f[q] > 0)),
+done as (select conv_id, audit, lines from (select w.*, row_number() over (partition by conv_id order by length(audit) desc) as r from walk w) where r = 1),
+sums as (select conv_id, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0) as gaps, count(*) filter (where fault = 1) as blank, count(*) filter (where fault = 2) as duplicate,
+  count(*) filter (where fault = 3) as truncated, count(*) filter (where before || i not in ('su', 'ua', 'au')) as illegal from (select *, lag(i) over (partition by conv_id order by p) as before from t) group by 1)
+select c.conv_id, coalesce(gaps, 0) as gaps, coalesce(blank, 0) as blank, coalesce(duplicate, 0) as duplicate, coalesce(truncated, 0) as truncated, coalesce(illegal, 0) as illegal, coalesce(b.f[1], 0)::bigint as cost,
+  coalesce(audit, '') as audit, sha256(coalesce(array_to_string(lines, chr(10)), '')) as repaired_sha256
+from (select distinct conv_id from conversations) c left join sums s on s.conv_id is not distinct from c.conv_id left join done d on d.conv_id is not distinct from c.conv_id
+left join back b on b.conv_id is not distinct from c.conv_id and b.p = 1"""
+
 OP13_SQL = rf"""
 with t as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as text, regexp_extract_all(coalesce(text, ''), {_WORD}) as ws from documents),
 g as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by 1),
@@ -142,5 +178,5 @@ from cells, masks group by part, filter_order, step"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_minhash_near_dedup": OP1_SQL, "op2_url_filter_cascade": OP2_SQL, "op8_line_dedup": OP8_SQL, "op13_filter_interaction_audit": OP13_SQL}
+    return {"op1_minhash_near_dedup": OP1_SQL, "op2_url_filter_cascade": OP2_SQL, "op8_line_dedup": OP8_SQL, "op11_conversation_repair": OP11_SQL, "op13_filter_interaction_audit": OP13_SQL}
 
