@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import chroma, conversation_repair, ctph, filter_audit, line_dedup, lm_mixing, mixing, near_dedup, packing, pii, quality, url_filter
+from parley.llm import chroma, conversation_repair, ctph, filter_audit, line_dedup, lm_mixing, mixing, near_dedup, packing, pieces, pii, quality, url_filter
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -77,6 +77,11 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repairs(conversation_repair.damage(_table(spark, sf_dir, "conversations")))
 
 
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = pieces.decode_documents(pieces.encode_documents(_table(spark, sf_dir, "documents")))
+    return texts.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 def op13_filter_interaction_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit.audit_filters(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
 
@@ -85,7 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (
         op1_minhash_near_dedup, op2_url_filter_cascade, op3_source_mixing, op4_context_mixing_lm, op5_quality_classifier,
         op6_chroma_fingerprints, op7_pii_anchor_expansion, op8_line_dedup, op9_ctph_fingerprints, op10_hilbert_packing,
-        op11_conversation_repair, op13_filter_interaction_audit,
+        op11_conversation_repair, op12_sentencepiece, op13_filter_interaction_audit,
     )}
 
 
