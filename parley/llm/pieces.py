@@ -26,7 +26,10 @@ SPACE = "▁"
 _SPACE, _UNKNOWN_CHAR = SPACE.encode(), "�".encode()
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6
 #: Stretches that a worker remembers, and their greatest length in characters; others are merged each time.
-REMEMBERED, LONGEST = 200_000, 48
+REMEMBERED, LONGEST = 400_000, 48
+#: Up to so many characters a stretch is merged by scans, beyond by a heap; the results are the same.
+SHORT = 64
+_NO_PIECE = float("-inf")
 
 #: The place in the original of each of some places in the normalised text.
 Projection = Callable[[np.ndarray], np.ndarray]
@@ -166,6 +169,27 @@ class Pieces(dict):
 
     def merged(self, stretch: str) -> list[int]:
         """Ids of a stretch of normalised text: neighbours that make the piece of the best score are merged first, then the leftmost ones."""
+        out: list[int] = []
+        for p in self._short(stretch) if len(stretch) <= SHORT else self._long(stretch):
+            out += [self.ids[p]] if p in self.ids else [self.of_byte[x] for x in p.encode()]
+        return out
+
+    def _short(self, stretch: str) -> list[str]:
+        """Merges by a scan over all neighbours each time."""
+        parts, score = list(stretch), self.scores.get
+        pairs = [score(a + b, _NO_PIECE) for a, b in zip(parts, parts[1:])]  # noqa: B905, RUF007
+        while pairs and (best := max(pairs)) > _NO_PIECE:
+            i = pairs.index(best)
+            joined = parts[i] = parts[i] + parts[i + 1]
+            del parts[i + 1], pairs[i]
+            if i:
+                pairs[i - 1] = score(parts[i - 1] + joined, _NO_PIECE)
+            if i < len(pairs):
+                pairs[i] = score(joined + parts[i + 1], _NO_PIECE)
+        return parts
+
+    def _long(self, stretch: str) -> Iterator[str]:
+        """The same by a heap of neighbours, in a time that grows little faster than the stretch."""
         parts: list[str] = list(stretch)
         n = len(parts)
         left, right, heap, scores = list(range(-1, n - 1)), list(range(1, n + 1)), [], self.scores
@@ -186,10 +210,7 @@ class Pieces(dict):
                 left[right[b]] = a
             offer(left[a], a)
             offer(a, right[a])
-        out: list[int] = []
-        for p in filter(None, parts):
-            out += [self.ids[p]] if p in self.ids else [self.of_byte[x] for x in p.encode()]
-        return out
+        return filter(None, parts)
 
     def encode(self, text: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids with begin and end ids, and the first byte and the end of what each stands for in ``text``."""

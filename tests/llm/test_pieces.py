@@ -43,6 +43,13 @@ def test_library_on_odd_and_random_texts(own, library):
         agree(own, library, "".join(pick.choices(alphabet, k=pick.randrange(40))))
 
 
+def test_scans_and_heap_merge_alike(own):
+    pick = random.Random(5)
+    for _ in range(2_000):
+        stretch = "".join(pick.choices("▁▁aeinrst", k=pick.randrange(1, 60)))
+        assert own._short(stretch) == list(own._long(stretch))
+
+
 def test_spans_are_what_pieces_stand_for(own):
     text = "  Hello  wörld 🙂"
     ids, starts, ends = own.encode(text.encode())
