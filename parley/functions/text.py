@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,6 +11,11 @@ from pyspark.sql import functions as F
 LETTERS = r"[\p{L}\p{N}]+"
 
 
+def bound(x: Column, f: Callable[[Column], Column]) -> Column:
+    """``f(x)`` where ``x`` is computed once, although ``f`` names it several times or within a loop over an array."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def tokens(text: Column) -> Column:
     """Runs of letters and digits, lower-cased, in order; none for a null."""
     return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(LETTERS), F.lit(0))

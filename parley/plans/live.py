@@ -8,8 +8,9 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import rounded
 from parley.operators import timeline
 from parley.registry import declare, operator
+from parley.streaming import attribution
 from parley.streaming.triggers import Rules, dull, shifts, triggers_batch
-from parley.views import LIVELY, MEDIAN, M, messages, sentiment
+from parley.views import LIVELY, MEDIAN, M, messages, sentiment, spoken
 
 KEY, ORDER = ["conversation_id"], ["ts", "id"]
 #: Limits that some events do meet.
@@ -120,15 +121,21 @@ def session_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
     return w.drop("w")
 
 
-@operator("stm_16", f"""with {M}, g as (select *, lead(is_sender) over w as s1, lead(ts_sec) over w as t1, lead(content) over w as c1 from m window w as (partition by conversation_id order by ts, id))
-select conversation_id, id, case when t1 is null or t1 - ts_sec > 600 then 'low_confidence' when s1 = 0 then 'interrupted' when c1 = content then 'accepted' when left(c1, 5) = left(content, 5) then 'rewritten' else 'unrelated' end as outcome from g where id % 10 = 0""")
-def attribution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """What became of suggestions (every tenth message): seen from the message that follows."""
-    linked = timeline.with_previous(timeline.with_day(messages(spark, sf_dir)), ["id", "ts_sec", "content"], KEY, ORDER)
-    same = F.substring("content", 1, 5) == F.substring("prev_content", 1, 5)
-    outcome = F.when(F.col("ts_sec") - F.col("prev_ts_sec") > 600, "low_confidence").when(F.col("is_sender") == 0, "interrupted").when(F.col("content") == F.col("prev_content"), "accepted").when(same, "rewritten").otherwise("unrelated")
-    followed = linked.where("prev_id is not null and prev_id % 10 = 0").select("conversation_id", F.col("prev_id").alias("id"), outcome.alias("outcome"))
-    last = messages(spark, sf_dir).groupBy("conversation_id").agg(F.max_by("id", F.struct("ts", "id")).alias("id")).where("id % 10 = 0").withColumn("outcome", F.lit("low_confidence"))
-    return followed.unionByName(last)
+#: How long after a suggestion it is looked at, in turn: before a message may be unrelated, before the window's end, at it, and later.
+CHECKED_AFTER = (100, 400, 600, 900)
 
 
+def offered(spark: SparkSession, sf_dir: str, every: int = 3) -> DataFrame:
+    """Suggestions after the peer's messages, one for each ``every`` of them: the content itself and that of the peer's message before."""
+    m = timeline.with_day(spoken(spark, sf_dir)).where("is_sender = 0")
+    linked = timeline.with_previous(m, ["content"], KEY, ORDER).where(F.col("id") % every == 0)
+    after = F.element_at(F.array(*(F.lit(s) for s in CHECKED_AFTER)), ((F.col("id") / every).cast("int") % len(CHECKED_AFTER)) + 1)
+    speeches = F.array_compact(F.array("content", "prev_content"))
+    return linked.select(F.col("id").alias("suggestion_id"), "conversation_id", (F.col("ts_sec") + 1).alias("created_sec"), (F.col("ts_sec") + 1 + after).alias("now_sec"), speeches.alias("speeches"))
+
+
+@operator("stm_16")
+def attribution_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What became of suggestions within ten minutes: interrupted, accepted, rewritten, answered after a preface, unrelated, none, or still pending."""
+    sender = F.when(F.col("message_type") == 10000, "system").when(F.col("is_sender") == 1, "self").otherwise("friend")
+    return attribution.attributions(offered(spark, sf_dir), spoken(spark, sf_dir).withColumn("sender", sender))

@@ -11,9 +11,9 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
 from parley.functions.text import tokens
-from parley.operators import retrieval, segmentation, timeline
+from parley.operators import retrieval, segmentation, timeline, topics
 from parley.registry import declare, operator
-from parley.views import S, TOKENS, M, messages, sentiment, table
+from parley.views import S, TOKENS, M, messages, sentiment, spoken, table
 
 #: From this cosine on a vector counts as of its nearest kind.
 LEAST_LIKE = 0.52
@@ -95,19 +95,42 @@ def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.select("items", verdict.alias("verdict"))
 
 
-@operator("ret_07", f"""with {M}, w as (select conversation_id, id, ts, ts_sec, list_distinct(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}]+')) as words from m),
-p as (select *, lag(ts) over o as pts, lag(ts_sec) over o as pt, lag(words) over o as pw from w window o as (partition by conversation_id order by ts, id)),
-j as (select *, len(list_intersect(words, pw)) * 1e0 / greatest(1, len(list_distinct(list_concat(words, pw)))) as overlap from p),
-c as (select *, sum(case when pts is null or cast(pts as date) <> cast(ts as date) or (hour(pts) < 7 and hour(ts) >= 7) or ts_sec - pt > 7200 or (ts_sec - pt > 1800 and overlap <= 0.1) or (ts_sec - pt >= 300 and overlap = 0) then 1 else 0 end)
-  over (partition by conversation_id order by ts, id) as segment from j) select conversation_id, cast(segment as bigint) as segment, min(ts_sec) as start_sec, max(ts_sec) as end_sec, count(*) as n from c group by 1, 2""")
-def topics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Topic segments: cut at nights and long pauses, and at pauses of half an hour where the words don't overlap with the message before."""
-    m = timeline.with_day(messages(spark, sf_dir)).withColumn("words", tokens(F.col("content")))
-    gap = F.col("ts_sec") - F.col("prev_ts_sec")
-    overlap = F.size(F.array_intersect("words", "prev_words")) / F.greatest(F.lit(1), F.size(F.array_union("words", "prev_words")))
-    starts = timeline.crosses_sleep(F.col("prev_ts"), F.col("ts")) | (gap > 7200) | ((gap > 1800) & (overlap <= 0.1)) | ((gap >= 300) & (overlap == 0))
-    cut = timeline.with_runs(m, "segment", ["ts", "ts_sec", "words"], starts, ["conversation_id"], ["ts", "id"])
-    return cut.groupBy("conversation_id", "segment").agg(F.min("ts_sec").alias("start_sec"), F.max("ts_sec").alias("end_sec"), F.count("*").alias("n"))
+_SPOKEN = "sp as (select m.conversation_id, m.id, m.ts, m.ts_sec, cast(m.ts as date) as day, event_type || ' ' || regexp_replace(props, '[^0-9]', '', 'g') as content from m join events e on e.event_id = m.id)"
+_DELIMITERS = r"[\s,，。！？；：、/()（）\[\]\-~～]+"
+_COMPACT = r"regexp_replace(x, '\s+', '', 'g')"
+_GRAMS = ", ".join(f"list_transform(range(1, greatest(length(c) - {n - 2}, 1)), lambda i: c[i:i + {n - 1}])" for n in (2, 3, 4))
+#: The topics of each row and of the one to six rows before it, the masks of when a row cuts, a fold over each day's rows, and one over each conversation's segments.
+_TOPICS_SQL = f"""with recursive {M}, {_SPOKEN},
+r as (select *, row_number() over d as rn, lag(ts) over d as pts, ts_sec - lag(ts_sec) over d as gap from sp window d as (partition by conversation_id, day order by ts_sec, id)),
+asked as (select * from r where gap >= 300), ks as (select unnest(range(0, 7)) as k),
+ctx as (select a.conversation_id, a.day, a.rn, k, string_agg(b.content, ' ' order by b.rn) as x from asked a join ks on k < a.rn join r b on b.conversation_id = a.conversation_id and b.day = a.day
+  and ((k = 0 and b.rn = a.rn) or (b.rn < a.rn and b.rn >= a.rn - k)) group by 1, 2, 3, 4),
+tk as (select x, list_concat(list_filter(regexp_split_to_array(x, '{_DELIMITERS}'), lambda w: length(w) >= 2), {_GRAMS}) as ws from (select x, {_COMPACT} as c from (select distinct x from ctx))),
+tp as (select x, list_filter(ws, lambda w, i: list_position(ws, w) = i)[1:8] as t from tk),
+ov as (select a.conversation_id, a.day, a.rn, a.k, len(list_intersect(p.t, q.t)) * 1e0 / least(len(p.t), len(q.t)) as share from ctx a join tp p on p.x = a.x join ctx b on b.conversation_id = a.conversation_id and b.day = a.day and b.rn = a.rn and b.k = 0 join tp q on q.x = b.x where a.k > 0),
+o as (select conversation_id, day, rn, list(share order by k) as shares from ov group by 1, 2, 3),
+c as (select r.*, shares, gap > 0 and ((hour(pts) < 7 and hour(ts) >= 7) or gap > 7200) as forced from r left join o using (conversation_id, day, rn)),
+f(conversation_id, day, rn, n, segment) as (select conversation_id, day, rn, 1, 0 from c where rn = 1 union all
+  select conversation_id, day, rn, case when cut then 1 else n + 1 end, case when cut then segment + 1 else segment end from (select c.conversation_id, c.day, c.rn, f.n, f.segment,
+    c.forced or (gap > 1800 and shares[least(f.n, 6)] <= 0.1) or (gap >= 300 and f.n >= 10 and shares[6] = 0) as cut from f join c on c.conversation_id = f.conversation_id and c.day = f.day and c.rn = f.rn + 1)),
+g as (select f.conversation_id, f.day, f.segment, f.n, c.id, c.ts_sec, length(c.content) as chars from f join c using (conversation_id, day, rn)),
+s as (select conversation_id, day, segment, min(ts_sec) as start_sec, max(ts_sec) as end_sec, count(*) as n, sum(chars) as chars, row_number() over (partition by conversation_id order by day, segment) as sn from g group by 1, 2, 3),
+e as (select *, coalesce(lead(start_sec) over w - end_sec <= 1800, false) as close_next, coalesce(start_sec - lag(end_sec) over w <= 1800, false) as close_before from s window w as (partition by conversation_id order by sn)),
+h(conversation_id, sn, begins, opens) as (select conversation_id, sn, true, n < 3 and close_next from e where sn = 1 union all
+  select e.conversation_id, e.sn, not h.opens and not (e.n < 3 and not e.close_next and e.close_before), not h.opens and e.n < 3 and e.close_next from h join e on e.conversation_id = h.conversation_id and e.sn = h.sn + 1),
+z as (select e.*, sum(begins::int) over (partition by e.conversation_id order by e.sn) - 1 as topic from e join h on h.conversation_id = e.conversation_id and h.sn = e.sn),
+y as (select z.*, coalesce(sum(n) over (partition by conversation_id, topic order by sn rows between unbounded preceding and 1 preceding), 0) as ahead, sum(n) over (partition by conversation_id, topic) as tn, sum(chars) over (partition by conversation_id, topic) as tc from z),
+k as (select g.conversation_id, topic, g.id, g.ts_sec, g.chars, ahead + g.n - 1 as k, tn, tn > 40 or tc > 3000 as large from g join y using (conversation_id, day, segment)),
+v as (select conversation_id, topic, case when large then k // 28 - back else 0 end as part, id, ts_sec, chars from k, (values (0), (1)) as b(back)
+  where case when large then k // 28 - back >= 0 and k // 28 - back < greatest(1, ceil((tn - 32) / 28e0) + 1) and k < (k // 28 - back) * 28 + 32 else back = 0 end)
+select conversation_id, topic::bigint as topic, part::bigint as part, min(ts_sec) as start_sec, max(ts_sec) as end_sec, count(*) as n, sum(chars)::bigint as chars, min_by(id, (ts_sec, id)) as first_id, max_by(id, (ts_sec, id)) as last_id from v group by 1, 2, 3"""
+
+
+@operator("ret_07", _TOPICS_SQL)
+def topic_query(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Topic segments: cut at nights and long pauses, and at shorter ones where the words of the open segment's last messages don't come again; short ones merged,
+    long ones in windows."""
+    return topics.topic_segments(spoken(spark, sf_dir))
 
 
 declare("ret_08", "Oversized days in windows of 32 messages, 28 apart.", """

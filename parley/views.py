@@ -26,6 +26,12 @@ def messages(spark: SparkSession, sf_dir: str, sparse: bool = False) -> DataFram
     )
 
 
+def spoken(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Messages whose content is the kind and the number of an event, so that neighbours share words or don't."""
+    numbers = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.concat_ws(" ", "event_type", F.regexp_replace("props", "[^0-9]", "")).alias("content"))
+    return messages(spark, sf_dir).drop("content").join(numbers, "id")
+
+
 #: Values of events that count as neither good nor bad: the middle of their range, and about their median.
 MIDDLE, MEDIAN = 250, 35
 
