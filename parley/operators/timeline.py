@@ -7,8 +7,6 @@ only; what crosses midnight is carried by a second table of one row per conversa
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -36,20 +34,17 @@ def with_previous(rows: DataFrame, columns: list[str], keys: list[str], order: l
 def with_last(rows: DataFrame, columns: list[str], n: int, key: str = "conversation_id", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """``rows(day, ...)`` with an array ``last`` of up to ``n`` rows that end with each, as a window over the whole ``key`` would give.
 
-    Windows run within days; each day also gets the last rows of the days before, as many of these as it may need.
+    Windows run within days. Each day's last rows are kept as one array, and a window over days carries what the days before leave:
+    every day has a row, so that ``n - 1`` of them are enough.
     """
-    day = Window.partitionBy(key, "day")
-    tail = rows.withColumn("_k", F.row_number().over(day.orderBy(*(F.desc(c) for c in order)))).where(F.col("_k") < n).drop("_k")
-    following = rows.select(key, "day").distinct().withColumn("to", F.lead("day").over(Window.partitionBy(key).orderBy("day")))
-    # a sparse day may hold fewer than n rows, then the days before it count as well
-    steps = [tail.join(following, [key, "day"]).where("to is not null")]
-    for _ in range(n - 2):
-        again = following.select(key, F.col("day").alias("to"), F.col("to").alias("_next"))
-        steps.append(steps[-1].join(again, [key, "to"]).where("_next is not null").drop("to").withColumnRenamed("_next", "to").select(*steps[0].columns))
-    carried = reduce(DataFrame.unionByName, steps)
-    both = rows.withColumn("_own", F.lit(True)).unionByName(carried.drop("day").withColumnRenamed("to", "day").withColumn("_own", F.lit(False)))
-    w = day.orderBy(*order).rowsBetween(-(n - 1), 0)
-    return both.withColumn("last", F.collect_list(F.struct(*columns)).over(w)).where("_own").drop("_own")
+    own = Window.partitionBy(key, "day").orderBy(*order)
+    inner = rows.withColumns({"_in": F.collect_list(F.struct(*columns)).over(own.rowsBetween(-(n - 1), 0)), "_late": F.lead(F.lit(1), n - 1).over(own).isNull()})
+    tails = inner.where("_late").groupBy(key, "day").agg(F.array_sort(F.collect_list(F.struct(*(F.col(c).alias(f"_{i}") for i, c in enumerate(order)), F.struct(*columns).alias("_row")))).alias("_tail"))
+    before = F.collect_list("_tail").over(Window.partitionBy(key).orderBy("day").rowsBetween(-(n - 1), -1))
+    carried = tails.select(key, "day", F.transform(F.flatten(before), lambda x: x["_row"]).alias("_carried"))
+    every = F.concat(F.coalesce("_carried", F.array().cast(inner.schema["_in"].dataType)), "_in")
+    joined = inner.join(carried, [key, "day"], "left").withColumn("_all", every)
+    return joined.withColumn("last", F.slice("_all", F.greatest(F.lit(1), F.size("_all") - (n - 1)), F.lit(n))).drop("_in", "_late", "_carried", "_all")
 
 
 def with_runs(rows: DataFrame, name: str, columns: list[str], starts: Column, keys: list[str], order: list[str], bucket: str = "day") -> DataFrame:

@@ -8,13 +8,10 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import rounded
 from parley.operators import timeline
 from parley.registry import declare, operator
-from parley.streaming import attribution
-from parley.streaming.triggers import Rules, dull, shifts, triggers_batch
-from parley.views import LIVELY, MEDIAN, M, messages, sentiment, spoken
+from parley.streaming import attribution, triggers
+from parley.views import LIVELY, MEDIAN, M, messages, sentiment, spoken, table
 
 KEY, ORDER = ["conversation_id"], ["ts", "id"]
-#: Limits that some events do meet.
-ALL_SHIFTS = Rules(shift_span=7_200, short=16, calm=0.5, dull_span=7_200)
 
 declare("stm_01", "Messages up to a frontier, as one poll sees them.", """
 select conversation_id, id, ts_sec from {m} where ts_sec <= 1704844800 and ts_sec > 1704758400""")
@@ -25,81 +22,121 @@ select id, md5(concat(cast(conversation_id as varchar(20)), '|', cast(ts_sec as
 declare("stm_03", "The baseline at start: what is seen already, and the last five messages to warm the window with.", """
 with r as (select conversation_id, id, row_number() over (partition by conversation_id order by ts desc, id desc) as k from {m} where ts < timestamp '2024-01-20 00:00:00') select conversation_id, id, k <= 5 as warms from r""")
 
-_PEER = f"with {M}, {LIVELY}, x as (select m.conversation_id, m.id, m.ts, m.ts_sec, s.polarity, s.intensity, length(m.content) as chars from m join s on s.message_id = m.id where m.is_sender = 0)"
+#: Events come some twenty minutes apart and chats some seconds: their times are drawn together, and each kind is spoken as a chat's words.
+HURRY, START = 40, 1_704_067_200
+SPOKEN_AS = {"view": "ok", "click": "嗯嗯", "signup": "好", "error": "不了", "purchase": "tell me all about it"}
+_WORDS = "case event_type " + " ".join(f"when '{k}' then '{v}'" for k, v in SPOKEN_AS.items()) + " end"
+_PEER = f"""with recursive {M}, {LIVELY}, x as (select m.conversation_id, m.id, (m.ts_sec - {START}) // {HURRY} + {START} as ts_sec, s.polarity, s.intensity, abs(s.intensity) as sure,
+  event_type = 'error' as boundary, event_type in ('view', 'click', 'signup') and s.polarity = 0 and abs(s.intensity) <= 0.25 as dull, event_type in ('view', 'click') as strong, event_type = 'purchase' as substantive
+  from m join s on s.message_id = m.id join events e on e.event_id = m.id where m.is_sender = 0)"""
+_ORDER = "(partition by conversation_id order by ts_sec, id)"
 
 
 def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir).where("is_sender = 0").join(sentiment(spark, sf_dir, MEDIAN), F.col("id") == F.col("message_id"))
-    return timeline.with_day(m.select("conversation_id", "id", "ts", "ts_sec", "polarity", "intensity", F.length("content").cast("long").alias("chars")))
+    """The peer's messages as a live chat, with what their words do; a mood counts as the surer the stronger it is."""
+    kinds = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.create_map(*(F.lit(x) for p in SPOKEN_AS.items() for x in p))[F.col("event_type")].alias("content"))
+    m = messages(spark, sf_dir).where("is_sender = 0").drop("content").join(kinds, "id").join(sentiment(spark, sf_dir, MEDIAN), F.col("id") == F.col("message_id"))
+    hurried = F.expr(f"(ts_sec - {START}) div {HURRY} + {START}")
+    m = m.select("conversation_id", "id", hurried.alias("ts_sec"), F.lit(triggers.TEXT).alias("message_type"), "content", "polarity", "intensity", F.abs("intensity").alias("confidence"))
+    return triggers.marked(m)
 
 
-def recent(spark: SparkSession, sf_dir: str, columns: list[str], n: int) -> DataFrame:
-    return timeline.with_last(peers(spark, sf_dir), columns, n)
+def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return triggers.windows(peers(spark, sf_dir))
 
 
-@operator("stm_04", f"{_PEER} select conversation_id, id, count(*) over w as n, round(avg(intensity) over w + 1e-9, 4) as level, cast(sum(polarity) over w as bigint) as polarity from x window w as (partition by conversation_id order by ts, id rows between 4 preceding and current row)")
+_IDS = ("conversation_id", "id")
+
+
+@operator("stm_04", f"{_PEER} select conversation_id, id, count(*) over w as n, round(avg(intensity) over w + 1e-9, 4) as level, cast(sum(polarity) over w as bigint) as polarity from x window w as (partition by conversation_id order by ts_sec, id rows between 4 preceding and current row)")
 def count_window(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The window of the peer's last five messages."""
-    r = recent(spark, sf_dir, ["intensity", "polarity"], 5)
+    r = recent(spark, sf_dir)
     level = F.aggregate("last", F.lit(0.0), lambda a, x: a + x["intensity"]) / F.size("last")
-    return r.select("conversation_id", "id", F.size("last").cast("long").alias("n"), rounded(level).alias("level"), F.aggregate("last", F.lit(0).cast("long"), lambda a, x: a + x["polarity"]).alias("polarity"))
+    return r.select(*_IDS, F.size("last").cast("long").alias("n"), rounded(level).alias("level"), F.aggregate("last", F.lit(0).cast("long"), lambda a, x: a + x["polarity"]).alias("polarity"))
+
 
+_STREAK = f"st as (select *, polarity = -1 and lag(polarity) over w = -1 and lag(polarity, 2) over w = -1 as streak from x window w as {_ORDER})"
 
-@operator("stm_05", f"{_PEER}, r as (select *, lag(polarity) over w as p1, lag(polarity, 2) over w as p2 from x window w as (partition by conversation_id order by ts, id)) select conversation_id, id from r where polarity = -1 and p1 = -1 and p2 = -1")
+
+@operator("stm_05", f"{_PEER}, {_STREAK} select conversation_id, id from st where streak")
 def negative_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Messages that are the third negative one in a row."""
-    return recent(spark, sf_dir, ["polarity"], 3).where((F.size("last") == 3) & F.forall("last", lambda x: x["polarity"] == -1)).select("conversation_id", "id")
+    return recent(spark, sf_dir).where(triggers.streak()).select(*_IDS)
+
 
+_SHIFT = f"""sh as (select *, polarity = -1 and not boundary and sure >= 0.6 and good >= 2 and mood >= 0.45 and base >= 0.25 and intensity <= -0.5 and base - intensity >= 0.7 and ts_sec - t3 <= 180 as shift
+  from (select *, lag(ts_sec, 3) over w as t3, (lag(intensity, 3) over w + lag(intensity, 2) over w + lag(intensity) over w) / 3 as base,
+  (lag(polarity) over w + lag(polarity, 2) over w + lag(polarity, 3) over w) / 3e0 as mood, (lag(polarity) over w = 1)::int + (lag(polarity, 2) over w = 1)::int + (lag(polarity, 3) over w = 1)::int as good from x window w as {_ORDER}))"""
 
-@operator("stm_06", f"""{_PEER}, r as (select *, lag(ts_sec, 3) over w as t3, (lag(intensity) over w + lag(intensity, 2) over w + lag(intensity, 3) over w) / 3 as base,
-  (lag(polarity) over w + lag(polarity, 2) over w + lag(polarity, 3) over w) / 3e0 as mood, (lag(polarity) over w = 1)::int + (lag(polarity, 2) over w = 1)::int + (lag(polarity, 3) over w = 1)::int as good
-  from x window w as (partition by conversation_id order by ts, id)) select conversation_id, id, round(base - intensity + 1e-9, 4) as fall from r where good >= 2 and mood >= {ALL_SHIFTS.least_mood} and base >= 0.25 and intensity <= -0.5 and base - intensity >= 0.7 and ts_sec - t3 <= {ALL_SHIFTS.shift_span}""")
+
+@operator("stm_06", f"{_PEER}, {_SHIFT} select conversation_id, id, round(base - intensity + 1e-9, 4) as fall from sh where shift")
 def emotion_shifts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fall from three mostly positive messages. Events are sparser than chats, and their moods mixed, so spans and the least mood are wider here."""
-    r = recent(spark, sf_dir, ["ts_sec", "polarity", "intensity"], 4)
-    base = F.aggregate(F.slice("last", 1, 3), F.lit(0.0), lambda a, x: a + x["intensity"]) / 3
-    return r.where(shifts(ALL_SHIFTS)).select("conversation_id", "id", rounded(base - F.col("intensity")).alias("fall"))
+    """A sure fall from three mostly positive messages within three minutes, unless it declines."""
+    base = F.aggregate(F.slice("last", F.size("last") - 3, F.lit(3)), F.lit(0.0), lambda a, x: a + x["intensity"]) / 3
+    r = recent(spark, sf_dir).where(triggers.shifts())
+    return r.select(*_IDS, rounded(base - F.col("intensity")).alias("fall"))
+
+
+_DULL = f"""du as (select *, t2 is not null and words = 3 and acks >= 2 and ts_sec - t2 <= 180 as dulls from (select *, lag(ts_sec, 2) over w as t2, sum((dull and not boundary)::int) over v as words, sum(strong::int) over v as acks
+  from x window w as {_ORDER}, v as (partition by conversation_id order by ts_sec, id rows between 2 preceding and current row)))"""
 
 
-@operator("stm_07", f"{_PEER}, r as (select *, lag(ts_sec, 2) over w as t2, max(chars) over v as longest, max(abs(intensity)) over v as strongest from x window w as (partition by conversation_id order by ts, id), v as (partition by conversation_id order by ts, id rows between 2 preceding and current row)) select conversation_id, id from r where t2 is not null and longest <= {ALL_SHIFTS.short} and strongest <= {ALL_SHIFTS.calm} and ts_sec - t2 <= {ALL_SHIFTS.dull_span}")
+@operator("stm_07", f"{_PEER}, {_DULL} select conversation_id, id from du where dulls")
 def perfunctory(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Three short messages without feeling close to one another; the limits are those of events, which are longer and sparser than chats."""
-    return recent(spark, sf_dir, ["ts_sec", "polarity", "chars", "intensity"], 3).where(dull(ALL_SHIFTS)).select("conversation_id", "id")
+    """Three calm words of consent within three minutes, two of them strong ones."""
+    return recent(spark, sf_dir).where(triggers.dull()).select(*_IDS)
+
+
+_HAPPY = "ha as (select *, n = 3 and p = 1 and least > 0.5 as happy from (select *, min(intensity) over w as least, min(polarity) over w as p, count(*) over w as n from x window w as (partition by conversation_id order by ts_sec, id rows between 2 preceding and current row)))"
 
 
-@operator("stm_08", f"{_PEER}, r as (select *, min(intensity) over w as least, min(polarity) over w as p, count(*) over w as n from x window w as (partition by conversation_id order by ts, id rows between 2 preceding and current row)) select conversation_id, id from r where n = 3 and p = 1 and least > 0.5")
+@operator("stm_08", f"{_PEER}, {_HAPPY} select conversation_id, id from ha where happy")
 def positive_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The third of three clearly positive messages."""
-    return recent(spark, sf_dir, ["polarity", "intensity"], 3).where((F.size("last") == 3) & F.forall("last", lambda x: (x["polarity"] == 1) & (x["intensity"] > 0.5))).select("conversation_id", "id")
+    return recent(spark, sf_dir).where(triggers.happy()).select(*_IDS)
 
 
-@operator("stm_09", f"""{_PEER}, r as (select conversation_id, id, count(*) over (partition by conversation_id order by ts_sec range between 1799 preceding and current row) as now, count(*) over (partition by conversation_id order by ts_sec range between 3600 preceding and 1800 preceding) as before from x)
-select conversation_id, id, now, before from r where before >= 2 and now * 2 < before""")
+_COOL = f"""co as (select *, now + before >= 4 and before >= 2 and now * 2 < before and not boundary and not substantive and not (moves and ts_sec - t1 <= 120) as cools from (
+  select *, count(*) over (partition by conversation_id order by ts_sec range between 299 preceding and 1 preceding) + row_number() over (partition by conversation_id, ts_sec order by id) as now,
+  count(*) over (partition by conversation_id order by ts_sec range between 599 preceding and 300 preceding) as before, coalesce(lag(substantive) over w, false) as moves, coalesce(lag(ts_sec) over w, 0) as t1 from x window w as {_ORDER}))"""
+
+
+@operator("stm_09", f"{_PEER}, {_COOL} select conversation_id, id, now, before from co where cools")
 def cooling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fewer than half as many messages in the last half hour as in the one before, by event time.
+    """Fewer than half as many messages in the last five minutes as in the five before, by event time, while the last two don't move the talk on."""
+    return recent(spark, sf_dir).where(triggers.cools()).select(*_IDS, "now", "before")
+
 
-    Windows run within cells of an hour that also get the rows of the hour before and those after.
-    """
-    p = peers(spark, sf_dir)
-    spread = p.select("conversation_id", "id", "ts_sec", F.explode(F.expr("array(ts_sec div 3600, ts_sec div 3600 + 1)")).alias("cell"))
-    w = Window.partitionBy("conversation_id", "cell").orderBy("ts_sec")
-    r = spread.withColumns({"now": F.count("*").over(w.rangeBetween(-1799, 0)), "before": F.count("*").over(w.rangeBetween(-3600, -1800))})
-    return r.where("cell = ts_sec div 3600 and before >= 2 and now * 2 < before").select("conversation_id", "id", "now", "before")
+_QUIET = f"qu as (select conversation_id, id, ts_sec + 600 as ts_sec from (select *, lead(ts_sec) over {_ORDER} as next from x) where next is null or next - ts_sec > 600)"
 
 
-@operator("stm_10", f"{_PEER}, r as (select *, lead(ts_sec) over (partition by conversation_id order by ts, id) as next from x) select conversation_id, id, ts_sec + 600 as fires_at from r where next is null or next - ts_sec > 600")
+@operator("stm_10", f"{_PEER}, {_QUIET} select conversation_id, id, ts_sec as fires_at from qu")
 def silences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """When a silence of ten minutes would fire, once per pause: seen from the message that ends it, and from the last one."""
-    p = peers(spark, sf_dir)
-    ended = timeline.with_previous(p, ["id", "ts_sec"], KEY, ORDER).where("ts_sec - prev_ts_sec > 600").select("conversation_id", F.col("prev_id").alias("id"), (F.col("prev_ts_sec") + 600).alias("fires_at"))
-    last = p.groupBy("conversation_id").agg(F.max_by(F.struct("id", "ts_sec"), F.struct("ts", "id")).alias("l")).select("conversation_id", F.col("l.id").alias("id"), (F.col("l.ts_sec") + 600).alias("fires_at"))
-    return ended.unionByName(last)
+    return triggers.silences(peers(spark, sf_dir)).select(*_IDS, F.col("ts_sec").alias("fires_at"))
+
+
+_KINDS = {"negative_streak": ("st", "streak"), "emotion_shift": ("sh join st using (conversation_id, id)", "shift and not streak"), "perfunctory": ("du", "dulls"), "positive_window": ("ha", "happy"), "topic_cooling": ("co", "cools")}
+
+
+def _candidates(trigger: str) -> str:
+    source, where = _KINDS[trigger]
+    own = source.split()[0]
+    return f"select {own}.conversation_id, {own}.id, {own}.ts_sec, {own}.intensity as level, '{trigger}' as trigger, '{triggers.SEVERITIES[trigger]}' as severity, {triggers.PAUSES[trigger]} as pause from {source} where {where}"
+
+
+#: Each candidate knows the next one beyond its pause; from the first one on these are followed.
+_FIRED = f"""ca as (select *, row_number() over (partition by conversation_id, trigger order by ts_sec, id) as k from ({" union all ".join(_candidates(t) for t in _KINDS)})),
+nx as (select a.conversation_id, a.trigger, a.k, min(b.k) as next from ca a join ca b on b.conversation_id = a.conversation_id and b.trigger = a.trigger and b.ts_sec >= a.ts_sec + a.pause group by 1, 2, 3),
+fi(conversation_id, trigger, k) as (select distinct conversation_id, trigger, 1::bigint from ca union all select nx.conversation_id, nx.trigger, nx.next from fi join nx using (conversation_id, trigger, k))"""
 
 
-@operator("stm_11")
-def triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All triggers with their pauses, as the stream fires them."""
-    return triggers_batch(peers(spark, sf_dir).select("conversation_id", "id", "ts_sec", "polarity", "intensity", "chars"))
+@operator("stm_11", f"""{_PEER}, {_STREAK}, {_SHIFT}, {_DULL}, {_HAPPY}, {_COOL}, {_QUIET}, {_FIRED} select conversation_id, id, ts_sec, trigger, severity, level from ca join fi using (conversation_id, trigger, k)
+union all select conversation_id, id, ts_sec, 'silence', 'medium', 0e0 from qu""")
+def all_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All six triggers with their pauses and severities, as the stream fires them."""
+    return triggers.triggers_batch(peers(spark, sf_dir))
 
 
 declare("stm_13", "Late rows: those that come (by id) after one that is more than a day younger.", """

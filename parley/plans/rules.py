@@ -2,23 +2,38 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from parley.functions import intents, redaction
+from parley.functions.lexicon import Cues
 from parley.functions.numbers import rounded
-from parley.functions.pii import PORTABLE
 from parley.functions.text import character_grams, cleaned
-from parley.operators import timeline
+from parley.operators import facts, timeline
+from parley.plans.texts import PII_SQL
 from parley.registry import declare, operator
 from parley.views import S, M, messages, sentiment, table
 
-declare("rul_01", "Intent of a message by its cues.", """
-select id, case when content like 'error%' then 'decline' when content like '%: 1_%' then 'impatience' else 'none' end as intent from {m}""")
+#: What declines, loses patience and moves a talk on, in the words that events are made of.
+EVENT_CUES = Cues(
+    questions=("?",), plans=("sign",), details=(": 9",), nonverbal=(), acknowledgements=("view",), strong_acknowledgements=("view",), decline_at_an_end=("error",), decline_within=(),
+    decline_around=None, decline_unless=None, impatience=(":1",),
+)
+_HEARD = "(select id, trim(content) as t, replace(trim(content), ' ', '') as c from m)"
+
+
+@operator("rul_01", f"with {M} select id, case when starts_with(c, 'error') or ends_with(c, 'error') then 'decline' when contains(c, ':1') then 'impatience' else 'none' end as intent from {_HEARD}")
+def intents_of(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a message does by its cues: declines, or loses patience."""
+    return messages(spark, sf_dir).select("id", F.coalesce(intents.interaction_intent(F.col("content"), EVENT_CUES), F.lit("none")).alias("intent"))
+
 
-declare("rul_02", "Whether a message has substance: long, or a question, or a plan.", """
-select id, length(content) >= 17 or content like '%?%' or content like 'sign%' or content like '%: 9%' as substantive from {m}""")
+@operator("rul_02", f"""with {M} select id, contains(t, '?') or contains(t, 'sign') or contains(t, ': 9') or ((regexp_matches(t, '[0-9]') or len(regexp_extract_all(t, '[A-Za-z]')) >= 2) and length(c) >= 40)
+  or length(c) >= 40 or (length(c) >= 14 and regexp_matches(t, '[,.!;]')) as substantive from (select id, trim(content) || case when id % 5 = 0 then ', again' else '' end as t, replace(t, ' ', '') as c from m)""")
+def substance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a message moves a talk on: long, a question, a plan, or details."""
+    content = F.concat(F.trim("content"), F.when(F.col("id") % 5 == 0, ", again").otherwise(""))
+    return messages(spark, sf_dir).select("id", intents.substantive(content, EVENT_CUES, 40, 14, 40).alias("substantive"))
 
 
 @operator("rul_03", f"""with {M}, {S}, r as (select m.conversation_id, m.id, avg(s.intensity) over w as level, min(s.polarity) over w as least, count(*) over w as n from m join s on s.message_id = m.id where m.is_sender = 0
@@ -59,15 +74,23 @@ with n as (select conversation_id, cast(ts as date) as day, content, count(*) as
 r as (select *, row_number() over (partition by conversation_id, day order by n desc, content) as k from n) select conversation_id, day, content, n, evidence, k from r where k <= 3""")
 
 
-@operator("rul_11", """with r as (select conv_id, turn, md5(text) as h from conversations), w as (select a.conv_id, a.turn - b.turn as shift, count(*) as matched from r a join r b on b.conv_id = a.conv_id + 1 and b.h = a.h group by 1, 2),
-k as (select *, row_number() over (partition by conv_id order by matched desc, shift) as place from w) select conv_id, shift, matched from k where place = 1""")
-def best_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The shift at which a dialog and the next one share most turns."""
-    r = table(spark, sf_dir, "conversations").select("conv_id", "turn", F.md5("text").alias("h"))
-    b = r.select((F.col("conv_id") - 1).alias("conv_id"), F.col("turn").alias("other"), "h")
-    w = r.join(b, ["conv_id", "h"]).groupBy("conv_id", (F.col("turn") - F.col("other")).alias("shift")).agg(F.count("*").alias("matched"))
-    best = w.groupBy("conv_id").agg(F.min(F.struct((-F.col("matched")).alias("m"), "shift")).alias("b"))
-    return best.select("conv_id", F.col("b.shift").alias("shift"), (-F.col("b.m")).alias("matched"))
+#: Words of a turn that stand for a window.
+WINDOW_WORDS = 40
+_RUN = "coalesce(nullif(list_position(list_transform(range(1, 41), lambda k: i + k - 1 <= len(a) and j + k - 1 <= len(b) and a[i + k - 1] = b[j + k - 1]), false), 0) - 1, 40)"
+
+
+@operator("rul_11", rf"""with w as (select conv_id, turn, list_filter(string_split(text, ' '), lambda x: x <> '')[1:{WINDOW_WORDS}] as a, lead(list_filter(string_split(text, ' '), lambda x: x <> '')[1:{WINDOW_WORDS}]) over (partition by conv_id order by turn) as b from conversations),
+k as (select *, unnest(range(1, greatest(len(a), 1) + 1)) as i from w where b is not null), x as (select *, unnest(range(1, greatest(len(b), 1) + 1)) as j from k),
+r as (select conv_id, turn, a, b, i, j, {_RUN} as n from x), s as (select *, n * (len(a) - i + 1) - n * (n - 1) // 2 as weight from r),
+t as (select conv_id, turn, any_value(a) as a, arg_max([n, weight, i, j], (n, weight, -i, -j)) as best from s group by 1, 2)
+select conv_id, turn, best[1]::bigint as count, best[2]::bigint as weight, case when best[1] > 0 then best[3] - 1 else -1 end as expected_start, case when best[1] > 0 then best[4] - 1 else -1 end as actual_start,
+  round(case when len(a) > 0 then best[1] * 1e0 / len(a) else 0 end + 1e-9, 4) as coverage, round(case when len(a) > 0 then best[2] * 2e0 / (len(a) * (len(a) + 1)) else 0 end + 1e-9, 4) as weight_ratio from t""")
+def window_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The longest run of words that the beginnings of two neighbouring turns have in common, wherever it lies in either."""
+    words = F.slice(F.filter(F.split("text", " "), lambda x: x != ""), 1, WINDOW_WORDS)
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", words.alias("expected")).withColumn("actual", F.lead("expected").over(Window.partitionBy("conv_id").orderBy("turn"))).where("actual is not null")
+    found = facts.best_overlap(turns.select(F.struct("conv_id", "turn").alias("key"), "expected", "actual"))
+    return found.select("key.conv_id", "key.turn", "count", "weight", "expected_start", "actual_start", rounded(F.col("coverage")).alias("coverage"), rounded(F.col("weight_ratio")).alias("weight_ratio"))
 
 
 declare("rul_12", "Members' scores from some of the indicators.", """
@@ -102,13 +125,10 @@ def redaction_keeps_core(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "conversations").select("conv_id", "turn", shared.alias("shared"), (shared * 2 >= F.size(grams[0])).alias("keeps_core"))
 
 
-_UNSAFE = ("email", "ip", "digits", "hex", "link")
-
-
-@operator("rul_19", "select conv_id, turn, not (" + " or ".join(f"coalesce(regexp_matches(text, '{PORTABLE[k]}'), false)" for k in _UNSAFE) + ") as safe from conversations")
+@operator("rul_19", "select conv_id, turn, not (" + " or ".join(f"coalesce(regexp_matches(text, '{p}'), false)" for p in PII_SQL.values()) + ") as safe from conversations")
 def safe_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole phrases that are safe to show: the detector of personal data finds nothing in them."""
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (~reduce(lambda a, b: a | b, (F.coalesce(F.col("text").rlike(PORTABLE[k]), F.lit(False)) for k in _UNSAFE))).alias("safe"))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", (F.size(redaction.entities(F.col("text"))) == 0).alias("safe"))
 
 
 declare("rul_20", "A log in which an event of a kind occurs once per user and day, the first one.", """

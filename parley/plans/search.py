@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
 from parley.functions.text import tokens
-from parley.operators import retrieval, segmentation, timeline, topics
+from parley.operators import facts, retrieval, segmentation, timeline, topics
 from parley.registry import declare, operator
 from parley.views import S, TOKENS, M, messages, sentiment, spoken, table
 
@@ -68,7 +64,7 @@ def blended(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @operator("ret_04", f"""with {TOKENS}, {_QUERY}, b as (select l.doc_id, l.hits, l.overlap * greatest(0.2e0, exp(-((select max(doc_id) from documents) - l.doc_id) / 180e0)) * case when lb.toxic = 1 then 0.5e0 else 1e0 end as score from lex l left join labels lb using (doc_id) where hits >= 2)
 select doc_id, hits, round(score + 1e-9, 6) as score from b order by b.score desc, doc_id limit 20""")
-def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def fact_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Facts that share two terms with a query, by overlap, age and label."""
     docs = table(spark, sf_dir, "documents")
     newest = docs.agg(F.max("doc_id").alias("_newest"))
@@ -139,15 +135,27 @@ w as (select *, k {div} 28 as part from r where n > 40 union all select *, k {di
 select conversation_id, day, part, count(*) as n, min(id) as first_id, max(id) as last_id from w group by 1, 2, 3""")
 
 
-@operator("ret_09", f"""with {M}, {S}, f as (select m.conversation_id, m.message_type, m.id, m.ts, m.ts_sec, s.intensity, m.ts_sec - lag(m.ts_sec) over (partition by m.conversation_id, m.message_type order by m.ts, m.id) as gap
-  from m join s on s.message_id = m.id where message_type <> 10000),
-c as (select *, sum(case when gap <= 600 then 0 else 1 end) over (partition by conversation_id, message_type order by ts, id) as cluster from f)
-select conversation_id, message_type, cast(cluster as bigint) as cluster, max_by(id, (intensity, id)) as representative, count(*) as n, string_agg(cast(id as varchar), ',' order by id) as evidence from c group by 1, 2, 3""")
+#: Facts about events, whose times are drawn together as in a chat; a fact's evidence are three numbers that neighbouring events share.
+HURRY, START, SPREAD = 40, 1_704_067_200, 60
+
+
+def told_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    m = messages(spark, sf_dir).where("message_type <> 10000").join(sentiment(spark, sf_dir), F.col("id") == F.col("message_id"))
+    seconds, first = F.expr(f"(ts_sec - {START}) div {HURRY} + {START}"), F.expr(f"id div {SPREAD}")
+    return m.select("conversation_id", F.col("message_type").alias("kind"), "id", seconds.alias("ts_sec"), F.timestamp_seconds(seconds).alias("ts"), F.col("intensity").alias("score"), F.sequence(first, first + 2).alias("evidence"))
+
+
+@operator("ret_09", f"""with recursive {M}, {S}, f as (select *, row_number() over (partition by conversation_id, kind order by ts, id) as rn from (select conversation_id, message_type as kind, id, (ts_sec - {START}) // {HURRY} + {START} as ts, intensity as score, id // {SPREAD} as p
+  from m join s on s.message_id = m.id where message_type <> 10000)),
+r(conversation_id, kind, rn, open, begun, cluster) as (select conversation_id, kind, rn, [struct_pack(n := 0, ts := ts, p := p)], 1, 0 from f where rn = 1 union all
+  select conversation_id, kind, rn, list_append(list_filter(still, lambda x: x.n <> c), struct_pack(n := c, ts := ts, p := p)), greatest(begun, c + 1), c from (select *, coalesce(list_max(list_transform(list_filter(still, lambda x: abs(x.p - y.p) <= 1), lambda x: x.n)), begun) as c
+  from (select f.*, r.begun, list_filter(r.open, lambda x: f.ts - x.ts <= 600) as still from r join f on f.conversation_id = r.conversation_id and f.kind = r.kind and f.rn = r.rn + 1) y))
+select conversation_id, kind, arg_max(id, (score, -ts, -id)) as representative, arg_max(ts, (score, -ts, -id)) as source_sec, count(*) as n, array_to_string(list_sort(list_distinct(flatten(list([p, p + 1, p + 2])))), ',') as evidence
+from f join r using (conversation_id, kind, rn) group by conversation_id, kind, cluster""")
 def fact_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts of one kind within ten minutes of the one before, as clusters with their best member and all evidence."""
-    m = timeline.with_day(messages(spark, sf_dir).where("message_type <> 10000").join(sentiment(spark, sf_dir), F.col("id") == F.col("message_id")))
-    runs = timeline.with_runs(m, "cluster", ["ts_sec"], F.col("ts_sec") - F.col("prev_ts_sec") > 600, ["conversation_id", "message_type"], ["ts", "id"])
-    return runs.groupBy("conversation_id", "message_type", "cluster").agg(F.max_by("id", F.struct("intensity", "id")).alias("representative"), F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list("id")), lambda x: x.cast("string")), ",").alias("evidence"))
+    """Facts of one kind within ten minutes of a cluster's last one that share two pieces of evidence with it, with the best member and all evidence."""
+    found = facts.evidence_clusters(told_facts(spark, sf_dir))
+    return found.withColumn("evidence", F.array_join(F.transform("evidence", lambda x: x.cast("string")), ","))
 
 
 @operator("ret_10", f"""with p as (select label, p as pos, avg(cast(embedding[p + 1] as double)) as x from embeddings, unnest(range(len(embedding))) as y(p) group by 1, 2),
@@ -167,42 +175,51 @@ def prototypes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select("vec_id", (-F.col("best.minus")).alias("nearest"), sim.alias("sim"), (sim >= LEAST_LIKE).alias("matched"))
 
 
-@operator("ret_11")
+_SURE = "round(0.5e0 + (vec_id % 5) / 10e0, 1)"
+
+
+@operator("ret_11", f"""with recursive v as (select label, vec_id, {_SURE} as confidence, {_CAST.format("embedding")} as x, row_number() over (partition by label order by {_SURE} desc, vec_id desc) as rn from embeddings),
+r(label, rn, leaders, ids, slot) as (select label, rn, [x], [vec_id], 1 from v where rn = 1 union all
+  select label, rn, case when slot is null and len(leaders) < 10 then list_append(leaders, x) else leaders end, case when slot is null and len(leaders) < 10 then list_append(ids, vec_id) else ids end,
+    case when slot is null and len(leaders) < 10 then len(leaders) + 1 else slot end
+  from (select v.*, leaders, ids, nullif(coalesce(list_position(list_transform(leaders, lambda c: list_cosine_similarity(c, v.x) >= {facts.LIKENESS}), true), 0), 0) as slot from r join v on v.label = r.label and v.rn = r.rn + 1))
+select label, cast(slot - 1 as int) as slot, any_value(ids[slot]) as leader, count(*) as n, round(avg(confidence) + 1e-9, 4) as confidence, count(*) filter (where slot is null) as left_out from r join v using (label, rn) group by label, slot""")
 def slots(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Greedy slots of like vectors (cosine 0.72 or more), at most ten per label. A label's vectors pass in order through
-    one task, in batches; only its slots' centres are held."""
-
-    def fold(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        label, centres = None, []
-        for rows in batches:
-            out = []
-            for own, vec_id, x in zip(rows["label"], rows["vec_id"], rows["embedding"], strict=True):
-                if own != label:
-                    label, centres = own, []
-                v = np.asarray(x, float)
-                v /= max(np.linalg.norm(v), 1e-12)
-                sims = [float(c @ v) for c in centres]
-                slot = int(np.argmax(sims)) if sims and max(sims) >= 0.72 else (len(centres) if len(centres) < 10 else None)
-                if slot == len(centres):
-                    centres.append(v)
-                out.append((label, vec_id, slot))
-            yield pd.DataFrame(out, columns=["label", "vec_id", "slot"]).astype({"slot": "Int64"})
-
-    rows = table(spark, sf_dir, "embeddings").select("label", "vec_id", "embedding")
-    return rows.repartition("label").sortWithinPartitions("label", "vec_id").mapInPandas(fold, "label long, vec_id long, slot long")
-
-
-@operator("ret_12", f"""with {M}, {S}, f as (select member, message_type as kind, count(*) as evidence, max(ts_sec) as seen, avg(intensity) as level from m join s on s.message_id = m.id group by 1, 2),
-r as (select *, row_number() over (partition by member order by seen desc, kind) as age from f)
-select member, kind, evidence, round(least(0.95e0, 0.5 + 0.06 * (evidence - 1)) + 1e-9, 4) as confidence, case when age = 1 then 'active' when level < -0.5 then 'quarantined' else 'superseded' end as state, lead(kind) over (partition by member order by seen, kind desc) as superseded_by from r""")
+    """Slots of like vectors (cosine 0.72 or more), at most ten per label, the surest first; with their mean confidence, and what fits none."""
+    v = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("key"), F.col("vec_id").alias("id"), F.round(0.5 + (F.col("vec_id") % 5) / 10, 1).alias("confidence"), F.col("embedding").alias("vector"))
+    found = facts.slots(v).groupBy(F.col("key").alias("label"), "slot").agg(F.max("leader").alias("leader"), F.count("*").alias("n"), rounded(F.avg("confidence")).alias("confidence"))
+    return found.withColumn("left_out", F.when(F.col("slot").isNull(), F.col("n")).otherwise(0))
+
+
+#: Facts are an event's kind and content in a conversation; the first half of the month is merged first, then the second; single errors are uncertain in between.
+MIDDLE_OF_MONTH = 1_705_363_200
+
+
+def _findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = table(spark, sf_dir, "events")
+    return e.select(F.expr("user_id div 30").alias("conversation_id"), F.col("event_type").alias("kind"), F.col("props").alias("content"), F.col("event_id").alias("message_id"), (0.5 + (F.col("event_id") % 4) / 10).alias("confidence"), F.unix_timestamp("ts").alias("ts_sec"))
+
+
+@operator("ret_12", f"""with e as (select user_id // 30 as conversation_id, event_type as kind, props as content, event_id as id, 0.5e0 + (event_id % 4) / 10e0 as sure, cast(floor(epoch(ts)) as bigint) as ts, epoch(ts) >= {MIDDLE_OF_MONTH} as late from events),
+said as (select conversation_id, kind, content, arg_max(['inaccurate', 'forget', 'restore'][(id // 50) % 3 + 1], id) as action from e where id % 50 = 0 group by 1, 2, 3),
+f as (select conversation_id, kind, content, count(*) as n, count(*) filter (where not late) as early, arg_min(sure, (late, ts, id)) as first, max(ts) as as_of from e group by 1, 2, 3),
+u as (select f.*, action, kind = 'error' and early = 1 as doubted from f left join said using (conversation_id, kind, content))
+select conversation_id, kind, content, n, round(least(0.95e0, first + 0.06 * (n - 1)), 4) as confidence, case when doubted then 'uncertain' else 'active' end as status, not doubted and coalesce(action, 'restore') = 'restore' as enabled, as_of,
+  last_value(content) over w as head, count(*) over w - row_number() over (partition by conversation_id, kind order by content) as steps from u window w as (partition by conversation_id, kind order by content rows between unbounded preceding and unbounded following)""")
 def fact_lifecycle(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Facts per member: merged evidence raises confidence up to a cap, the latest one is active, others name their successor."""
-    f = messages(spark, sf_dir).join(sentiment(spark, sf_dir), F.col("id") == F.col("message_id")).groupBy("member", F.col("message_type").alias("kind")).agg(F.count("*").alias("evidence"), F.max("ts_sec").alias("seen"), F.avg("intensity").alias("level"))
-    own = Window.partitionBy("member")
-    age = F.row_number().over(own.orderBy(F.desc("seen"), "kind"))
-    state = F.when(F.col("age") == 1, "active").when(F.col("level") < -0.5, "quarantined").otherwise("superseded")
-    aged = f.withColumn("age", age).withColumn("superseded_by", F.lead("kind").over(own.orderBy("seen", F.desc("kind"))))
-    return aged.select("member", "kind", "evidence", rounded(F.least(F.lit(0.95), 0.5 + 0.06 * (F.col("evidence") - 1))).alias("confidence"), state.alias("state"), "superseded_by")
+    """Facts merged in two batches, with the user's word on them, and where each one's chain of successors (the next content of its kind) ends."""
+    found = _findings(spark, sf_dir)
+    action = F.element_at(F.array(*(F.lit(a) for a in ("inaccurate", "forget", "restore"))), (F.expr("message_id div 50") % 3 + 1).cast("int"))
+    feedback = found.where("message_id % 50 = 0").select(*facts.KEY, action.alias("action"), F.col("message_id").alias("seq"))
+    none = spark.createDataFrame([], "conversation_id long, kind string, content string, evidence array<long>, confidence double, status string, enabled boolean, as_of long")
+    early = facts.merged_facts(none, found.where(f"ts_sec < {MIDDLE_OF_MONTH}"), feedback)
+    doubted = (F.col("kind") == "error") & (F.size("evidence") == 1)
+    early = early.withColumns({"status": F.when(doubted, "uncertain").otherwise(F.col("status")), "enabled": F.col("enabled") & ~doubted})
+    merged = facts.merged_facts(early, found.where(f"ts_sec >= {MIDDLE_OF_MONTH}"), feedback).withColumn("id", F.concat_ws("|", *facts.KEY))
+    own = Window.partitionBy("conversation_id", "kind").orderBy("content")  # a row per fact
+    ends = facts.heads(merged.select("id", F.lead("id").over(own).alias("successor")))
+    head = F.element_at(F.split("head", r"\|"), 3)
+    return merged.join(ends, "id").select(*facts.KEY, F.size("evidence").cast("long").alias("n"), "confidence", "status", "enabled", "as_of", head.alias("head"), "steps")
 
 
 declare("ret_13", "A snapshot of each conversation's state from profile and facts.", """

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.functions import pii, text
+from parley.functions import redaction, text
 from parley.functions.numbers import rounded
 from parley.functions.ratio import matching_ratio
 from parley.registry import declare, operator
@@ -111,17 +111,27 @@ def accepted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.where((F.length("token") >= 2) & ~F.col("token").isin("the", "and", "der", "und", "les", "los") & ~F.col("token").rlike(r"^[0-9]+$|^(.)\1+$|^(.{2,})\2$"))
 
 
-@operator("str_14", "select doc_id, " + ", ".join(f"len(regexp_extract_all(coalesce(text, ''), '{p}')) as n_{k}" for k, p in pii.PORTABLE.items()) + " from documents")
-def personal_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Matches of personal-data classes that plain patterns can tell."""
-    c = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", *(F.regexp_count(c, F.lit(p)).alias(f"n_{k}") for k, p in pii.PORTABLE.items()))
+#: The classes of personal data for an engine without look-around: what may not stand beside a match is taken into it.
+_BESIDE, _AFTER, _NO_DIGIT, _END = "(?:^|[^0-9A-Za-z])", "(?:$|[^0-9A-Za-z])", "(?:^|[^0-9])", "(?:$|[^0-9])"
+PII_SQL = {
+    "api_key": f"(?i){_BESIDE}(?:sk|api[_-]?key|token|secret)[-_:=\\s]*[A-Za-z0-9_-]{{16,}}(?:$|[^0-9A-Za-z_-])", "id_card": f"{_BESIDE}[0-9]{{17}}[0-9Xx]{_AFTER}", "bank_card": f"{_BESIDE}(?:[0-9][ -]?){{16,19}}{_AFTER}",
+    "phone": f"{_NO_DIGIT}(?:\\+?86[-\\s]?)?1[3-9][0-9]{{9}}{_END}", "email": f"{_BESIDE}[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{{2,}}{_AFTER}",
+    "url": f"(?i){_BESIDE}(?:https?://|www\\.)", "landline": f"{_NO_DIGIT}(?:0[0-9]{{2,3}}[-\\s]?[0-9]{{7,8}}|400[-\\s]?[0-9]{{3,4}}[-\\s]?[0-9]{{3,4}}){_END}",
+    "address": "[\u4e00-\u9fa5]{2,}(?:省|市|区|县|镇|乡|路|街|巷|号楼|单元|室)[\u4e00-\u9fa5A-Za-z0-9-]{2,30}",
+}
+
+
+@operator("str_14", "select doc_id, " + ", ".join(f"coalesce(regexp_matches(text, '{PII_SQL[k]}'), false) as has_{k}" for k in redaction.KINDS) + " from documents")
+def personal_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which of eight guarded classes of personal data a text holds."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", redaction.entities(F.col("text")).alias("kinds"))
+    return docs.select("doc_id", *(F.array_contains("kinds", k).alias(f"has_{k}") for k in redaction.KINDS))
 
 
 @operator("str_15")
 def redacted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Texts with personal data replaced by placeholders that are the same for the same value."""
-    return table(spark, sf_dir, "documents").select("doc_id", pii.redacted(F.col("text")).alias("redacted"))
+    """Texts with personal data replaced by placeholders that are the same for the same value, overlaps resolved, and what was replaced."""
+    return table(spark, sf_dir, "documents").select("doc_id", redaction.redacted(F.col("text")).alias("r")).select("doc_id", "r.redacted", F.size("r.spans").alias("n_spans"), F.to_json("r.spans").alias("spans"))
 
 
 @operator("str_16", r"select doc_id, md5(regexp_replace(regexp_replace(text, '[0-9]', '*', 'g'), '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+', '<email>', 'g')) as masked from documents")
