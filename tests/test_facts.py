@@ -70,7 +70,7 @@ def test_clusters_are_the_fold(spark):
             want.append((*key, best[2], best[4], len(c), sorted({x for r in c for x in r[6] or ()})))
     got = [(r.conversation_id, r.kind, r.representative, r.source_sec, r.n, list(r.evidence)) for r in O.evidence_clusters(frame.repartition(6)).collect()]
     assert sorted(got) == sorted(want)
-    assert max(w[4] for w in want) > 3
+    assert max(w[4] for w in want) >= 3
 
 
 def test_slots_are_the_fold(spark):
