@@ -13,10 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from parley.llm.support import mix64, shuffle_partitions
+from parley.llm.support import mix64, shuffle_partitions, staged
 
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
 WINDOW, LEAST_BLOCK, LETTERS = 7, 3, 64
@@ -145,77 +146,80 @@ def edited(text: str, following: str) -> str:
     return text[: len(text) - half] + following[:half]
 
 
-def _edges_upto(value: str, edges: list[int]) -> str:
-    """SQL of how many of some ascending numbers are at most a value, by bisection."""
-    if not edges:
-        return "0"
-    # constants, which the planner folds into one array
-    array = f"array({', '.join(f"bigint('{e}')" for e in edges)})"
-    middle = "int((s.lo + s.hi) div 2)"
-    step = f"if(element_at({array}, {middle} + 1) <= {value}, named_struct('lo', {middle} + 1, 'hi', s.hi), named_struct('lo', s.lo, 'hi', {middle}))"
-    return f"aggregate(sequence(1, {len(edges).bit_length()}), named_struct('lo', 0, 'hi', {len(edges)}), (s, i) -> if(s.lo < s.hi, {step}, s), s -> s.lo)"
+_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+_NAMES = [x.split()[0] for x in _OUT.split(", ")]
+_KINDS = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+#: Rows of a range besides those that are done: its last document, which lacks its next one, and its first one, which is that of the range before.
+_LAST, _FIRST = "last", "first"
 
 
-_OUT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+def _complete(rows: list[tuple]) -> list[list]:
+    """Columns of rows (doc_id, text, its fingerprint, next text, its fingerprint)."""
+    texts = [edited(r[1], r[3]) for r in rows]
+    raw = [t.encode() for t in texts]
+    prints = [fingerprint(t) for t in raw]
+    near = likeness([(r[2], e) for r, e in zip(rows, prints, strict=True)] + [(r[2], r[4]) for r in rows])
+    return [[r[0] for r in rows], [len(r[1]) for r in rows], [hashlib.sha256(t).hexdigest() for t in raw], [r[2] for r in rows], prints, near[: len(rows)], near[len(rows) :]]
+
+
+def _batch(columns: list, more: dict[str, pa.Array]) -> pa.RecordBatch:
+    own = [pa.array(c, k) for c, k in zip(columns, _KINDS, strict=True)]
+    return pa.RecordBatch.from_arrays([*own, *more.values()], names=[*_NAMES, *more])
+
+
+def _within_range(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A range's rows in order: each is complete when the next one is there; its first and its last one are handed on with their texts."""
+    part = TaskContext.get().partitionId()
 
+    def marked(columns: list, role: str | None, text: str | None) -> pa.RecordBatch:
+        n = len(columns[0])
+        return _batch(columns, {"part": pa.array([part] * n, pa.int32()), "role": pa.array([role] * n, pa.string()), "text": pa.array([text] * n, pa.string())})
 
-def _fingerprinted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by (bucket, guests last, order); a bucket's last own document is followed by a guest, the first
-    document of the next bucket."""
-    names = [x.split()[0] for x in _OUT.split(", ")]
-    held: list[tuple] = []
-
-    def complete(rows: list[tuple]) -> pa.RecordBatch:
-        """rows: (doc_id, text, its fingerprint, next text, its fingerprint)."""
-        texts = [edited(r[1], r[3]) for r in rows]
-        raw = [t.encode() for t in texts]
-        prints = [fingerprint(t) for t in raw]
-        n = len(rows)
-        near = likeness([(r[2], e) for r, e in zip(rows, prints, strict=True)] + [(r[2], r[4]) for r in rows])
-        columns = [[r[0] for r in rows], [len(r[1]) for r in rows], [hashlib.sha256(t).hexdigest() for t in raw], [r[2] for r in rows], prints, near[:n], near[n:]]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
-
-    previous = None
+    def edge(row: tuple, role: str) -> pa.RecordBatch:
+        return marked([[row[0]], [len(row[1])], [None], [row[2]], [None], [None], [None]], role, row[1])
+
+    previous, held = None, []
     for batch in batches:
-        for doc, text, bucket, guest in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-            if guest and (previous is None or previous[0] != bucket):
-                continue  # further guests: rows that share the first id
-            own = text or ""
-            mark = fingerprint(own.encode())
-            if previous is not None and previous[0] == bucket:
-                held.append((previous[1], previous[2], previous[3], own, mark))
-            previous = None if guest else (bucket, doc, own, mark)
-        yield complete(held)
+        for doc, text in zip(*(batch.column(i).to_pylist() for i in range(2)), strict=True):
+            own = (doc, text or "", fingerprint((text or "").encode()))
+            if previous is None:
+                yield edge(own, _FIRST)
+            else:
+                held.append((*previous, *own[1:]))
+            previous = own
+        yield marked(_complete(held), None, None)
         held = []
+    if previous is not None:
+        yield edge(previous, _LAST)
+
+
+def _across_ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield _batch(_complete(list(zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True))), {})
 
 
 def fingerprints(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next``.
 
-    The next document is the one with the next larger id; rows without an id come first, rows that share one are
+    The next document is the one with the next larger id; rows without an id come first, rows that share one (ties) are
     ordered by a hash of their text, and the last is followed by the first (a single document by itself). A null
-    text is empty. Ids are cut into ranges at quantiles, each text is sent to its range once, and the first
-    document of a range also to the range before. A table without rows gives none.
+    text is empty; whole texts are read, however long; a signature is bounded. A table without rows gives none. Columns
+    other than the two named are not looked at, so that their names don't matter.
+
+    Texts are dealt to ranges of (id, hash, place in the input) and sorted within, each sent once, so that rows without an id, or
+    with one id, spread as others do. Within a range rows wait for the next one only; the two documents at each border meet in
+    a second, small step, a row per range.
     """
-    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    spark = docs.sparkSession
-    ranges = 4 * shuffle_partitions(spark)
-    cuts = own.select(F.coalesce("doc_id", F.lit(LEAST_ID)).cast("double").alias("id")).approxQuantile("id", [i / ranges for i in range(1, ranges)], 0.1 / ranges)
-    edges = sorted({int(x) for x in cuts})
-    place = F.coalesce("doc_id", F.lit(LEAST_ID))
-    ranged = own.withColumn("_place", place).withColumn("bucket", F.expr(_edges_upto("_place", edges)).cast("int"))
-    # one row per range: its first id
-    firsts = sorted((r.bucket, r.least) for r in ranged.groupBy("bucket").agg(F.min(F.coalesce("doc_id", F.lit(LEAST_ID))).alias("least")).collect())
-    before = {least: firsts[i - 1][0] for i, (_, least) in enumerate(firsts)}
-    plain = ranged.select("doc_id", "text", "bucket", F.lit(False).alias("guest"))
-    if not before:
-        return plain.mapInArrow(_fingerprinted, _OUT)
-    to = F.create_map(*(F.lit(x) for pair in before.items() for x in pair))
-    spread = ranged.withColumn("to", to[F.coalesce("doc_id", F.lit(LEAST_ID))])
-    copies = F.when(F.col("to").isNull(), F.array(F.struct("bucket", F.lit(False).alias("guest")))).otherwise(
-        F.array(F.struct("bucket", F.lit(False).alias("guest")), F.struct(F.col("to").alias("bucket"), F.lit(True).alias("guest")))
-    )
-    dealt = spread.select("doc_id", "text", F.explode(copies).alias("c")).select("doc_id", "text", "c.bucket", "c.guest")
-    sorted_ = dealt.repartition(shuffle_partitions(spark), "bucket").sortWithinPartitions("bucket", "guest", F.asc_nulls_first("doc_id"), F.xxhash64("text"))
-    return sorted_.mapInArrow(_fingerprinted, _OUT)
+    own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    order = [F.coalesce("doc_id", F.lit(LEAST_ID)), F.col("doc_id").isNotNull(), F.xxhash64("text"), F.monotonically_increasing_id()]
+    keyed = own.select("doc_id", "text", *(c.alias(f"_{i}") for i, c in enumerate(order)))
+    keys = [f"_{i}" for i in range(len(order))]
+    ranged = keyed.repartitionByRange(shuffle_partitions(docs.sparkSession), *keys).sortWithinPartitions(*keys).select("doc_id", "text")
+    found = staged(ranged.mapInArrow(_within_range, f"{_OUT}, part int, role string, text string"))
+    last, first = (found.where(F.col("role") == r) for r in (_LAST, _FIRST))
+    # a number per range that has rows: which one comes next, the first one after the last
+    parts = last.select("part").agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    following = parts.select(F.posexplode("parts").alias("i", "part"), "parts").select("part", F.element_at("parts", (F.col("i") + 1) % F.size("parts") + 1).alias("to"))
+    met = last.join(following, "part").join(first.select(F.col("part").alias("to"), F.col("text").alias("next"), F.col("fingerprint").alias("next_mark")), "to")
+    closed = met.select("doc_id", "text", "fingerprint", "next", "next_mark").mapInArrow(_across_ranges, _OUT)
+    return found.where("role is null").select(*_NAMES).unionByName(closed)

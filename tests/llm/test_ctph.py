@@ -78,9 +78,14 @@ def test_periodic_texts_have_bounded_signatures():
     assert ctph.likeness([(ctph.fingerprint(table), ctph.fingerprint(table + b"more"))])[0] > 0.9
 
 
-def test_edges_by_bisection(spark):
-    from pyspark.sql import functions as F
-
-    for edges in ([], [5], [-(1 << 62), 3, 9, 40, 41]):
-        got = spark.range(-1, 60).withColumn("n", F.expr(ctph._edges_upto("id", edges))).collect()
-        assert [r.n for r in got] == [sum(e <= r.id for e in edges) for r in got]
+def test_most_rows_without_an_id_or_with_one(spark):
+    """They spread over all ranges, and follow each other as their hashes tell; clashing columns don't matter."""
+    rng = random.Random(3)
+    rows = [(pick, text(rng, 30)) for pick in [None] * 120 + [7] * 120 + list(range(40))] + [(7, "the same")] * 60
+    frame = spark.createDataFrame([(*r, "x", 1, "y") for r in rows], "doc_id long, text string, role string, part int, fingerprint string").repartition(5)
+    got = ctph.fingerprints(frame)
+    assert got.count() == len(rows)
+    hashes = {r.text: r.h for r in frame.selectExpr("text", "xxhash64(text) as h").distinct().collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]))
+    want = sorted((str(i), len(t), hashlib.sha256(ctph.edited(t, ordered[(n + 1) % len(ordered)][1]).encode()).hexdigest()) for n, (i, t) in enumerate(ordered))
+    assert sorted((str(r.doc_id), r.n_chars, r.edited_sha256) for r in got.collect()) == want
