@@ -24,8 +24,9 @@ LENGTH, DIMS, BITS = 1024, 4, 8
 #: Ranges of the curve per shuffle partition, and keys of documents (by a hash) from which each range's bounds are estimated.
 #: Other documents change the balance of ranges only, never the result's completeness.
 RANGES, KEYS_A_RANGE = 4, 40
-#: From runs of so many blanks on a text goes to the slower library: the faster one recurses over them.
-LONG_BLANKS = re.compile(r"\s{20000}")
+#: A text that has a run of so many blanks goes to the slower library: the faster one takes a time that grows with the square of each run, some
+#: milliseconds for 2,000 blanks. Both give the same ids.
+LONG_BLANKS = re.compile(r"\s{200}")
 _TOKENIZER: dict = {}
 
 
@@ -69,7 +70,7 @@ def tokenizer(path: str):  # noqa: ANN201
             special = {x["content"] for x in model.get("added_tokens", [])}
             ranks = {bytes(byte_of[c] for c in token): i for token, i in model["model"]["vocab"].items() if token not in special}
             encoding = tiktoken.Encoding("corpus", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-            _TOKENIZER[path] = lambda text: slow(text) if len(text) >= 20_000 and LONG_BLANKS.search(text) else encoding.encode_ordinary(text)
+            _TOKENIZER[path] = lambda text: slow(text) if LONG_BLANKS.search(text) else encoding.encode_ordinary(text)
         else:
             _TOKENIZER[path] = slow
     return _TOKENIZER[path]

@@ -37,6 +37,17 @@ def test_every_id_lies_in_one_piece(spark):
         assert p.length.sum() == len(want[int(i)][0])
 
 
+def test_many_runs_of_blanks_take_no_longer_than_other_texts():
+    import time
+
+    encode = packing.tokenizer(packing.default_vocabulary())
+    for text in (("x" + " " * 19_999) * 50, ("x" + "\n" * 2_000) * 100, ("word" + " " * 199) * 1_000, ("word" + " " * 200) * 1_000):
+        began = time.perf_counter()
+        ids = encode(text)
+        assert time.perf_counter() - began < 8
+        assert [*ids, 0] == ids_of(text)
+
+
 def test_the_curve_visits_neighbours():
     side = np.arange(8)
     cells = np.stack(np.meshgrid(side, side, side, indexing="ij"), -1).reshape(-1, 3)
