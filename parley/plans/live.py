@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import rounded
 from parley.operators import timeline
 from parley.registry import declare, operator
-from parley.streaming import attribution, triggers
+from parley.streaming import attribution, late, triggers
 from parley.views import LIVELY, MEDIAN, M, messages, sentiment, spoken, table
 
 KEY, ORDER = ["conversation_id"], ["ts", "id"]
@@ -139,10 +139,26 @@ def all_triggers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.triggers_batch(peers(spark, sf_dir))
 
 
-declare("stm_13", "Late rows: those that come (by id) after one that is more than a day younger.", """
-with r as (select conversation_id, id, ts_sec - case when id % 97 = 0 then 100000 else 0 end as ts_sec from {m}),
-w as (select *, max(ts_sec) over (partition by conversation_id order by id rows between unbounded preceding and 1 preceding) as newest from r)
-select conversation_id, id, ts_sec < newest - 86400 as too_late from w where newest > ts_sec""")
+#: Messages come in batches by the day; one in so many comes days later.
+LATE_EVERY, DAYS_LATE = 97, 2
+
+
+@operator("stm_13", f"""with {M}, x as (select conversation_id, ts_sec, ts_sec // 86400 + case when id % {LATE_EVERY} = 0 then {DAYS_LATE} else 0 end as batch from m),
+g as (select conversation_id, batch, count(*) as n, max(ts_sec) as latest from x group by 1, 2), f as (select *, max(latest) over w as frontier, sum(n) over w as held from g
+  window w as (partition by conversation_id order by batch rows between unbounded preceding and 1 preceding))
+select f.conversation_id, f.batch, any_value(n) as n, count(*) filter (where x.ts_sec < frontier) as late, any_value(frontier) as frontier_sec, count(*) filter (where x.ts_sec < frontier) > 0 as stale,
+  (case when count(*) filter (where x.ts_sec < frontier) > 0 then coalesce(any_value(held), 0) else 0 end + any_value(n))::bigint as read from f join x on x.conversation_id = f.conversation_id and x.batch = f.batch group by f.conversation_id, f.batch""")
+def late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each batch touches: late rows, which keys they make stale, and how many rows a snapshot's renewal reads."""
+    batch = F.expr(f"ts_sec div 86400 + if(id % {LATE_EVERY} = 0, {DAYS_LATE}, 0)")
+    x = messages(spark, sf_dir).select("conversation_id", "ts_sec", batch.alias("batch"))
+    before = Window.partitionBy("conversation_id").orderBy("batch").rowsBetween(Window.unboundedPreceding, -1)  # a row per batch
+    g = x.groupBy("conversation_id", "batch").agg(F.count("*").alias("n"), F.max("ts_sec").alias("latest")).withColumns({"frontier_sec": F.max("latest").over(before), "held": F.sum("n").over(before)})
+    key = F.struct("conversation_id", "batch").alias("conversation_id")
+    found = late.touched(x.select(key, "ts_sec"), g.select(key, "frontier_sec")).select("conversation_id.*", "n", "late", "frontier_sec", "stale")
+    read = F.when(F.col("stale"), F.coalesce("held", F.lit(0))).otherwise(0) + F.col("n")
+    return found.join(g.select("conversation_id", "batch", "held"), ["conversation_id", "batch"]).withColumn("read", read).drop("held")
+
 
 declare("stm_14", "The window without notices: the newest twenty messages and five shares of each conversation.", """
 with r as (select conversation_id, id, message_type, row_number() over (partition by conversation_id, case when message_type = 43 then 1 else 0 end order by ts desc, id desc) as k from {m} where message_type <> 10000)
