@@ -10,11 +10,18 @@ from parley.streaming import triggers
 SCHEMA = "conversation_id long, id long, ts_sec long, polarity int, intensity double, confidence double, boundary boolean, dull boolean, strong boolean, substantive boolean"
 
 
-def run(spark, tmp_path, query, name):
+def run(spark, tmp_path, query, name, n=None):
+    """What a query writes of all files that are there; one with timers never ends by itself and is stopped after ``n`` rows."""
     out = str(tmp_path / name)
-    q = query.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}-check")).outputMode("append").trigger(availableNow=True).start()
-    q.awaitTermination(180)
-    return spark.read.parquet(out)
+    writer = query.writeStream.format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / f"{name}-check")).outputMode("append")
+    q = writer.trigger(availableNow=True).start() if n is None else writer.start()
+    try:
+        for _ in range(120):
+            if q.awaitTermination(1) or (n is not None and sum(p["numInputRows"] for p in q.recentProgress) >= n):
+                return spark.read.parquet(out)
+    finally:
+        q.stop()
+    raise AssertionError("the stream doesn't come to its end")
 
 
 def tracked(data, rules=triggers.RULES):
@@ -72,7 +79,7 @@ def test_the_stream_is_the_batch(spark, tmp_path):
     for k in range(3):
         spark.createDataFrame(data[k * len(data) // 3 : (k + 1) * len(data) // 3], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(SCHEMA).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
-    got = run(spark, tmp_path, triggers.triggers_stream(stream), "out").where("trigger <> 'silence'")
+    got = run(spark, tmp_path, triggers.triggers_stream(stream), "out", len(data)).where("trigger <> 'silence'")
     assert told(got) == [w for w in tracked(data) if w[3] != "silence"]
 
 
@@ -84,7 +91,7 @@ def test_a_start_warms_the_windows_and_fires_nothing(spark, tmp_path):
     start = triggers.baseline(frame, cut)
     assert {r["count"] for r in start.groupBy("conversation_id").count().collect()} == {triggers.WINDOW}
     frame.where(f"ts_sec > {cut}").coalesce(1).write.parquet(str(tmp_path / "in"))
-    got = run(spark, tmp_path, triggers.triggers_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), start=start), "out").where("trigger <> 'silence'")
+    got = run(spark, tmp_path, triggers.triggers_stream(spark.readStream.schema(SCHEMA).parquet(str(tmp_path / "in")), start=start), "out", sum(r[2] > cut for r in data)).where("trigger <> 'silence'")
     want = []
     for key in (0, 1):
         tracker = triggers.Tracker()
