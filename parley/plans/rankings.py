@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
+from parley.operators import sampling, timeline
 from parley.registry import declare, operator
-from parley.views import TOKENS, doc_tokens, table
+from parley.views import MEDIAN, TOKENS, doc_tokens, messages, sentiment, table
 
 declare("top_01", "The 50 most frequent words with weights from 1 to 100; in a large text only words that occur three times.", """
 with n as (select token as word, count(*) as n from {tokens} where length(token) >= 2 group by 1),
@@ -75,12 +76,16 @@ with r as (select m.conversation_id, m.id, s.polarity, row_number() over (partit
 o as (select *, row_number() over (partition by conversation_id order by k, n desc, polarity) as place from r where k <= 40)
 select conversation_id, id, polarity, place from o where place <= 40""")
 
-declare("top_07", "At most forty messages from four windows of time: the newest, the week before, the most negative, the longest; each once.", """
-with b as (select m.conversation_id, m.id, m.ts_sec, length(m.content) as chars, s.intensity, max(m.ts_sec) over (partition by m.conversation_id) as last_sec from {m} m join {s} s on s.message_id = m.id),
-r as (select *, row_number() over (partition by conversation_id order by ts_sec desc, id desc) as newest, row_number() over (partition by conversation_id, ts_sec < last_sec - 604800 order by ts_sec desc, id desc) as week_before,
-  row_number() over (partition by conversation_id order by intensity, id) as negative, row_number() over (partition by conversation_id order by chars desc, id) as longest from b),
-p as (select conversation_id, id, chars, ts_sec from r where newest <= 10 or (ts_sec < last_sec - 604800 and week_before <= 10) or negative <= 10 or longest <= 10),
-c as (select *, cast(sum(chars) over (partition by conversation_id order by ts_sec desc, id desc) as bigint) as used from p) select conversation_id, id, chars, used from c where used <= 8000""")
+@operator("top_07")
+def stratified_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """At most forty exchanges and 8,000 characters per conversation, from its beginning, its worst week, its last month and after its silences."""
+    m = messages(spark, sf_dir, sparse=True)
+    found = timeline.interaction_pairs(m)
+    moods = sentiment(spark, sf_dir, MEDIAN).select(F.col("message_id").alias("first"), "polarity")
+    pairs = found.select("conversation_id", F.col("unit_id").alias("pair_id"), F.col("prev_start_sec").alias("ts_sec"), (F.col("n_chars") + F.col("prev_n_chars")).alias("chars"), F.col("message_ids")[0].alias("first")).join(moods, "first").drop("first")
+    now = m.agg(F.max("ts_sec")).first()[0] or 0
+    return sampling.stratified(pairs, timeline.sessions(m).select("conversation_id", "start_sec", "end_sec"), now)
+
 
 declare("top_08", "Twenty messages evenly spread, both ends kept.", """
 with r as (select conversation_id, id, row_number() over (partition by conversation_id order by ts, id) - 1 as k, count(*) over (partition by conversation_id) as n from {m})

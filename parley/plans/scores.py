@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import cosine, interpolated, rounded, weighted
+from parley.functions.tolerant import tolerant_json
 from parley.operators import dimensions, timeline
 from parley.operators.balance import two_sided_binomial
 from parley.plans.ctes import ENGAGED, OWN, PAIRS, RECALL, SESSIONS, UNITS, WORDS
@@ -263,12 +264,22 @@ def id_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ids.select("user_id", "ids", F.size(F.from_json("ids", "array<long>")).alias("n"))
 
 
-@operator("arr_03", """select event_id, cast(props->>'k' as int) as k from events""")
-def tolerant_json(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The JSON object within noisy text, parsed leniently; null where there is none."""
-    noisy = F.concat(F.lit("Result: "), "props", F.lit(" done"))
-    found = F.regexp_extract(noisy, r"(?s)\{.*\}", 0)
-    return table(spark, sf_dir, "events").select("event_id", F.from_json(found, "k int", {"mode": "PERMISSIVE"})["k"].alias("k"))
+#: What a model may make of an object with a kind, a number and a word that it quotes; the last one is cut off, and one tells nothing.
+_ANSWERS = (
+    'Result: {"kind": "%s", "k": %s, "said": "plain"} done', 'Sure! ```json {"kind": "%s", "k": %s, "said": "he "really" said so",} ```', '<think>like {"kind": "none", "k": 0}</think> {"kind": "%s", "k": %s, "said": "two\nlines"}',
+    '{"kind": "none", "k": 0} no, rather {"kind": "%s", "list": [1, 2,], "k": %s, "said": "x"', "nothing: %s %s", '{"kind": "%s", "k": %s, "said": "cut of',
+)
+_SAID = ("plain", 'he "really" said so', "two\nlines", "x", None, "cut of")
+
+
+@operator("arr_03", f"""select event_id, case when event_id % 6 <> 4 then event_type end as kind, case when event_id % 6 <> 4 then cast(props->>'k' as int) end as k,
+  case event_id % 6 {" ".join(f"when {i} then '" + said.replace(chr(10), "' || chr(10) || '") + "'" for i, said in enumerate(_SAID) if said)} end as said from events""")
+def tolerant_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The JSON object within a model's answer: in a fence, after reasoning, with unescaped quotes, stray commas or a cut-off end; null where there is none."""
+    number = F.regexp_extract("props", "[0-9]+", 0)
+    answer = F.element_at(F.array(*(F.format_string(a, F.col("event_type"), number) for a in _ANSWERS)), (F.col("event_id") % len(_ANSWERS) + 1).cast("int"))
+    found = table(spark, sf_dir, "events").select("event_id", F.from_json(tolerant_json(answer), "kind string, k int, said string").alias("o"))
+    return found.select("event_id", "o.kind", "o.k", "o.said")
 
 
 @operator("arr_04", "select vec_id, case when vec_id % 10 = 9 then 3 else 4 + 2 * len(embedding) end as bytes, case when vec_id % 10 = 9 then 0 else len(embedding) end as dims from embeddings")
