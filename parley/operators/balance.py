@@ -32,3 +32,19 @@ def two_sided_binomial(rows: DataFrame, hits: str, trials: str) -> DataFrame:
     tail = F.when(steps > 0, F.aggregate(F.sequence(F.lit(1).cast("long"), steps), F.struct(F.lit(1.0).alias("w"), F.lit(0.0).alias("s")), grow, lambda a: a.s + a.w)).otherwise(1.0)
     value = F.when(2 * low == n, 1.0).otherwise(F.least(F.lit(1.0), 2 * first * tail))
     return rows.withColumn("p_value", F.when(n.isNotNull() & k.isNotNull(), value))
+
+
+#: Sessions from which on a share tells anything, how likely a chance may be, and effects that are small and medium.
+LEAST_SESSIONS, ALPHA, SMALL, MEDIUM = 5, 0.05, 0.2, 0.5
+
+
+def initiative_bands(sessions: DataFrame) -> DataFrame:
+    """``conversation_id, n, p_value, effect, band`` from ``sessions(conversation_id, initiator)``: who begins them.
+
+    The effect is Cohen's h of the other side's share against one half. A share that may well be chance is balanced, as is a small effect.
+    """
+    counts = sessions.groupBy("conversation_id").agg(F.count("*").alias("n"), F.count_if(F.col("initiator") == 0).alias("theirs"))
+    h = 2 * F.asin(F.sqrt(F.col("theirs") / F.col("n"))) - 2 * F.asin(F.sqrt(F.lit(0.5)))
+    side = lambda word: F.when(F.col("effect") > 0, f"other {word}").otherwise(f"self {word}")
+    band = F.when(F.col("n") < LEAST_SESSIONS, "insufficient").when((F.col("p_value") >= ALPHA) | (F.abs("effect") < SMALL), "balanced").when(F.abs("effect") < MEDIUM, side("leans")).otherwise(side("dominant"))
+    return two_sided_binomial(counts, "theirs", "n").withColumn("effect", h).select("conversation_id", "n", "p_value", "effect", band.alias("band"))

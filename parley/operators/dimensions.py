@@ -80,6 +80,18 @@ def reply_symmetry(messages: DataFrame, p: Investment = Investment()) -> DataFra
     return rows.withColumn("symmetry", even * 0.40 + alike * 0.35)
 
 
+def _with_stickers(p: Investment) -> Column:
+    """``symmetry`` of :func:`reply_symmetry` and the part of the other side's stickers."""
+    stickers = F.least(F.lit(1.0), F.coalesce(F.col("stickers_other") / F.nullif(F.col("n_other"), F.lit(0)), F.lit(0.0)) / p.sticker_full) * 100
+    return _clamped(F.coalesce("symmetry", F.lit(50 * 0.40 + 100 * 0.35)) + stickers * 0.25)
+
+
+def symmetry(messages: DataFrame, p: Investment = Investment()) -> DataFrame:  # noqa: B008
+    """``conversation_id, balance, long_other, long_self, symmetry`` of conversations that have texts."""
+    rows = reply_symmetry(messages, p).join(statistics(messages), "conversation_id")
+    return rows.select("conversation_id", "balance", "long_other", "long_self", _with_stickers(p).alias("symmetry"))
+
+
 def pair_likeness(messages: DataFrame, vectors: DataFrame) -> DataFrame:
     """Per conversation the mean cosine of pairs of units that both have a vector, taken by their first message's id."""
     units = timeline.speech_units(messages).select("conversation_id", "unit_id", F.col("message_ids")[0].alias("vec_id"))
@@ -97,13 +109,12 @@ def investment(messages: DataFrame, vectors: DataFrame, words: Words = CHAT, p:
     rows = rows.na.fill(0, ["pairs", "timely", "n_texts", "n_long", "long_unanswered_other", "bursts_other", "bursts_self"])
     per_100 = lambda c: F.when(F.col("n_texts") > 0, F.col(c) * 100.0 / F.col("n_texts")).otherwise(0.0)
     theirs, mine = per_100("bursts_other"), per_100("bursts_self")
-    stickers = F.least(F.lit(1.0), F.coalesce(F.col("stickers_other") / F.nullif(F.col("n_other"), F.lit(0)), F.lit(0.0)) / p.sticker_full) * 100
     parts = {
         "daily": F.when(F.col("span_days") > 0, F.least(F.lit(100.0), F.col("n") / F.greatest(F.col("span_days"), F.lit(1.0)) / p.daily_full * 100)).otherwise(0.0),
         "timely": F.when(F.col("pairs") > 0, F.col("timely") / F.col("pairs") * 100 * F.least(F.lit(1.0), F.col("pairs") / p.pairs_full)).otherwise(0.0),
         "continuity": F.least(F.lit(100.0), _clamped(F.coalesce("likeness", F.lit(0.0)), 1.0) / p.continuity_full * 100),
         "initiation": F.when(F.col("sessions") > 0, F.least(F.lit(100.0), F.col("sessions_other") / F.col("sessions") / p.initiation_full * 100)).otherwise(0.0),
-        "symmetry": _clamped(F.coalesce("symmetry", F.lit(50 * 0.40 + 100 * 0.35)) + stickers * 0.25),
+        "symmetry": _with_stickers(p),
         "unanswered": 100 - F.least(F.lit(100.0), per_100("long_unanswered_other") / p.unanswered_zero * 100),
         "bursts": F.when((theirs <= 0) & (mine <= 0), p.no_bursts).otherwise(_clamped(50 + (theirs - mine) * p.burst_points)),
     }

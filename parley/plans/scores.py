@@ -8,10 +8,11 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import cosine, interpolated, rounded, weighted
 from parley.functions.tolerant import tolerant_json
 from parley.operators import dimensions, timeline
-from parley.operators.balance import two_sided_binomial
+from parley.operators import resonance as resonances
+from parley.operators.balance import initiative_bands, two_sided_binomial
 from parley.plans.ctes import ENGAGED, OWN, PAIRS, RECALL, SESSIONS, UNITS, WORDS
 from parley.registry import declare, operator
-from parley.views import S, M, messages, sentiment, table
+from parley.views import MS, S, M, messages, sentiment, table
 
 #: Anchors (value, score) of a few indicators, and the weights of traits: parameters of the composites below.
 ANCHORS = {"short_share": ((0.0, 90.0), (0.3, 60.0), (0.7, 30.0), (1.0, 10.0)), "late_share": ((0.0, 20.0), (0.1, 50.0), (0.3, 80.0)), "my_share": ((0.2, 20.0), (0.5, 70.0), (0.8, 40.0))}
@@ -80,14 +81,14 @@ def balance_test(spark: SparkSession, sf_dir: str) -> DataFrame:
     return two_sided_binomial(i, "mine", "n").select("member", "n", "mine", F.round("p_value", 6).alias("p_value"))
 
 
-@operator("mth_05", f"""with {M}, i as (select member, count(*) as n, cast(sum(is_sender) as bigint) as mine from m group by 1), h as (select *, 2 * asin(sqrt(mine * 1e0 / n)) - 2 * asin(sqrt(0.5e0)) as h from i)
-select member, round(h + 1e-9, 4) as effect, case when n < 5 then 'too few' when abs(h) < 0.2 then 'balanced' when h >= 0.5 then 'strongly mine' when h > 0 then 'mine' when h <= -0.5 then 'strongly theirs' else 'theirs' end as band from h""")
+_BINOMIAL = "case when 2 * mine = n then 1e0 else least(1e0, 2 * list_sum(list_transform(range(0, least(mine, n - mine) + 1), lambda x: exp(lgamma(n + 1) - lgamma(x + 1) - lgamma(n - x + 1) - n * ln(2e0))))) end"
+
+
+@operator("mth_05", f"""with {MS}, {UNITS.replace(" from m ", " from ms ")}, {SESSIONS}, i as (select conversation_id, count(*) as n, count(*) filter (where initiator = 0) as mine from sess group by 1), h as (select *, {_BINOMIAL} as p, 2 * asin(sqrt(mine * 1e0 / n)) - 2 * asin(sqrt(0.5e0)) as h from i)
+select conversation_id, n, round(h + 1e-9, 4) as effect, case when n < 5 then 'insufficient' when p >= 0.05 or abs(h) < 0.2 then 'balanced' when h >= 0.5 then 'other dominant' when h > 0 then 'other leans' when h <= -0.5 then 'self dominant' else 'self leans' end as band from h""")
 def balance_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cohen's h against one half, in bands."""
-    i = messages(spark, sf_dir).groupBy("member").agg(F.count("*").alias("n"), F.sum("is_sender").alias("mine"))
-    h = 2 * F.asin(F.sqrt(F.col("mine") / F.col("n"))) - 2 * F.asin(F.sqrt(F.lit(0.5)))
-    band = F.when(F.col("n") < 5, "too few").when(F.abs("h") < 0.2, "balanced").when(F.col("h") >= 0.5, "strongly mine").when(F.col("h") > 0, "mine").when(F.col("h") <= -0.5, "strongly theirs").otherwise("theirs")
-    return i.withColumn("h", h).select("member", rounded(F.col("h")).alias("effect"), band.alias("band"))
+    """Who begins sessions: Cohen's h against one half, in bands, where the share differs from it significantly."""
+    return initiative_bands(timeline.sessions(messages(spark, sf_dir, sparse=True))).select("conversation_id", "n", rounded(F.col("effect")).alias("effect"), "band")
 
 
 _CONFIDENCE = "(0.35 * least(1e0, n / 30e0) + 0.35 * least(1e0, active_days / 30e0) + 0.2 * least(1e0, chars / 400e0) + 0.1 * least(1e0, weeks / 12e0))"
@@ -133,41 +134,56 @@ def investment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _investment(spark, sf_dir).select("conversation_id", *(rounded(F.col(c), 3).alias(c) for c in (*_PARTS, "investment")))
 
 
-declare("mth_11", "Symmetry of replies: characters, long messages and stickers of both sides.", """
-with b as (select conversation_id, sum(case when is_sender = 1 then length(content) else 0 end) * 1e0 as ca, sum(case when is_sender = 0 then length(content) else 0 end) * 1e0 as cb,
-  avg(case when is_sender = 1 then case when length(content) >= 17 then 1e0 else 0e0 end end) as la, avg(case when is_sender = 0 then case when length(content) >= 17 then 1e0 else 0e0 end end) as lb,
-  avg(case when message_type = 47 then 1e0 else 0e0 end) as st from {ms} group by 1)
-select conversation_id, round(0.4 * least(ca, cb) / greatest(1e0, ca, cb) + 0.35 * (1 - abs(coalesce(la, 0e0) - coalesce(lb, 0e0))) + 0.25 * least(1e0, st * 4) + 1e-9, 4) as symmetry from b""")
+@operator("mth_11", f"with {M}, {_INVESTMENT} select sy.conversation_id, round(balance + 1e-9, 4) as balance, round(lo + 1e-9, 4) as long_other, round(ls + 1e-9, 4) as long_self, round(symmetry + 1e-9, 4) as symmetry from sy join ip using (conversation_id)")
+def symmetry(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Symmetry of replies: both sides' characters, their shares of long texts, and the other side's stickers."""
+    return dimensions.symmetry(messages(spark, sf_dir)).select("conversation_id", *(rounded(F.col(c)).alias(c) for c in ("balance", "long_other", "long_self", "symmetry")))
 
-_PAIR_AFFECT = """a as (select u.conversation_id, u.unit_id, avg(s.intensity) as level from u, unnest(message_ids) as x(id) join s on s.message_id = x.id group by 1, 2),
-k as (select p.conversation_id, p.to_unit, p.gap_sec, f.level as la, t.level as lb from pairs p join a f on f.conversation_id = p.conversation_id and f.unit_id = p.from_unit join a t on t.conversation_id = p.conversation_id and t.unit_id = p.to_unit)"""
-_RESPONSE = "(case when la < -0.3 and lb >= 0 then 1e0 when la < -0.3 then 0.3e0 when lb > 0.3 then 0.9e0 when lb < -0.3 then 0.2e0 else 0.6e0 end * least(1e0, 1800e0 / greatest(1800e0, gap_sec)))"
 
+#: Words of events that stand for softly positive and for engaged replies.
+SOFT_WORDS, ENGAGED_WORDS = (": 7",), ("view",)
+_CAST_VECTOR = "list_transform(e.embedding, lambda x: cast(x as double))"
+_RATED = f"""ul as (select u.conversation_id, u.unit_id, any_value(u.ts) as ts, any_value(u.start_sec) as start_sec, any_value(u.message_ids[1]) as vec_id, avg(s.intensity) as level, bool_or(contains(content, ': 7')) as soft, bool_or(contains(content, 'view')) as engaged
+  from u, unnest(message_ids) as x(id) join s on s.message_id = x.id join m on m.id = x.id group by 1, 2),
+up as (select ul.*, case when level > 0.3 then 1 when level < -0.3 then -1 else 0 end as polarity, {_CAST_VECTOR} as v from ul left join embeddings e using (vec_id)),
+rp as (select p.conversation_id, p.from_unit, p.to_unit, p.gap_sec, f.level as la, t.level as lb, f.polarity as pa, t.polarity as pb, f.ts as ta, t.ts as tb, f.start_sec as sa, t.start_sec as sb, list_cosine_similarity(f.v, t.v) as alike, t.soft, t.engaged
+  from pairs p join up f on f.conversation_id = p.conversation_id and f.unit_id = p.from_unit join up t on t.conversation_id = p.conversation_id and t.unit_id = p.to_unit),
+ra as (select *, coalesce(alike >= 0.45, false)::int as near, (gap_sec <= 300)::int * 0.08e0 as quick, (lb >= 0.2)::int as warm from rp),
+rs as (select *, case when pb < 0 then 0 when pb = 1 then least(1e0, 0.86e0 + least(0.1e0, greatest(0, lb) * 0.12e0) + near * 0.08e0 + quick) else least(0.85e0, quick + 0.25e0 * (warm = 1 or soft)::int + 0.14e0 * near + 0.12e0 * warm + 0.14e0 * engaged::int) end as answer from ra)"""
 
-def _pair_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m = messages(spark, sf_dir)
-    units = timeline.speech_units(m).select("conversation_id", "unit_id", F.explode("message_ids").alias("message_id"))
-    level = units.join(sentiment(spark, sf_dir), "message_id").groupBy("conversation_id", "unit_id").agg(F.avg("intensity").alias("level"))
-    pairs = timeline.interaction_pairs(m).select("conversation_id", F.col("prev_unit_id").alias("from_unit"), F.col("unit_id").alias("to_unit"), "gap_sec")
-    a, b = (level.toDF("conversation_id", u, x) for u, x in (("from_unit", "la"), ("to_unit", "lb")))
-    return pairs.join(a, ["conversation_id", "from_unit"]).join(b, ["conversation_id", "to_unit"])
 
+@operator("mth_13", f"with {M}, {S}, {UNITS}, {PAIRS}, {_RATED} select conversation_id, to_unit, round(answer + 1e-9, 4) as response from rs")
+def pair_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A score for each pair's reply to something positive."""
+    pairs = resonances.mood_pairs(messages(spark, sf_dir), sentiment(spark, sf_dir), table(spark, sf_dir, "embeddings"), SOFT_WORDS, ENGAGED_WORDS)
+    return pairs.select("conversation_id", F.col("unit_id").alias("to_unit"), rounded(resonances.positive_response()).alias("response"))
 
-@operator("mth_12", f"""with {M}, {S}, {UNITS}, {PAIRS}, {_PAIR_AFFECT} select conversation_id, count(*) as pairs, round((sum(case when (la > 0) = (lb > 0) then 1e0 else 0e0 end) + 5) / (count(*) + 10) + 1e-9, 4) as reciprocity,
-  round(avg(1 - abs(tanh(la) - tanh(lb)) / 2) + 1e-9, 4) as match, round(avg(case when lb > la then 1e0 else 0e0 end) + 1e-9, 4) as lifted from k group by 1""")
-def resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reciprocity with a prior, match of intensities, share of lifted pairs."""
-    la, lb = F.col("la"), F.col("lb")
-    return _pair_levels(spark, sf_dir).groupBy("conversation_id").agg(
-        F.count("*").alias("pairs"), rounded((F.sum(F.when((la > 0) == (lb > 0), 1.0).otherwise(0.0)) + 5) / (F.count("*") + 10)).alias("reciprocity"),
-        rounded(F.avg(1 - F.abs(F.tanh(la) - F.tanh(lb)) / 2)).alias("match"), rounded(F.avg(F.when(lb > la, 1.0).otherwise(0.0))).alias("lifted"),
-    )
 
+def _drawn(score: str, sure: str) -> str:
+    return f"round(greatest(0, least(100, ({score}) * pow(greatest(0, least(1, {sure})), 1.5) + 40 * (1 - pow(greatest(0, least(1, {sure})), 1.5)))) + 1e-9, 2)"
 
-@operator("mth_13", f"with {M}, {S}, {UNITS}, {PAIRS}, {_PAIR_AFFECT} select conversation_id, to_unit, round({_RESPONSE} + 1e-9, 4) as response from k")
-def pair_responses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A score for each pair's answer: kind ones to bad news count most, late ones less."""
-    return _pair_levels(spark, sf_dir).select("conversation_id", "to_unit", F.round(F.expr(_RESPONSE) + 1e-9, 4).alias("response"))
+
+_RESONANCE = f"""rg as (select conversation_id, count(*) as n, count(*) filter (where pa = 1 and gap_sec <= 3600) as k, avg(answer) filter (where pa = 1 and gap_sec <= 3600) as raw, count(*) filter (where pa = pb) as same, avg(coalesce(alike, 0)) filter (where pa = pb) as alike,
+  avg(abs(la - lb)) as apart, min(least(sa, sb)) as first, max(greatest(sa, sb)) as last from rs group by 1),
+rd as (select conversation_id, count(distinct d) as paired_days from (select conversation_id, cast(ta as date) as d from rs union select conversation_id, cast(tb as date) from rs) group by 1),
+rm as (select conversation_id, count(*) filter (where intensity > 0.3) as good, count(*) filter (where abs(intensity) > 0.3) as polar from m join s on s.message_id = m.id group by 1),
+rt as (select conversation_id, case when k > 0 then {_drawn("100 * case when raw >= 0.95 then raw else raw * least(1, k / 4e0) + 0.5 * (1 - least(1, k / 4e0)) end", "k / 15e0")} else 0 end as reciprocity,
+  case when same > 0 then {_drawn("(same * 0.7e0 / n + alike * 0.3e0) * 100", "n / 20e0")} else 0 end as consistency, {_drawn("tanh(1 / (apart + 0.1e0)) * 100", "n / 20e0")} as matching,
+  case when polar > 0 then round(least(1, (good * 1e0 / polar) / (5e0 / 6)) * 100 + 1e-9, 2) else 50 end as valence, round(100 - least(1, coalesce(perfunctory_other, 0) / 0.3e0) * 100 + 1e-9, 2) as attention,
+  round(least(1, n / 25e0) * 0.4 + least(1, k / 15e0) * 0.3 + least(1, paired_days / 14e0) * 0.2 + least(1, greatest(1, (last - first) // 86400 + 1) / 30e0) * 0.1, 4) as depth
+  from rg join rd using (conversation_id) left join rm using (conversation_id) left join eng using (conversation_id)),
+ro as (select *, {_drawn("0.35 * reciprocity + 0.2 * consistency + 0.1 * matching + 0.2 * valence + 0.15 * attention", "depth")} as resonance from rt)"""
+_RESONANCE_PARTS = ("reciprocity", "consistency", "matching", "valence", "attention", "resonance")
+
+
+def _resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resonances.resonance(messages(spark, sf_dir), sentiment(spark, sf_dir), table(spark, sf_dir, "embeddings"), SOFT_WORDS, ENGAGED_WORDS, WORDS)
+
+
+@operator("mth_12", f"with {M}, {S}, {UNITS}, {PAIRS}, {ENGAGED}, {_RATED}, {_RESONANCE} select conversation_id, {', '.join(_RESONANCE_PARTS)} from ro")
+def resonance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Resonance: reciprocity with a prior, polarity, intensity, balance and attention, drawn to the middle where there is little to go by."""
+    return _resonance(spark, sf_dir)
 
 
 @operator("mth_14", f"""with {M}, {S}, n as (select m.conversation_id, m.id, m.ts, m.content, row_number() over (partition by m.conversation_id order by m.ts, m.id) as k, s.intensity from m join s on s.message_id = m.id where s.polarity = -1),
@@ -209,7 +225,7 @@ def preference(spark: SparkSession, sf_dir: str) -> DataFrame:
     return share.join(likeness, "conversation_id", "left").select("conversation_id", rounded(score, 3).alias("preference"))
 
 
-_WHOLE = f"""{_INVESTMENT}, {_PAIR_AFFECT}, re as (select conversation_id, 100 * (sum(case when (la > 0) = (lb > 0) then 1e0 else 0e0 end) + 5) / (count(*) + 10) as resonance from k group by 1),
+_WHOLE = f"""{_INVESTMENT}, {_RATED}, {_RESONANCE}, re as (select conversation_id, resonance from ro),
 ov as (select iv.conversation_id, case when resonance is null then total * sure + 38 * (1 - sure) else (0.4 * (total * sure + 38 * (1 - sure)) + 0.35 * resonance) / 0.75 end as score,
   pow(0.35 * least(1, iv.sessions / 30e0) + 0.35 * least(1, iv.chat_days / 30e0) + 0.2 * least(1, st.n / 400e0) + 0.1 * least(1, se.sessions_other / 12e0), 1.5) as steady
   from iv join st using (conversation_id) join se using (conversation_id) left join re using (conversation_id)),
@@ -221,9 +237,7 @@ oc as (select conversation_id, round(score * steady + 35 * (1 - steady) + 1e-9,
 def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overall score of the dimensions that are there, and its band."""
     m = messages(spark, sf_dir)
-    like = F.when((F.col("la") > 0) == (F.col("lb") > 0), 1.0).otherwise(0.0)
-    resonance = _pair_levels(spark, sf_dir).groupBy("conversation_id").agg((100 * (F.sum(like) + 5) / (F.count("*") + 10)).alias("resonance"))
-    scores = _investment(spark, sf_dir).select("conversation_id", "investment").join(resonance, "conversation_id", "left")
+    scores = _investment(spark, sf_dir).select("conversation_id", "investment").join(_resonance(spark, sf_dir).select("conversation_id", "resonance"), "conversation_id", "left")
     return dimensions.overall(scores, dimensions.statistics(m))
 
 
