@@ -8,19 +8,36 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import rounded
 from parley.operators import timeline
 from parley.registry import declare, operator
+from parley.sources import feed
 from parley.streaming import attribution, late, triggers
 from parley.views import LIVELY, MEDIAN, M, messages, sentiment, spoken, table
 
 KEY, ORDER = ["conversation_id"], ["ts", "id"]
 
-declare("stm_01", "Messages up to a frontier, as one poll sees them.", """
-select conversation_id, id, ts_sec from {m} where ts_sec <= 1704844800 and ts_sec > 1704758400""")
+#: A log is polled so often; a screen shows times to the hour, and for some hours after a day's end what that day's last hours held.
+POLL, SHOWN, AGAIN = 21_600, 3_600, 6
 
-declare("stm_02", "Content hashes with the number of the occurrence, for equal messages of one second.", """
-select id, md5(concat(cast(conversation_id as varchar(20)), '|', cast(ts_sec as varchar(20)), '|', content)) as hash, row_number() over (partition by conversation_id, ts_sec, content order by id) as occurrence from {m}""")
+declare("stm_01", "What each poll brings: the rows between one frontier and the next, by conversation; polls at which nothing has grown bring none.", f"""
+select conversation_id, ts_sec {{div}} {POLL} as poll, (ts_sec {{div}} {POLL} + 1) * {POLL} as frontier_sec, count(*) as n, min(id) as first_id, max(id) as last_id from {{m}} group by 1, 2, 3""")
+
+
+def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each message as the poll of its day shows it, those of a day's last hours by the next day's poll as well."""
+    m = messages(spark, sf_dir).select("conversation_id", "id", F.expr(f"ts_sec div {SHOWN} * {SHOWN}").alias("ts_sec"), F.split("content", " ")[0].alias("content"), F.expr("ts_sec div 86400").alias("day"))
+    late = F.expr(f"ts_sec % 86400 >= 86400 - {AGAIN} * {SHOWN}")
+    return m.withColumn("poll", F.explode(F.when(late, F.array("day", F.col("day") + 1)).otherwise(F.array("day")))).drop("day")
+
+
+@operator("stm_02", f"""with {M}, x as (select conversation_id, ts_sec // {SHOWN} * {SHOWN} as shown, split_part(content, ' ', 1) as content, ts_sec // 86400 as poll from m),
+c as (select * from x union all select conversation_id, shown, content, poll + 1 from x where shown % 86400 >= 86400 - {AGAIN} * {SHOWN}), n as (select conversation_id, shown, content, poll, count(*) as n from c group by 1, 2, 3, 4),
+w as (select *, greatest(0, n - coalesce(max(n) over (partition by conversation_id, shown, content order by poll rows between unbounded preceding and 1 preceding), 0)) as fresh from n)
+select conversation_id, poll, sum(fresh)::bigint as n_new, count(*) filter (where fresh > 0) as n_messages, max(case when fresh > 0 then n end) as most from w where fresh > 0 group by 1, 2""")
+def new_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """New messages of overlapping polls, where equal ones of one time are told apart by their number."""
+    found = feed.occurrences(captures(spark, sf_dir))
+    each = found.groupBy("conversation_id", "poll", *feed.SAME[1:]).agg(F.count("*").alias("n"), F.max("occurrence").alias("most"))
+    return each.groupBy("conversation_id", "poll").agg(F.sum("n").alias("n_new"), F.count("*").alias("n_messages"), F.max("most").cast("long").alias("most"))
 
-declare("stm_03", "The baseline at start: what is seen already, and the last five messages to warm the window with.", """
-with r as (select conversation_id, id, row_number() over (partition by conversation_id order by ts desc, id desc) as k from {m} where ts < timestamp '2024-01-20 00:00:00') select conversation_id, id, k <= 5 as warms from r""")
 
 #: Events come some twenty minutes apart and chats some seconds: their times are drawn together, and each kind is spoken as a chat's words.
 HURRY, START = 40, 1_704_067_200
@@ -41,8 +58,20 @@ def peers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return triggers.marked(m)
 
 
-def recent(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return triggers.windows(peers(spark, sf_dir))
+def recent(spark: SparkSession, sf_dir: str, counts: bool = False) -> DataFrame:
+    return triggers.windows(peers(spark, sf_dir), counts=counts)
+
+
+#: When the stream starts, within the drawn-together month.
+STARTED = START + 32_400
+
+
+@operator("stm_03", f"{_PEER} select conversation_id, id, k, k = 1 and {STARTED} - ts_sec <= 600 as waits from (select *, row_number() over (partition by conversation_id order by ts_sec desc, id desc) as k from x where ts_sec <= {STARTED}) where k <= 5")
+def warm_start(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a stream starts from: the last five messages of each conversation, and whether its silence is still to be waited for."""
+    start = triggers.baseline(peers(spark, sf_dir), STARTED)
+    k = F.row_number().over(Window.partitionBy("conversation_id").orderBy(F.desc("ts_sec"), F.desc("id")))  # five rows
+    return start.select("conversation_id", "id", k.alias("k"), ((k == 1) & (STARTED - F.col("ts_sec") <= triggers.RULES.silence)).alias("waits"))
 
 
 _IDS = ("conversation_id", "id")
@@ -105,7 +134,7 @@ _COOL = f"""co as (select *, now + before >= 4 and before >= 2 and now * 2 < bef
 @operator("stm_09", f"{_PEER}, {_COOL} select conversation_id, id, now, before from co where cools")
 def cooling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fewer than half as many messages in the last five minutes as in the five before, by event time, while the last two don't move the talk on."""
-    return recent(spark, sf_dir).where(triggers.cools()).select(*_IDS, "now", "before")
+    return recent(spark, sf_dir, counts=True).where(triggers.cools()).select(*_IDS, "now", "before")
 
 
 _QUIET = f"qu as (select conversation_id, id, ts_sec + 600 as ts_sec from (select *, lead(ts_sec) over {_ORDER} as next from x) where next is null or next - ts_sec > 600)"

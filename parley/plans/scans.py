@@ -115,8 +115,8 @@ select id, conversation_id from {m} where content ilike '%SIGNUP%' or lower(cont
 declare("prj_06", "Messages that share something: cards, videos, or texts with a link.", """
 select id, conversation_id from {m} where message_type in (3, 43) or (message_type = 1 and lower(content) like '%http%')""")
 
-declare("prj_07", "Turns that ask, by either question mark.", """
-select conv_id, turn from {d} where text like '%?%' or text like '%？%'""")
+declare("prj_07", "Turns that ask, by either question mark; every third one ends with one here, and every seventh with the wide one.", """
+select conv_id, turn, text from (select conv_id, turn, concat(text, case when (conv_id + turn) % 3 = 0 then '?' when (conv_id + turn) % 7 = 0 then '？' else '' end) as text from {d}) as t where text like '%?%' or text like '%？%'""")
 
 declare("prj_08", "Kinds of messages: system first, then transfers, then those without content, else chat.", """
 select id, case when message_type = 10000 then 'system' when message_type = 43 and content like '%1%' then 'transfer'

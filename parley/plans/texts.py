@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from parley.functions import redaction, text
 from parley.functions.numbers import rounded
 from parley.functions.ratio import matching_ratio
+from parley.operators import engagement
+from parley.plans.ctes import WORDS
 from parley.registry import declare, operator
 from parley.views import M, TOKENS, messages, table
 
@@ -65,12 +67,18 @@ def pronouns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").select("doc_id", *(F.regexp_count(low, F.lit(f"(^|[^a-z])({p})([^a-z]|$)")).alias(k) for k, p in (("we", "we|us|our"), ("i", "i|me|my"))))
 
 
-declare("str_08", "Replies that say little: on a list or of two characters at most, but neither empty nor engaged.", """
-with r as (select id, left(content, cast(1 + id % 6 as int)) as reply from {m})
-select id, reply, reply <> '' and reply not in ('vie', 'si') and (reply in ('clic', 'error') or length(reply) <= 2) as perfunctory from r""")
+@operator("str_08", f"""with {M}, r as (select id, left(content, cast(1 + id % 16 as int)) as reply from m)
+select id, reply, reply <> '' and reply not in ('view {{"k": 2}}') and (reply in ('click {{"k": 4}}', 'view {{"k": 2}}') or length(reply) <= 2) as perfunctory from r""")
+def perfunctory_replies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Replies that say little: on a list or of two characters at most, but neither empty nor engaged."""
+    r = messages(spark, sf_dir).select("id", F.expr("left(content, cast(1 + id % 16 as int))").alias("reply"))
+    return r.withColumn("perfunctory", engagement.perfunctory(F.col("reply"), WORDS))
 
-declare("str_09", "Greetings by their first letters and length.", """
-select id, (content like 'sign%' or content like 'view%') and length(content) <= 15 as greets from {m}""")
+
+@operator("str_09", f"with {M} select id, starts_with(content, 'view') and length(content) <= 14 as morning, starts_with(content, 'click') and length(content) <= 14 as night from m")
+def greetings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Greetings of the morning and the night by their first words and length."""
+    return messages(spark, sf_dir).select("id", *(engagement.greeting(F.col("content"), WORDS, k).alias(k) for k in ("morning", "night")))
 
 
 @operator("str_10", r"""with w as (select vec_id, 'vector ' || vec_id || ' of label ' || label as t from embeddings), k as (select vec_id, t, replace(t, ' ', '') as c from w)

@@ -181,9 +181,10 @@ def counted(rows: DataFrame, span: int = RULES.span) -> DataFrame:
     return both.where(F.col("_cell") == cell).drop("_cell")
 
 
-def windows(messages: DataFrame, rules: Rules = RULES) -> DataFrame:
-    """``messages`` of :func:`marked` with their window ``last`` and their counts ``now`` and ``before``."""
-    rows = counted(messages.withColumn("day", F.to_date(F.timestamp_seconds("ts_sec"))), rules.span)
+def windows(messages: DataFrame, rules: Rules = RULES, counts: bool = True) -> DataFrame:
+    """``messages`` of :func:`marked` with their window ``last`` and, if asked for, their counts ``now`` and ``before``."""
+    rows = messages.withColumn("day", F.to_date(F.timestamp_seconds("ts_sec")))
+    rows = counted(rows, rules.span) if counts else rows
     return timeline.with_last(rows, list(SEEN[1:]), WINDOW, order=("ts_sec", "id"))
 
 
