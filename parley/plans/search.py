@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
 from parley.functions.text import tokens
-from parley.operators import facts, retrieval, segmentation, timeline, topics
+from parley.operators import chapters, facts, retrieval, segmentation, timeline, topics
+from parley.plans.ctes import REPLIES
 from parley.registry import declare, operator
-from parley.views import S, TOKENS, M, messages, sentiment, spoken, table
+from parley.views import MEDIAN, MIDDLE, S, TOKENS, M, messages, sentiment, spoken, table
 
 #: From this cosine on a vector counts as of its nearest kind.
 LEAST_LIKE = 0.52
@@ -243,46 +244,59 @@ def thread_memory(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sims.where("raw >= 0.15").orderBy(F.desc("raw"), "doc_id").limit(2).select("doc_id", rounded(F.col("raw")).alias("sim"))
 
 
-_WEEKLY = "w as (select m.conversation_id, cast(date_trunc('week', m.ts) as date) as week, ln(1e0 + count(*)) as volume, avg(case when m.is_sender = 0 then 1e0 else 0e0 end) as other_share, avg(case when s.polarity = 1 then 1e0 else 0e0 end) as positive, ln(1e0 + count(distinct m.member)) as breadth from m join s on s.message_id = m.id group by 1, 2)"
-FEATURES = ["volume", "other_share", "positive", "breadth"]
+#: A month of events as a year of chats; every third conversation as two months, too short for chapters. From the middle on, moods need more to be good.
+YEAR, SHORT, TURN = 12, 2, START + 180 * 86_400
 
 
-def weekly_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    joined = messages(spark, sf_dir).join(sentiment(spark, sf_dir), F.col("id") == F.col("message_id"))
-    share = lambda c: F.avg(F.when(c, 1.0).otherwise(0.0))
-    return joined.groupBy("conversation_id", F.to_date(F.date_trunc("week", "ts")).alias("week")).agg(
-        F.log1p(F.count("*")).alias("volume"), share(F.col("is_sender") == 0).alias("other_share"), share(F.col("polarity") == 1).alias("positive"), F.log1p(F.count_distinct("member")).alias("breadth")
-    )
+def seasons(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Messages over a year, and their moods."""
+    m = messages(spark, sf_dir)
+    seconds = START + (F.col("ts_sec") - START) * F.when(F.col("conversation_id") % 3 == 0, SHORT).otherwise(YEAR)
+    m = m.withColumn("ts_sec", seconds).withColumn("ts", F.timestamp_seconds("ts_sec").cast("timestamp_ntz"))
+    early, late = (sentiment(spark, sf_dir, n).select("message_id", F.col("polarity").alias(c)) for n, c in ((MEDIAN, "early"), (MIDDLE, "late")))
+    moods = m.select(F.col("id").alias("message_id"), "ts_sec").join(early, "message_id").join(late, "message_id")
+    return m, moods.select("message_id", F.when(F.col("ts_sec") < TURN, F.col("early")).otherwise(F.col("late")).alias("polarity"))
+
+
+def _year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chapters.weekly_features(*seasons(spark, sf_dir))
 
 
 @operator("chg_01")
-def chapters(spark: SparkSession, sf_dir: str) -> DataFrame:
+def chapter_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chapters: the optimal segmentation of each conversation's weekly features."""
-    return segmentation.segments(weekly_features(spark, sf_dir), FEATURES)
+    return segmentation.segments(_year(spark, sf_dir), chapters.FEATURES)
 
 
-@operator("chg_02", f"with {M}, {S}, {_WEEKLY}, k as (select *, stddev_pop(volume) over (partition by conversation_id) as sd, lag(volume) over (partition by conversation_id order by week) as before from w) select conversation_id, week, round((volume - before) / nullif(sd, 0) + 1e-9, 4) as shift, coalesce(abs(volume - before) / nullif(sd, 0) >= 0.5, false) as marked from k where before is not null")
+@operator("chg_02")
 def attributions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Changes of neighbouring weeks against the overall deviation, marked from one half on."""
-    own = Window.partitionBy("conversation_id")
-    k = weekly_features(spark, sf_dir).withColumns({"sd": F.stddev_pop("volume").over(own), "before": F.lag("volume").over(own.orderBy("week"))}).where("before is not null")
-    shift = F.when(F.col("sd") > 0, (F.col("volume") - F.col("before")) / F.col("sd"))
-    return k.select("conversation_id", "week", rounded(shift).alias("shift"), F.coalesce(F.abs(shift) >= 0.5, F.lit(False)).alias("marked"))
+    """Chapters with what changes from each to the next one, in deviations, from one half on."""
+    return chapters.chapters(_year(spark, sf_dir)).withColumn("changes", F.to_json("changes"))
 
 
 declare("chg_03", "Weekly trait scores per side, null with fewer than ten texts.", """
 select conversation_id, cast(date_trunc('week', ts) as date) as week, is_sender, case when count(*) >= 10 then round(100 * avg(case when length(content) <= 14 then 0e0 else 1e0 end) + 1e-9, 3) end as score from {m} where message_type = 1 group by 1, 2, 3""")
 
-declare("chg_04", "Chapters where there are any, else one span over all.", """
-with c as (select conversation_id, ts_sec {div} 1209600 as chapter, min(ts_sec) as first_sec, max(ts_sec) as last_sec from {m} where conversation_id % 2 = 0 group by 1, 2),
-f as (select conversation_id, 0 as chapter, min(ts_sec) as first_sec, max(ts_sec) as last_sec from {m} group by 1)
-select conversation_id, chapter, first_sec, last_sec, false as whole from c union all select f.conversation_id, f.chapter, f.first_sec, f.last_sec, true as whole from f where not exists (select 1 from c where c.conversation_id = f.conversation_id)""")
+@operator("chg_04")
+def chapter_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The spans of chapters where there are any, else one over the whole conversation."""
+    m, moods = seasons(spark, sf_dir)
+    return chapters.spans(chapters.chapters(chapters.weekly_features(m, moods)), m)
+
+
+_SEASONS = f"""m as (select * replace (epoch_ms(({START} + (ts_sec - {START}) * case when conversation_id % 3 = 0 then {SHORT} else {YEAR} end) * 1000) as ts, {START} + (ts_sec - {START}) * case when conversation_id % 3 = 0 then {SHORT} else {YEAR} end as ts_sec) from ({M.removeprefix("m as ")}))"""
 
 
-@operator("chg_05", f"with {M}, {S}, {_WEEKLY} select conversation_id, week, round(volume + 1e-9, 4) as volume, round(other_share + 1e-9, 4) as other_share, round(positive + 1e-9, 4) as positive, round(breadth + 1e-9, 4) as breadth from w")
+@operator("chg_05", f"""with {_SEASONS}, {REPLIES}, t as (select m.conversation_id, cast(date_trunc('week', m.ts) as date) as week, m.is_sender, m.ts_sec, least(1, round(e.value / case when m.ts_sec < {TURN} then {MEDIAN} else {MIDDLE} end - 1, 4)) as mood
+  from m join events e on e.event_id = m.id where message_type = 1 and trim(content) <> ''),
+f as (select conversation_id, week, count(*) as n, count(*) filter (where is_sender = 0) as theirs, count(*) filter (where mood > 0.3) as good, count(*) filter (where mood < -0.3) as bad from t group by 1, 2),
+l as (select conversation_id, cast(date_trunc('week', ts) as date) as week, avg(response_sec) as seconds from replies group by 1, 2),
+w as (select conversation_id, cast(unnest(generate_series(min(week), max(week), interval 7 day)) as date) as week from f group by 1),
+x as (select conversation_id, week, coalesce(n, 0) as n, ln(1e0 + coalesce(n, 0)) as volume, coalesce(theirs * 1e0 / n, 0.5e0) as other_share, good * 1e0 / nullif(good + bad, 0) as pos_ratio, ln(1 + seconds / 60) as latency from w left join f using (conversation_id, week) left join l using (conversation_id, week))
+select conversation_id, week, n, """ + ", ".join(f"round(coalesce({k}, avg({k}) over (partition by conversation_id), 0) + 1e-9, 4) as {k}" for k in chapters.FEATURES) + " from x")
 def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The weekly features that change points are found in."""
-    return weekly_features(spark, sf_dir).select("conversation_id", "week", *(rounded(F.col(c)).alias(c) for c in FEATURES))
+    """The weekly features that change points are found in, without gaps."""
+    return _year(spark, sf_dir).select("conversation_id", "week", "n", *(rounded(F.col(c)).alias(c) for c in chapters.FEATURES))
 
 
 declare("txt_01", "Words of all, mine and theirs in one pass.", """
