@@ -185,7 +185,8 @@ def match_recordings(media: DataFrame, media_id: str, content: str, decode=None,
     divisible by ``every``) lists the other classes it aligns with: class id, offset in positions (theirs minus ours),
     votes (equal integers there), overlap and bit error. ``content`` is a binary column of PCM or WAV, or what ``decode`` turns into that.
     Null, empty and quiet recordings have no integers to share and no links; those form one class each. Ids must not
-    be null to take part; rows that share an id are recordings of their own. A table without rows gives none.
+    be null to take part; rows that share an id are recordings of their own. A table without rows gives none. A long recording is
+    one row and is held in memory; other columns than the two are not read, whatever their names.
     """
     rows = media.select(F.col(media_id).cast("long").alias("id"), F.col(content).alias("content"))
     found = staged(rows.mapInArrow(_fingerprinted(decode), "id long, prints array<long>, class_a long, class_b long"))

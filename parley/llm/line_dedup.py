@@ -199,7 +199,10 @@ def repeated_line_index(docs: DataFrame) -> tuple[DataFrame, DataFrame, int]:
 
 
 def with_kept_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """Two columns per row of ``docs``: ``kept``, a struct (text, n_lines, n_dropped), and ``row``, a struct of all its own columns."""
+    """Two columns per row of ``docs``: ``kept``, a struct (text, n_lines, n_dropped), and ``row``, a struct of all its own columns.
+
+    Rows are judged as in :func:`drop_repeated_lines`, whatever the names of their columns.
+    """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     keyed, index, shards = repeated_line_index(own)
     probes = keyed.select(
@@ -221,7 +224,7 @@ def drop_repeated_lines(docs: DataFrame, doc_id: str = "doc_id", text: str = "te
 
     A null or empty text is one empty line. A line that repeats within a document counts once, as do rows that share
     an id; all of a document's copies of a dropped line go. Rows without an id are not counted and lose nothing.
-    A table without rows gives none.
+    Very long texts are read whole, line by line. A table without rows gives none.
     """
     new = ("kept_text", "n_lines", "n_dropped")
     rest = [F.col("row")[c].alias(c) for c in docs.columns if c not in new]

@@ -124,7 +124,8 @@ def mix_sources(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sou
     ``draws`` lists the document's copies in the mix: pass, output shard, words taken of it, and its place within the
     shard (a seeded order). The words taken of a source are its target, to the word. A null source is a source of its
     own, ordered last; a null or blank text has size 0 and no draws; repeated rows are documents of their own; ids may
-    be null. Where all sizes are 0, targets are 0. A table without rows gives none.
+    be null. Where all sizes are 0, targets are 0. A table without rows gives none. Very long texts count whole, and may be
+    taken in part; rows whose places tie are ordered by id. Other columns are not read, whatever their names.
     """
     mixed = F.xxhash64(F.lit(SEED), F.col("doc_id"))
     sized = staged(

@@ -222,7 +222,8 @@ def near_duplicates(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     Nulls, blank and empty texts have an empty set and are linked with nothing. Rows without an id are never linked
     and kept, with a null component. Repeated rows share a component; rows with one id count as one node. A table
-    without rows gives none. Other columns of ``docs`` are not read, whatever their names.
+    without rows gives none. Whole texts are sketched, however long, in memory that grows with the longest one. Other columns of ``docs``
+    are not read, whatever their names.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     sketched = staged(docs.mapInArrow(_sketch_batches, _SKETCHED))

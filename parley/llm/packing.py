@@ -210,7 +210,8 @@ def pack_documents(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Every document has at least the closing id 0, so null and empty texts give one piece of length 1. Rows without
     an id and repeated rows are packed like any other. A sequence belongs to one range of the curve, and its id holds
-    the range's number above the count within it. A table without rows gives none.
+    the range's number above the count within it. A table without rows gives none. Very long texts are encoded whole and cut into
+    pieces; documents of one place on the curve (ties) lie by a hash of their id. Other columns are not read, whatever their names.
     """
     path = vocabulary or default_vocabulary()
     salted = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), F.shiftrightunsigned(F.xxhash64(doc_id, F.lit(5)), 34).alias("salt"))

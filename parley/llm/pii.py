@@ -210,8 +210,8 @@ def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def personal_data(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: ``doc_id, spans`` (start, end, kind; code points, end exclusive).
 
-    A null text is empty and has no spans. Ids may be null; repeated rows are searched each; other columns are not
-    read. A table without rows gives none.
+    A null text is empty and has no spans. Ids may be null; repeated rows are searched each; very long texts are searched whole; other
+    columns are not read. A table without rows gives none.
     """
     return docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_batches, _OUT)
 

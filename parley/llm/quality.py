@@ -203,7 +203,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, folds: int = 5, doc_id: s
     Rows whose crc32(doc_id as text) mod ``folds`` is 0 are held out: their labels are not learned from. Null, empty and
     blank texts get the score of a document without tokens. Rows without an id are scored and not held out. Rows that
     share an id are scored each; the least of an id's labels counts. A table without rows gives none;
-    without usable labels, all get the same score. Other columns of either table are not read.
+    without usable labels, all get the same score. Very long texts are pooled whole. Other columns of either table are not read.
     """
     own = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = labels.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))

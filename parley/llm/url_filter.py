@@ -103,8 +103,8 @@ def filter_urls(pages: DataFrame, listed_hosts: DataFrame | None = None, rules:
     ``listed_hosts`` is the block list, a table with a column ``host`` (A-Z lower-cased here; repeats and nulls don't matter; none is
     an empty list); it meets the distinct hosts of the pages once, and pages only probe the cascade. Without a fitting
     rule the cascade decides: listed hosts are blocked, others allowed. A null url and one without ``://`` have an empty host
-    and path and are allowed, unless the list holds the empty host. Repeated pages are judged each; ids may be null; other
-    columns are not read. A table without rows gives none.
+    and path and are allowed, unless the list holds the empty host. Repeated pages are judged each; ids may be null; very long urls are
+    judged whole; other columns are not read. A table without rows gives none.
     """
     address = F.col(url).cast("string")
     judged = pages.select(F.col(page_id).alias("page_id"), host_of(address).alias("host"), path_of(address).alias("path"))

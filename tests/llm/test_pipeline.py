@@ -46,6 +46,18 @@ def test_stages(spark, folder, tmp_path):
         before = after
 
 
+def test_run_is_the_chain_of_stages(spark, folder, tmp_path):
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    for i, (_, stage) in enumerate(pipeline.STAGES):
+        stage(spark, docs, folder).write.parquet(f"{tmp_path}/{i}")
+        docs = spark.read.parquet(f"{tmp_path}/{i}")
+    pieces = lambda df: sorted(map(repr, df.select("doc_id", "start", "length", "ids_crc32", "doc_tokens").collect()))
+    whole = lambda df: sorted(map(repr, df.groupBy("doc_id", "doc_tokens").sum("length").collect()))
+    run = pipeline.run(spark, folder)
+    assert whole(run) == whole(docs) and run.count() > 100
+    assert len(pieces(run)) == run.count()
+
+
 def test_empty_table(spark, folder, tmp_path):
     spark.read.parquet(f"{folder}/documents.parquet").where("false").write.parquet(str(tmp_path / "documents.parquet"))
     spark.read.parquet(f"{folder}/labels.parquet").write.parquet(str(tmp_path / "labels.parquet"))
