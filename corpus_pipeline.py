@@ -1,6 +1,7 @@
 """A corpus pipeline of five stages, each one of the corpus operators, from ``documents`` to packed sequences.
 
-Each stage gets all that its predecessor kept, written as Parquet and read again.
+Each stage gets all that its predecessor kept, written as Parquet and read again. Whole texts are judged and kept, however long; columns
+may have any names, those of the stages' own included.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from parley.llm.support import WORD, shared_folder
 def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose probability of good quality is below the threshold go; all labels may be learned from.
 
-    Null and empty texts are judged as texts without words; rows that share an id or a text are judged each; without labels
+    Null and empty texts are judged as texts without words; rows that share an id or a text (ties) are judged each; without labels
     none goes; no documents give none.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col("quality").alias("label"))
@@ -39,7 +40,7 @@ def _changed(rows: DataFrame, columns: list[str], changed: Column, text: Column)
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Lines that many documents share stay in one of them; ``n_chars`` follows the text where it changes.
 
-    Null texts stay null and empty ones empty; rows that share an id lose the same lines; rows without an id lose none.
+    Null texts stay null and empty ones empty; rows that share an id (ties) lose the same lines; rows without an id lose none.
     """
     return _changed(with_kept_lines(docs), docs.columns, F.col("kept.n_dropped") > 0, F.col("kept.text"))
 
@@ -47,7 +48,8 @@ def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Of each group of near copies the document with the least id stays.
 
-    Null and blank texts and rows without an id are no copies of anything and stay; all rows of an id that stays do.
+    Null and blank texts and rows without an id are no copies of anything and stay; all rows of an id that stays do, so that
+    rows tie only with themselves.
     """
     return keep_one_per_group(docs)
 
@@ -55,7 +57,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:  # noqa: ARG001
     """Documents as often as the mix takes them, a row per copy; a copy that is taken in part keeps its first words.
 
-    Rows that share an id have the same places in the mix; each of them is taken as often as the id's longest one.
+    Rows that share an id (ties) have the same places in the mix; each of them is taken as often as the id's longest one. Null and
+    empty texts are never taken.
     """
     taken = mix_sources(docs).where("taken > 0").select(F.col("doc_id").alias("of"), F.explode("draws").alias("d"))
     taken = taken.groupBy("of", "d.pass").agg(F.max("d.words").alias("words"))
