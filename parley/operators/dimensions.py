@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -101,6 +102,38 @@ def pair_likeness(messages: DataFrame, vectors: DataFrame) -> DataFrame:
     return both.groupBy("conversation_id").agg(F.avg(cosine(F.col("embedding"), F.col("_before"))).alias("likeness"))
 
 
+@dataclass(frozen=True)
+class Preference:
+    """Weights of how often a liked topic comes up and of how it is gone on with; the share of sessions that is full."""
+
+    mention: float = 0.40
+    continuity: float = 0.60
+    full_share: float = 0.30
+
+
+def preference(messages: DataFrame, vectors: DataFrame, keywords: tuple[str, ...], p: Preference = Preference()) -> DataFrame:  # noqa: B008
+    """Per conversation ``sessions, matched, mention, continuity, preference``: the share of sessions in which a keyword occurs (whatever its case), and the
+    mean likeness of the pairs of units that begin in these. Without keywords all scores are null, and the dimension doesn't count.
+    """
+    units = timeline.session_ids(timeline.speech_units(messages), start="ts", end="end_ts", order=("ts", "unit_id")).select("conversation_id", "session_id", "unit_id", "message_ids")
+    words = "|".join(re.escape(k.strip().lower()) for k in keywords if k.strip())
+    said = messages.where(F.lower("content").rlike(words) if words else F.lit(False)).select(F.col("id").alias("message_id"))
+    each = units.select("conversation_id", "session_id", F.explode("message_ids").alias("message_id"))
+    hits = each.join(said, "message_id").select("conversation_id", "session_id").distinct()
+    total = units.groupBy("conversation_id").agg(F.count_distinct("session_id").alias("sessions"))
+    matched = hits.groupBy("conversation_id").agg(F.count("*").alias("matched"))
+    begun = units.join(hits, ["conversation_id", "session_id"]).select("conversation_id", F.col("unit_id").alias("prev_unit_id"))
+    placed = units.select("conversation_id", "unit_id", F.col("message_ids")[0].alias("vec_id")).join(vectors, "vec_id").select("conversation_id", "unit_id", "embedding")
+    pairs = timeline.interaction_pairs(messages).select("conversation_id", "prev_unit_id", "unit_id").join(begun, ["conversation_id", "prev_unit_id"])
+    both = pairs.join(placed, ["conversation_id", "unit_id"]).join(placed.toDF("conversation_id", "prev_unit_id", "_before"), ["conversation_id", "prev_unit_id"])
+    like = both.groupBy("conversation_id").agg(F.avg(cosine(F.col("embedding"), F.col("_before"))).alias("likeness"))
+    rows = total.join(matched, "conversation_id", "left").na.fill(0, ["matched"]).join(like, "conversation_id", "left")
+    known = lambda c: F.when(F.lit(bool(words)), F.round(c + 1e-9, 2))
+    mention = known(F.least(F.lit(100.0), F.col("matched") / F.col("sessions") / p.full_share * 100))
+    continuity = known(_clamped(F.coalesce("likeness", F.lit(0.0)), 1.0) * 100)
+    return rows.select("conversation_id", "sessions", "matched", mention.alias("mention"), continuity.alias("continuity"), known(mention * p.mention + continuity * p.continuity).alias("preference"))
+
+
 def investment(messages: DataFrame, vectors: DataFrame, words: Words = CHAT, p: Investment = Investment()) -> DataFrame:  # noqa: B008
     """One row per conversation: the seven parts, the bonus for long texts and ``investment``, drawn to the middle where there is little to go by."""
     pairs = timeline.interaction_pairs(messages).groupBy("conversation_id").agg(F.count("*").alias("pairs"), F.count_if((F.col("gap_sec") >= 0) & (F.col("gap_sec") <= p.timely_seconds)).alias("timely"))

@@ -208,27 +208,32 @@ select conversation_id, round(0.2 * least(100e0, night * 300) + 0.2 * least(100e
   + least(8e0, days * 0.2e0) + 1e-9, 4) as closeness from b""")
 
 
-@operator("mth_16", f"""with {M}, {UNITS}, {PAIRS}, {SESSIONS}, q as (select conversation_id, round(avg(case when unit_count >= 3 then 1e0 else 0e0 end) + 1e-9, 6) as share from sess group by 1),
-l as (select p.conversation_id, avg(least(p.from_chars, p.to_chars) * 1e0 / greatest(p.from_chars, p.to_chars)) as likeness from pairs p join sr s on s.conversation_id = p.conversation_id and s.unit_id = p.from_unit
-  join sess x on x.conversation_id = s.conversation_id and x.session_id = s.sid and x.unit_count >= 3 group by 1)
-select q.conversation_id, round(40 * least(1e0, q.share / 0.3) + 60 * coalesce(l.likeness, 0) + 1e-9, 3) as preference from q left join l using (conversation_id)""")
+#: What a member likes, in the words that events are made of.
+LIKED = (": 77", ": 9}")
+_PREFERENCE = f"""pm as (select distinct sr.conversation_id, sr.sid from sr, unnest(message_ids) as x(id) join m on m.id = x.id where contains(content, ': 77') or contains(content, ': 9}}')),
+pq as (select p.conversation_id, avg(list_cosine_similarity(list_transform(x.embedding, lambda v: cast(v as double)), list_transform(y.embedding, lambda v: cast(v as double)))) as likeness from pairs p
+  join sr f on f.conversation_id = p.conversation_id and f.unit_id = p.from_unit join pm on pm.conversation_id = f.conversation_id and pm.sid = f.sid join u t on t.conversation_id = p.conversation_id and t.unit_id = p.to_unit
+  join embeddings x on x.vec_id = f.message_ids[1] join embeddings y on y.vec_id = t.message_ids[1] group by 1),
+pn as (select conversation_id, count(distinct sid) as sessions from sr group by 1), pk as (select conversation_id, count(*) as matched from pm group by 1),
+pf as (select conversation_id, sessions, coalesce(matched, 0) as matched, round(least(100, coalesce(matched, 0) * 1e0 / sessions / 0.3e0 * 100) + 1e-9, 2) as mention, round(greatest(0, least(1, coalesce(likeness, 0))) * 100 + 1e-9, 2) as continuity
+  from pn left join pk using (conversation_id) left join pq using (conversation_id)),
+pr as (select *, round(0.4 * mention + 0.6 * continuity + 1e-9, 2) as preference from pf)"""
+
+
+def _preference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dimensions.preference(messages(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "embedding"), LIKED)
+
+
+@operator("mth_16", f"with {M}, {UNITS}, {PAIRS}, {SESSIONS}, {_PREFERENCE} select conversation_id, sessions, matched, mention, continuity, preference from pr")
 def preference(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Share of matched sessions (30 % is full) and mean likeness of the pairs within them."""
-    m = messages(spark, sf_dir)
-    units = timeline.session_ids(timeline.speech_units(m), start="ts", end="end_ts", order=("ts", "unit_id"))
-    counts = units.groupBy("conversation_id", "session_id").agg(F.count("*").alias("n"))
-    share = counts.groupBy("conversation_id").agg(rounded(F.avg(F.when(F.col("n") >= 3, 1.0).otherwise(0.0)), 6).alias("share"))
-    of_unit = units.join(counts.where("n >= 3").drop("n"), ["conversation_id", "session_id"]).select("conversation_id", F.col("unit_id").alias("prev_unit_id"))
-    pairs = timeline.interaction_pairs(m).join(of_unit, ["conversation_id", "prev_unit_id"])
-    likeness = pairs.groupBy("conversation_id").agg(F.avg(F.least("prev_n_chars", "n_chars") / F.greatest("prev_n_chars", "n_chars")).alias("likeness"))
-    score = 40 * F.least(F.lit(1.0), F.col("share") / 0.3) + 60 * F.coalesce("likeness", F.lit(0.0))
-    return share.join(likeness, "conversation_id", "left").select("conversation_id", rounded(score, 3).alias("preference"))
-
-
-_WHOLE = f"""{_INVESTMENT}, {_RATED}, {_RESONANCE}, re as (select conversation_id, resonance from ro),
-ov as (select iv.conversation_id, case when resonance is null then total * sure + 38 * (1 - sure) else (0.4 * (total * sure + 38 * (1 - sure)) + 0.35 * resonance) / 0.75 end as score,
+    """How often a liked topic comes up in sessions (30 % is full), and how alike the exchanges in these are."""
+    return _preference(spark, sf_dir)
+
+
+_WHOLE = f"""{_INVESTMENT}, {_RATED}, {_RESONANCE}, re as (select conversation_id, resonance from ro), {_PREFERENCE},
+ov as (select iv.conversation_id, (0.4 * (total * sure + 38 * (1 - sure)) + 0.35 * coalesce(resonance, 0) + 0.1 * coalesce(preference, 0)) / (0.4 + case when resonance is null then 0 else 0.35 end + case when preference is null then 0 else 0.1 end) as score,
   pow(0.35 * least(1, iv.sessions / 30e0) + 0.35 * least(1, iv.chat_days / 30e0) + 0.2 * least(1, st.n / 400e0) + 0.1 * least(1, se.sessions_other / 12e0), 1.5) as steady
-  from iv join st using (conversation_id) join se using (conversation_id) left join re using (conversation_id)),
+  from iv join st using (conversation_id) join se using (conversation_id) left join re using (conversation_id) left join pr using (conversation_id)),
 oc as (select conversation_id, round(score * steady + 35 * (1 - steady) + 1e-9, 2) as overall from ov)"""
 
 
@@ -238,6 +243,7 @@ def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overall score of the dimensions that are there, and its band."""
     m = messages(spark, sf_dir)
     scores = _investment(spark, sf_dir).select("conversation_id", "investment").join(_resonance(spark, sf_dir).select("conversation_id", "resonance"), "conversation_id", "left")
+    scores = scores.join(_preference(spark, sf_dir).select("conversation_id", "preference"), "conversation_id", "left")
     return dimensions.overall(scores, dimensions.statistics(m))
 
 

@@ -80,3 +80,36 @@ def test_investment(spark):
     assert r.daily == 100.0 and r.continuity == 100.0 and r.symmetry == pytest.approx(75.0)
     sure = (0.55 / 20 + 0.45 / 25) ** 1.5
     assert r.investment == pytest.approx((10 + 20 + 20 + 20 + 7.5 + 10 + 6) * sure + 38 * (1 - sure))
+
+
+def test_preference(spark):
+    rows = [(8, 1, "Tea or coffee"), (8.1, 0, "TEA please"), (8.2, 1, "fine"), (12, 0, "hello"), (12.1, 1, "hi"), (20, 1, "late"), (20.1, 0, None)]
+    vectors = spark.createDataFrame([(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [0.0, 1.0]), (3, [1.0, 1.0]), (4, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    r = dimensions.preference(chat(spark, rows), vectors, ("tea",)).collect()
+    # one session of three; the pairs that begin in it: units 0-1 (1.0), 1-2 (0.0) and 2-3 (0.7071)
+    assert [tuple(x)[1:] for x in r] == [(3, 1, 100.0, 56.9, 74.14)]
+    r = dimensions.preference(chat(spark, rows), vectors, ()).first()
+    assert (r.sessions, r.matched, r.mention, r.continuity, r.preference) == (3, 0, None, None, None)
+    assert dimensions.preference(chat(spark, rows), vectors, ("coffee|tea",)).first().matched == 0  # words, not patterns
+
+
+def test_initiative_bands(spark):
+    from parley.operators.balance import initiative_bands
+
+    counts = {1: (4, 4), 2: (20, 10), 3: (20, 14), 4: (20, 16), 5: (100, 62), 6: (100, 20), 7: (100, 35)}
+    rows = [(c, 0 if i < theirs else 1) for c, (n, theirs) in counts.items() for i in range(n)]
+    got = {r.conversation_id: r.band for r in initiative_bands(spark.createDataFrame(rows, "conversation_id long, initiator int")).collect()}
+    assert got == {1: "insufficient", 2: "balanced", 3: "balanced", 4: "other dominant", 5: "other leans", 6: "self dominant", 7: "self leans"}
+
+
+def test_resonance_of_a_pair(spark):
+    from parley.operators import resonance as R
+
+    rows = [(8, 1, "great"), (8.05, 0, "yes"), (8.2, 1, "bad"), (8.3, 0, "哈哈")]
+    moods = spark.createDataFrame([(0, 0.8), (1, 0.5), (2, -0.6), (3, 0.1)], "message_id long, intensity double")
+    none = spark.createDataFrame([], "vec_id long, embedding array<double>")
+    pairs = {(r.prev_unit_id, r.unit_id): r for r in R.mood_pairs(chat(spark, rows), moods, none).withColumn("answer", R.positive_response()).collect()}
+    answers = sorted(round(r.answer, 4) for r in pairs.values())
+    assert answers == [0.0, 0.25, 1.0]  # a negative reply; a soft word after six minutes; 0.86 and 0.06 for 0.5 and 0.08 for three minutes
+    r = R.resonance(chat(spark, rows), moods, none).collect()
+    assert len(r) == 1 and 0 <= r[0].resonance <= 100 and r[0].valence == 80.0
