@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
 from parley.functions.text import tokens
-from parley.operators import chapters, facts, retrieval, segmentation, timeline, topics
+from parley.operators import chapters, facts, gate, retrieval, segmentation, timeline, topics
 from parley.plans.ctes import REPLIES
 from parley.registry import declare, operator
 from parley.views import MEDIAN, MIDDLE, S, TOKENS, M, messages, sentiment, spoken, table
@@ -82,14 +82,40 @@ def sensitive_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return joined.where("sensitive = 0 or hits >= 2").select("doc_id", "hits", "sensitive")
 
 
-@operator("ret_06", f"""with {TOKENS}, {_QUERY}, {_VECTOR}, {_FUSED}, a as (select count(*) as items, max(likeness) as best_vector, (select max(overlap) from lex) as best_keyword from vec)
-select items, case when best_vector >= 0.62 then 'relevant: vector' when best_vector >= 0.48 and best_keyword >= 0.1 then 'relevant: both' when best_keyword >= 0.5 then 'relevant: keyword' when best_keyword >= 0.3 then 'weak' else 'irrelevant' end as verdict from a""")
-def gate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether what was found is worth using."""
-    lexical, vector = _channels(spark, sf_dir)
-    a = vector.agg(F.count("*").alias("items"), F.max("likeness").alias("v")).join(F.broadcast(lexical.agg(F.max("overlap").alias("k"))))
-    verdict = F.when(F.col("v") >= 0.62, "relevant: vector").when((F.col("v") >= 0.48) & (F.col("k") >= 0.1), "relevant: both").when(F.col("k") >= 0.5, "relevant: keyword").when(F.col("k") >= 0.3, "weak").otherwise("irrelevant")
-    return a.select("items", verdict.alias("verdict"))
+#: Turns ask for what the turns before them hold: kinds, scores and fits by the remainders of their numbers.
+_GATE_KINDS = ("fact_memory", "topic_segment", "hot_context", "relationship_state", "self_style_example", "evidence_excerpt", "other")
+_MODES = ("", "memory_request", "relationship_context")
+_SEEN = 5
+
+
+@operator("ret_06", f"""with q as (select conv_id, turn, conv_id * 1000 + turn as query_id, [{", ".join(f"'{m}'" for m in _MODES)}][(conv_id + turn) % 3 + 1] as mode, (conv_id + 2 * turn) % 29 = 0 as late, (conv_id * 7 + turn) % 31 = 0 as secret from conversations),
+i as (select q.query_id, q.mode, t.turn, q.turn - t.turn as rank, [{", ".join(f"'{k}'" for k in _GATE_KINDS)}][(t.conv_id * 3 + t.turn * 5) % 7 + 1] as kind, ((t.conv_id * 37 + t.turn * 11) % 100) / 100e0 as score, ((t.conv_id * 17 + t.turn * 23) % 100) / 100e0 as task,
+  (t.conv_id + q.turn + t.turn) % 4 = 0 as off, (t.conv_id + t.turn) % 3 = 0 as shares from q join conversations t on t.conv_id = q.conv_id and q.turn - t.turn between 1 and {_SEEN}),
+k as (select *, kind = 'fact_memory' and (score >= 0.3 or (mode = 'memory_request' and shares)) as f, mode = 'memory_request' and kind in ('fact_memory', 'topic_segment', 'evidence_excerpt') and not off and (task >= 0.5 or (kind = 'fact_memory' and score >= 0.1 and shares)) as m,
+  mode = 'relationship_context' and kind = 'relationship_state' and not off and (task >= 0.35 or score >= 0.25) as r, kind in ('hot_context', 'fact_memory', 'evidence_excerpt') and not off and task >= 0.62 and score >= 0.48 as o, kind = 'self_style_example' and not off and (task >= 0.35 or score >= 0.35) as s from i),
+a as (select query_id, count(*) as n, count(*) filter (where off) as n_off, arg_min(kind, rank) as top_kind, arg_min(score, rank) as top_score, max(task) as best_task, bool_or(kind = 'fact_memory' and score >= 0.1) as weak,
+  count(*) filter (where f) as nf, arg_min(score, rank) filter (where f) as fs, arg_min(task, rank) filter (where f) as ft, count(*) filter (where m) as nm, arg_min(score, rank) filter (where m) as ms, arg_min(task, rank) filter (where m) as mt,
+  count(*) filter (where r) as nr, arg_min(score, rank) filter (where r) as rs, arg_min(task, rank) filter (where r) as rt, count(*) filter (where o) as no, arg_min(score, rank) filter (where o) as os, arg_min(task, rank) filter (where o) as ot,
+  count(*) filter (where s) as ns, arg_min(score, rank) filter (where s) as ss, arg_min(task, rank) filter (where s) as st, arg_min(task, rank) as top_task from k group by 1),
+d as (select q.query_id, a.*, case when late then 1 when secret then 2 when n is null then 3 when nf > 0 then case when mode = 'memory_request' then 4 else 5 end when nm > 0 and ms > 0 then 6 when top_kind = 'hot_context' and top_score >= 0.2 then 7
+  when nr > 0 then 8 when no > 0 then 9 when ns > 0 then 10 when n_off = n then 11 when mode = 'memory_request' and weak then 12 else 13 end as w from q left join a on a.query_id = q.query_id)
+select query_id, ['skip', 'no_hit', 'skip', 'inject', 'inject', 'inject', 'inject', 'weak_inject', 'inject', 'weak_inject', 'skip', 'skip', 'skip'][w] as action,
+  ['timeout', 'sensitive_query_block', 'no_result', 'memory_request_match', 'fact_memory_match', 'memory_request_match', 'hot_context', 'weak_relationship_context', 'task_relevant_memory', 'style_context', 'off_topic_memory', 'memory_low_confidence', 'low_score'][w] as reason,
+  case when w <= 3 then 0 when w <= 5 then fs when w = 6 then ms when w = 8 then rs when w = 9 then os when w = 10 then ss else top_score end as score, case when w <= 3 then 0 when w <= 5 then ft when w = 6 then mt when w = 7 then top_task when w = 8 then rt when w = 9 then ot when w = 10 then st else best_task end as task,
+  case when w <= 3 or w >= 11 then 0 when w <= 5 then nf when w = 6 then nm when w = 7 then 1 when w = 8 then nr when w = 9 then no else ns end as n_selected, case when w <= 5 then 0 else n_off end as off_topic from d""")
+def gated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether what was found for each turn among those before it is worth using, and why."""
+    c = table(spark, sf_dir, "conversations")
+    pick = lambda values, place: F.element_at(F.array(*(F.lit(v) for v in values)), (place + 1).cast("int"))
+    secret = F.when((F.col("conv_id") * 7 + F.col("turn")) % 31 == 0, gate.SENSITIVE[0] + gate.LOOKUPS[0]).otherwise("hello")
+    q = c.select("conv_id", "turn", (F.col("conv_id") * 1000 + F.col("turn")).alias("query_id"), secret.alias("query"), pick(_MODES, (F.col("conv_id") + F.col("turn")) % 3).alias("mode"), ((F.col("conv_id") + 2 * F.col("turn")) % 29 == 0).alias("timed_out"), F.lit(False).alias("relationship"))
+    seen = c.select("conv_id", F.col("turn").alias("t"), F.explode(F.sequence(F.lit(1), F.lit(_SEEN))).alias("rank")).withColumn("turn", F.col("t") + F.col("rank"))
+    number = lambda a, b: ((F.col("conv_id") * a + F.col("t") * b) % 100) / 100
+    items = seen.join(q.select("conv_id", "turn", "query_id"), ["conv_id", "turn"]).select(
+        "query_id", "rank", pick(_GATE_KINDS, (F.col("conv_id") * 3 + F.col("t") * 5) % 7).alias("kind"), number(37, 11).alias("score"), number(17, 23).alias("task"),
+        ((F.col("conv_id") + F.col("turn") + F.col("t")) % 4 == 0).alias("off_topic"), ((F.col("conv_id") + F.col("t")) % 3 == 0).alias("shares_term"),
+    )
+    return gate.decisions(q, items)
 
 
 _SPOKEN = "sp as (select m.conversation_id, m.id, m.ts, m.ts_sec, cast(m.ts as date) as day, event_type || ' ' || regexp_replace(props, '[^0-9]', '', 'g') as content from m join events e on e.event_id = m.id)"
