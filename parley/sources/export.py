@@ -36,9 +36,14 @@ def write_text(messages: DataFrame, path: str) -> None:
     ordered.select("conversation_id", F.col("line").alias("value")).write.partitionBy("conversation_id").text(path)
 
 
+#: What tells spreadsheets that a file is UTF-8.
+BYTE_ORDER_MARK = "\ufeff"
+
+
 def write_csv(messages: DataFrame, path: str) -> None:
-    """CSV with a header; fields that hold the separator, quotes or line ends are quoted."""
-    messages.write.option("header", True).option("escape", '"').csv(path)
+    """CSV with a header and a byte order mark in front of it, in each file; fields that hold the separator, quotes or line ends are quoted."""
+    first = messages.columns[0]
+    messages.withColumnRenamed(first, BYTE_ORDER_MARK + first).write.option("header", True).option("escape", '"').csv(path)
 
 
 def radar_report(title: str, scores: dict[str, float]) -> str:

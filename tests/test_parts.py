@@ -44,6 +44,7 @@ def test_exports(spark, tmp_path):
     m = ingest.synthetic_messages(spark, 2, 60).withColumn("member", F.lit(1)).withColumn("ts", F.to_timestamp_ntz(F.date_format("ts", "yyyy-MM-dd HH:mm:ss")))
     export.write_csv(m.select("id", "content"), str(tmp_path / "csv"))
     assert spark.read.option("header", True).csv(str(tmp_path / "csv")).count() == 120
+    assert all(f.read_bytes().startswith(b"\xef\xbb\xbfid,content\n") for f in (tmp_path / "csv").glob("part-*.csv"))
     export.write_text(m, str(tmp_path / "txt"))
     assert spark.read.text(str(tmp_path / "txt")).where("value like '---%'").count() == m.select("conversation_id", F.to_date("ts")).distinct().count()
     assert export.radar_report("t", {"a": 50.0, "b": 120.0}).count("<tr>") == 2
