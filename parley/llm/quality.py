@@ -191,7 +191,10 @@ def scorer(spark, vectors: np.ndarray, net: Network):  # noqa: ANN001, ANN201
         hashes, (table, model) = WordHashes(3), sent.value
         for texts in batches:
             column = pa.array(texts, pa.string(), from_pandas=True).cast(pa.binary())
-            parts = [pooled(column[rows].to_pylist(), table, hashes) for rows in text_slices(column)]
+            del texts
+            parts = [pooled(column[rows].to_pylist(), table, hashes) for rows in text_slices(column, 1_000_000)]
+            del column
+            pa.default_memory_pool().release_unused()
             yield pd.Series(model.probability(np.concatenate([np.zeros((0, FEATURES)), *parts])))
 
     return F.pandas_udf(score, "double")

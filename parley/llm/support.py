@@ -58,18 +58,19 @@ def text_slices(column: pa.Array, most: int = 2_000_000) -> Iterator[slice]:
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: int) -> Iterator[pa.RecordBatch]:
-    """Batches cut by :func:`text_slices` of their column ``text``; an empty batch passes as it is."""
+    """Batches cut by :func:`text_slices` of their column ``text``; an empty batch passes as it is. What a batch no longer needs goes back to the system."""
     for batch in batches:
         if not batch.num_rows:
             yield batch
         for rows in text_slices(batch.column(text)):
             yield batch.slice(rows.start, rows.stop - rows.start)
+        pa.default_memory_pool().release_unused()
 
 
 class WordHashes(dict):
     """64-bit hash of each word (bytes), remembered for up to ``limit`` words."""
 
-    def __init__(self, seed: int = 0, limit: int = 400_000) -> None:
+    def __init__(self, seed: int = 0, limit: int = 150_000) -> None:
         super().__init__()
         self.seed, self.limit = seed, limit
 
