@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from parley.functions import intents, redaction
 from parley.functions.lexicon import Cues
 from parley.functions.numbers import rounded
-from parley.functions.text import character_grams, cleaned
+from parley.functions.text import bound, character_grams, cleaned
 from parley.operators import facts, timeline
 from parley.plans.texts import PII_SQL
 from parley.registry import declare, operator
@@ -118,11 +118,11 @@ with p as (select 'merge_gap' as name, 300 as value, 30 as low, 3600 as high uni
 g as (select conv_id, turn, list_distinct(list_transform(range(1, length(a)), lambda i: substring(a, i, 2))) as ga, list_distinct(list_transform(range(1, length(b)), lambda i: substring(b, i, 2))) as gb from k)
 select conv_id, turn, len(list_intersect(ga, gb)) as shared, len(list_intersect(ga, gb)) * 2 >= len(ga) as keeps_core from g""")
 def redaction_keeps_core(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Whether a redacted text keeps half of its character pairs."""
+    """Whether a redacted text keeps half of its character pairs; null for a null."""
     a, b = F.lower("text"), F.lower(F.regexp_replace("text", "[0-9éèê]", ""))
-    grams = [F.array_distinct(character_grams(x, 2)) for x in (a, b)]
-    shared = F.size(F.array_intersect(*grams))
-    return table(spark, sf_dir, "conversations").select("conv_id", "turn", shared.alias("shared"), (shared * 2 >= F.size(grams[0])).alias("keeps_core"))
+    grams = F.struct(*(F.array_distinct(character_grams(x, 2)).alias(name) for name, x in (("a", a), ("b", b))))
+    sizes = bound(grams, lambda g: F.struct(F.size(F.array_intersect(g["a"], g["b"])).alias("shared"), F.size(g["a"]).alias("n")))
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", F.when(F.col("text").isNotNull(), sizes).alias("k")).select("conv_id", "turn", "k.shared", (F.col("k.shared") * 2 >= F.col("k.n")).alias("keeps_core"))
 
 
 @operator("rul_19", "select conv_id, turn, not (" + " or ".join(f"coalesce(regexp_matches(text, '{p}'), false)" for p in PII_SQL.values()) + ") as safe from conversations")

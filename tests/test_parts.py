@@ -1,6 +1,7 @@
 """Sources, functions, segmentation and tests of balance, by hand-computed cases."""
 
 import math
+import time
 
 import numpy as np
 import pytest
@@ -97,3 +98,15 @@ def test_ratios_compare_whole_turns(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = {r.turn: r.ratio for r in registry.queries()["str_22"](spark, str(tmp_path)).collect()}
     assert got == {1: 0.6667, 2: 1.0, 3: None}
+
+
+def test_runs_of_long_and_odd_texts(spark, tmp_path):
+    from parley import registry
+
+    long = "ab1c" * 30_000
+    turns = [(1, 0, long), (1, 1, None), (1, 2, ""), (1, 3, "a"), (1, 4, "a😀b"), (1, 5, "1234567é")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    begun = time.monotonic()
+    got = {r.turn: (r.shared, r.keeps_core) for r in registry.queries()["rul_18"](spark, str(tmp_path)).collect()}
+    assert got == {0: (2, True), 1: (None, None), 2: (0, True), 3: (0, True), 4: (2, True), 5: (0, False)}
+    assert time.monotonic() - begun < 60  # the text is computed once and not for each of its runs
