@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
+from parley.functions.text import bound, tokens
 from parley.operators import sampling, timeline
+from parley.operators.lineage import staged
 from parley.registry import declare, operator
 from parley.views import MEDIAN, TOKENS, doc_tokens, messages, sentiment, table
 
@@ -48,25 +53,44 @@ def newest_by_keyword(spark: SparkSession, sf_dir: str) -> DataFrame:
 def greedy_phrases(candidates: DataFrame, keys: list[str], keep: int) -> DataFrame:
     """From ``candidates(keys, phrase, n)`` the first ``keep`` by count that neither hold nor are held by an accepted one.
 
-    The fold runs over the ``8 * keep`` best per key, a ranking's head; where those don't fill the list, all are ranked.
+    A round folds the ``8 * keep`` best per key that clash with none of those accepted so far. Where these don't fill the list and more are left, the next
+    round takes what comes after them; each accepts at least one more. Only such heads go to one task.
     """
+    most = 8 * keep
     order = F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), F.col("phrase"))))
     clash = lambda a, x: F.exists(a, lambda y: F.contains(y["phrase"], x["phrase"]) | F.contains(x["phrase"], y["phrase"]))
     empty = F.expr("cast(array() as array<struct<k:bigint,phrase:string>>)")
-    fold = F.aggregate("all", empty, lambda a, x: F.when((F.size(a) >= keep) | clash(a, x), a).otherwise(F.concat(a, F.array(x))))
-    ranked = candidates.withColumn("_rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "phrase")))
-    head = ranked.where(F.col("_rank") <= 8 * keep).groupBy(*keys).agg(order.alias("all")).withColumn("top", fold)
-    rest = head.where((F.size("top") < keep) & (F.size("all") == 8 * keep)).select(*keys)
-    whole = ranked.join(rest, keys).groupBy(*keys).agg(order.alias("all")).withColumn("top", fold)
-    both = head.join(rest, keys, "left_anti").select(*keys, "top").union(whole.select(*keys, "top"))
-    return both.select(*keys, F.posexplode("top").alias("place", "t")).select(*keys, "place", F.col("t.phrase").alias("phrase"), (-F.col("t.k")).alias("n"))
+    fold = F.aggregate("all", F.col("before"), lambda a, x: F.when((F.size(a) >= keep) | clash(a, x), a).otherwise(F.concat(a, F.array(x))))
+    same = reduce(and_, (F.col(f"c.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys))
+
+    def folded(rows: DataFrame, before: DataFrame | None) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("n"), "phrase"))
+        heads = rows.withColumn("_rank", place).where(F.col("_rank") <= most).groupBy(*keys).agg(order.alias("all"))
+        if before is None:
+            heads = heads.withColumn("before", empty)
+        else:
+            heads = heads.alias("c").join(before.alias("o"), same).select("c.*", F.col("o.top").alias("before"))
+        found = heads.select(*keys, fold.alias("top"), (F.size("all") == most).alias("more"), F.element_at("all", -1).alias("last"))
+        return staged(found.withColumn("open", F.col("more") & (F.size("top") < keep)))
+
+    rows = staged(candidates.select(*keys, "phrase", F.col("n").cast("long").alias("n")))
+    heads = folded(rows, None)
+    done = heads.where("not open").select(*keys, "top")
+    while not (left := heads.where("open")).isEmpty():
+        x = F.struct((-F.col("c.n")).alias("k"), F.col("c.phrase").alias("phrase"))
+        later = rows.alias("c").join(left.alias("o"), same).where(x > F.col("o.last")).where(~bound(x, lambda y: clash(F.col("o.top"), y))).select("c.*")
+        heads = folded(later, left)
+        ended = left.alias("c").join(heads.alias("o"), same, "left_anti").select(*keys, "top")  # nothing without a clash was left
+        done = done.union(ended).union(heads.where("not open").select(*keys, "top"))
+    return done.select(*keys, F.posexplode("top").alias("place", "t")).select(*keys, "place", F.col("t.phrase").alias("phrase"), (-F.col("t.k")).alias("n"))
 
 
 @operator("top_05")
 def phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The twelve most frequent word pairs of each language that don't contain one another."""
-    words = table(spark, sf_dir, "documents").select("lang", F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)).alias("w"))
-    pairs = words.where("size(w) > 1").select("lang", F.explode(F.expr("transform(sequence(1, size(w) - 1), i -> concat(w[i - 1], ' ', w[i]))")).alias("phrase"))
+    words = table(spark, sf_dir, "documents").select("lang", tokens(F.col("text")).alias("w"))
+    neighbours = F.inline(F.expr("arrays_zip(slice(w, 1, greatest(size(w) - 1, 0)), slice(w, 2, greatest(size(w) - 1, 0)))")).alias("a", "b")
+    pairs = words.select("lang", neighbours).select("lang", F.concat("a", F.lit(" "), "b").alias("phrase"))
     return greedy_phrases(pairs.groupBy("lang", "phrase").agg(F.count("*").alias("n")).where("n >= 3"), ["lang"], 12)
 
 

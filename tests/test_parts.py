@@ -79,6 +79,12 @@ def test_greedy_phrases_look_beyond_the_head(spark):
     assert [r.phrase for r in got.orderBy("place").collect()] == ["a", "b"]
 
 
+def test_greedy_phrases_of_rows_without_a_key(spark):
+    rows = [(None, "a" * i, 100 - i) for i in range(1, 40)] + [(None, "b", 2), (None, "bc", 1), ("y", "z", 1)]
+    got = greedy_phrases(spark.createDataFrame(rows, "lang string, phrase string, n long"), ["lang"], 2)
+    assert sorted(((r.lang, r.place, r.phrase, r.n) for r in got.collect()), key=repr) == [("y", 0, "z", 1), (None, 0, "a", 99), (None, 1, "b", 2)]
+
+
 def test_columns(spark):
     df = spark.createDataFrame([("a <msg>x</msg> [image]  b\n", [1.0, 0.0], [0.0, 0.0], 0.25)], "t string, a array<double>, z array<double>, x double")
     row = df.select(
