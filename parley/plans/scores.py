@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import cosine, interpolated, rounded, weighted
 from parley.functions.tolerant import tolerant_json
-from parley.operators import dimensions, timeline
+from parley.operators import dimensions, timeline, words
 from parley.operators import resonance as resonances
 from parley.operators.balance import initiative_bands, two_sided_binomial
 from parley.plans.ctes import ENGAGED, OWN, PAIRS, RECALL, SESSIONS, UNITS, WORDS
 from parley.registry import declare, operator
-from parley.views import MS, S, M, messages, sentiment, table
+from parley.views import MS, S, M, messages, sentiment, table, with_views
 
 #: Anchors (value, score) of a few indicators, and the weights of traits: parameters of the composites below.
 ANCHORS = {"short_share": ((0.0, 90.0), (0.3, 60.0), (0.7, 30.0), (1.0, 10.0)), "late_share": ((0.0, 20.0), (0.1, 50.0), (0.3, 80.0)), "my_share": ((0.2, 20.0), (0.5, 70.0), (0.8, 40.0))}
@@ -322,10 +322,15 @@ def neighbour_cosine(spark: SparkSession, sf_dir: str) -> DataFrame:
     return v.join(other, "vec_id").select("vec_id", rounded(cosine(F.col("embedding"), F.col("other"))).alias("cosine"))
 
 
-declare("arr_06", "Cosine of word counts of neighbouring documents.", """
-with t as (select doc_id, token, count(*) as n from {tokens} group by 1, 2), l as (select doc_id, sqrt(sum(n * n)) as norm from t group by 1),
+@operator("arr_06", with_views(['tokens'], """
+with t as (select doc_id, token, count(*) as n from tokens group by 1, 2), l as (select doc_id, sqrt(sum(n * n)) as norm from t group by 1),
 d as (select a.doc_id, cast(sum(a.n * b.n) as double) as shared from t a join t b on b.token = a.token and b.doc_id = a.doc_id + 1 group by 1)
-select d.doc_id, round(d.shared / (x.norm * y.norm) + 1e-9, 4) as cosine from d join l x on x.doc_id = d.doc_id join l y on y.doc_id = d.doc_id + 1""")
+select d.doc_id, round(d.shared / (x.norm * y.norm) + 1e-9, 4) as cosine from d join l x on x.doc_id = d.doc_id join l y on y.doc_id = d.doc_id + 1"""))
+def neighbour_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cosine of word counts of neighbouring documents."""
+    found = words.neighbour_products(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", rounded(F.col("shared") / (F.sqrt("own") * F.sqrt("next"))).alias("cosine"))
+
 
 
 @operator("arr_07", "select label, p as pos, round(avg(cast(embedding[p + 1] as double)) + 1e-9, 4) as mean from embeddings, unnest(range(len(embedding))) as x(p) group by 1, 2")
