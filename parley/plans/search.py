@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
 from parley.functions.text import tokens
-from parley.operators import chapters, facts, gate, retrieval, segmentation, timeline, topics
+from parley.operators import chapters, facts, gate, retrieval, segmentation, timeline, topics, words
 from parley.plans.ctes import REPLIES
 from parley.registry import declare, operator
-from parley.views import MEDIAN, MIDDLE, S, TOKENS, M, messages, sentiment, spoken, table
+from parley.views import MEDIAN, MIDDLE, S, TOKENS, M, messages, sentiment, spoken, table, with_views
 
 #: From this cosine on a vector counts as of its nearest kind.
 LEAST_LIKE = 0.52
@@ -328,11 +328,21 @@ def feature_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
 declare("txt_01", "Words of all, mine and theirs in one pass.", """
 select lang, token, count(*) as n, count(case when doc_id % 2 = 1 then 1 end) as mine, count(case when doc_id % 2 = 0 then 1 end) as theirs from {tokens} group by 1, 2 having count(*) >= 5""")
 
-declare("txt_02", "Words by segment of the corpus, from texts that are labelled where nearly all are, else from all.", """
-with k as (select d.lang, count(*) as n, count(l.doc_id) as labelled from {documents} d left join {labels} l on l.doc_id = d.doc_id group by 1),
-u as (select d.doc_id, d.lang, k.labelled * 10 >= k.n * 9 as by_label, l.doc_id is not null as has_label from {documents} d join k on k.lang = d.lang left join {labels} l on l.doc_id = d.doc_id),
-t as (select u.lang, t.token, count(*) as n from {tokens} t join u on u.doc_id = t.doc_id where not u.by_label or u.has_label group by 1, 2)
-select lang, token, n from t where n >= 5""")
+
+@operator("txt_02", with_views(['tokens'], """
+with k as (select d.lang, count(*) as n, count(l.doc_id) as labelled from documents d left join labels l on l.doc_id = d.doc_id group by 1),
+u as (select d.doc_id, d.lang, k.labelled * 10 >= k.n * 9 as by_label, l.doc_id is not null as has_label from documents d join k on k.lang = d.lang left join labels l on l.doc_id = d.doc_id),
+t as (select u.lang, t.token, count(*) as n from tokens t join u on u.doc_id = t.doc_id where not u.by_label or u.has_label group by 1, 2)
+select lang, token, n from t where n >= 5"""))
+def segment_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words by segment of the corpus, from texts that are labelled where nearly all are, else from all."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.count("*").alias("labels"))
+    ids = docs.groupBy("doc_id", "lang").agg(F.count("*").alias("rows")).join(labels, "doc_id", "left")
+    ids = ids.withColumn("times", F.col("rows") * F.coalesce("labels", F.lit(1)))  # what the join of rows and labels gives
+    by_label = F.sum(F.when(F.col("labels").isNotNull(), F.col("times")).otherwise(0)) * 10 >= F.sum("times") * 9
+    weights = ids.join(ids.groupBy("lang").agg(by_label.alias("by_label")), "lang").where("not by_label or labels is not null").select("doc_id", "lang", "times")
+    return words.weighted_counts(docs, weights).where("n >= 5")
+
 
 
 @operator("txt_03")
