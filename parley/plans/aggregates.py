@@ -12,10 +12,10 @@ from pyspark.sql import functions as F
 from parley.functions.numbers import rounded
 from parley.functions.text import any_of
 from parley.operators import engagement as engaged
-from parley.operators import timeline
+from parley.operators import timeline, words
 from parley.plans.ctes import ENGAGED, OWN, PAIRS, RECALL, REPLIES, SESSIONS, UNITS, WORDS
 from parley.registry import declare, operator
-from parley.views import M, S, messages, sentiment
+from parley.views import M, S, messages, sentiment, table, with_views
 
 declare("agg_02", "Summary of the daily series: weighted mean, best and worst day, the earliest of equals.", """
 with days as (select m.conversation_id, cast(m.ts as date) as day, round(avg(s.intensity) + 1e-9, 4) as level, sum(s.intensity) as total, count(*) as n from {m} m join {s} s on s.message_id = m.id group by 1, 2),
@@ -214,11 +214,19 @@ declare("agg_28", "Spread of sentiment: population variance, share of negative o
 select m.conversation_id, m.is_sender, round(var_pop(c.intensity) + 1e-9, 4) as variance, round(avg(case when c.polarity = -1 then 1e0 else 0e0 end) + 1e-9, 4) as negative_share,
   round(count(case when c.polarity = 1 then 1 end) * 1.0 / nullif(count(case when c.polarity <> 0 then 1 end), 0) + 1e-9, 4) as positive_of_polar from {m} m join {c} c on c.message_id = m.id group by 1, 2""")
 
-declare("agg_29", "Variety of a document's words: distinct over all, and entropy over its maximum.", """
-with t as (select doc_id, token, count(*) as n from {tokens} group by 1, 2),
+
+@operator("agg_29", with_views(['tokens'], """
+with t as (select doc_id, token, count(*) as n from tokens group by 1, 2),
 w as (select *, cast(sum(n) over (partition by doc_id) as double) as whole from t)
 select doc_id, cast(sum(n) as bigint) as words, count(*) as kinds, round(count(*) * 1.0 / sum(n) + 1e-9, 4) as variety,
-  case when count(*) > 1 then round(-sum(n / whole * ln(n / whole)) / ln(count(*)) + 1e-9, 4) else 0.0 end as entropy from w group by doc_id""")
+  case when count(*) > 1 then round(-sum(n / whole * ln(n / whole)) / ln(count(*)) + 1e-9, 4) else 0.0 end as entropy from w group by doc_id"""))
+def word_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variety of a document's words: distinct over all, and entropy over its maximum."""
+    entropy = (F.ln("words") - F.col("spread") / F.col("words")) / F.ln("kinds")
+    return words.variety(table(spark, sf_dir, "documents")).select(
+        "doc_id", "words", "kinds", rounded(F.col("kinds") / F.col("words")).alias("variety"), F.when(F.col("kinds") > 1, rounded(entropy)).otherwise(0.0).alias("entropy")
+    )
+
 
 
 @operator("agg_30", "select lang, count(*) as n, round(avg(case when regexp_matches(text, '(?i)(^|[^\\p{L}])(the|and|of|der|die|und|le|la|des|los|que)([^\\p{L}]|$)') then 1e0 else 0e0 end) + 1e-9, 4) as density from documents group by 1")
