@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 
 from parley.functions.numbers import dot, rounded
 from parley.functions.text import bound, tokens
-from parley.operators import sampling, timeline
+from parley.operators import sampling, timeline, words
 from parley.operators.lineage import staged
 from parley.registry import declare, operator
-from parley.views import MEDIAN, TOKENS, doc_tokens, messages, sentiment, table
+from parley.views import MEDIAN, TOKENS, doc_tokens, messages, sentiment, table, with_views
 
 declare("top_01", "The 50 most frequent words with weights from 1 to 100; in a large text only words that occur three times.", """
 with n as (select token as word, count(*) as n from {tokens} where length(token) >= 2 group by 1),
@@ -21,9 +21,17 @@ f as (select word, n from n where n >= case when (select sum(n) from n) >= 300 t
 top as (select word, n from f order by n desc, word limit 50), k as (select word, n, row_number() over (order by n desc, word) as rank from top)
 select word, n, rank, cast(floor(1 + 99.0 * (n - (select min(n) from k)) / greatest(1, (select max(n) from k) - (select min(n) from k)) + 1e-9) as int) as weight from k""")
 
-declare("top_02", "The ten most used words of each language.", """
-with n as (select d.lang, t.token as word, count(*) as n from {tokens} t join {documents} d on d.doc_id = t.doc_id group by 1, 2),
-r as (select *, row_number() over (partition by lang order by n desc, word) as rank from n) select lang, word, n, rank from r where rank <= 10""")
+
+@operator("top_02", with_views(['tokens'], """
+with n as (select d.lang, t.token as word, count(*) as n from tokens t join documents d on d.doc_id = t.doc_id group by 1, 2),
+r as (select *, row_number() over (partition by lang order by n desc, word) as rank from n) select lang, word, n, rank from r where rank <= 10"""))
+def top_words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten most used words of each language."""
+    docs = table(spark, sf_dir, "documents")
+    n = words.weighted_counts(docs, docs.groupBy("doc_id", "lang").agg(F.count("*").alias("times"))).withColumnRenamed("token", "word")
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "word"))
+    return n.withColumn("rank", rank).where("rank <= 10").select("lang", "word", "n", "rank")
+
 
 
 @operator("top_03", """with q as (select embedding as qv from embeddings where vec_id = 3), k as (select vec_id, list_dot_product(list_transform(embedding, lambda x: cast(x as double)), list_transform(qv, lambda x: cast(x as double))) as score from embeddings, q)
