@@ -72,3 +72,19 @@ def test_columns(spark):
     assert got[1].redacted.startswith("打[PHONE_") and [tuple(s)[:3] for s in got[1].spans] == [(1, 12, "phone")]
     assert got[2].redacted is None and got[2].e == [] and got[3].redacted == "" and got[4].spans == []
     assert got[5].e == ["email"] and got[5].spans[0].start == 500_001
+
+
+def test_a_batch_is_taken_apart_in_slices():
+    import pyarrow as pa
+
+    seen = []
+
+    def run(texts):
+        seen.append(sum(map(len, texts)))
+        return pa.array(map(len, texts), pa.int64())
+
+    texts = ["x" * 300_000, "", "y" * 5_000_000, *["z" * 1_000] * 9_000]
+    got = R._in_slices(pa.array(texts), run, pa.int64())
+    assert got.to_pylist() == [len(t) for t in texts]
+    assert sorted(seen)[-1] == 5_000_000 and sorted(seen)[-2] <= 2_000_000
+    assert R._in_slices(pa.array([], pa.string()), run, pa.int64()).to_pylist() == []
