@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import bound, character_grams
+from parley.operators.lineage import staged
 from parley.operators.timeline import crosses_sleep
 
 KEY = "conversation_id"
@@ -55,10 +56,24 @@ def _without_space(text: Column) -> Column:
     return F.regexp_replace(text, r"(?U)\s+", "")
 
 
+def _all_tokens(words: Column, compact: Column, most: int) -> Column:
+    return F.slice(F.array_distinct(F.concat(words, *(character_grams(compact, n) for n in (2, 3, 4)))), 1, most)
+
+
 def topic_tokens(text: Column, most: int = LIMITS.tokens) -> Column:
     """Words of two characters or more, then all runs of two, three and four characters without white space, each once."""
-    runs = bound(_without_space(text), lambda compact: F.concat(*(character_grams(compact, n) for n in (2, 3, 4))))
-    return F.slice(F.array_distinct(F.concat(_words(text), runs)), 1, most)
+    return bound(_without_space(text), lambda compact: _all_tokens(_words(text), compact, most))
+
+
+def _topics_of(words: Column, compact: Column, stop_words: tuple[str, ...], limits: Limits) -> Column:
+    """:func:`topics` of a text by its words and its characters without white space."""
+    enough = min(limits.tokens, limits.topics + len(stop_words))
+    few = F.array_distinct(F.concat(words, character_grams(F.substring(compact, 1, 3 * enough), 2)))
+    rest = bound(few, lambda f: F.when(F.size(f) >= enough, F.slice(f, 1, limits.tokens)).otherwise(_all_tokens(words, compact, limits.tokens)))
+    kept = bound(F.array_distinct(words), lambda w: F.when(F.size(w) >= enough, F.slice(w, 1, limits.tokens)).otherwise(rest))
+    if stop_words:
+        kept = F.array_except(kept, F.array(*(F.lit(w) for w in stop_words)))
+    return F.slice(kept, 1, limits.topics)
 
 
 def topics(text: Column, stop_words: tuple[str, ...] = (), limits: Limits = LIMITS) -> Column:
@@ -66,12 +81,8 @@ def topics(text: Column, stop_words: tuple[str, ...] = (), limits: Limits = LIMI
 
     So many tokens that enough are left whatever the stop words are mostly lie in the words and the first runs, else all are found.
     """
-    enough = min(limits.tokens, limits.topics + len(stop_words))
-    few = bound(_without_space(text), lambda compact: F.array_distinct(F.concat(_words(text), character_grams(F.substring(compact, 1, 3 * enough), 2))))
-    kept = bound(few, lambda f: F.when(F.size(f) >= enough, F.slice(f, 1, limits.tokens)).otherwise(topic_tokens(text, limits.tokens)))
-    if stop_words:
-        kept = F.array_except(kept, F.array(*(F.lit(w) for w in stop_words)))
-    return F.slice(kept, 1, limits.topics)
+    parts = F.struct(_words(text).alias("words"), _without_space(text).alias("compact"))
+    return bound(parts, lambda p: _topics_of(p["words"], p["compact"], stop_words, limits))
 
 
 def compacted(content: Column, limits: Limits = LIMITS) -> Column:
@@ -89,25 +100,29 @@ def cut_masks(rows: DataFrame, stop_words: tuple[str, ...] = (), limits: Limits
     """``rows(conversation_id, day, id, ts, ts_sec, content)`` with ``mask``: its bit n tells whether the row begins a segment where the open one
     has n messages; the highest bit stands for that many or more."""
     own = Window.partitionBy(KEY, "day").orderBy("ts_sec", "id")
-    near = rows.withColumns({"prev_ts": F.lag("ts").over(own), "gap": F.col("ts_sec") - F.lag("ts_sec").over(own), "before": F.collect_list("content").over(own.rowsBetween(-limits.seen, -1))})
+    parts = rows.withColumn("parts", F.struct(_words(F.col("content")).alias("words"), _without_space(F.col("content")).alias("compact")))
+    near = parts.withColumns({"prev_ts": F.lag("ts").over(own), "gap": F.col("ts_sec") - F.lag("ts_sec").over(own), "before": F.collect_list("parts").over(own.rowsBetween(-limits.seen, -1))})
     forced = F.col("prev_ts").isNull() | ((F.col("gap") > 0) & (crosses_sleep(F.col("prev_ts"), F.col("ts")) | (F.col("gap") > limits.hard_gap)))
     asks = ~forced & (F.col("gap") >= limits.shift_gap) & (F.size("before") > 0)
     most = max(limits.seen, limits.shift_messages)
 
     def met(own: Column, k: Column) -> Column:
         """How much the last ``k`` messages talk of the same, and whether both talk of anything."""
-        told = topics(F.array_join(F.slice("before", -k, k), " "), stop_words, limits)
+        last = F.slice("before", -k, k)  # texts end words, so that the words of several are the words of each
+        told = bound(F.struct(F.flatten(last["words"]).alias("words"), F.array_join(last["compact"], "").alias("compact")), lambda p: _topics_of(p["words"], p["compact"], stop_words, limits))
         return bound(told, lambda t: F.struct(_overlap(t, own).alias("share"), ((F.size(t) > 0) & (F.size(own) > 0)).alias("both")))
 
     def cuts(shares: Column, n: int) -> Column:
-        last = F.element_at(shares, F.least(F.lit(n), F.size(shares)))
+        last = F.element_at(shares, F.least(F.lit(n), F.size(shares)))  # the only one where one is asked for
         apart = (F.col("gap") > limits.soft_gap) & (last["share"] <= limits.least_overlap)
         return apart | ((last["share"] == 0) & last["both"]) if n >= limits.shift_messages else apart
 
-    own = topics(F.col("content"), stop_words, limits)
-    shares = bound(own, lambda o: F.transform(F.sequence(F.lit(1), F.size("before")), lambda k: met(o, k)))
+    own = _topics_of(F.col("parts.words"), F.col("parts.compact"), stop_words, limits)
+    # a short pause asks for the longest context only, which alone a segment of many messages is judged by
+    asked = F.when(F.col("gap") > limits.soft_gap, F.lit(1)).otherwise(F.size("before")) if limits.shift_messages >= limits.seen else F.lit(1)
+    shares = bound(own, lambda o: F.transform(F.sequence(asked, F.size("before")), lambda k: met(o, k)))
     masked = bound(shares, lambda x: sum((F.when(cuts(x, n), 1 << n).otherwise(0) for n in range(1, most + 1)), F.lit(0)))
-    return near.withColumn("mask", F.when(forced, (2 << most) - 1).when(asks, masked).otherwise(0)).drop("prev_ts", "before")
+    return near.withColumn("mask", F.when(forced, (2 << most) - 1).when(asks, masked).otherwise(0)).drop("prev_ts", "before", "parts")
 
 
 def _folded(rows: DataFrame, limits: Limits) -> DataFrame:
@@ -161,8 +176,8 @@ def topic_rows(messages: DataFrame, stop_words: tuple[str, ...] = (), limits: Li
     ``messages`` are ``conversation_id, id, ts, ts_sec, content``. Blank contents are left out; content counts up to a length.
     """
     rows = messages.select(KEY, "id", "ts", "ts_sec", F.to_date("ts").alias("day"), compacted(F.col("content"), limits).alias("content")).where("content is not null")
-    # both uses of the folded rows read this one exchange, so that masks are found once
-    folded = _folded(cut_masks(rows, stop_words, limits), limits).repartition(KEY, "day")
+    # both uses of the folded rows read what is kept here, so that masks are found once; of an exchange each would ask other columns, and make its own
+    folded = staged(_folded(cut_masks(rows, stop_words, limits), limits).repartition(KEY, "day"))
     segments = folded.groupBy(KEY, "day", "segment").agg(F.min("ts_sec").alias("start_sec"), F.max("ts_sec").alias("end_sec"), F.count("*").alias("n"), F.sum("chars").alias("chars"))
     placed = folded.join(_merged(segments, limits), [KEY, "day", "segment"]).withColumn("k", F.col("offset") + F.col("place"))
     windows = F.greatest(F.lit(1), F.ceil((F.col("topic_n") - limits.window) / limits.step) + 1)

@@ -125,3 +125,11 @@ def test_query_on_events(spark, sf):
             expected.add((c, topic, part, own[ids[0]][3], own[ids[-1]][3], len(ids), ids[0], ids[-1]))
     got = {(r.conversation_id, r.topic, r.part, r.start_sec, r.end_sec, r.n, r.first_id, r.last_id) for r in search.topic_query(spark, at).collect()}
     assert got == expected
+
+
+def test_masks_are_found_once(spark, capsys):
+    rows = [(1, i, datetime.datetime(2024, 1, 1, 10, i), 1_704_103_200 + 60 * i, f"word {i}") for i in range(9)]
+    found = T.topic_segments(spark.createDataFrame(rows, "conversation_id long, id long, ts timestamp_ntz, ts_sec long, content string"))
+    found.explain()
+    assert "MapInPandas" not in capsys.readouterr().out
+    assert [(r.n, r.first_id, r.last_id) for r in found.collect()] == [(9, 0, 8)]
