@@ -6,7 +6,8 @@ them make one packed 32-bit integer per position. Two recordings are compared at
 
 Recordings with equal fingerprints become one class first. Queries are the rows whose id is divisible by 100; they
 meet all classes, in groups of bounded size: a link may have a quarter of its bits wrong, and then seldom an integer, or
-a part of one, in common, so that votes of equal parts either miss links or name most offsets of all pairs.
+a part of one, in common, so that votes of equal parts either miss links or name most offsets of all pairs. Instead, the
+bits of all offsets are compared at once by products of spectra, and what may be a link is counted bit by bit.
 """
 
 from __future__ import annotations
@@ -126,56 +127,93 @@ def _fingerprinted(decode):  # noqa: ANN001, ANN202
     return run
 
 
-#: The bits of one position.
-_ALL = np.uint64(0xFFFFFFFF)
 _LINK = "q_id long, o_id long, offset long, votes long, overlap long, bit_error double"
+#: A bit that is heard counts 1 if it is set, else -1; with a channel of what is heard, weighed so, the sum over an offset of a link reaches
+#: ``LEAST_OVERLAP``, and that of positions without anything heard is 0.
+_HEARD = 32 * (1 - 2 * MOST_ERRORS) - 1
+#: Bytes that the spectra of a slice of recordings, and the sums of a tile of pairs, may take.
+_SLICE, _TILE = 24_000_000, 8_000_000
+
+
+def _fast_length(n: int) -> int:
+    """The least product of 2, 3 and 5 that is no less than ``n``."""
+    return min(x * 2 ** max(0, (-(-n // x) - 1).bit_length()) for x in (3**i * 5**j for i in range(12) for j in range(8)))
+
+
+def _spectra(prints: list[np.ndarray], length: int, heard: float) -> np.ndarray:
+    """(recordings, 33, frequencies) of their bits as 1 and -1, and of what is heard times ``heard``, padded to ``length``."""
+    flat = np.concatenate(prints)
+    there = (flat > 0).astype(np.float32)[:, None]
+    bits = np.unpackbits(flat.astype("<u4").view(np.uint8).reshape(-1, 4), axis=1, bitorder="little").astype(np.float32)
+    every = np.hstack([(2 * bits - 1) * there, there * np.float32(heard)])
+    x, ends = np.zeros((len(prints), 33, length), np.float32), np.cumsum([len(p) for p in prints])
+    for row, p, end in zip(x, prints, ends, strict=True):
+        row[:, : len(p)] = every[end - len(p) : end].T
+    return np.fft.rfft(x, axis=2)
+
+
+def _slices(prints: list[np.ndarray], longest: int) -> Iterator[slice]:
+    """Slices of recordings, which come by length, whose spectra at once take about ``_SLICE`` bytes beside one of length ``longest``."""
+    first = 0
+    for i in range(1, len(prints) + 1):
+        if i == len(prints) or (i + 1 - first) * 33 * 4 * (len(prints[i]) + longest) > _SLICE:
+            yield slice(first, i)
+            first = i
+
+
+def _near(queries: list[np.ndarray], others: list[np.ndarray]) -> Iterator[tuple[int, int, int]]:
+    """Query, other and offset wherever bits may differ in few enough places; both come by length.
+
+    The agreement of two recordings at all offsets is a correlation, so a product of spectra; summed over bits, that is a product of matrices
+    for each frequency. Its sums are whole numbers but for rounding, for which there is room.
+    """
+    for a in _slices(queries, max(map(len, others))):
+        own, at = queries[a], None
+        for b in _slices(others, len(own[-1])):
+            there = others[b]
+            most = len(there[-1])
+            # offsets that share too little may fall on others, nothing else does
+            length = _fast_length(max(len(own[-1]) + most - LEAST_OVERLAP, len(own[-1]), most))
+            if at != length:
+                at, left = length, np.ascontiguousarray(np.conj(_spectra(own, length, 1.0)).transpose(2, 0, 1))
+            right = np.ascontiguousarray(_spectra(there, length, -_HEARD).transpose(2, 1, 0))
+            least = LEAST_OVERLAP - 0.5 - 1e-5 * (32 + _HEARD) * min(len(own[-1]), most)
+            side = max(1, int((_TILE / 4 / length) ** 0.5))
+            for i in range(0, len(own), side):
+                for j in range(0, len(there), side):
+                    product = np.ascontiguousarray(np.matmul(left[:, i : i + side], right[:, :, j : j + side]).transpose(1, 2, 0))
+                    sums = np.fft.irfft(product, length, axis=2)
+                    for q, o, k in zip(*(x.tolist() for x in np.unravel_index(np.flatnonzero(sums >= least), sums.shape)), strict=True):
+                        yield a.start + i + q, b.start + j + o, k if k <= most - LEAST_OVERLAP else k - length
 
 
 def _compared(others: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
     """Per query and other recording the best of all offsets that make a link: most equal integers, fewest errors, nearest to 0.
 
-    The others stand end to end between gaps, and each position of the query is held against all of them at once.
+    What :func:`_near` finds is counted bit by bit.
     """
-    rows = []
-    ids, prints = others["id"].to_numpy(), [np.asarray(p, np.int64).astype(np.uint32) for p in others["prints"]]
-    longest = max((len(p) for p in queries["prints"]), default=0)
-    if not longest or not prints:
-        return pd.DataFrame(rows, columns=[c.split()[0] for c in _LINK.split(", ")])
-    # so wide that what a query has in common with two neighbours is too little to count
-    gap = np.zeros(max(1, longest - LEAST_OVERLAP + 1), np.uint32)
-    line = np.concatenate([gap, *(x for p in prints for x in (p, gap))])
-    starts = len(gap) + np.cumsum([0] + [len(p) + len(gap) for p in prints])[:-1]
-    there = (line > 0).astype(np.uint8)
-    total = np.concatenate([[0], np.cumsum(there, dtype=np.int64)])
-    double, heard = (np.append(x, np.uint64(0)) for x in (line.astype(np.uint64), np.where(there, _ALL, np.uint64(0))))
-    double, heard = (x[:-1] | x[1:] << np.uint64(32) for x in (double, heard))
-    for q, own in zip(queries["id"], queries["prints"], strict=True):
-        own = np.asarray(own, np.int64).astype(np.uint32)
-        n = len(line) - len(own) + 1
-        if n <= 0 or not len(own):
+
+    def long_enough(rows: pd.DataFrame) -> tuple[list, list[np.ndarray]]:
+        kept = sorted(((len(p), i, np.asarray(p, np.int64).astype(np.uint32)) for i, p in zip(rows["id"], rows["prints"], strict=True) if len(p) >= LEAST_OVERLAP), key=lambda x: x[:2])
+        return [i for _, i, _ in kept], [p for _, _, p in kept]
+
+    (ids, prints), (asked, own) = long_enough(others), long_enough(queries)
+    best: dict[tuple[int, int], tuple] = {}
+    for q, o, offset in _near(own, prints) if ids and asked else ():
+        if asked[q] == ids[o]:
+            continue
+        a, b = own[q][max(0, -offset) :], prints[o][max(0, offset) :]
+        n = min(len(a), len(b))
+        a, b = a[:n], b[:n]
+        heard = (a > 0) & (b > 0)
+        overlap, errors = int(heard.sum()), int(np.bitwise_count((a ^ b)[heard]).sum(dtype=np.int64))
+        if overlap < LEAST_OVERLAP or errors > 32 * MOST_ERRORS * overlap:
             continue
-        # two positions at a time; sums of three such pairs fit into bytes, which are added up faster
-        mask = np.where(own > 0, _ALL, np.uint64(0))
-        pairs, masks = (np.append(x, np.uint64(0))[: 2 * ((len(own) + 1) // 2)] for x in (own.astype(np.uint64), mask))
-        errors, differ, count = np.zeros(n, np.uint16 if len(own) < 2048 else np.uint32), np.empty(n, np.uint64), np.empty(n, np.uint8)
-        for lo in range(0, len(own), 6):
-            few = np.zeros(n, np.uint8)
-            for j in range(lo, min(lo + 6, len(own)), 2):
-                np.bitwise_xor(double[j : j + n], pairs[j] | pairs[j + 1] << np.uint64(32), out=differ)
-                differ &= heard[j : j + n] if mask[j : j + 2].all() and j + 1 < len(own) else heard[j : j + n] & (masks[j] | masks[j + 1] << np.uint64(32))
-                few += np.bitwise_count(differ, out=count)
-            errors += few
-        overlap = total[len(own) : len(own) + n] - total[:n] if mask.all() else sum(there[j : j + n].astype(np.int64) for j in np.flatnonzero(own))
-        best: dict[int, tuple] = {}
-        for at in np.flatnonzero((overlap >= LEAST_OVERLAP) & (errors <= 32 * MOST_ERRORS * overlap)):
-            o = int(np.searchsorted(starts, at + len(own), "left")) - 1
-            offset, part = int(at - starts[o]), line[at : at + len(own)]
-            votes, error = int(((part == own) & (own > 0)).sum()), errors[at] / (32 * overlap[at])
-            rank = (votes, -error, -abs(offset), offset)
-            if ids[o] != q and (o not in best or rank > best[o][0]):
-                best[o] = (rank, (q, ids[o], offset, votes, int(overlap[at]), error))
-        rows += [row for _, row in best.values()]
-    return pd.DataFrame(rows, columns=[c.split()[0] for c in _LINK.split(", ")])
+        votes, error = int(((a == b) & heard).sum()), errors / (32 * overlap)
+        rank = (votes, -error, -abs(offset), offset)
+        if (q, o) not in best or rank > best[q, o][0]:
+            best[q, o] = (rank, (asked[q], ids[o], offset, votes, overlap, error))
+    return pd.DataFrame([row for _, row in best.values()], columns=[c.split()[0] for c in _LINK.split(", ")])
 
 
 def match_recordings(media: DataFrame, media_id: str, content: str, decode=None, every: int = 100) -> DataFrame:  # noqa: ANN001

@@ -1,4 +1,7 @@
+import time
+
 import numpy as np
+import pandas as pd
 
 from parley.llm import chroma
 
@@ -92,3 +95,61 @@ def test_links_without_equal_integers_are_found_at_any_offset(spark):
             assert (x["overlap"], x["votes"]) == (overlap, votes) and abs(x["bit_error"] - error) < 1e-5 and votes == max(v[2] for v in want[o].values())
         without_votes += sum(all(v[2] == 0 for v in w.values()) for w in want.values())
     assert without_votes
+
+
+def by_position(queries, others):
+    """Links of each query and other by bit errors, position by position."""
+    found = {}
+    for q, own in queries:
+        for o, there in others:
+            for k in range(-len(own) + 1, len(there)) if o != q else []:
+                a, b = own[max(0, -k) :], there[max(0, k) :]
+                n = min(len(a), len(b))
+                heard = (a[:n] > 0) & (b[:n] > 0)
+                errors, overlap = int(np.bitwise_count((a[:n] ^ b[:n])[heard]).sum()), int(heard.sum())
+                if overlap >= chroma.LEAST_OVERLAP and errors <= chroma.MOST_ERRORS * 32 * overlap:
+                    votes = int(((a[:n] == b[:n]) & heard).sum())
+                    found[q, o] = max(found.get((q, o), (-1,)), (votes, -errors / (32 * overlap), -abs(k), k, overlap))
+    return found
+
+
+def recordings(rows):
+    return pd.DataFrame({"id": [i for i, _ in rows], "prints": [p.astype(np.int64) for _, p in rows]})
+
+
+def test_links_of_all_lengths_with_quiet_parts(monkeypatch):
+    rng = np.random.default_rng(8)
+    song = rng.integers(1, 2**32, 400, dtype=np.uint32)
+    rows = []
+    for i in range(40):
+        n = int(rng.integers(1, 60)) if i % 5 else int(rng.integers(60, 300))
+        at = int(rng.integers(0, 400 - n))
+        flips = np.bitwise_or.reduce((rng.random((32, n)) < (i % 9) * 0.04).astype(np.uint32) << np.arange(32, dtype=np.uint32)[:, None], axis=0)
+        part = song[at : at + n] ^ flips
+        if i % 3 == 0:
+            part[rng.random(n) < 0.4] = 0
+        rows.append((i, part))
+    rows += [(40, np.zeros(50, np.uint32)), (41, np.empty(0, np.uint32)), (42, song[:8]), (43, song[:7])]
+    want = by_position(rows, rows)
+    assert len({q for q, _ in want}) > 20
+    for most in (chroma._SLICE, 60_000):
+        monkeypatch.setattr(chroma, "_SLICE", most)
+        monkeypatch.setattr(chroma, "_TILE", most)
+        got = chroma._compared(recordings(rows), recordings(rows))
+        assert {(r.q_id, r.o_id): (r.votes, -r.bit_error, -abs(r.offset), r.offset, r.overlap) for r in got.itertuples()} == want
+
+
+def test_comparing_takes_less_than_every_position():
+    rng = np.random.default_rng(9)
+    rows = [(i, rng.integers(1, 2**32, 54, dtype=np.uint32)) for i in range(1200)]
+    queries, others = recordings(rows[:256]), recordings(rows[176:])
+    line = np.concatenate([np.concatenate([p, np.zeros(47, np.uint32)]) for _, p in rows[176:]])
+    began = time.thread_time()
+    for _, own in rows[:256]:
+        errors = np.zeros(len(line) - len(own) + 1, np.uint16)
+        for j, x in enumerate(own):
+            errors += np.bitwise_count(line[j : j + len(errors)] ^ x)
+    every = time.thread_time() - began
+    began = time.thread_time()
+    chroma._compared(others, queries)
+    assert time.thread_time() - began < every / 2
