@@ -2,18 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.lexicon import CHAT, OWN_NAME, RECALL, Words
-from parley.functions.numbers import cosine
 from parley.operators import timeline
 from parley.operators.engagement import cooling, engagement, recalls, texts_of
-
-STICKER = 47
+from parley.operators.exchanges import Exchanges
 
 
 @dataclass(frozen=True)
@@ -58,12 +55,7 @@ def shrunk(score: Column, confidence: Column, neutral: float, power: float = 1.5
 
 def statistics(messages: DataFrame) -> DataFrame:
     """Per conversation: messages, days with any, days from the first to the last, sessions and those that the other side began."""
-    of_messages = messages.groupBy("conversation_id").agg(
-        F.count("*").alias("n"), F.count_distinct(F.to_date("ts")).alias("chat_days"), ((F.max("ts_sec") - F.min("ts_sec")) / timeline.DAY).alias("span_days"),
-        F.count_if(F.col("is_sender") == 0).alias("n_other"), F.count_if((F.col("is_sender") == 0) & (F.col("message_type") == STICKER)).alias("stickers_other"),
-    )
-    of_sessions = timeline.sessions(messages).groupBy("conversation_id").agg(F.count("*").alias("sessions"), F.count_if(F.col("initiator") == 0).alias("sessions_other"))
-    return of_messages.join(of_sessions, "conversation_id", "left").na.fill(0, ["sessions", "sessions_other"])
+    return Exchanges(messages).statistics
 
 
 def reply_symmetry(messages: DataFrame, p: Investment = Investment()) -> DataFrame:  # noqa: B008
@@ -93,13 +85,10 @@ def symmetry(messages: DataFrame, p: Investment = Investment()) -> DataFrame:  #
     return rows.select("conversation_id", "balance", "long_other", "long_self", _with_stickers(p).alias("symmetry"))
 
 
-def pair_likeness(messages: DataFrame, vectors: DataFrame) -> DataFrame:
+def pair_likeness(messages: DataFrame, vectors: DataFrame, shared: Exchanges | None = None) -> DataFrame:
     """Per conversation the mean cosine of pairs of units that both have a vector, taken by their first message's id."""
-    units = timeline.speech_units(messages).select("conversation_id", "unit_id", F.col("message_ids")[0].alias("vec_id"))
-    placed = units.join(vectors, "vec_id").select("conversation_id", "unit_id", "embedding")
-    pairs = timeline.interaction_pairs(messages).select("conversation_id", "prev_unit_id", "unit_id")
-    both = pairs.join(placed, ["conversation_id", "unit_id"]).join(placed.toDF("conversation_id", "prev_unit_id", "_before"), ["conversation_id", "prev_unit_id"])
-    return both.groupBy("conversation_id").agg(F.avg(cosine(F.col("embedding"), F.col("_before"))).alias("likeness"))
+    shared = shared or Exchanges(messages, vectors)
+    return shared.pairs.groupBy("conversation_id").agg(F.avg("likeness").alias("likeness"))
 
 
 @dataclass(frozen=True)
@@ -111,34 +100,30 @@ class Preference:
     full_share: float = 0.30
 
 
-def preference(messages: DataFrame, vectors: DataFrame, keywords: tuple[str, ...], p: Preference = Preference()) -> DataFrame:  # noqa: B008
+def preference(messages: DataFrame, vectors: DataFrame, keywords: tuple[str, ...], p: Preference = Preference(), shared: Exchanges | None = None) -> DataFrame:  # noqa: B008
     """Per conversation ``sessions, matched, mention, continuity, preference``: the share of sessions in which a keyword occurs (whatever its case), and the
     mean likeness of the pairs of units that begin in these. Without keywords all scores are null, and the dimension doesn't count.
     """
-    units = timeline.session_ids(timeline.speech_units(messages), start="ts", end="end_ts", order=("ts", "unit_id")).select("conversation_id", "session_id", "unit_id", "message_ids")
-    words = "|".join(re.escape(k.strip().lower()) for k in keywords if k.strip())
-    said = messages.where(F.lower("content").rlike(words) if words else F.lit(False)).select(F.col("id").alias("message_id"))
-    each = units.select("conversation_id", "session_id", F.explode("message_ids").alias("message_id"))
-    hits = each.join(said, "message_id").select("conversation_id", "session_id").distinct()
-    total = units.groupBy("conversation_id").agg(F.count_distinct("session_id").alias("sessions"))
+    words = any(k.strip() for k in keywords)
+    shared = shared or Exchanges(messages, vectors, liked=keywords)
+    total = shared.sessions.groupBy("conversation_id").agg(F.count("session_id").alias("sessions"))
+    hits = shared.sessions.where("liked and conversation_id is not null").select("conversation_id", "session_id")
     matched = hits.groupBy("conversation_id").agg(F.count("*").alias("matched"))
-    begun = units.join(hits, ["conversation_id", "session_id"]).select("conversation_id", F.col("unit_id").alias("prev_unit_id"))
-    placed = units.select("conversation_id", "unit_id", F.col("message_ids")[0].alias("vec_id")).join(vectors, "vec_id").select("conversation_id", "unit_id", "embedding")
-    pairs = timeline.interaction_pairs(messages).select("conversation_id", "prev_unit_id", "unit_id").join(begun, ["conversation_id", "prev_unit_id"])
-    both = pairs.join(placed, ["conversation_id", "unit_id"]).join(placed.toDF("conversation_id", "prev_unit_id", "_before"), ["conversation_id", "prev_unit_id"])
-    like = both.groupBy("conversation_id").agg(F.avg(cosine(F.col("embedding"), F.col("_before"))).alias("likeness"))
+    begun = shared.pairs.join(hits.withColumnRenamed("session_id", "prev_session_id"), ["conversation_id", "prev_session_id"])
+    like = begun.groupBy("conversation_id").agg(F.avg("likeness").alias("likeness"))
     rows = total.join(matched, "conversation_id", "left").na.fill(0, ["matched"]).join(like, "conversation_id", "left")
-    known = lambda c: F.when(F.lit(bool(words)), F.round(c + 1e-9, 2))
+    known = lambda c: F.when(F.lit(words), F.round(c + 1e-9, 2))
     mention = known(F.least(F.lit(100.0), F.col("matched") / F.col("sessions") / p.full_share * 100))
     continuity = known(_clamped(F.coalesce("likeness", F.lit(0.0)), 1.0) * 100)
     return rows.select("conversation_id", "sessions", "matched", mention.alias("mention"), continuity.alias("continuity"), known(mention * p.mention + continuity * p.continuity).alias("preference"))
 
 
-def investment(messages: DataFrame, vectors: DataFrame, words: Words = CHAT, p: Investment = Investment()) -> DataFrame:  # noqa: B008
+def investment(messages: DataFrame, vectors: DataFrame, words: Words = CHAT, p: Investment = Investment(), shared: Exchanges | None = None) -> DataFrame:  # noqa: B008
     """One row per conversation: the seven parts, the bonus for long texts and ``investment``, drawn to the middle where there is little to go by."""
-    pairs = timeline.interaction_pairs(messages).groupBy("conversation_id").agg(F.count("*").alias("pairs"), F.count_if((F.col("gap_sec") >= 0) & (F.col("gap_sec") <= p.timely_seconds)).alias("timely"))
-    rows = statistics(messages).join(pairs, "conversation_id", "left").join(pair_likeness(messages, vectors), "conversation_id", "left")
-    rows = rows.join(reply_symmetry(messages, p), "conversation_id", "left").join(engagement(messages, words), "conversation_id", "left")
+    shared = shared or Exchanges(messages, vectors, words=words)
+    pairs = shared.turns().groupBy("conversation_id").agg(F.count("*").alias("pairs"), F.count_if((F.col("gap_sec") >= 0) & (F.col("gap_sec") <= p.timely_seconds)).alias("timely"))
+    rows = shared.statistics.join(pairs, "conversation_id", "left").join(pair_likeness(messages, vectors, shared), "conversation_id", "left")
+    rows = rows.join(reply_symmetry(messages, p), "conversation_id", "left").join(shared.engagement, "conversation_id", "left")
     rows = rows.na.fill(0, ["pairs", "timely", "n_texts", "n_long", "long_unanswered_other", "bursts_other", "bursts_self"])
     per_100 = lambda c: F.when(F.col("n_texts") > 0, F.col(c) * 100.0 / F.col("n_texts")).otherwise(0.0)
     theirs, mine = per_100("bursts_other"), per_100("bursts_self")

@@ -2,17 +2,15 @@
 
 from __future__ import annotations
 
-import re
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.lexicon import CHAT, Words
-from parley.functions.numbers import cosine, rounded
-from parley.operators import timeline
+from parley.functions.numbers import rounded
 from parley.operators.dimensions import shrunk
-from parley.operators.engagement import engagement
+from parley.operators.exchanges import Exchanges
 
 # Words of replies that are softly positive, and of those that take part.
 SOFT = ("哈哈", "嘿嘿", "嗯", "嗯嗯", "好呀", "好啊", "好哦", "好呢", "可以", "行呀", "行啊", "收到", "好的", "没问题", "真好", "太好了", "好耶", "ok", "okay")
@@ -49,24 +47,14 @@ class Resonance:
 RESONANCE = Resonance()
 
 
-def _has(words: tuple[str, ...]) -> Column:
-    return F.coalesce(F.lower("content").rlike("|".join(map(re.escape, words))), F.lit(False)) if words else F.lit(False)
-
-
-def mood_pairs(messages: DataFrame, moods: DataFrame, vectors: DataFrame, soft: tuple[str, ...] = SOFT, engaged: tuple[str, ...] = (), p: Resonance = RESONANCE) -> DataFrame:
+def mood_pairs(messages: DataFrame, moods: DataFrame, vectors: DataFrame, soft: tuple[str, ...] = SOFT, engaged: tuple[str, ...] = (), p: Resonance = RESONANCE, shared: Exchanges | None = None) -> DataFrame:
     """Pairs ``conversation_id, prev_unit_id, unit_id, gap_sec, likeness`` with each side's mean intensity (``prev_level, level``), polarity, and whether the
     reply holds soft or engaged words. ``moods`` are ``message_id, intensity``; ``vectors`` are ``vec_id, embedding``, taken by a unit's first message.
     """
-    units = timeline.speech_units(messages).select("conversation_id", "unit_id", "ts", "start_sec", "message_ids")
-    said = messages.select(F.col("id").alias("message_id"), _has(soft).alias("soft"), _has(engaged).alias("engaged"))
-    each = units.select("conversation_id", "unit_id", F.explode("message_ids").alias("message_id")).join(said, "message_id").join(moods.select("message_id", "intensity"), "message_id")
-    levels = each.groupBy("conversation_id", "unit_id").agg(F.avg("intensity").alias("level"), F.bool_or("soft").alias("soft"), F.bool_or("engaged").alias("engaged"))
-    placed = units.select("conversation_id", "unit_id", "ts", "start_sec", F.col("message_ids")[0].alias("vec_id")).join(vectors.select("vec_id", "embedding"), "vec_id", "left").drop("vec_id")
-    rated = levels.join(placed, ["conversation_id", "unit_id"]).withColumn("polarity", F.when(F.col("level") > p.cut, 1).when(F.col("level") < -p.cut, -1).otherwise(0))
-    before = rated.select("conversation_id", *(F.col(c).alias(f"prev_{c}") for c in ("unit_id", "level", "polarity", "embedding", "ts", "start_sec")))
-    pairs = timeline.interaction_pairs(messages).select("conversation_id", "prev_unit_id", "unit_id", "gap_sec")
-    both = pairs.join(rated, ["conversation_id", "unit_id"]).join(before, ["conversation_id", "prev_unit_id"])
-    return both.withColumn("likeness", cosine(F.col("embedding"), F.col("prev_embedding"))).drop("embedding", "prev_embedding")
+    shared = shared or Exchanges(messages, vectors, moods, soft, engaged, cut=p.cut)
+    polarity = lambda c: F.when(F.col(c) > p.cut, 1).when(F.col(c) < -p.cut, -1).otherwise(0)
+    rated = shared.pairs.where("moods > 0 and prev_moods > 0")
+    return rated.withColumns({"polarity": polarity("level"), "prev_polarity": polarity("prev_level")}).drop("moods", "prev_moods", "is_sender", "prev_is_sender", "session_id", "prev_session_id")
 
 
 def positive_response(p: Resonance = RESONANCE) -> Column:
@@ -80,19 +68,20 @@ def positive_response(p: Resonance = RESONANCE) -> Column:
     return F.when(F.col("polarity") < 0, 0.0).when(F.col("polarity") == 1, strong).otherwise(mild)
 
 
-def resonance(messages: DataFrame, moods: DataFrame, vectors: DataFrame, soft: tuple[str, ...] = SOFT, engaged: tuple[str, ...] = (), words: Words = CHAT, p: Resonance = RESONANCE) -> DataFrame:
+def resonance(messages: DataFrame, moods: DataFrame, vectors: DataFrame, soft: tuple[str, ...] = SOFT, engaged: tuple[str, ...] = (), words: Words = CHAT, p: Resonance = RESONANCE, shared: Exchanges | None = None) -> DataFrame:
     """``conversation_id, reciprocity, consistency, matching, valence, attention, resonance`` of conversations that have pairs.
 
     Reciprocity is the mean answer to positive units within an hour, with a prior; consistency the share of pairs of one polarity and their likeness;
     matching how close intensities are; valence the share of positive messages among those with a polarity; attention how seldom the other side's replies are
     perfunctory. Parts and the whole are drawn to the middle the fewer pairs and days they rest on.
     """
+    shared = shared or Exchanges(messages, vectors, moods, soft, engaged, words=words, cut=p.cut)
     full = lambda c, most: F.least(F.lit(1.0), c / most)
     two = lambda c: rounded(c, 2)
     kind = (F.col("prev_polarity") == 1) & (F.col("gap_sec") <= p.window)
     same = F.col("prev_polarity") == F.col("polarity")
     day = F.to_date
-    found = mood_pairs(messages, moods, vectors, soft, engaged, p).withColumn("answer", positive_response(p)).groupBy("conversation_id").agg(
+    found = mood_pairs(messages, moods, vectors, soft, engaged, p, shared).withColumn("answer", positive_response(p)).groupBy("conversation_id").agg(
         F.count("*").alias("n"), F.count_if(kind).alias("n_kind"), F.avg(F.when(kind, F.col("answer"))).alias("raw"), F.count_if(same).alias("n_same"),
         F.avg(F.when(same, F.coalesce("likeness", F.lit(0.0)))).alias("alike"), F.avg(F.abs(F.col("prev_level") - F.col("level"))).alias("apart"),
         F.size(F.array_distinct(F.flatten(F.collect_set(F.array(day("ts"), day("prev_ts")))))).alias("days"), F.min(F.least("start_sec", "prev_start_sec")).alias("first"), F.max(F.greatest("start_sec", "prev_start_sec")).alias("last"),
@@ -102,9 +91,8 @@ def resonance(messages: DataFrame, moods: DataFrame, vectors: DataFrame, soft: t
     reciprocity = F.when(F.col("n_kind") > 0, two(shrunk(smoothed, F.col("n_kind") / p.reciprocity_pairs, p.neutral))).otherwise(0.0)
     consistency = F.when(F.col("n_same") > 0, two(shrunk((F.col("n_same") / F.col("n") * 0.7 + F.col("alike") * 0.3) * 100, F.col("n") / p.pairs, p.neutral))).otherwise(0.0)
     matching = two(shrunk(F.tanh(1 / (F.col("apart") + 0.1)) * 100, F.col("n") / p.pairs, p.neutral))
-    polar = messages.select("conversation_id", F.col("id").alias("message_id")).join(moods.select("message_id", "intensity"), "message_id")
-    polar = polar.groupBy("conversation_id").agg(F.count_if(F.col("intensity") > p.cut).alias("good"), F.count_if(F.abs("intensity") > p.cut).alias("polar"))
-    dull = engagement(messages, words).select("conversation_id", "perfunctory_other")
+    polar = shared.units.groupBy("conversation_id").agg(F.coalesce(F.sum("good"), F.lit(0)).alias("good"), F.coalesce(F.sum("polar"), F.lit(0)).alias("polar"))
+    dull = shared.engagement.select("conversation_id", "perfunctory_other")
     rows = found.join(polar, "conversation_id", "left").join(dull, "conversation_id", "left")
     valence = F.when(F.col("polar") > 0, two(full(F.col("good") / F.col("polar"), p.valence_full) * 100)).otherwise(50.0)
     attention = two(100 - full(F.coalesce("perfunctory_other", F.lit(0.0)), p.perfunctory_zero) * 100)

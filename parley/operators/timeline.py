@@ -88,10 +88,15 @@ def crosses_sleep(start: Column, end: Column) -> Column:
     return (F.to_date(start) != F.to_date(end)) | ((F.hour(start) < NIGHT_END) & (F.hour(end) >= NIGHT_END))
 
 
+def begins_session(start: str = "ts", end: str = "ts", gap: int = SESSION_GAP) -> Column:
+    """Whether a row begins a session, from ``prev_<end>``; null for a first row, which does."""
+    pause = F.unix_timestamp(start) - F.unix_timestamp(f"prev_{end}")
+    return (pause > gap) | crosses_sleep(F.col(f"prev_{end}"), F.col(start))
+
+
 def session_ids(rows: DataFrame, gap: int = SESSION_GAP, start: str = "ts", end: str = "ts", order: tuple[str, ...] = ("ts", "id")) -> DataFrame:
     """``rows`` with a ``session_id`` that grows by one after each long pause or night."""
-    pause = F.unix_timestamp(start) - F.unix_timestamp(f"prev_{end}")
-    starts = (pause > gap) | crosses_sleep(F.col(f"prev_{end}"), F.col(start))
+    starts = begins_session(start, end, gap)
     return with_runs(rows.withColumn("day", F.to_date(start)), "session_id", list(dict.fromkeys([start, end])), starts, ["conversation_id"], list(order)).drop(f"prev_{end}", f"prev_{start}")
 
 

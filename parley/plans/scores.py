@@ -10,6 +10,7 @@ from parley.functions.tolerant import tolerant_json
 from parley.operators import dimensions, timeline, words
 from parley.operators import resonance as resonances
 from parley.operators.balance import initiative_bands, two_sided_binomial
+from parley.operators.exchanges import Exchanges
 from parley.plans.ctes import ENGAGED, OWN, PAIRS, RECALL, SESSIONS, UNITS, WORDS
 from parley.registry import declare, operator
 from parley.views import MS, S, M, messages, sentiment, table, with_views
@@ -241,10 +242,12 @@ oc as (select conversation_id, round(score * steady + 35 * (1 - steady) + 1e-9,
   when overall >= 35 then 'moderate' when overall >= 25 then 'low' else 'very low' end as band from oc""")
 def overall_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The overall score of the dimensions that are there, and its band."""
-    m = messages(spark, sf_dir)
-    scores = _investment(spark, sf_dir).select("conversation_id", "investment").join(_resonance(spark, sf_dir).select("conversation_id", "resonance"), "conversation_id", "left")
-    scores = scores.join(_preference(spark, sf_dir).select("conversation_id", "preference"), "conversation_id", "left")
-    return dimensions.overall(scores, dimensions.statistics(m))
+    m, moods, vectors = messages(spark, sf_dir), sentiment(spark, sf_dir), table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    shared = Exchanges(m, vectors, moods, SOFT_WORDS, ENGAGED_WORDS, LIKED, WORDS, resonances.RESONANCE.cut)
+    scores = dimensions.investment(m, vectors, WORDS, shared=shared).select("conversation_id", "investment")
+    scores = scores.join(resonances.resonance(m, moods, vectors, SOFT_WORDS, ENGAGED_WORDS, WORDS, shared=shared).select("conversation_id", "resonance"), "conversation_id", "left")
+    scores = scores.join(dimensions.preference(m, vectors, LIKED, shared=shared).select("conversation_id", "preference"), "conversation_id", "left")
+    return dimensions.overall(scores, shared.statistics)
 
 
 _LEVEL = "case when {0} = 2 then 'alert' when {0} = 1 then 'watch' else 'normal' end"
